@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .langid import op8_language
 from .packing import op2_pack
+from .quality import op6_quality
+from .secrets import op10_secrets
 from .token_store import op9_token_store
 
 
@@ -11,6 +14,9 @@ def queries() -> dict:
     return {
         "op2_pack": op2_pack,
         "op3_bpe": op3_bpe,
+        "op6_quality": op6_quality,
+        "op8_language": op8_language,
+        "op10_secrets": op10_secrets,
         "op9_token_store": op9_token_store,
     }
 
