@@ -220,9 +220,11 @@ def shard_starts(manifest: DataFrame) -> DataFrame:
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    """Write all documents to a store and report each document from the files."""
+    """Write all documents to a store and report each document from the files.
+
+    The starts of shards (at most 100,000 small rows, see ``write_store``) are broadcast; the documents never are."""
     import public_tokenizers
 
     tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     manifest = write_store(documents(spark, sf_dir).select("doc_id", "text"), fresh_path(spark, "store"), tokenizer)
-    return read_store(manifest).join(shard_starts(manifest), "shard").select("doc_id", (F.col("shard_start") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32")
+    return read_store(manifest).join(F.broadcast(shard_starts(manifest)), "shard").select("doc_id", (F.col("shard_start") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32")
