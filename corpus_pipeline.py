@@ -1,11 +1,79 @@
-"""A corpus pipeline of stages, each reading what the one before it kept."""
+"""A corpus pipeline: each stage reads what the one before it kept, and decides on its own input.
+
+1. language (language identification): texts without letters, or of which no language has half of the letters, go; a
+   missing ``lang`` is filled with the language found.
+2. quality (positive-unlabelled classifier): documents that score below 0.7 go.
+3. near_duplicates (chosen-path join at Jaccard 0.8 on word 5-grams): of each class the smallest doc_id stays, once.
+4. secrets (rules and randomness tests): every secret found is replaced by ``[SECRET]``; ``n_chars`` follows.
+5. packing (grouping genetic algorithm): the pieces of all remaining documents, with sequence and offset.
+
+All but the last return the columns of ``documents``. Rows with null doc_id stay in stage 3, since they cannot be told
+apart; null texts go in stage 1. Empty tables pass through. SQL cannot express these stages: the tests hold each against a
+brute-force version.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from credence.llm import jaccard, langid, packing, quality, secrets
+from credence.llm.common import fresh_path, staged
+
+MIN_SHARE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    names = docs.columns
+    found = langid.predict(docs.withColumnRenamed("score", "_score") if "score" in names else docs, langid.train_outside_fold(docs), [c if c != "score" else "_score" for c in names])
+    kept = found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= MIN_SHARE))
+    return kept.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col("_score").alias("score") if c == "score" else F.col(c) for c in names])
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    names = docs.columns
+    net = quality.train(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if net is None:  # nothing to learn from: no decision
+        return docs
+    plain = docs.withColumnRenamed("score", "_score") if "score" in names else docs
+    return quality.score(plain, net, plain.columns).where(F.col("score") >= quality.THRESHOLD).drop("score").toDF(*names)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    names = docs.columns
+    gone = jaccard.near_duplicates(docs.select("doc_id", "text")).where(~F.col("kept")).select("doc_id").distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[F.col(c).cast("string") for c in names if c not in ("doc_id", "text")]))
+    once = named.withColumn("_row", first).where(F.col("_row") == 1)
+    return once.select(*names).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(staged(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")), "pieces"))
+
+
+STAGES = [
+    ("language", language),
+    ("quality", quality_filter),
+    ("near_duplicates", near_duplicates),
+    ("secrets", secret_scan),
+    ("packing", pack),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            path = fresh_path(spark, f"stage-{name}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

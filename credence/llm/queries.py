@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .jaccard import op5_jaccard
 from .langid import op8_language
 from .packing import op2_pack
 from .quality import op6_quality
@@ -14,6 +15,7 @@ def queries() -> dict:
     return {
         "op2_pack": op2_pack,
         "op3_bpe": op3_bpe,
+        "op5_jaccard": op5_jaccard,
         "op6_quality": op6_quality,
         "op8_language": op8_language,
         "op10_secrets": op10_secrets,
