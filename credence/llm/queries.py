@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op1_ann
 from .bpe import op3_bpe
 from .jaccard import op5_jaccard
 from .langid import op8_language
@@ -9,14 +10,17 @@ from .packing import op2_pack
 from .quality import op6_quality
 from .secrets import op10_secrets
 from .token_store import op9_token_store
+from .vector_dedup import op7_vector_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_ann": op1_ann,
         "op2_pack": op2_pack,
         "op3_bpe": op3_bpe,
         "op5_jaccard": op5_jaccard,
         "op6_quality": op6_quality,
+        "op7_vector_dedup": op7_vector_dedup,
         "op8_language": op8_language,
         "op10_secrets": op10_secrets,
         "op9_token_store": op9_token_store,
