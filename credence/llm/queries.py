@@ -7,6 +7,7 @@ from .bpe import op3_bpe
 from .jaccard import op5_jaccard
 from .langid import op8_language
 from .packing import op2_pack
+from .pii import op4_pii
 from .quality import op6_quality
 from .secrets import op10_secrets
 from .token_store import op9_token_store
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op1_ann": op1_ann,
         "op2_pack": op2_pack,
         "op3_bpe": op3_bpe,
+        "op4_pii": op4_pii,
         "op5_jaccard": op5_jaccard,
         "op6_quality": op6_quality,
         "op7_vector_dedup": op7_vector_dedup,
