@@ -44,14 +44,6 @@ def stable_log(p: Column) -> Column:
     return F.log(p + F.lit(EPS))
 
 
-def normalize_logs(logs: Column) -> Column:
-    """Probabilities of an array of log scores, shifted by their maximum."""
-    top = F.array_max(logs)
-    e = F.transform(logs, lambda v: F.exp(v - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(e, lambda v: v / total)
-
-
 def log_sum_exp(logs: Column) -> Column:
     top = F.array_max(logs)
     return top + F.log(F.aggregate(F.transform(logs, lambda v: F.exp(v - top)), F.lit(0.0), lambda a, v: a + v))

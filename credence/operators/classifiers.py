@@ -8,10 +8,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import EPS, arg_max, flat_index
+from ..functions.columns import EPS, flat_index
 from .counts import CountStore
 from .graph import Dag, maximum_spanning_tree, orient_from
 from .information import collected, mi_matrix
+from .network import softmax
 
 
 def naive_bayes_graph(columns: list[str], target: str) -> Dag:
@@ -61,24 +62,16 @@ class Aode:
                     m = store.get(c, (target, p))
                     self.child[p, c] = np.log((m + laplace) / (m.sum(1, keepdims=True) + laplace * m.shape[1]) + EPS)
 
-    def probabilities(self, prefix: str = "") -> Column:
+    def components(self, prefix: str = "") -> list[list[Column]]:
+        """Log scores by class, a list for each super-parent."""
         classes = self.cards[self.target]
         col = lambda c: F.col(f"`{prefix}{c}`")
-        parts = []
+        cell = lambda t, at, cards: F.element_at(F.lit(t.reshape(-1).tolist()), flat_index(at, cards) + 1)
+        out = []
         for p in self.features:
-            logs = []
-            for y in range(classes):
-                terms = [F.element_at(F.lit(self.joint[p].reshape(-1).tolist()), flat_index([F.lit(y), col(p)], [classes, self.cards[p]]) + 1)]
-                for c in self.features:
-                    if c != p:
-                        terms.append(F.element_at(F.lit(self.child[p, c].reshape(-1).tolist()), flat_index([F.lit(y), col(p), col(c)], [classes, self.cards[p], self.cards[c]]) + 1))
-                logs.append(reduce(lambda a, b: a + b, terms))
-            logs = F.array(*logs)
-            parts.append(F.transform(logs, F.exp) if self.textbook else F.transform(F.arrays_zip(logs.alias("v"), F.array_repeat(F.array_max(logs), classes).alias("m")), lambda z: F.exp(z["v"] - z["m"])))
-        total = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), parts)
-        weight = F.aggregate(total, F.lit(0.0), lambda a, v: a + v)
-        return F.transform(F.arrays_zip(total.alias("v"), F.array_repeat(weight, classes).alias("w")), lambda z: z["v"] / z["w"])
+            others = [c for c in self.features if c != p]
+            out.append([reduce(lambda a, b: a + b, [cell(self.joint[p], [F.lit(y), col(p)], [classes, self.cards[p]]), *(cell(self.child[p, c], [F.lit(y), col(p), col(c)], [classes, self.cards[p], self.cards[c]]) for c in others)]) for y in range(classes)])
+        return out
 
     def posterior(self, codes: DataFrame, prefix: str = "") -> DataFrame:
-        out = codes.withColumn("probabilities", self.probabilities(prefix))
-        return out.withColumn("prediction", arg_max(F.col("probabilities")))
+        return softmax(codes, self.components(prefix), self.textbook)

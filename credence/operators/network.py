@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import EPS, arg_max, flat_index, normalize_logs
+from ..functions.columns import EPS, arg_max, flat_index
 from .counts import CountStore, Family
 from .graph import Dag
 from .scores import smoothed
@@ -20,6 +20,24 @@ from .scores import smoothed
 LITERAL_CELLS = 5_000
 
 
+def softmax(df: DataFrame, components: list[list[Column]], textbook: bool = False) -> DataFrame:
+    """``probabilities`` and ``prediction`` from log scores by class: each component is exponentiated after a shift by its
+    own maximum (none, if ``textbook``) and the components are added.
+
+    Scores are columns of their own and each step is a projection of its own, so nothing is computed twice and all of it is
+    generated code."""
+    classes = len(components[0])
+    kept = df.columns
+    name = lambda i, k: f"_z{i}_{k}"
+    out = df.select("*", *[c.alias(name(i, k)) for i, part in enumerate(components) for k, c in enumerate(part)])
+    top = lambda i: F.lit(0.0) if textbook else F.greatest(*[F.col(name(i, k)) for k in range(classes)]) if classes > 1 else F.col(name(i, 0))
+    out = out.select("*", *[top(i).alias(f"_t{i}") for i in range(len(components))])
+    out = out.select(*[F.col(f"`{c}`") for c in kept], *[reduce(lambda a, b: a + b, [F.exp(F.col(name(i, k)) - F.col(f"_t{i}")) for i in range(len(components))]).alias(f"_e{k}") for k in range(classes)])
+    out = out.select("*", reduce(lambda a, b: a + b, [F.col(f"_e{k}") for k in range(classes)]).alias("_sum"))
+    out = out.select(*[F.col(f"`{c}`") for c in kept], F.array(*[F.col(f"_e{k}") / F.col("_sum") for k in range(classes)]).alias("probabilities"))
+    return out.select("*", arg_max(F.col("probabilities")).alias("prediction"))
+
+
 class BayesNet:
     def __init__(self, target: str, graph: Dag, cards: dict[str, int], tables: dict[Family, np.ndarray], laplace: float = 1.0):
         self.target, self.graph, self.cards, self.tables, self.laplace = target, graph, cards, tables, laplace
@@ -58,18 +76,18 @@ class BayesNet:
         # codes that training did not see, and null codes, are taken as equally likely values
         return F.when(inside, F.element_at(F.lit(t.reshape(-1).tolist()), index.cast("int") + 1)).otherwise(F.lit(float(np.log(1 / self.cards[node] + EPS))))
 
-    def log_scores(self, prefix: str = "") -> Column:
+    def class_scores(self, prefix: str = "") -> list[Column]:
+        """A log score for each class."""
         column = lambda c: F.col(f"`{prefix}{c}`")
         families = self.relevant()
-        return F.array(*[reduce(lambda a, b: a + b, [self._term(f, k, column) for f in families]) for k in range(self.cards[self.target])])
+        return [reduce(lambda a, b: a + b, [self._term(f, k, column) for f in families]) for k in range(self.cards[self.target])]
 
     def posterior(self, codes: DataFrame, prefix: str = "") -> DataFrame:
         """All columns, ``probabilities`` and ``prediction``."""
         large = [f for f in self.relevant() if self.tables[f].size > LITERAL_CELLS]
         if large:
             return self._posterior_joined(codes, prefix, large)
-        p = codes.withColumn("probabilities", normalize_logs(self.log_scores(prefix)))
-        return p.withColumn("prediction", arg_max(F.col("probabilities")))
+        return softmax(codes, [self.class_scores(prefix)])
 
     def _posterior_joined(self, codes: DataFrame, prefix: str, large: list[Family]) -> DataFrame:
         spark = codes.sparkSession
@@ -87,7 +105,5 @@ class BayesNet:
             out = out.join(F.broadcast(rows) if moved.size <= 2_000_000 else rows, f"_k{n}", "left")
             extra.append(F.coalesce(F.col(f"_s{n}"), F.lit([float(np.log(1 / self.cards[node] + EPS))] * classes)))
         small = [f for f in self.relevant() if f not in large]
-        base = F.array(*[reduce(lambda a, b: a + b, [self._term(f, k, column) for f in small], F.lit(0.0)) for k in range(classes)])
-        logs = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), extra, base)
-        out = out.withColumn("probabilities", normalize_logs(logs)).drop(*[f"_k{n}" for n in range(len(large))], *[f"_s{n}" for n in range(len(large))])
-        return out.withColumn("prediction", arg_max(F.col("probabilities")))
+        scores = [reduce(lambda a, b: a + b, [*(self._term(f, k, column) for f in small), *(F.element_at(x, k + 1) for x in extra)]) for k in range(classes)]
+        return softmax(out, [scores]).drop(*[f"_k{n}" for n in range(len(large))], *[f"_s{n}" for n in range(len(large))])
