@@ -141,20 +141,55 @@ def leaf_buckets(reps: DataFrame, block: int = BLOCK_SHINGLES) -> DataFrame:
 
 
 LINKS = "doc long, links long, root long"
+_NONE = pd.DataFrame({"doc": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
 
 
-def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links among the members of a block (key: bucket, i, i) or across two blocks (bucket, i, j)."""
+def compare_groups(frames):
+    """Links of all groups of a partition sorted by (bucket, i, j); shingles are cut for a batch of rows at a time."""
+    held: list[tuple[pd.DataFrame, np.ndarray, np.ndarray]] = []
+    key = None
+
+    def flush():
+        if not held:
+            return
+        rows = pd.concat([h[0] for h in held], ignore_index=True)
+        size = np.cumsum([0, *(len(h[0]) for h in held)])
+        of = np.concatenate([h[1] + a for h, a in zip(held, size)])
+        yield compare(key, rows, of, np.concatenate([h[2] for h in held]))
+
+    for pdf in frames:
+        if not len(pdf):
+            continue
+        texts = [x or "" for x in pdf["text"]]
+        parts = []
+        for a, b in runs_of(texts, RUN_CHARS):
+            of, g = shingle_sets(texts[a:b])
+            parts.append((of + a, g))
+        of, g = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        pdf = pdf.drop(columns="text")
+        k = pdf[["bucket", "i", "j"]].to_numpy(np.int64)
+        cut = np.append(0, np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1)
+        out = []
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(pdf)]):
+            now = tuple(k[a].tolist())
+            if now != key:
+                out += flush()
+                held, key = [], now
+            lo, hi = np.searchsorted(of, [a, b])
+            held.append((pdf.iloc[a:b], of[lo:hi] - a, g[lo:hi]))
+        out = [x for x in out if len(x)]
+        if out:
+            yield pd.concat(out, ignore_index=True)
+    yield from flush()
+
+
+def compare(key, pdf: pd.DataFrame, of: np.ndarray, g: np.ndarray) -> pd.DataFrame:
+    """Links among the members of a block (key: bucket, i, i) or across two blocks (bucket, i, j).
+
+    of, g: row of pdf and hash of each distinct shingle."""
     bucket, i, j = (int(x) for x in key)
     m = len(pdf)
     rep = pdf["rep"].to_numpy(np.int64)
-    ofs, gs = [], []
-    texts = [x or "" for x in pdf["text"]]
-    for a, b in runs_of(texts, RUN_CHARS):
-        of, g = shingle_sets(texts[a:b])
-        ofs.append(of + a)
-        gs.append(g)
-    of, g = np.concatenate(ofs), np.concatenate(gs)
     size = np.bincount(of, minlength=m)
     codes, distinct = pd.factorize(g)
     shared = np.bincount(codes, minlength=len(distinct)) > 1
@@ -173,6 +208,8 @@ def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
     both = size[:, None] + size[None, :]
     link = (inter.astype(np.float64) * (NUMERATOR + DENOMINATOR) >= NUMERATOR * both.astype(np.float64)) & (inter > 0)
     link &= rep[:, None] != rep[None, :]
+    if not link.any():
+        return _NONE
     if i != j:
         block = pdf["block"].to_numpy()
         link &= block[:, None] != block[None, :]
@@ -186,9 +223,11 @@ def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
             a[own[:, 0], own[:, 1] - c] = 1
             link &= (a @ a.T) == 0
     some = np.flatnonzero(link.any(1))
+    if not len(some):
+        return _NONE
     link = link[np.ix_(some, some)]
     label = np.arange(len(some))
-    while len(some):
+    while True:
         low = np.minimum(label, np.where(link, label[None, :], len(some)).min(1))
         low = low[low]
         if (low == label).all():
@@ -198,12 +237,25 @@ def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
     ids = rep[some]
     root = np.full(len(some), np.iinfo(np.int64).max)
     np.minimum.at(root, label, ids)
-    return pd.DataFrame({"doc": ids, "links": link @ weight if len(some) else np.zeros(0, np.int64), "root": root[label] if len(some) else ids})
+    return pd.DataFrame({"doc": ids, "links": link @ weight, "root": root[label]})
+
+
+#: Slots of the filter that keeps texts without a candidate out of the shuffle; its table has at most as many rows.
+FILTER_SLOTS = 1 << 20
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """rep and text of documents whose id may be among ``ids`` (column rep): hashed slots of the ids, at most
+    ``FILTER_SLOTS`` rows, are broadcast. The filter lets others through as it fills up; it never loses one."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_SLOTS)).cast("int")
+    slots = ids.select(slot(F.col("rep")).alias("slot")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    return texts.withColumn("slot", slot(F.col("rep"))).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, class_id (smallest doc_id reachable by links), n_links (other rows at similarity 0.8 or more), n_copies (rows
-    with the same shingle set), kept (the row whose doc_id is class_id). docs: doc_id, text; read three times."""
+    with the same shingle set), kept (the row whose doc_id is class_id). docs: doc_id, text; read twice."""
     sigs = staged(signatures(docs), "signatures")
     has = F.col("doc_id").isNotNull() & (F.col("n_sh") > 0)
     reps = staged(sigs.where(has).groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("n_sh").alias("n_sh"), F.first("sig").alias("sig")), "classes")
@@ -211,9 +263,12 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK_SHINGLES) -> DataFrame:
     lists = leaves.groupBy("rep").agg(F.collect_list("bucket").alias("buckets"))  # bounded by ROOTS * 2 ** (DEPTH - 1)
     copies = reps.groupBy("rep").agg(F.sum("n_copies").alias("n_copies"))
     sides = leaves.withColumn("block", F.pmod(F.xxhash64("rep", "bucket"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(lists.join(copies, "rep"), "rep")
-    members = sides.join(texts, "rep").select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n_copies", "buckets", "text")
-    found = staged(members.groupBy("bucket", "i", "j").applyInPandas(compare, LINKS), "links")
+    texts = _texts_of(docs, leaves).join(lists.join(copies, "rep"), "rep")
+    i, j = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    members = sides.join(texts, "rep").select("bucket", i, j, "block", "rep", "n_copies", "buckets", "text")
+    groups = members.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    short_batches(docs.sparkSession)
+    found = staged(groups.mapInPandas(compare_groups, LINKS), "links")
     links = found.groupBy("doc").agg(F.sum("links").alias("links")).withColumnRenamed("doc", "rep")
     component = connected_components(found.select(F.col("doc").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("rep"), "component")
     classes = reps.select("key1", "key2", "rep", "n_copies").join(links, "rep", "left").join(component, "rep", "left")
