@@ -685,7 +685,10 @@ def q_stratified_split_sizes(spark, sf):
     return holdout(df, 7, 0.2, 0.2, "o_orderpriority").groupBy(F.col("o_orderpriority").alias("k"), "split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    "WITH t AS (SELECT n, CAST(ceil(n * 0.25) AS BIGINT) AS nt FROM (SELECT count(*) AS n FROM events) c), v AS (SELECT n, nt, CAST(ceil((n - nt) * 0.2) AS BIGINT) AS nv FROM t) "
+    "SELECT 'test' AS split, nt AS n FROM v UNION ALL SELECT 'valid', nv FROM v UNION ALL SELECT 'train', n - nt - nv FROM v"
+)
 def q_holdout_split_sizes(spark, sf):
     return holdout(table(spark, sf, "events").select("event_id", "event_type"), 7, 0.25, 0.2).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 

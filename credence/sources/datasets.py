@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,21 +55,25 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return clean.select(*out)
 
 
+HASH_BUCKETS = 1024
+
+
 def holdout(df: DataFrame, seed: int, test: float, valid: float, by: str | None = None) -> DataFrame:
     """df with ``split``: exact shares, test first, then validation of the rest; within each class of ``by``, if named.
 
-    Rows are ordered by a hash of their content and, for equal rows, of their number; the order within a stratum is a
-    window, so without strata the rows are first dealt to 64 hash strata, which keeps every task small and the shares exact
-    to a row a stratum."""
-    keyed = df.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit(seed)))
-    stratum = [F.col(f"`{by}`")] if by else []
-    keyed = keyed.withColumn("_b", F.lit(0) if by else F.pmod("_h", F.lit(1 if df.sparkSession.conf.get("spark.sql.shuffle.partitions") == "1" else 64)))
-    w = Window.partitionBy(*stratum, "_b")
-    r = keyed.withColumn("_r", F.row_number().over(w.orderBy(F.xxhash64("_h", F.lit(seed)), "_h"))).withColumn("_n", F.count(F.lit(1)).over(w))
-    n_test = F.ceil(F.col("_n") * F.lit(test))
-    n_valid = F.ceil((F.col("_n") - n_test) * F.lit(valid))
+    Rows are ranked by a hash of their content: by hash bucket first, with the buckets' running totals, then within a
+    bucket, so the ranks are exact over the whole table though no task sorts more than a bucket."""
+    class_ = F.coalesce(F.col(f"`{by}`").cast("string"), F.lit("\0")) if by else F.lit("")
+    keyed = df.withColumn("_c", class_).withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit(seed))).withColumn("_b", F.pmod("_h", F.lit(HASH_BUCKETS)))
+    sizes = keyed.groupBy("_c", "_b").agg(F.count(F.lit(1)).alias("_k"))
+    w = Window.partitionBy("_c")
+    before = F.coalesce(F.sum("_k").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_c", "_b", before.alias("_before"), F.sum("_k").over(w).alias("_n"))
+    ranked = keyed.join(sizes, ["_c", "_b"]).withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy("_c", "_b").orderBy("_h")))
+    n_test = F.ceil(F.round(F.col("_n") * F.lit(test), 6))
+    n_valid = F.ceil(F.round((F.col("_n") - n_test) * F.lit(valid), 6))
     split = F.when(F.col("_r") <= n_test, "test").when(F.col("_r") <= n_test + n_valid, "valid").otherwise("train")
-    return r.withColumn("split", split).drop("_h", "_b", "_r", "_n")
+    return ranked.select(*[F.col(f"`{c}`") for c in df.columns], split.alias("split"))
 
 
 class Adapter:
@@ -209,13 +211,3 @@ def suites() -> dict[str, Suite]:
             ("default", "no_screener", "no_bundles", "no_bootstrap", "generative_only", "discriminative_only", "small_pool", "wide_parents"),
         ),
     }
-
-
-def share(n: int, fraction: float) -> int:
-    return math.ceil(n * fraction)
-
-
-def as_frame(spark: SparkSession, columns: dict[str, np.ndarray]) -> DataFrame:
-    import pandas as pd
-
-    return spark.createDataFrame(pd.DataFrame(columns))
