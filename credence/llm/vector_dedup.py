@@ -6,8 +6,9 @@ within half of sqrt(2 - 2c) of it, and every vector is also shown, as a guest, t
 compared with the cell's own vectors only; a pair that meets in both cells counts in the lower one. All vectors with
 cosine >= c are therefore linked, and no others.
 
-Equal vectors are one row with a count. A cell is cut into blocks by hash and compared block against block in as many
-tasks, so a cell with a third of all rows is spread; tasks return link counts and one edge a member to its local group.
+Equal vectors are one row with a count. A cell's own vectors and its guests are cut into blocks by hash, and each pair of
+an own block with an own or guest block is a task's group, so a cell with a third of all rows is spread; groups return
+link counts and one edge a member to its local group.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their own
 component; rows with null vec_id have null component and no links; vectors of different dimension never link; rows that
@@ -28,8 +29,8 @@ from .vecs import sample, takes_part, usable
 
 COSINE = 0.95
 SAMPLE_ROWS = 8_192
-ROWS_PER_CELL, MOST_CELLS = 800, 2_048
-BLOCK = 2_048
+ROWS_PER_CELL, MOST_CELLS = 2_000, 2_048
+BLOCK = 2_048  # own vectors; guests come in blocks four times as large
 
 
 def spherical_kmeans(u: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
@@ -65,40 +66,33 @@ LINKS = "doc long, links long, root long"
 
 
 def compare(key, pdf: pd.DataFrame, cosine: float = COSINE) -> pd.DataFrame:
-    """Links within a block of a cell (key: dim, cell, i, i) or across two of them."""
+    """Links of a cell's own block i with block j (key: dim, cell, i, j), which is own or of guests."""
     cell, i, j = int(key[1]), int(key[2]), int(key[3])
-    m = len(pdf)
+    block = pdf["block"].to_numpy()
     u = np.stack(pdf["x"].to_list())
-    rep, home = pdf["rep"].to_numpy(np.int64), pdf["home"].to_numpy()
-    own = home == cell
-    link = (u @ u.T) >= cosine
-    link &= (rep[:, None] != rep[None, :]) & (own[:, None] | own[None, :])
-    if i != j:
-        block = pdf["block"].to_numpy()
-        link &= block[:, None] != block[None, :]
-    homes, inverse = np.unique(home, return_inverse=True)
-    slot = {h: n for n, h in enumerate(homes.tolist())}
-    shown = np.zeros((m, len(homes)), bool)
-    for r, cells in enumerate(pdf["guests"]):
-        for h in cells:
-            if h in slot:
-                shown[r, slot[h]] = True
+    rep, home, guests = pdf["rep"].to_numpy(np.int64), pdf["home"].to_numpy(), pdf["guests"].to_list()
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    a, b = np.nonzero(u[left] @ u[right].T >= cosine)
+    a, b = left[a], right[b]
+    fine = rep[a] < rep[b] if i == j else rep[a] != rep[b]
     # a guest of home h that meets an own vector shown to h meets it there too: the lower cell counts
-    twice = own[:, None] & ~own[None, :] & shown[:, inverse] & (home[None, :] < cell)
-    link &= ~(twice | twice.T)
-    some = np.flatnonzero(link.any(1))
-    link = link[np.ix_(some, some)]
-    label = np.arange(len(some))
-    while len(some):
-        low = np.minimum(label, np.where(link, label[None, :], len(some)).min(1))
-        low = low[low]
-        if (low == label).all():
+    away = np.flatnonzero(fine & (home[b] != cell) & (home[b] < cell))
+    if len(away):
+        shown = [set(x) for x in guests]
+        fine[away] = [home[y] not in shown[x] for x, y in zip(a[away], b[away])]
+    a, b = a[fine], b[fine]
+    weight = pdf["n_copies"].to_numpy(np.int64)
+    links = np.bincount(a, weight[b], len(pdf)) + np.bincount(b, weight[a], len(pdf))
+    root = rep.copy()
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        if (root == before).all():
             break
-        label = low
-    weight, ids = pdf["n_copies"].to_numpy(np.int64)[some], rep[some]
-    root = np.full(len(some), np.iinfo(np.int64).max)
-    np.minimum.at(root, label, ids)
-    return pd.DataFrame({"doc": ids, "links": link @ weight if len(some) else np.zeros(0, np.int64), "root": root[label] if len(some) else ids})
+    some = np.flatnonzero(links)
+    return pd.DataFrame({"doc": rep[some], "links": links[some].astype(np.int64), "root": root[some]})
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
@@ -142,9 +136,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
                     yield pa.RecordBatch.from_pydict({"cell": pa.array(cell[a : a + 4096], pa.int32()), "home": pa.array(home[s], pa.int32()), "guests": pa.array(guests[a : a + 4096], pa.list_(pa.int32())), "rep": pa.array(rep[s]), "n_copies": pa.array(copies[s]), "x": pa.array(list(u[s]), pa.list_(pa.float64())), "dim": pa.array(np.full(len(s), d), pa.int32())})
 
     shown = staged(distinct.select("rep", "n_copies", "x", "dim").mapInArrow(show, SHOWN), "cells")
-    loads = shown.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_blocks"))
+    own = F.col("home") == F.col("cell")
+    loads = shown.groupBy("dim", "cell").agg(F.ceil(F.count_if(own) / block).cast("int").alias("n_own"), F.ceil(F.count_if(~own) / (4 * block)).cast("int").alias("n_guest"))
     # at most MOST_CELLS cells of each dimension: small enough to broadcast while dimensions are few; the planner decides
-    sides = shown.join(loads, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep", "cell"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    part = lambda n: F.pmod(F.xxhash64("rep", "cell"), F.col(n)).cast("int")
+    at = F.when(own, part("n_own")).otherwise(F.col("n_own") + part("n_guest"))
+    others = F.when(own, F.col("n_own") + F.col("n_guest")).otherwise(F.col("n_own"))
+    sides = shown.join(loads.where("n_own > 0"), ["dim", "cell"]).withColumn("block", at).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
     members = sides.select("dim", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "home", "guests", "rep", "n_copies", "x")
     found = staged(members.groupBy("dim", "cell", "i", "j").applyInPandas(lambda key, pdf: compare(key, pdf, cosine), LINKS), "links")
     links = found.groupBy("doc").agg(F.sum("links").alias("links")).withColumnRenamed("doc", "rep")
