@@ -24,29 +24,33 @@ from credence.llm.common import fresh_path, staged
 MIN_SHARE = 0.5
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    """docs with neutral names for all columns but the three that stages read, so that none clashes with theirs."""
+    return docs.toDF(*[c if c in ("doc_id", "text", "lang") else f"_x{i}" for i, c in enumerate(docs.columns)])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = docs.columns
-    found = langid.predict(docs.withColumnRenamed("score", "_score") if "score" in names else docs, langid.train_outside_fold(docs), [c if c != "score" else "_score" for c in names])
+    plain = _plain(docs)
+    found = langid.predict(plain, langid.train_outside_fold(plain), plain.columns)
     kept = found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= MIN_SHARE))
-    return kept.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col("_score").alias("score") if c == "score" else F.col(c) for c in names])
+    return kept.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(c) for c in plain.columns]).toDF(*docs.columns)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = docs.columns
-    net = quality.train(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    plain = _plain(docs)
+    net = quality.train(plain.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if net is None:  # nothing to learn from: no decision
         return docs
-    plain = docs.withColumnRenamed("score", "_score") if "score" in names else docs
-    return quality.score(plain, net, plain.columns).where(F.col("score") >= quality.THRESHOLD).drop("score").toDF(*names)
+    return quality.score(plain, net, plain.columns).where(F.col("score") >= quality.THRESHOLD).drop("score").toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = docs.columns
-    gone = jaccard.near_duplicates(docs.select("doc_id", "text")).where(~F.col("kept")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[F.col(c).cast("string") for c in names if c not in ("doc_id", "text")]))
+    plain = _plain(docs)
+    gone = jaccard.near_duplicates(plain.select("doc_id", "text")).where(~F.col("kept")).select("doc_id").distinct()
+    named = plain.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[F.col(c).cast("string") for c in plain.columns if c not in ("doc_id", "text")]))
     once = named.withColumn("_row", first).where(F.col("_row") == 1)
-    return once.select(*names).unionByName(docs.where(F.col("doc_id").isNull()))
+    return once.select(*plain.columns).unionByName(plain.where(F.col("doc_id").isNull())).toDF(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ def docs(spark, tmp_path_factory):
 
 
 def ids(df):
-    return sorted(r["doc_id"] or -1 for r in df.select("doc_id").collect())
+    return sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in df.select("doc_id").collect())
 
 
 def test_language_stage(spark, docs):
@@ -31,7 +31,7 @@ def test_language_stage(spark, docs):
     model = langid.train_outside_fold(docs)
     rows = docs.collect()
     langs, scores = model.predict([r["text"] or "" for r in rows])
-    assert ids(out) == sorted((r["doc_id"] or -1) for r, x, s in zip(rows, langs, scores) if x != "und" and s >= 0.5)
+    assert ids(out) == sorted((-1 if r["doc_id"] is None else r["doc_id"]) for r, x, s in zip(rows, langs, scores) if x != "und" and s >= 0.5)
 
 
 def test_quality_stage(spark, docs):
@@ -40,7 +40,7 @@ def test_quality_stage(spark, docs):
     net = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     rows = docs.collect()
     score = net.score(quality.features([r["text"] or "" for r in rows]))
-    assert ids(out) == sorted((r["doc_id"] or -1) for r, s in zip(rows, score) if s >= quality.THRESHOLD)
+    assert ids(out) == sorted((-1 if r["doc_id"] is None else r["doc_id"]) for r, s in zip(rows, score) if s >= quality.THRESHOLD)
 
 
 def test_near_duplicate_stage_keeps_one_of_a_class(spark, docs):
