@@ -805,7 +805,7 @@ def q_mlp_edge_scores(spark, sf):
     from .operators.neural import neural_edges
 
     df = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderpriority", "o_orderstatus", "c_mktsegment", "o_totalprice")
-    config = ScreenerConfig(epochs=3, bootstraps=2, max_rows=4_000)
+    config = ScreenerConfig(epochs=3, bootstraps=2)
     edges, _ = neural_edges(TableEncoder("o_orderpriority").fit(df), df, config)
     return screening.over_rounds(edges, ["target", "source"])
 
