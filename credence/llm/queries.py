@@ -24,10 +24,19 @@ def queries() -> dict:
         "op6_quality": op6_quality,
         "op7_vector_dedup": op7_vector_dedup,
         "op8_language": op8_language,
-        "op10_secrets": op10_secrets,
         "op9_token_store": op9_token_store,
+        "op10_secrets": op10_secrets,
     }
 
 
+#: Every pair of vectors: right for small tables, too slow for large ones.
+_VECTOR_DEDUP = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL),
+ l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+ r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+ c AS (SELECT x, min(y) AS m FROM r GROUP BY x), n AS (SELECT x, count(*) AS k FROM l GROUP BY x)
+ SELECT v.vec_id, coalesce(n.k, 0) AS n_links, least(v.vec_id, coalesce(c.m, v.vec_id)) AS component_id, v.vec_id <= coalesce(c.m, v.vec_id) AS kept
+ FROM v LEFT JOIN n ON n.x = v.vec_id LEFT JOIN c ON c.x = v.vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_vector_dedup": _VECTOR_DEDUP}
