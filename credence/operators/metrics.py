@@ -65,13 +65,21 @@ def ece_edges(n_bins: int = 10) -> list[float]:
     return [k * step for k in range(n_bins)] + [1.0]
 
 
-def ece(rows: DataFrame, y: str = "y", p: str = "probabilities", n_bins: int = 10) -> DataFrame:
-    """One value ``ece``; rows: class index and probability array."""
+def _weight(w: str | None) -> Column:
+    return F.col(w) if w else F.lit(1)
+
+
+def _mean(x: Column, w: str | None) -> Column:
+    return F.sum(_weight(w) * x) / F.sum(_weight(w)) if w else F.avg(x)
+
+
+def ece(rows: DataFrame, y: str = "y", p: str = "probabilities", n_bins: int = 10, w: str | None = None) -> DataFrame:
+    """One value ``ece``; rows: class index and probability array, and a weight column, if named."""
     confidence = F.array_max(p)
     right = (F.array_position(F.col(p), confidence) - 1 == F.col(y)).cast("double")
     inner = ece_edges(n_bins)[1:-1]
     bin_ = F.size(F.filter(F.lit(inner), lambda e: e <= F.col("c")))
-    b = rows.select(confidence.alias("c"), right.alias("r")).groupBy(bin_.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.avg("c").alias("c"), F.avg("r").alias("r"))
+    b = rows.select(confidence.alias("c"), right.alias("r"), _weight(w).alias("w")).groupBy(bin_.alias("b")).agg(F.sum("w").alias("n"), _mean(F.col("c"), "w").alias("c"), _mean(F.col("r"), "w").alias("r"))
     return b.agg(F.coalesce(F.sum(F.col("n") * F.abs(F.col("c") - F.col("r"))) / F.sum("n"), F.lit(0.0)).alias("ece"))
 
 
@@ -79,45 +87,45 @@ def clipped(p: Column) -> Column:
     return F.greatest(F.least(p, F.lit(1 - CLIP)), F.lit(CLIP))
 
 
-def log_loss(rows: DataFrame, y: str = "y", p: str = "probabilities") -> DataFrame:
-    return rows.agg(F.avg(-F.log(clipped(F.element_at(F.col(p), F.col(y) + 1)))).alias("log_loss"))
+def log_loss(rows: DataFrame, y: str = "y", p: str = "probabilities", w: str | None = None) -> DataFrame:
+    return rows.agg(_mean(-F.log(clipped(F.element_at(F.col(p), F.col(y) + 1))), w).alias("log_loss"))
 
 
-def brier(rows: DataFrame, classes: int, y: str = "y", p: str = "probabilities") -> DataFrame:
+def brier(rows: DataFrame, classes: int, y: str = "y", p: str = "probabilities", w: str | None = None) -> DataFrame:
     """Two classes: squared error of the second; more: squared error summed over classes. Mean over rows."""
     if classes == 2:
-        return rows.agg(F.avg(F.pow(F.element_at(F.col(p), 2) - F.col(y), F.lit(2))).alias("brier"))
+        return rows.agg(_mean(F.pow(F.element_at(F.col(p), 2) - F.col(y), F.lit(2)), w).alias("brier"))
     each = F.aggregate(F.transform(F.col(p), lambda v, i: F.pow(v - (i == F.col(y)).cast("double"), F.lit(2))), F.lit(0.0), lambda a, v: a + v)
-    return rows.agg(F.avg(each).alias("brier"))
+    return rows.agg(_mean(each, w).alias("brier"))
 
 
-def auc_by_class(rows: DataFrame, classes: int, y: str = "y", p: str = "probabilities") -> DataFrame:
+def auc_by_class(rows: DataFrame, classes: int, y: str = "y", p: str = "probabilities", w: str | None = None) -> DataFrame:
     """k, auc (null if a side is missing): class k against the rest, by mid-ranks of distinct scores.
 
     Scores are grouped first; the running sum needs an order within each class, over distinct scores."""
-    pairs = rows.select(F.posexplode(F.slice(F.col(p), 1, classes)).alias("k", "s"), F.col(y).alias("y"))
-    g = pairs.groupBy("k", "s").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == F.col("k")).alias("pos"))
-    w = Window.partitionBy("k").orderBy("s")
-    below = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pairs = rows.select(F.posexplode(F.slice(F.col(p), 1, classes)).alias("k", "s"), F.col(y).alias("y"), _weight(w).alias("w"))
+    g = pairs.groupBy("k", "s").agg(F.sum("w").alias("n"), F.sum(F.when(F.col("y") == F.col("k"), F.col("w")).otherwise(0)).alias("pos"))
+    lower = Window.partitionBy("k").orderBy("s")
+    below = F.coalesce(F.sum("n").over(lower.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     r = g.withColumn("rank", below + (F.col("n") + 1) / 2)
     a = r.groupBy("k").agg(F.sum(F.col("rank") * F.col("pos")).alias("ranks"), F.sum("pos").alias("np"), F.sum(F.col("n") - F.col("pos")).alias("nn"))
     return a.select("k", F.when((F.col("np") > 0) & (F.col("nn") > 0), (F.col("ranks") - F.col("np") * (F.col("np") + 1) / 2) / (F.col("np") * F.col("nn"))).alias("auc"))
 
 
-def auc(rows: DataFrame, classes: int, y: str = "y", p: str = "probabilities") -> DataFrame:
+def auc(rows: DataFrame, classes: int, y: str = "y", p: str = "probabilities", w: str | None = None) -> DataFrame:
     """Binary: class 1; more: mean over classes. 0.5 where it is not defined, for any class."""
-    by = auc_by_class(rows, classes, y, p)
+    by = auc_by_class(rows, classes, y, p, w)
     if classes == 2:
         by = by.where(F.col("k") == 1)
     return by.agg(F.when((F.count("auc") == F.lit(1 if classes == 2 else classes)), F.avg("auc")).otherwise(0.5).alias("roc_auc"))
 
 
-def predictive(rows: DataFrame, classes: int, y: str = "y", p: str = "probabilities") -> dict[str, float]:
-    """log_loss, roc_auc, brier and ece of rows, which are scored once."""
-    rows = rows.select(F.col(y).cast("int").alias("y"), F.col(p).alias("probabilities")).persist()
+def predictive(rows: DataFrame, classes: int, y: str = "y", p: str = "probabilities", w: str | None = None) -> dict[str, float]:
+    """log_loss, roc_auc, brier and ece of rows (which may stand for ``w`` equal ones each); they are scored once."""
+    rows = rows.select(F.col(y).cast("int").alias("y"), F.col(p).alias("probabilities"), _weight(w).alias("w")).persist()
     try:
         out = {}
-        for f in (log_loss(rows), auc(rows, classes), brier(rows, classes), ece(rows)):
+        for f in (log_loss(rows, w="w"), auc(rows, classes, w="w"), brier(rows, classes, w="w"), ece(rows, w="w")):
             row = f.first()
             out[f.columns[0]] = float(row[0]) if row[0] is not None else math.nan
         return out

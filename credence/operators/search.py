@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from .counts import CountStore
+from .counts import CountStore, collapse
 from .graph import Dag
 from .metrics import predictive
 from .network import BayesNet
@@ -104,7 +104,7 @@ class HillClimb:
     # --- validation ---
 
     def validate(self, g: Dag, net: BayesNet, rows: DataFrame, score: dict, iteration: int, reason: str) -> dict:
-        m = predictive(net.posterior(rows), self.store.cards[self.target], self.target)
+        m = predictive(net.posterior(rows), self.store.cards[self.target], self.target, w="w")
         return {"iteration": iteration, "reason": reason, "log_loss": m["log_loss"], "roc_auc": m["roc_auc"], "edges": len(g), "objective": score["total"]}
 
     def fit_net(self, g: Dag) -> BayesNet:
@@ -230,6 +230,8 @@ class HillClimb:
         starts = list(dict.fromkeys(c.starts)) if c.warm_start == "multi_start" else [c.warm_start]
         if not starts:
             raise ValueError("no start is named")
+        if validation is not None and "w" not in validation.columns:
+            validation = collapse(validation.select(*self.store.columns)).persist()  # equal rows are scored once
         results = [self.climb(s, validation) for s in starts]
         best = results[0]
         for r in results[1:]:

@@ -60,7 +60,7 @@ class BayesNetClassifier(Estimator):
         result = HillClimb(store, c.target, c.search, pools, support, self.regime, self.log).fit(valid)
         t2 = time.perf_counter()
         net = BayesNet.fit(store, result.graph, c.target, c.search.laplace)
-        train = predictive(net.posterior(store.collapsed.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("w"))))), store.cards[c.target], c.target)
+        train = predictive(net.posterior(store.collapsed), store.cards[c.target], c.target, w="w")
         runtimes = {"screener_seconds": t1 - t0, "search_seconds": t2 - t1, "total_seconds": time.perf_counter() - began}
         report = FitReport(train, structure_metrics(result.graph, self.truth, pools), runtimes, result.graph.edges(), pools, result, screening)
         store.collapsed.unpersist()
