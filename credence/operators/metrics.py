@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,3 +132,18 @@ def predictive(rows: DataFrame, classes: int, y: str = "y", p: str = "probabilit
         return out
     finally:
         rows.unpersist()
+
+
+def predictive_local(y: np.ndarray, p: np.ndarray, w: np.ndarray) -> dict[str, float]:
+    """log_loss and roc_auc of weighted rows on the driver, as ``predictive`` defines them."""
+    own = np.clip(p[np.arange(len(y)), y], CLIP, 1 - CLIP)
+    areas = []
+    for k in [1] if p.shape[1] == 2 else range(p.shape[1]):
+        values, at = np.unique(p[:, k], return_inverse=True)
+        n = np.bincount(at, w, len(values))
+        pos = np.bincount(at, w * (y == k), len(values))
+        rank = np.cumsum(n) - n + (n + 1) / 2
+        np_, nn = pos.sum(), (n - pos).sum()
+        areas.append(((rank * pos).sum() - np_ * (np_ + 1) / 2) / (np_ * nn) if np_ and nn else math.nan)
+    area = float(np.mean(areas))
+    return {"log_loss": float((w * -np.log(own)).sum() / w.sum()) if len(y) else math.nan, "roc_auc": 0.5 if math.isnan(area) else area}

@@ -10,11 +10,12 @@ import math
 import time
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .counts import CountStore, collapse
 from .graph import Dag
-from .metrics import predictive
+from .metrics import predictive, predictive_local
 from .network import BayesNet
 from .scores import GraphScorer
 
@@ -58,6 +59,7 @@ class HillClimb:
     def __init__(self, store: CountStore, target: str, config, pools: dict[str, list[str]], support: dict[tuple[str, str], float] | None = None, regime: str = "unknown", log=lambda message: None):
         self.store, self.target, self.config, self.pools, self.regime, self.log = store, target, config, pools, regime, log
         self.support = support or {}
+        self.checked: tuple[dict[str, np.ndarray], np.ndarray] | None = None  # validation rows on the driver, if few
         self.scorer = GraphScorer(store, target, config, self.support)
 
     # --- proposals ---
@@ -104,7 +106,12 @@ class HillClimb:
     # --- validation ---
 
     def validate(self, g: Dag, net: BayesNet, rows: DataFrame, score: dict, iteration: int, reason: str) -> dict:
-        m = predictive(net.posterior(rows), self.store.cards[self.target], self.target, w="w")
+        if self.checked is not None:
+            codes, w = self.checked
+            known = codes[self.target] >= 0
+            m = predictive_local(codes[self.target][known], net.posterior_local(codes)[known], w[known])
+        else:
+            m = predictive(net.posterior(rows), self.store.cards[self.target], self.target, w="w")
         return {"iteration": iteration, "reason": reason, "log_loss": m["log_loss"], "roc_auc": m["roc_auc"], "edges": len(g), "objective": score["total"]}
 
     def fit_net(self, g: Dag) -> BayesNet:
@@ -232,6 +239,10 @@ class HillClimb:
             raise ValueError("no start is named")
         if validation is not None and "w" not in validation.columns:
             validation = collapse(validation.select(*self.store.columns)).persist()  # equal rows are scored once
+            got = validation.limit(c.local_rows + 1).toPandas()
+            if 0 < len(got) <= c.local_rows:
+                got = got.fillna(-1)
+                self.checked = {x: got[x].to_numpy(np.int64) for x in self.store.columns}, got["w"].to_numpy(float)
         results = [self.climb(s, validation) for s in starts]
         best = results[0]
         for r in results[1:]:

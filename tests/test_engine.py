@@ -227,6 +227,16 @@ def test_prune_limits_and_order(codes):
     assert h.strict_edge("t", "a") and not h.strict_edge("a", "b")
 
 
+def test_driver_validation_equals_spark(codes):
+    store = CountStore(codes)
+    net = BayesNet.fit(store, Dag("tabc", [("t", "a"), ("a", "b"), ("t", "b"), ("c", "t")]), "t")
+    far = metrics.predictive(net.posterior(store.collapsed), 2, "t", w="w")
+    near = metrics.predictive_local(store.local["t"], net.posterior_local(store.local), store.weight)
+    assert near["log_loss"] == pytest.approx(far["log_loss"], abs=1e-9) and near["roc_auc"] == pytest.approx(far["roc_auc"], abs=1e-9)
+    slow, fast = (HillClimb(store, "t", SearchConfig(max_iters=4, prune_min_edges_real=1, local_rows=n), screening.full_pools(list("tabc")), {}, "real").fit(codes) for n in (0, 1000))
+    assert slow.operations == fast.operations and slow.pruned == fast.pruned
+
+
 def test_validation_and_pruning_run(codes):
     store = CountStore(codes)
     h = HillClimb(store, "t", SearchConfig(max_iters=6, prune_min_edges_real=1, checkpoint_interval=2), screening.full_pools(list("tabc")), {}, "real")
