@@ -1,12 +1,12 @@
 """Self-join of documents on the Jaccard similarity of their word 5-gram sets, by chosen paths.
 
-A set walks down a tree whose nodes sample shared tokens: at a node, every set that holds the node's sampled token (the
-least shingle under the node's hash function, so equal for two sets with probability J) goes to the child of that token.
-The root samples ``ROOTS`` times, which stands for the repeated runs; deeper nodes sample once or, for one node in four,
-twice, so that a pair at the threshold has one shared child on average. A bucket whose sets hold at most
-``BLOCK_SHINGLES`` shingles together is compared by brute force; larger ones are split again, ``DEPTH`` levels at most,
-and what is then still large is compared block against block, in as many tasks. A pair at similarity 0.8 exactly is met
-with probability above 0.999 even if every bucket on its way is split to the end; similar pairs above it nearer to 1.
+A set takes ``ROOTS`` paths: under each of as many hash functions it goes to the bucket of its least shingle, which is
+equal for two sets with probability J. The paths end there: deeper levels lose pairs of large buckets, so no bucket is
+split by further tokens. A bucket whose sets weigh at most ``BLOCK_SHINGLES`` shingles together is compared by brute
+force; a larger one block against block, in as many tasks. Beyond ``PLAIN_BLOCKS`` blocks, sets are also told apart by
+size: sets of similarity 0.8 differ in size by a factor of at most 1.25, so they are in the same or in neighbouring bands
+of sizes, and other bands need not meet. All pairs of a bucket that can be similar are thus compared, and a pair is missed
+only if no path is shared: (1 - J) ** ROOTS, 3 in a million at similarity 0.8 exactly and fewer above it.
 
 Exact copies (equal shingle sets) are one class from the start and only its smallest doc_id walks. Buckets with the same
 members are compared once. A pair that meets in several buckets counts in the first, which each side can tell from its
@@ -21,10 +21,12 @@ count as one document that links with whatever any of its texts links with; othe
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, runs_of, short_batches, staged
@@ -34,14 +36,16 @@ from .textvec import Scan, mix
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 4, 5  # the threshold, 0.8
-ROOTS, DEPTH = 8, 3
-POOL = 12  # hash functions for each level below the root
-COORDS = ROOTS + POOL * (DEPTH - 1)
+ROOTS = 8
 BLOCK_SHINGLES = 400_000
+LEAST_WEIGHT = 200  # a set weighs as many shingles at least, which bounds the members of a block
+PLAIN_BLOCKS = 3
+BAND = 1.26  # ratio of sizes of a band: above DENOMINATOR / NUMERATOR, with room for rounding
+MANY = 1 << 20  # blocks of a band
 RUN_CHARS = 3_000_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_FACTORS = [np.uint64(x) for x in (np.random.default_rng(5).integers(1, 1 << 62, COORDS) * 2 + 1)]
+_FACTORS = [np.uint64(x) for x in (np.random.default_rng(5).integers(1, 1 << 62, ROOTS) * 2 + 1)]
 
 
 def shingle_sets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +89,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         for b in batches:
             texts = [x or "" for x in b.column("text").to_pylist()]
             n = len(texts)
-            key1, key2, size, sig = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int32), np.zeros((n, COORDS), np.int32)
+            key1, key2, size, sig = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int32), np.zeros((n, ROOTS), np.int32)
             for i, j in runs_of(texts, RUN_CHARS):
                 of, g = shingle_sets(texts[i:j])
                 if not len(g):
@@ -99,45 +103,33 @@ def signatures(docs: DataFrame) -> DataFrame:
                 for c, f in enumerate(_FACTORS):
                     sig[i + there, c] = (mix(np.minimum.reduceat(g * f, start)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             flat = pa.array(sig.reshape(-1), pa.int32())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * COORDS, pa.int32()), flat)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * ROOTS, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(key1.view(np.int64)), pa.array(key2.view(np.int64)), pa.array(size), lists], ["doc_id", "key1", "key2", "n_sh", "sig"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key1 long, key2 long, n_sh int, sig array<int>")
 
 
-def _children(rows: DataFrame, depth: int) -> DataFrame:
-    """rows: bucket, rep, n_sh, sig -> the rows of the level below, ``depth`` counting from 0 at the root."""
-    first = ROOTS + POOL * (depth - 1)
-    one = F.pmod(F.xxhash64("bucket", F.lit(depth)), F.lit(POOL))
-    step = 1 + F.pmod(F.xxhash64("bucket", F.lit(depth + 100)), F.lit(POOL - 1))
-    twice = F.pmod(F.xxhash64("bucket", F.lit(depth + 200)), F.lit(4)) == 0
-    picks = F.when(twice, F.array(one, F.pmod(one + step, F.lit(POOL)))).otherwise(F.array(one))
-    child = F.explode(F.transform(picks, lambda k: F.xxhash64("bucket", k, F.element_at("sig", (k + first + 1).cast("int")))))
-    return rows.select(child.alias("bucket"), "rep", "n_sh", "sig")
+def blocks_of(load: str, block: int) -> Column:
+    return F.ceil(F.col(load) / block).cast("int")
 
 
 def leaf_buckets(reps: DataFrame, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """reps: rep, n_sh, sig -> (bucket, rep, n_blocks) of buckets with two or more members, without repeated buckets."""
-    coords = F.posexplode(F.slice("sig", 1, ROOTS)).alias("k", "token")
-    rows = reps.select("rep", "n_sh", "sig", coords).select(F.xxhash64("k", "token", F.lit(0)).alias("bucket"), "rep", "n_sh", "sig")
-    leaves, members = None, None
-    for depth in range(DEPTH):
-        h = F.xxhash64("rep")
-        stats = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n_sh").cast("long")).alias("load"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where(F.col("n") > 1)
-        stats = staged(stats, f"buckets{depth}")
-        done = stats if depth == DEPTH - 1 else stats.where(F.col("load") <= block)
-        here = done.select("bucket", "n", "x", "y", F.ceil(F.col("load") / block).cast("int").alias("n_blocks"))
-        leaves = here if leaves is None else leaves.unionByName(here)
-        mine = rows.join(done.select("bucket"), "bucket", "left_semi").select("bucket", "rep")
-        members = mine if members is None else members.unionByName(mine)
-        if depth == DEPTH - 1:
-            break
-        large = stats.where(F.col("load") > block).select("bucket")
-        if large.isEmpty():
-            break
-        rows = staged(_children(rows.join(large, "bucket", "left_semi"), depth + 1), f"level{depth + 1}")
-    once = leaves.groupBy("n", "x", "y").agg(F.min(F.struct("bucket", "n_blocks")).alias("b")).select("b.bucket", "b.n_blocks")
-    return members.distinct().join(once, "bucket")
+    """reps: rep, n_sh, sig -> (bucket, rep, block, others) of buckets with two or more members, without repeated buckets.
+
+    others: the blocks of the bucket whose members can be similar, its own among them."""
+    rows = reps.select("rep", "n_sh", F.posexplode("sig").alias("k", "token")).select(F.xxhash64("k", "token", F.lit(0)).alias("bucket"), "rep", "n_sh")
+    weight = F.sum(F.greatest("n_sh", F.lit(LEAST_WEIGHT)).cast("long"))
+    stats = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), weight.alias("load"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where(F.col("n") > 1)
+    once = staged(stats.groupBy("n", "x", "y").agg(F.min(F.struct("bucket", "load")).alias("b")).select("b.bucket", blocks_of("b.load", block).alias("n_blocks")), "buckets")
+    members = rows.join(once, "bucket").withColumn("band", F.when(F.col("n_blocks") > PLAIN_BLOCKS, F.floor(F.log("n_sh") / math.log(BAND)).cast("int")).otherwise(0))
+    wide = rows.join(once.where(F.col("n_blocks") > PLAIN_BLOCKS).select("bucket"), "bucket").withColumn("band", F.floor(F.log("n_sh") / math.log(BAND)).cast("int"))
+    bands = wide.groupBy("bucket", "band").agg(weight.alias("load")).select("bucket", F.struct("band", blocks_of("load", block).alias("n")).alias("b"))
+    layout = bands.groupBy("bucket").agg(F.map_from_entries(F.collect_list("b")).alias("layout"))  # some dozens of bands at most
+    placed = members.join(layout, "bucket", "left").withColumn("layout", F.coalesce("layout", F.create_map(F.lit(0), F.col("n_blocks"))))
+    own = F.col("band") * MANY + F.pmod(F.xxhash64("rep", "bucket"), F.try_element_at("layout", F.col("band"))).cast("int")
+    near = F.filter(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1), lambda b: F.map_contains_key("layout", b))
+    others = F.flatten(F.transform(near, lambda b: F.transform(F.sequence(F.lit(0), F.try_element_at("layout", b) - 1), lambda k: b * MANY + k)))
+    return placed.select("bucket", "rep", own.alias("block"), others.alias("others"))
 
 
 LINKS = "doc long, links long, root long"
@@ -247,9 +239,9 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK_SHINGLES) -> DataFrame:
     has = F.col("doc_id").isNotNull() & (F.col("n_sh") > 0)
     reps = staged(sigs.where(has).groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("n_sh").alias("n_sh"), F.first("sig").alias("sig")), "classes")
     leaves = staged(leaf_buckets(reps.select("rep", "n_sh", "sig"), block), "leaves")
-    lists = leaves.groupBy("rep").agg(F.collect_list("bucket").alias("buckets"))  # bounded by ROOTS * 2 ** (DEPTH - 1)
+    lists = leaves.groupBy("rep").agg(F.collect_list("bucket").alias("buckets"))  # bounded by ROOTS
     copies = reps.groupBy("rep").agg(F.sum("n_copies").alias("n_copies"))
-    sides = leaves.withColumn("block", F.pmod(F.xxhash64("rep", "bucket"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    sides = leaves.withColumn("other", F.explode("others"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(lists.join(copies, "rep"), "rep")
     i, j = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     members = sides.join(texts, "rep").select("bucket", i, j, "block", "rep", "n_copies", "buckets", "text")

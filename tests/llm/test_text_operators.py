@@ -289,6 +289,37 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(got[i]["kept"] for i in (0, 1, 2)) and got[5]["class_id"] == 3
 
 
+def test_no_link_is_lost_in_large_buckets(spark):
+    r = random.Random(11)
+    word = lambda: "w%d" % r.randrange(5000)
+    texts = []
+    for size in (100, 112, 90):  # one near-copy group of three sizes
+        base = [word() for _ in range(size)] if not texts else [*texts[0].split(), *(word() for _ in range(20))][:size]
+        for _ in range(40):
+            c = list(base)
+            for _ in range(2):
+                c[r.randrange(len(c))] = word()
+            texts.append(" ".join(c))
+    passage = " ".join(word() for _ in range(30))
+    texts += [passage + " " + " ".join(word() for _ in range(r.randint(5, 90))) for _ in range(40)]
+    want = brute_links(texts)
+    for block in (6000,):
+        got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in jaccard.near_duplicates(docs_frame(spark, texts), block).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_miss_rate_of_the_paths():
+    n, size, common = 40_000, 90, 80  # similarity 0.8
+    rng = np.random.default_rng(3)
+    g = rng.integers(0, 1 << 64, (n, size + size - common), dtype=np.uint64)
+    shared = np.zeros(n, bool)
+    for f in jaccard._FACTORS:
+        h = g * f
+        both = h[:, :common].min(1)
+        shared |= (both < h[:, common:size].min(1)) & (both < h[:, size:].min(1))
+    assert (~shared).mean() < 5e-5
+
+
 def test_near_duplicates_on_awkward_tables(spark):
     same = "a b c d e f g h"
     df = docs_frame(spark, [same, same, same, "q r s t u v"], [None, 3, 3, 9])
