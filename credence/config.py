@@ -28,7 +28,7 @@ class ScreenerConfig:
     use_bundles: bool = True
     strategy: str = "neural"  # or mi_filter, hybrid_mi_neural
     mi_prefilter_size: int = 5
-    max_rows: int = 200_000  # rows that the neural screener trains on; beyond it a hash sample
+    max_rows: int = 200_000  # rows that the neural screener trains on; beyond it a sample
 
 
 @dataclass(frozen=True)

@@ -4,8 +4,8 @@ Every head sees all columns but its own. The influence of a source on a target i
 proportion, when the source's inputs are blanked; a pair's synergy is what blanking both adds to blanking either. Rounds
 are tasks of a grouped map; their results are tables that the screening step aggregates in SQL.
 
-The rounds train on at most about ``max_rows`` rows of the table (a hash sample beyond that), since each round holds its
-rows in one task.
+The rounds train on at most ``max_rows`` rows of the table, since each round holds its rows in one task. Beyond that, equal
+rows are counted and each count is drawn down in proportion, so that frequencies are kept.
 """
 
 from __future__ import annotations
@@ -149,6 +149,14 @@ def run_round(x: np.ndarray, ys: list[np.ndarray], blocks: list[slice], sizes: l
     return pd.DataFrame(rows, columns=["boot", "target", "s1", "s2", "score"])
 
 
+def sample_rows(rows: DataFrame, share: float, seed: int) -> DataFrame:
+    """``share`` of the rows, in expectation: of n equal ones n * share, rounded up or down by a draw."""
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    draw = F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 30)) / F.lit(1 << 30)
+    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_n", F.floor(F.col("_n") * share + draw).cast("int"))
+    return counted.where(F.col("_n") > 0).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*columns)
+
+
 def neural_edges(encoder, table: DataFrame, config, allowed: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
     """(target, source, score) and (target, s1, s2, score), a row for each round."""
     profiles = encoder.profiles
@@ -162,13 +170,15 @@ def neural_edges(encoder, table: DataFrame, config, allowed: dict[str, list[str]
     rows = encoder.encoded(table)
     total = rows.count()
     if total > config.max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("features"), F.lit(1 << 30)) < int((1 << 30) * config.max_rows / total))
+        rows = sample_rows(rows, config.max_rows / total, config.seed)
     rounds = rows.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(max(config.bootstraps, 1) - 1))))
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(names, kind="stable")  # rows come in any order
         x = np.stack(pdf["features"].to_list()).astype(float)
         pdf = pdf.iloc[np.lexsort(x.T[::-1])]
+        if len(pdf) > config.max_rows:
+            pdf = pdf.iloc[np.sort(np.random.default_rng(config.seed).choice(len(pdf), config.max_rows, replace=False))]
         x = np.stack(pdf["features"].to_list()).astype(float)
         ys = [x[:, b.start] if s == 0 else pdf[n].to_numpy() for n, b, s in zip(names, blocks, sizes)]
         return run_round(x, ys, blocks, sizes, names, config, int(key[0]), allowed)
