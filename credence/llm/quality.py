@@ -19,6 +19,8 @@ without positives every score is 0.5; very long texts are scanned whole; other c
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, runs_of, short_batches
-from .langid import fold, hash_sample
+from .langid import fold, hash_sample, lower_table
 from .textvec import BREAK, LETTER, NUMBER, PUNCT, SPACE, Scan, mix
 
 POSITIVES = 12_000
@@ -36,6 +38,16 @@ RUN_CHARS = 3_000_000
 SIGNS = "!?.,;:|#*&%$@/\\_-=+<>{}[]()'\"~^`"
 
 
+@functools.cache
+def upper_case() -> np.ndarray:
+    """Whether each code point is an upper-case one."""
+    out = np.zeros(0x110000, bool)
+    for cp in range(0x20000):
+        x = chr(cp)
+        out[cp] = x.upper() == x != x.lower()
+    return out
+
+
 def _per(of: np.ndarray, weights, n: int) -> np.ndarray:
     return np.bincount(of, weights, n).astype(np.float64) if len(of) else np.zeros(n)
 
@@ -66,9 +78,7 @@ def _features(texts: list[str]) -> np.ndarray:
     doc = np.repeat(np.arange(n), s.last - s.first + 1)
     chars = (s.last - s.first).astype(float)
     some = np.maximum(chars, 1)
-    upper = np.frombuffer(s.joined.upper().encode("utf-32-le"), np.uint32) if len(s.joined.upper()) == len(s.joined) else cp
-    lower = np.frombuffer(s.joined.lower().encode("utf-32-le"), np.uint32) if len(s.joined.lower()) == len(s.joined) else cp
-    is_upper = (upper == cp) & (lower != cp)
+    lower, is_upper = lower_table()[cp], upper_case()[cp]
     cols = [np.log1p(chars)]
     by_class = np.bincount(doc * 8 + c, minlength=8 * n).reshape(n, 8)
     cols += [by_class[:, k] / some for k in (PUNCT, LETTER, NUMBER, SPACE)]
