@@ -1,8 +1,10 @@
 """Mixed-type tables to integer codes: typing, imputation, categories, supervised bins.
 
 Fitting takes three aggregations over the table whatever its width: medians, then moments and distinct categories, then
-the histogram of values by class. The bins are grown on the driver from that histogram, which is first reduced to
-``MAX_VALUES`` quantile values where a column has more distinct ones. Transforming is a projection.
+the histogram of values by class. The bins are grown on the driver from that histogram. Where a column has more than about
+``MAX_VALUES`` distinct values its histogram stays in Spark, in cells between ``CELLS`` quantiles: every split is looked for
+on all values of all cells, and only the best one of each cell comes back. Thresholds are the same either way. Transforming
+is a projection.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.base import Estimator, Model
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +22,7 @@ from pyspark.sql import types as T
 from ..functions.columns import as_category, digitize
 
 MAX_VALUES = 10_000
+CELLS = 200
 MAX_CATEGORIES = 100_000
 
 
@@ -57,6 +61,15 @@ def _entropy(counts: np.ndarray) -> np.ndarray:
     return -(p * np.log2(np.where(p > 0, p, 1))).sum(-1)
 
 
+def split_gain(left: np.ndarray, whole: np.ndarray, total: float, min_leaf: int) -> np.ndarray:
+    """What splits lower the entropy by, -1 where a side is too small. left: classes left of each split; whole: of the leaf."""
+    right = whole - left
+    nl, nr = left.sum(1), right.sum(1)
+    gain = (whole.sum() * _entropy(whole) - nl * _entropy(left) - nr * _entropy(right)) / total
+    gain[(nl < min_leaf) | (nr < min_leaf)] = -1
+    return gain
+
+
 def entropy_bins(values: np.ndarray, counts: np.ndarray, n_bins: int, min_leaf: int, compat_drop_low: bool = False) -> list[float]:
     """Thresholds of the tree that always splits the leaf whose split lowers the entropy most, until it has ``n_bins``
     leaves. values: sorted; counts: values by classes."""
@@ -66,11 +79,7 @@ def entropy_bins(values: np.ndarray, counts: np.ndarray, n_bins: int, min_leaf:
         c = counts[lo:hi]
         if len(c) < 2:
             return None
-        left = np.cumsum(c, 0)[:-1]
-        right = c.sum(0) - left
-        nl, nr = left.sum(1), right.sum(1)
-        gain = (c.sum() * _entropy(c.sum(0)) - nl * _entropy(left) - nr * _entropy(right)) / total
-        gain[(nl < min_leaf) | (nr < min_leaf)] = -1
+        gain = split_gain(np.cumsum(c, 0)[:-1], c.sum(0), total, min_leaf)
         k = int(gain.argmax())
         return (float(gain[k]), lo + k) if gain[k] > 1e-12 else None
 
@@ -90,13 +99,73 @@ def entropy_bins(values: np.ndarray, counts: np.ndarray, n_bins: int, min_leaf:
     return [c for i, c in enumerate(cuts) if i == 0 or c - cuts[i - 1] > 1e-9]
 
 
+def least_leaf(n: int, n_bins: int, min_samples: int) -> int:
+    return max(2, min(min_samples, max(2, n // max(n_bins, 2))))
+
+
+def entropy_bins_in_cells(hist: DataFrame, n_bins: int, min_samples: int) -> dict[int, list[float]]:
+    """``entropy_bins`` of each column i, on a histogram (i, cell, x, y, n) that stays in Spark."""
+    cells = hist.groupBy("i", "cell", "y").agg(F.sum("n").alias("n"), F.min("x").alias("x")).toPandas()
+    classes = {y: k for k, y in enumerate(sorted(cells["y"].unique()))}
+    before, first, total, least, new = {}, {}, {}, {}, {}
+    for i, own in cells.groupby("i"):
+        counts = own.pivot_table(index="cell", columns="y", values="n", aggfunc="sum", fill_value=0).reindex(columns=list(classes), fill_value=0).sort_index()
+        sums = np.cumsum(counts.to_numpy(float), 0)
+        before[i] = dict(zip(counts.index, sums - counts.to_numpy(float)))
+        first[i] = own.groupby("cell")["x"].min().sort_index()
+        total[i], least[i] = sums[-1].sum(), least_leaf(int(sums[-1].sum()), n_bins, min_samples)
+        new[i] = [(-math.inf, math.inf, np.zeros(len(classes)), sums[-1])]  # from, to (inclusive), classes before, classes inside
+
+    def search(leaves):
+        def one(key, pdf):
+            i, cell = key
+            x, at = np.unique(pdf["x"].to_numpy(float), return_inverse=True)
+            counts = np.zeros((len(x), len(classes)))
+            np.add.at(counts, (at, pdf["y"].map(classes).to_numpy()), pdf["n"].to_numpy(float))
+            out = []
+            for k, (lo, hi, base, whole) in enumerate(leaves.get(i, [])):
+                inside = np.flatnonzero(((x > lo) | np.isneginf(lo)) & (x <= hi))
+                if not len(inside):
+                    continue
+                left = np.maximum(before[i][cell] - base, 0) + np.cumsum(counts[inside], 0)
+                gain = split_gain(left, whole, total[i], least[i])
+                b = int(gain.argmax())
+                if gain[b] > 1e-12:
+                    after = inside[b] + 1
+                    out.append((i, k, cell, gain[b], x[inside[b]], x[after] if after < len(x) else None, left[b].tolist()))
+            return pd.DataFrame(out, columns=["i", "leaf", "cell", "gain", "x", "next", "left"])
+
+        rows = hist.groupBy("i", "cell").applyInPandas(one, "i int, leaf int, cell int, gain double, x double, next double, left array<double>").collect()
+        best = {}
+        for r in sorted(rows, key=lambda r: (-r["gain"], r["x"])):
+            best.setdefault((r["i"], r["leaf"]), r)
+        return best
+
+    done, cuts = {i: [] for i in new}, {i: [] for i in new}
+    while any(new.values()):
+        best = search(new)
+        for i, leaves in new.items():
+            done[i] += [(best[i, k], leaf) for k, leaf in enumerate(leaves) if (i, k) in best]
+            new[i] = []
+            if not done[i] or len(cuts[i]) + 1 >= n_bins:
+                continue
+            r, (lo, hi, base, whole) = pick = max(done[i], key=lambda s: (s[0]["gain"], -s[1][0]))
+            done[i] = [s for s in done[i] if s is not pick]
+            left = np.array(r["left"])
+            follow = r["next"] if r["next"] is not None else float(first[i][first[i].index > r["cell"]].iloc[0])
+            cuts[i].append((r["x"] + follow) / 2)
+            if len(cuts[i]) + 1 < n_bins:
+                new[i] = [(lo, r["x"], base, left), (r["x"], hi, base + left, whole - left)]
+    return {i: [c for k, c in enumerate(sorted(v)) if k == 0 or c - sorted(v)[k - 1] > 1e-9] for i, v in cuts.items()}
+
+
 def supervised_bins(values: np.ndarray, counts: np.ndarray, n_bins: int, min_samples: int) -> list[float]:
     if len(values) <= 1:
         return []
     if len(values) <= n_bins:
         return midpoints(values)
     n = int(counts.sum())
-    return entropy_bins(values, counts, n_bins, max(2, min(min_samples, max(2, n // max(n_bins, 2)))))
+    return entropy_bins(values, counts, n_bins, least_leaf(n, n_bins, min_samples))
 
 
 class TableEncoder(Estimator):
@@ -138,18 +207,23 @@ class TableEncoder(Estimator):
     def _bins(self, df: DataFrame, numbers: list[ColumnProfile], filled: dict[str, Column], types: dict[str, str]) -> None:
         label = as_category(F.col(f"`{self.target}`"), types[self.target])
         wide = df.agg(*[F.approx_count_distinct(filled[p.name]).alias(str(i)) for i, p in enumerate(numbers)]).first()
-        value = dict(filled)
-        over = [p for i, p in enumerate(numbers) if wide[i] > MAX_VALUES]
+        over = [i for i in range(len(numbers)) if wide[i] > MAX_VALUES]
+        item = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), filled[p.name].alias("x")) for i, p in enumerate(numbers)]))
+        counts = df.select(label.alias("y"), item.alias("v")).groupBy("v.i", "v.x", "y").agg(F.count(F.lit(1)).alias("n"))
         if over:
-            steps = [k / MAX_VALUES for k in range(1, MAX_VALUES, 10)]
-            grid = df.agg(*[F.percentile_approx(filled[p.name], steps, MAX_VALUES).alias(str(i)) for i, p in enumerate(over)]).first()
-            for i, p in enumerate(over):
-                cuts = sorted(set(grid[i]))
-                value[p.name] = F.element_at(F.lit([-math.inf, *cuts]), digitize(filled[p.name], cuts) + 1)
-        item = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), value[p.name].alias("x")) for i, p in enumerate(numbers)]))
-        hist = df.select(label.alias("y"), item.alias("v")).groupBy("v.i", "v.x", "y").agg(F.count(F.lit(1)).alias("n")).toPandas()
+            grid = df.agg(*[F.percentile_approx(filled[numbers[i].name], [k / CELLS for k in range(1, CELLS)], MAX_VALUES).alias(str(i)) for i in over]).first()
+            cell = F.lit(0)
+            for i in over:
+                cell = F.when(F.col("i") == i, digitize(F.col("x"), sorted(set(grid[str(i)])))).otherwise(cell)
+            hist = counts.where(F.col("i").isin(over)).withColumn("cell", cell).persist()
+            for i, cuts in entropy_bins_in_cells(hist, self.n_bins, self.min_samples).items():
+                numbers[i].thresholds = cuts
+            hist.unpersist()
+        few = counts.where(~F.col("i").isin(over)).toPandas()
         for i, p in enumerate(numbers):
-            own = hist[hist["i"] == i]
+            if i in over:
+                continue
+            own = few[few["i"] == i]
             table = own.pivot_table(index="x", columns="y", values="n", aggfunc="sum", fill_value=0).sort_index()
             p.thresholds = supervised_bins(table.index.to_numpy(float), table.to_numpy(float), self.n_bins, self.min_samples)
 
