@@ -2,8 +2,9 @@
 
 1. language (language identification): texts without letters, or of which no language has half of the letters, go; a
    missing ``lang`` is filled with the language found.
-2. quality (positive-unlabelled classifier): documents that score below 0.7 go.
-3. near_duplicates (chosen-path join at Jaccard 0.8 on word 5-grams): of each class the smallest doc_id stays, once.
+2. quality (positive-unlabelled learning): documents that score below 0.7 go.
+3. near_duplicates (chosen-path join at Jaccard 0.8 on word 5-grams): of each class one document stays, that of the smallest
+   doc_id; different texts under one doc_id are documents of their own, equal rows are one.
 4. secrets (rules and randomness tests): every secret found is replaced by ``[SECRET]``; ``n_chars`` follows.
 5. packing (grouping genetic algorithm): the pieces of all remaining documents, with sequence and offset.
 
@@ -46,11 +47,16 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plain = _plain(docs)
-    gone = jaccard.near_duplicates(plain.select("doc_id", "text")).where(~F.col("kept")).select("doc_id").distinct()
-    named = plain.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[F.col(c).cast("string") for c in plain.columns if c not in ("doc_id", "text")]))
-    once = named.withColumn("_row", first).where(F.col("_row") == 1)
-    return once.select(*plain.columns).unionByName(plain.where(F.col("doc_id").isNull())).toDF(*docs.columns)
+    key = ["doc_id", "_mark"]
+    decided = jaccard.near_duplicates(plain.select("doc_id", "text")).where(F.col("doc_id").isNotNull())
+    rows = decided.groupBy("doc_id", F.col("mark").alias("_mark")).agg(F.bool_and("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
+    special = staged(rows.where(~F.col("_kept") | (F.col("_n") > 1)), "decided")  # the others stay as they are
+    marked = plain.withColumn("_mark", F.xxhash64("text"))
+    single = marked.join(special.select(*key), key, "left_anti")
+    repeated = marked.join(special.where("_kept").select(*key), key, "left_semi")
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(*[F.col(c).cast("string") for c in plain.columns if c not in ("doc_id", "text")]))
+    once = repeated.withColumn("_row", first).where(F.col("_row") == 1)
+    return single.select(*plain.columns).unionByName(once.select(*plain.columns)).toDF(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
