@@ -4,14 +4,15 @@ Documents are cut into pieces of the sequence length (only the last may be short
 own. The rest is dealt into shards of about ``SHARD_PIECES`` pieces, each evolved on several islands, every island a task
 of its own:
 
-* a chromosome is a list of bins (a bin is a list of piece lengths: pieces of one length are interchangeable);
+* a chromosome is a list of bins (a bin is a list of piece lengths: pieces of one length are interchangeable); the first
+  ones are pieces best-fitted in random order;
 * crossover injects whole well-filled bins of one parent into another, removes the bins that now hold pieces twice, and
   best-fits the displaced pieces;
 * after each epoch an island sends its elite to the next one.
 
 An island whose best chromosome reaches ceil(tokens / capacity) bins, which no packing can beat, stops early. What the
-shards leave in badly filled bins is dealt again to fewer shards and packed once more, so the waste does not grow with
-the number of shards.
+shards leave in badly filled bins is dealt again to fewer shards and packed once more, until one shard is left, so the
+waste does not grow with the number of shards.
 
 Edge cases: null and empty texts are one piece holding the end id; an empty table gives no rows; rows that repeat a
 doc_id are packed as documents of their own; other columns are ignored.
@@ -34,8 +35,10 @@ from .common import documents, short_batches, staged
 
 CAPACITY = 4096
 END_ID = 1
-SHARD_PIECES = 16_384
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 4, 4
+SHARD_PIECES = 4_096
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 3, 6, 6
+MOST_TASKS = 10_000  # of an epoch; beyond it, tasks hold several islands
+GOOD = 0.998  # filling from which a bin is not packed again
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -87,6 +90,8 @@ def fitness(bins: list[list[int]], capacity: int) -> tuple[int, float]:
 
 
 def crossover(a: list[list[int]], b: list[list[int]], lengths: np.ndarray, capacity: int, rng: random.Random) -> list[list[int]]:
+    """Well-filled bins of ``a`` are injected whole; of ``b`` those bins follow, the fullest first, that hold no piece twice;
+    the pieces of the others are displaced and best-fitted, long ones first."""
     filled = sorted(a, key=sum, reverse=True)
     top = filled[: max(1, len(filled) * 2 // 3)]
     inject = [x for x in top if rng.random() < 0.7] or top[:1]
@@ -94,7 +99,7 @@ def crossover(a: list[list[int]], b: list[list[int]], lengths: np.ndarray, capac
     for x in inject:
         for v in x:
             left[v] -= 1
-    kept = inject
+    kept = list(inject)
     for x in sorted(b, key=sum, reverse=True):
         for k, v in enumerate(x):
             left[v] -= 1
@@ -103,31 +108,58 @@ def crossover(a: list[list[int]], b: list[list[int]], lengths: np.ndarray, capac
                     left[w] += 1
                 break
         else:
-            kept = [*kept, x] if kept is inject else (kept.append(x) or kept)
-    displaced = [v for v in range(capacity, 0, -1) for _ in range(left[v])]
-    return best_fit(displaced, kept, capacity)
+            kept.append(x)
+    return best_fit(_down(left), kept, capacity)
+
+
+def _down(left: list[int]) -> list[int]:
+    return [v for v in range(len(left) - 1, 0, -1) if left[v] for _ in range(left[v])]
+
+
+def mutate(bins: list[list[int]], capacity: int, rng: random.Random) -> list[list[int]]:
+    """Empty the worst filled bin and a few others, and best-fit their pieces, long ones first or in any order."""
+    order = sorted(range(len(bins)), key=lambda i: sum(bins[i]))
+    gone = {order[0], *rng.sample(range(len(bins)), min(len(bins), 1 + len(bins) // 20))}
+    displaced = sorted((v for i in gone for v in bins[i]), reverse=True)
+    if rng.random() < 0.5:
+        rng.shuffle(displaced)
+    return best_fit(displaced, [x for i, x in enumerate(bins) if i not in gone], capacity)
 
 
 def start_population(lengths: np.ndarray, capacity: int, size: int, rng: random.Random) -> list[list[list[int]]]:
-    order = sorted(lengths.tolist(), reverse=True)
-    out = [best_fit(order, [], capacity)]
-    bound = -(-sum(order) // capacity)
-    while len(out) < size and len(out[0]) > bound:
-        noisy = sorted(order, key=lambda v: v * rng.uniform(0.8, 1.25), reverse=True)
-        out.append(best_fit(noisy, [], capacity))
+    """Chromosomes of pieces that were best-fitted in random order."""
+    out = []
+    for _ in range(size):
+        order = lengths.tolist()
+        rng.shuffle(order)
+        out.append(best_fit(order, [], capacity))
     return out
 
 
 def evolve(population: list, lengths: np.ndarray, capacity: int, generations: int, rng: random.Random) -> list:
+    """Each generation: as many children as the population has, of random parents, of which the better half is likelier;
+    some are mutated; the best of old and new live on."""
     bound = -(-int(lengths.sum()) // capacity)
     size = len(population)
+    rank = lambda c: fitness(c, capacity)
+    population = sorted(population, key=rank, reverse=True)
     for _ in range(generations):
-        population.sort(key=lambda c: fitness(c, capacity), reverse=True)
         if len(population[0]) <= bound or size < 2:
             break
-        a, b = population[0], population[rng.randrange(1, size)]
-        children = [crossover(a, b, lengths, capacity, rng), crossover(b, a, lengths, capacity, rng)]
-        population = sorted(population + children, key=lambda c: fitness(c, capacity), reverse=True)[:size]
+        children = []
+        for _ in range(size):
+            i, j = min(rng.randrange(size), rng.randrange(size)), rng.randrange(size - 1)
+            child = crossover(population[i], population[j + (j >= i)], lengths, capacity, rng)
+            if len(child) > bound and rng.random() < 0.5:
+                child = min(child, mutate(child, capacity, rng), key=len)
+            children.append(child)
+            if len(child) <= bound:
+                break
+        best: dict[tuple, list] = {}
+        for c in population + children:
+            best.setdefault(rank(c), c)  # no two of the same worth
+        ranked = [best[f] for f in sorted(best, reverse=True)]
+        population = (ranked + population)[:size]
     return population
 
 
@@ -141,8 +173,9 @@ def from_genes(genes: bytes) -> list[list[int]]:
     return [x.tolist() for x in np.split(v, ends + 1)[:-1] for x in [x[:-1]]]
 
 
-def _islands(items: DataFrame, capacity: int, seed: int) -> DataFrame:
-    """(shard, genes): the best chromosome of each shard. items: shard int, length long."""
+def _islands(items: DataFrame, shards: int, capacity: int, seed: int) -> DataFrame:
+    """(shard, genes): the best chromosome of each shard. items: shard int, length long. The rows are few and short but the
+    work on them is not, so they are dealt to a task for each island rather than by their bytes."""
     counts = items.groupBy("shard", "length").agg(F.count(F.lit(1)).alias("n"))
     per_shard = counts.groupBy("shard").agg(F.collect_list(F.struct("length", "n")).alias("hist"))  # at most ``capacity`` entries
     state = per_shard.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.to_json("hist").alias("hist"), F.lit(None).cast("binary").alias("genes"))
@@ -166,7 +199,7 @@ def _islands(items: DataFrame, capacity: int, seed: int) -> DataFrame:
         return lambda key, pdf: epoch(key, pdf, number)
 
     for number in range(EPOCHS):
-        state = state.groupBy("shard", "island").applyInPandas(numbered(number), schema)
+        state = state.repartition(min(shards * ISLANDS, MOST_TASKS), "shard", "island").groupBy("shard", "island").applyInPandas(numbered(number), schema)
     bins = F.expr("length(genes)")  # fewer bins mean fewer separators: the pieces are the same
     return state.groupBy("shard").agg(F.min_by("genes", F.struct(bins, "island", "genes")).alias("genes"))
 
@@ -199,26 +232,20 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_P
     """items: the columns of PIECES; result: those, sequence_id and offset. ``items`` is read several times: stage it."""
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
     full = items.where(F.col("length") >= capacity).select(*cols, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = items.where(F.col("length") < capacity)
-    n = rest.count()
-    done = []
-    for level in (0, 1):
-        shards = max(1, -(-n // shard_pieces))
-        rest = rest.select(*cols, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(shards)).cast("int").alias("shard"))
-        placed = staged(_assign(rest, _islands(rest, capacity, seed + level)), f"packed{level}")
-        sequence = -(F.lit(1 + level).cast("long") * (1 << 61) + F.col("shard").cast("long") * (1 << 28) + F.col("bin"))
-        good = F.col("fill") >= int(capacity * 0.998)
-        last = level == 1 or shards == 1
-        done.append((placed if last else placed.where(good)).select(*cols, sequence.alias("sequence_id"), "offset"))
-        if last:
-            break
-        rest = placed.where(~good).select(*cols)
-        n = rest.count()
-        if not n:
-            break
-    out = full
-    for d in done:
-        out = out.unionByName(d)
+    rest = items.where(F.col("length") < capacity).select(*cols)
+    n, level, out = rest.count(), 0, full
+    while n:
+        shards = -(-n // shard_pieces)
+        rest = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(shards)).cast("int"))
+        placed = staged(_assign(rest, _islands(rest, shards, capacity, seed + level)), f"packed{level}")
+        sequence = -(F.lit(1 + level).cast("long") * (1 << 56) + F.col("shard").cast("long") * (1 << 28) + F.col("bin"))
+        good = F.col("fill") >= int(capacity * GOOD)
+        before, n = n, 0
+        if shards > 1:
+            n = placed.where(~good).count()
+        last = 2 * n > before or not n  # nothing is left to pack better, or it does not get less
+        out = out.unionByName((placed if last else placed.where(good)).select(*cols, sequence.alias("sequence_id"), "offset"))
+        rest, level, n = placed.where(~good).select(*cols), level + 1, 0 if last else n
     return out
 
 

@@ -141,6 +141,59 @@ def test_pack_documents(spark):
     assert packing.pack(cut.limit(0)).count() == 0
 
 
+def test_repeated_ids_are_packed_apart(spark):
+    out = packing.pack(packing.pieces(docs_frame(spark, ["same text", "same text", "other text", None], [4, 4, 4, None]), WORD)).toPandas()
+    check_packing(out, 4096)
+    assert len(out) == 4 and out["sequence_id"].nunique() == 1
+
+
+def fewest_bins(sizes, capacity):
+    """The optimum, by trying every place for each piece, long ones first."""
+    sizes, best = sorted(sizes, reverse=True), [len(sizes)]
+
+    def place(k, room):
+        if len(room) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(room)
+            return
+        for i in {r: i for i, r in enumerate(room)}.values():
+            if room[i] >= sizes[k]:
+                place(k + 1, [*room[:i], room[i] - sizes[k], *room[i + 1 :]])
+        place(k + 1, [*room, capacity - sizes[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_evolution_equals_the_optimum_on_small_sets_and_beats_best_fit():
+    r = random.Random(3)
+    beaten = 0
+    for k in range(12):
+        items = [x for _ in range(4) for a in [r.randint(34, 45)] for x in (a, 30, 70 - a)] if k % 2 else [r.randint(15, 60) for _ in range(11)]
+        lengths, want = np.array(items), fewest_bins(items, 100)
+        plain = len(packing.best_fit(sorted(items, reverse=True), [], 100))
+        got = packing.evolve(packing.start_population(lengths, 100, 8, r), lengths, 100, 60, r)[0]
+        assert len(got) == want <= plain and sorted(v for b in got for v in b) == sorted(items)
+        beaten += want < plain
+    for seed in range(3):  # three pieces fill a bin exactly
+        r = random.Random(seed)
+        items = [x for _ in range(30) for a in [r.randint(380, 490)] for b in [r.randint(250, 750 - a)] for x in (a, b, 1000 - a - b)]
+        plain = len(packing.best_fit(sorted(items, reverse=True), [], 1000))
+        rng = random.Random(2)
+        got = packing.evolve(packing.start_population(np.array(items), 1000, 20, rng), np.array(items), 1000, 80, rng)[0]
+        assert 30 <= len(got) <= plain - 2
+
+
+def test_islands_beat_best_fit_in_a_whole_run(spark):
+    r = random.Random(1)
+    items = [x for _ in range(60) for a in [r.randint(1560, 2000)] for b in [r.randint(1024, 3072 - a)] for x in (a, b, 4096 - a - b)]
+    df = spark.createDataFrame([(i, 0, 0, x, i) for i, x in enumerate(items)], packing.PIECES)
+    out = packing.pack(df).toPandas()
+    check_packing(out, 4096)
+    assert 60 <= out["sequence_id"].nunique() < len(packing.best_fit(sorted(items, reverse=True), [], 4096))
+
+
 def test_crossover_keeps_every_piece_and_capacity():
     rng = random.Random(3)
     lengths = np.sort(np.array([rng.randint(1, 60) for _ in range(200)]))
