@@ -5,6 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 
+#: The defaults of all settings, which results depend on, and the named variations below.
+
+
 @dataclass(frozen=True)
 class ScreenerConfig:
     hidden: int = 64
@@ -28,7 +31,7 @@ class ScreenerConfig:
     use_bundles: bool = True
     strategy: str = "neural"  # or mi_filter, hybrid_mi_neural
     mi_prefilter_size: int = 5
-    max_rows: int = 200_000  # rows that the neural screener trains on; beyond it a sample
+    max_rows: int = 200_000  # rows of a task of the neural screener; beyond it, rows are dealt into blocks
 
 
 @dataclass(frozen=True)

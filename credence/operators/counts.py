@@ -17,6 +17,9 @@ from ..functions.columns import flat_index
 Family = tuple[str, tuple[str, ...]]
 #: Families counted in one job; more would widen the plan beyond use.
 CHUNK = 100
+#: Numbers of a collapsed table that are brought to the driver, and cells of one family's counts there.
+LOCAL_NUMBERS = 10_000_000
+MOST_CELLS = 50_000_000
 
 
 def collapse(codes: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -58,6 +61,7 @@ class CountStore:
         self.cards = cards or cardinalities(self.collapsed, self.columns)
         self.counts: dict[Family, np.ndarray] = {}
         self.local: dict[str, np.ndarray] | None = None
+        local_rows = min(local_rows, LOCAL_NUMBERS // (len(self.columns) + 1))
         got = self.collapsed.limit(local_rows + 1).toPandas()
         if len(got) <= local_rows:
             self.local = {c: got[c].to_numpy(np.int64) for c in self.columns}
@@ -80,6 +84,10 @@ class CountStore:
     def ensure(self, families) -> None:
         """Count those of the families that are not known yet."""
         new = [f for f in dict.fromkeys(families) if f not in self.counts]
+        for f in new:
+            q, r = self.shape(f)
+            if q * r > MOST_CELLS:
+                raise ValueError(f"the table of {f[0]} given {', '.join(f[1])} would have {q * r} cells: fewer parents or fewer bins are needed")
         if self.local is not None:
             for node, parents in new:
                 q, r = self.shape((node, parents))

@@ -100,15 +100,22 @@ def brier(rows: DataFrame, classes: int, y: str = "y", p: str = "probabilities",
     return rows.agg(_mean(each, w).alias("brier"))
 
 
+BANDS = 4096  # bands of scores between 0 and 1
+
+
 def auc_by_class(rows: DataFrame, classes: int, y: str = "y", p: str = "probabilities", w: str | None = None) -> DataFrame:
     """k, auc (null if a side is missing): class k against the rest, by mid-ranks of distinct scores.
 
-    Scores are grouped first; the running sum needs an order within each class, over distinct scores."""
+    Equal scores are grouped first. The rows below a score are those of the bands of scores below its own, of which a class
+    has ``BANDS`` at most, and those below it in its band, so no task sorts more than a band."""
     pairs = rows.select(F.posexplode(F.slice(F.col(p), 1, classes)).alias("k", "s"), F.col(y).alias("y"), _weight(w).alias("w"))
     g = pairs.groupBy("k", "s").agg(F.sum("w").alias("n"), F.sum(F.when(F.col("y") == F.col("k"), F.col("w")).otherwise(0)).alias("pos"))
-    lower = Window.partitionBy("k").orderBy("s")
-    below = F.coalesce(F.sum("n").over(lower.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = g.withColumn("rank", below + (F.col("n") + 1) / 2)
+    g = g.withColumn("band", F.floor(F.col("s") * BANDS))
+    earlier = lambda *keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    bands = g.groupBy("k", "band").agg(F.sum("n").alias("in_band"))
+    bands = bands.select("k", "band", F.coalesce(F.sum("in_band").over(earlier("k", by="band")), F.lit(0)).alias("before"))
+    below = F.col("before") + F.coalesce(F.sum("n").over(earlier("k", "band", by="s")), F.lit(0))
+    r = g.join(bands, ["k", "band"]).withColumn("rank", below + (F.col("n") + 1) / 2)
     a = r.groupBy("k").agg(F.sum(F.col("rank") * F.col("pos")).alias("ranks"), F.sum("pos").alias("np"), F.sum(F.col("n") - F.col("pos")).alias("nn"))
     return a.select("k", F.when((F.col("np") > 0) & (F.col("nn") > 0), (F.col("ranks") - F.col("np") * (F.col("np") + 1) / 2) / (F.col("np") * F.col("nn"))).alias("auc"))
 

@@ -10,6 +10,7 @@ rows are counted and each count is drawn down in proportion, so that frequencies
 
 from __future__ import annotations
 
+from dataclasses import replace
 from itertools import combinations
 
 import numpy as np
@@ -149,39 +150,45 @@ def run_round(x: np.ndarray, ys: list[np.ndarray], blocks: list[slice], sizes: l
     return pd.DataFrame(rows, columns=["boot", "target", "s1", "s2", "score"])
 
 
-def sample_rows(rows: DataFrame, share: float, seed: int) -> DataFrame:
-    """``share`` of the rows, in expectation: of n equal ones n * share, rounded up or down by a draw."""
+def in_blocks(rows: DataFrame, blocks: int, seed: int) -> DataFrame:
+    """rows with ``_block``: equal rows are counted first and then dealt out in turn, so that each block holds its share of
+    them, and with ``_n``, how many of them it holds."""
     columns = [F.col(f"`{c}`") for c in rows.columns]
-    draw = F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 30)) / F.lit(1 << 30)
-    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_n", F.floor(F.col("_n") * share + draw).cast("int"))
-    return counted.where(F.col("_n") > 0).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*columns)
+    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_all"))
+    turn = F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(blocks))
+    own = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(k.cast("int").alias("b"), F.floor((F.col("_all") + F.pmod(k - turn, F.lit(blocks))) / blocks).alias("n")))
+    return counted.select(*columns, F.explode(F.filter(own, lambda x: x["n"] > 0)).alias("_x")).select(*columns, F.col("_x.b").alias("_block"), F.col("_x.n").alias("_n"))
 
 
 def neural_edges(encoder, table: DataFrame, config, allowed: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(target, source, score) and (target, s1, s2, score), a row for each round."""
+    """(target, source, score) and (target, s1, s2, score), a row for each round.
+
+    A round trains on all rows. Beyond ``max_rows`` they are dealt into blocks, a task each, and the scores are the mean
+    over blocks, weighted by their rows (a pair that a block did not look at counts as 0 there)."""
     profiles = encoder.profiles
     names = [p.name for p in profiles]
-    blocks, at = [], 0
+    blocks_of, at = [], 0
     for p in profiles:
         width = len(p.categories) if p.kind == "categorical" else 1
-        blocks.append(slice(at, at + width))
+        blocks_of.append(slice(at, at + width))
         at += width
     sizes = [len(p.categories) if p.kind == "categorical" else 0 for p in profiles]
     rows = encoder.encoded(table)
     total = rows.count()
-    if total > config.max_rows:
-        rows = sample_rows(rows, config.max_rows / total, config.seed)
-    rounds = rows.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(max(config.bootstraps, 1) - 1))))
+    blocks = max(1, -(-total // config.max_rows))
+    dealt = in_blocks(rows, blocks, config.seed)
+    rounds = dealt.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(max(config.bootstraps, 1) - 1))))
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(names, kind="stable")  # rows come in any order
         x = np.stack(pdf["features"].to_list()).astype(float)
-        pdf = pdf.iloc[np.lexsort(x.T[::-1])]
-        if len(pdf) > config.max_rows:
-            pdf = pdf.iloc[np.sort(np.random.default_rng(config.seed).choice(len(pdf), config.max_rows, replace=False))]
+        pdf = pdf.iloc[np.lexsort((*x.T[::-1], *(pdf[n] for n in names)))]  # rows come in any order
+        pdf = pdf.loc[pdf.index.repeat(pdf["_n"])]
         x = np.stack(pdf["features"].to_list()).astype(float)
-        ys = [x[:, b.start] if s == 0 else pdf[n].to_numpy() for n, b, s in zip(names, blocks, sizes)]
-        return run_round(x, ys, blocks, sizes, names, config, int(key[0]), allowed)
+        ys = [x[:, b.start] if s == 0 else pdf[n].to_numpy() for n, b, s in zip(names, blocks_of, sizes)]
+        got = run_round(x, ys, blocks_of, sizes, names, replace(config, seed=config.seed + 1_000_003 * int(key[1])), int(key[0]), allowed)
+        return got.assign(weight=len(pdf) / total)
 
-    out = rounds.groupBy("boot").applyInPandas(one, "boot int, target string, s1 string, s2 string, score double").persist()
+    schema = "boot int, target string, s1 string, s2 string, score double, weight double"
+    found = rounds.groupBy("boot", "_block").applyInPandas(one, schema)
+    out = found.groupBy("boot", "target", "s1", "s2").agg(F.sum(F.col("score") * F.col("weight")).alias("score")).persist()
     return out.where(F.col("s2").isNull()).select("target", F.col("s1").alias("source"), "score"), out.where(F.col("s2").isNotNull()).select("target", "s1", "s2", "score")

@@ -63,6 +63,10 @@ def cpd(counts: DataFrame, laplace: float = 1.0) -> DataFrame:
     return counts.select("*", ((F.col("n") + laplace) / (F.sum("n").over(w) + laplace * F.count(F.lit(1)).over(w))).alias("p"))
 
 
+#: Blankets of one job; more would widen the plan beyond use.
+BLANKETS = 24
+
+
 class GraphScorer:
     """Scores graphs over one table. Families are scored once; proposals are scored by what changed."""
 
@@ -105,12 +109,16 @@ class GraphScorer:
             total = top[:, 0] + np.log(np.exp(s - top).sum(1))
             value = float((self.store.weight * (s[np.arange(len(s)), self.store.local[self.target]] - total)).sum())
         else:
-            scores = F.array(*[self._class_score(key, tables, k) for k in range(classes)])
-            own = F.element_at(scores, F.col(f"`{self.target}`") + 1)
-            value = float(self.store.collapsed.agg(F.sum(F.col("w") * (own - log_sum_exp(scores)))).first()[0])
+            value = float(self.store.collapsed.agg(self._blanket_sum(key)).first()[0])
         self.blankets[key] = value
         return value
 
+    def _blanket_sum(self, key: tuple):
+        tables = [np.log(smoothed(self.store.get(*f), self.config.laplace) + EPS) for f in self.blanket_families(key)]
+        scores = F.array(*[self._class_score(key, tables, k) for k in range(self.store.cards[self.target])])
+        own = F.element_at(scores, F.col(f"`{self.target}`") + 1)
+        return F.sum(F.col("w") * (own - log_sum_exp(scores)))
+
     def _class_score(self, key: tuple, tables: list[np.ndarray], k: int):
         out = None
         for (node, parents), t in zip(self.blanket_families(key), tables):
@@ -136,8 +144,16 @@ class GraphScorer:
         return self.family(child, parents) - self.family(child, tuple(p for p in parents if p != parent)) if parent in parents else 0.0
 
     def prepare(self, graphs: list[Dag]) -> None:
-        """Count what the graphs need in one job."""
+        """Count what the graphs need in one job, and sum up all their blankets in another (or a few, if they are many)."""
         self.store.ensure([f for g in graphs for f in g.families() if f not in self.local])
+        if self.store.local is not None or not self.config.discriminative_weight:
+            return
+        new = [k for k in dict.fromkeys(map(self.blanket_key, graphs)) if k not in self.blankets]
+        self.store.ensure([f for k in new for f in self.blanket_families(k)])
+        for a in range(0, len(new), BLANKETS):
+            part = new[a : a + BLANKETS]
+            row = self.store.collapsed.agg(*[self._blanket_sum(k).alias(str(i)) for i, k in enumerate(part)]).first()
+            self.blankets |= {k: float(row[i]) for i, k in enumerate(part)}
 
     def score(self, g: Dag) -> dict[str, float]:
         unit = max(self.store.rows, 1.0) if self.config.normalize_by_samples else 1.0

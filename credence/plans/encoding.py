@@ -1,7 +1,7 @@
 """Mixed-type tables to integer codes: typing, imputation, categories, supervised bins.
 
-Fitting takes three aggregations over the table whatever its width: medians, then moments and distinct categories, then
-the histogram of values by class. The bins are grown on the driver from that histogram. Where a column has more than about
+Fitting takes some aggregations over the table whatever its width: medians, then moments and distinct categories, then the
+histogram of values by class. The bins are grown on the driver from that histogram. Where a column has more than about
 ``MAX_VALUES`` distinct values its histogram stays in Spark, in cells between ``CELLS`` quantiles: every split is looked for
 on all values of all cells, and only the best one of each cell comes back. Thresholds are the same either way. Transforming
 is a projection.
@@ -168,6 +168,35 @@ def supervised_bins(values: np.ndarray, counts: np.ndarray, n_bins: int, min_sam
     return entropy_bins(values, counts, n_bins, least_leaf(n, n_bins, min_samples))
 
 
+def medians(df: DataFrame, columns: list[Column]) -> list[float | None]:
+    """The exact median of each column. A column's range is narrowed around its middle until few distinct values are left in
+    it (or one); these are counted, and the median is read off, so no task holds all values of a column."""
+    rows = df.select(*[c.cast("double").alias(str(i)) for i, c in enumerate(columns)])
+    n = rows.agg(*[F.count(str(i)).alias(str(i)) for i in range(len(columns))]).first()
+    lo, hi = [-math.inf] * len(columns), [math.inf] * len(columns)
+    inside = lambda i: F.when(F.col(str(i)).between(lo[i], hi[i]), F.col(str(i)))
+    open_ = [i for i in range(len(columns)) if n[i]]
+    out: list[float | None] = [None] * len(columns)
+    while open_:
+        stats = rows.agg(*[x for i in open_ for x in (F.approx_count_distinct(inside(i)).alias(f"d{i}"), F.count(F.when(F.col(str(i)) < lo[i], 1)).alias(f"b{i}"), F.count(inside(i)).alias(f"k{i}"))]).first()
+        few = [i for i in open_ if stats[f"d{i}"] <= MAX_VALUES]
+        if few:
+            item = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), inside(i).alias("x")) for i in few]))
+            counts = rows.select(item.alias("v")).where("v.x IS NOT NULL").groupBy("v.i", "v.x").agg(F.count(F.lit(1)).alias("n")).toPandas()
+            for i in few:
+                own = counts[counts["i"] == i].sort_values("x")
+                upto = stats[f"b{i}"] + own["n"].cumsum().to_numpy()
+                at = lambda r, own=own, upto=upto: float(own["x"].iloc[int(np.searchsorted(upto, r, "right"))])
+                out[i] = (at((n[i] - 1) // 2) + at(n[i] // 2)) / 2
+        open_ = [i for i in open_ if i not in few]
+        if open_:  # the middle, as a share of what is left, with room for the error of the approximation
+            share = {i: ((n[i] - 1) / 2 - stats[f"b{i}"]) / stats[f"k{i}"] for i in open_}
+            cut = rows.agg(*[F.percentile_approx(inside(i), [max(0.0, share[i] - 0.01), min(1.0, share[i] + 0.01)], MAX_VALUES).alias(str(i)) for i in open_]).first()
+            for i in open_:
+                lo[i], hi[i] = cut[str(i)]
+    return out
+
+
 class TableEncoder(Estimator):
     """Learns a column profile for each column of a table."""
 
@@ -183,9 +212,8 @@ class TableEncoder(Estimator):
         number = lambda p: F.col(f"`{p.name}`").cast("double")
         finite = lambda p: F.when(~F.isnan(number(p)), number(p))
         if numbers:
-            med = df.agg(*[F.percentile(finite(p), 0.5).alias(str(i)) for i, p in enumerate(numbers)]).first()
-            for i, p in enumerate(numbers):
-                p.median = float(med[i]) if med[i] is not None else 0.0
+            for p, median in zip(numbers, medians(df, [finite(p) for p in numbers])):
+                p.median = median if median is not None else 0.0
             filled = {p.name: F.coalesce(finite(p), F.lit(p.median)) for p in numbers}
             row = df.agg(*[x for i, p in enumerate(numbers) for x in (F.avg(filled[p.name]).alias(f"m{i}"), F.stddev_pop(filled[p.name]).alias(f"s{i}"))]).first()
             for i, p in enumerate(numbers):
@@ -282,7 +310,9 @@ class TableEncoderModel(Model):
             else:
                 text = as_category(F.col(f"`{p.name}`"), self.types[p.name]) if p.name in there else F.lit(None)
                 parts.append(_one_hot(p.categories, text))
-        return df.select(*[self.code(p, there).alias(p.name) for p in self.profiles], F.concat(*parts).alias("features"))
+        # under other names first: inside a lambda, a column's name would mean an alias of the same projection
+        both = df.select(F.concat(*parts).alias("_features"), *[self.code(p, there).alias(f"_c{i}") for i, p in enumerate(self.profiles)])
+        return both.select(*[F.col(f"_c{i}").alias(p.name) for i, p in enumerate(self.profiles)], F.col("_features").alias("features"))
 
 
 def _one_hot(categories: list[str], text: Column) -> Column:

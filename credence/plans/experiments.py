@@ -12,6 +12,9 @@ from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field, replace
 from pathlib import Path
 
+import pandas as pd
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import Ablation, PipelineConfig, ablations
@@ -22,6 +25,7 @@ from ..operators.metrics import predictive
 from ..operators.network import BayesNet
 from ..operators.screening import full_pools
 from ..operators.search import HillClimb
+from ..sources import files
 from ..sources.datasets import BASELINES, MissingDataset, Split, registry, suites
 from .decisions import METHOD, RECORD, evidence_decision, suite_tables
 from .encoding import TableEncoder, TableEncoderModel, align_dummies
@@ -181,7 +185,7 @@ class GreedyRunner(_CodedRunner):
 
 class FixedShapeRunner(_CodedRunner):
     def __init__(self, name: str):
-        super().__init__(name, "bn_classifier")
+        super().__init__(name, "fixed_structure")
 
     def run(self, split, config, ablation):
         began = time.perf_counter()
@@ -197,27 +201,62 @@ class FixedShapeRunner(_CodedRunner):
 
 
 class TreeRunner(Runner):
-    """Tree ensembles. The named library is not bundled: without it the run is skipped, or Spark's gradient-boosted trees
-    (two classes) or random forest (more) stand in, if ``stand_in`` is set; the record's notes say so."""
+    """Tree ensembles. With the named library on the cluster the run uses it, on at most ``MOST_ROWS`` training rows that are
+    brought to one place, as the library works there. Without it the run is skipped, or Spark's gradient-boosted trees (two
+    classes) or random forest (more) stand in, if ``stand_in`` is set; the record's notes say so."""
+
+    MOST_ROWS = 2_000_000
 
     def __init__(self, name: str, stand_in: bool = False):
         super().__init__(name, "tree_ensemble")
         self.stand_in = stand_in
 
+    def model(self, classes: int, seed: int):
+        """The library's own estimator, with its usual settings."""
+        if self.name == "xgboost":
+            from xgboost import XGBClassifier
+
+            return XGBClassifier(random_state=seed)
+        if self.name == "lightgbm":
+            from lightgbm import LGBMClassifier
+
+            return LGBMClassifier(random_state=seed, verbose=-1)
+        from catboost import CatBoostClassifier
+
+        return CatBoostClassifier(random_state=seed, verbose=False, allow_writing_files=False, loss_function="Logloss" if classes == 2 else "MultiClass")
+
     def run(self, split, config, ablation):
-        if not self.stand_in:
-            return self.skipped(split, "default", availability()[self.name].detail)
-        from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+        there = availability()[self.name]
+        if not there.available and not self.stand_in:
+            return self.skipped(split, "default", there.detail)
+        began = time.perf_counter()
+        train, test, labels = align_dummies(split.train, split.test, split.dataset.target)
+        run = self.with_library if there.available else self.with_spark
+        scored, note = run(train, test, labels, split.seed)
+        return self.record(split, predictive=predictive(scored, len(labels), "label_code"), notes=[note], runtimes={"total_seconds": time.perf_counter() - began})
+
+    def with_library(self, train: DataFrame, test: DataFrame, labels: list[str], seed: int):
+        names = [c for c in train.columns if c != "label_code"]
+        got = train.limit(self.MOST_ROWS + 1).toPandas()
+        if len(got) > self.MOST_ROWS:
+            raise ValueError(f"{self.name} trains on one machine: more than {self.MOST_ROWS} rows are not brought there")
+        held = train.sparkSession.sparkContext.broadcast(self.model(len(labels), seed).fit(got[names].to_numpy(), got["label_code"].to_numpy()))
+
+        def score(frames):
+            for pdf in frames:
+                yield pd.DataFrame({"label_code": pdf["label_code"], "probabilities": list(held.value.predict_proba(pdf[names].to_numpy()).astype(float))})
+
+        return test.mapInPandas(score, "label_code int, probabilities array<double>"), self.name
+
+    def with_spark(self, train: DataFrame, test: DataFrame, labels: list[str], seed: int):
+        from pyspark.ml import classification
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.functions import vector_to_array
 
-        began = time.perf_counter()
-        train, test, labels = align_dummies(split.train, split.test, split.dataset.target)
         va = VectorAssembler(inputCols=[c for c in train.columns if c != "label_code"], outputCol="features", handleInvalid="keep")
-        cls = GBTClassifier if len(labels) == 2 else RandomForestClassifier
-        model = cls(labelCol="label_code", featuresCol="features", seed=split.seed).fit(va.transform(train))
-        scored = model.transform(va.transform(test)).select("label_code", vector_to_array("probability").alias("probabilities"))
-        return self.record(split, predictive=predictive(scored, len(labels), "label_code"), notes=["Spark stand-in"], runtimes={"total_seconds": time.perf_counter() - began})
+        cls = classification.GBTClassifier if len(labels) == 2 else classification.RandomForestClassifier
+        model = cls(labelCol="label_code", featuresCol="features", seed=seed).fit(va.transform(train))
+        return model.transform(va.transform(test)).select("label_code", vector_to_array("probability").alias("probabilities")), "Spark stand-in"
 
 
 class FoundationRunner(Runner):
@@ -256,8 +295,9 @@ def run_suite(spark: SparkSession, name: str, config: PipelineConfig, *, base: s
                         log(f"{dataset} {split.id} {m} {label}")
                         try:
                             records.append(models[m].run(split, config, known[label]))
-                        except Exception as e:
+                        except (ArithmeticError, LookupError, ValueError, RuntimeError, PySparkException, Py4JError) as e:  # of the run; mistakes of the program end the suite
                             records.append(replace(models[m].skipped(split, label, f"{type(e).__name__}: {str(e)[:300]}"), status="failed"))
+                            log(f"{dataset} {split.id} {m} {label} failed: {type(e).__name__}")
     tables = suite_tables(records_frame(spark, records))
     payload = {
         "suite_name": name,
@@ -281,15 +321,14 @@ def git_sha() -> str | None:
         return None
 
 
-def write_json(payload: dict, path: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(payload, indent=2, default=str))
+def write_json(payload: dict, path: str | Path) -> None:
+    files.write_text(None, path, json.dumps(payload, indent=2, default=str))
 
 
 def read_json(path: str | Path) -> dict:
-    if not Path(path).exists():
+    if not files.exists(None, path):
         raise FileNotFoundError(f"no artifact at {path}")
-    return json.loads(Path(path).read_text())
+    return json.loads(files.read_text(None, path))
 
 
 @dataclass(frozen=True)
@@ -311,6 +350,7 @@ DEFAULT_STAGES = ("sanity_default", "structural_default", "paper_minimum_full")
 
 
 def stages() -> dict[str, Stage]:
+    #: The plan of each stage.
     probes = ("known_graph_fast", "mi_filter_fast", "single_pass_neural_fast", "hybrid_mi_neural_fast")
     every = [
         Stage("sanity_default", "paper_minimum", ("alarm", "child", "insurance", "sklearn_breast_cancer"), BASELINES, (7,), ("default",)),
@@ -335,7 +375,7 @@ def summarize_evidence(spark: SparkSession, payloads: dict[str, dict], names=Non
         s, p = specs[n], payloads.get(n)
         rs = p["records"] if p else []
         ok = sum(r["status"] == "ok" for r in rs)
-        overview.append({"stage_name": n, "suite_name": s.suite, "artifact_path": str(Path(folder) / s.filename), "completed": p is not None, "datasets": list(s.datasets or ()), "baselines": list(s.baselines or ()), "seeds": list(s.seeds or ()), "ablations": list(s.labels or ()), "num_records": len(rs), "num_ok": ok, "num_skipped": len(rs) - ok})
+        overview.append({"stage_name": n, "suite_name": s.suite, "artifact_path": files.join(folder, s.filename), "completed": p is not None, "datasets": list(s.datasets or ()), "baselines": list(s.baselines or ()), "seeds": list(s.seeds or ()), "ablations": list(s.labels or ()), "num_records": len(rs), "num_ok": ok, "num_skipped": len(rs) - ok})
     frames = {n: records_frame(spark, as_records(p)) for n, p in payloads.items()}
     return {"artifact_dir": folder, "requested_stages": names, "completed_stages": [n for n in names if n in payloads], "stage_overview": overview, "stage_tables": {n: p["tables"] for n, p in payloads.items()}, "run_metadata": run_metadata(), "decision": evidence_decision(frames)}
 
@@ -345,7 +385,7 @@ def run_evidence(spark: SparkSession, config: PipelineConfig, *, folder: str = "
     names = list(names or DEFAULT_STAGES)
     for n in names:
         s = stages()[n]
-        payloads[n] = run_suite(spark, s.suite, config, base=base, datasets=s.datasets, baselines=s.baselines, seeds=s.seeds, labels=s.labels, output=str(Path(folder) / s.filename), log=log, adapters=adapters)
+        payloads[n] = run_suite(spark, s.suite, config, base=base, datasets=s.datasets, baselines=s.baselines, seeds=s.seeds, labels=s.labels, output=files.join(folder, s.filename), log=log, adapters=adapters)
         summary = summarize_evidence(spark, payloads, names, folder)
-        write_json(summary, str(Path(folder) / "evidence_summary.json"))
+        write_json(summary, files.join(folder, "evidence_summary.json"))
     return summary

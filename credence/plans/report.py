@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import files
 from .decisions import METHOD, promotion_gates, promotion_rows, suite_tables
 from .experiments import as_records, read_json, records_frame, write_json
 
@@ -38,9 +37,8 @@ def _ratio(a, b):
 
 
 def positioning(spark: SparkSession, folder: str = "artifacts/benchmarks") -> dict:
-    root = Path(folder)
-    decision = read_json(root / "evidence_summary.json")["decision"]
-    fast = fast_mode_summary(spark, read_json(root / "known_graph_fast_probe.json"), ["known_graph_fast"])
+    decision = read_json(files.join(folder, "evidence_summary.json"))["decision"]
+    fast = fast_mode_summary(spark, read_json(files.join(folder, "known_graph_fast_probe.json")), ["known_graph_fast"])
     c, s, p = decision["criteria"], decision["comparisons"]["structural"], decision["comparisons"]["predictive"]
     runtime = [{"dataset_name": r["dataset_name"], "method_total_seconds": r["method_total_seconds"], "greedy_hc_total_seconds": r["greedy_hc_total_seconds"], "runtime_ratio_vs_greedy": _ratio(r["method_total_seconds"], r["greedy_hc_total_seconds"]), "runtime_win": None if r["method_total_seconds"] is None or r["greedy_hc_total_seconds"] is None else r["method_total_seconds"] < r["greedy_hc_total_seconds"]} for r in s]
     trade = fast["candidates"]["known_graph_fast"]
@@ -56,8 +54,8 @@ def positioning(spark: SparkSession, folder: str = "artifacts/benchmarks") -> di
         "recommended_paper_claim_text": f"The searched network has a lower SHD than the best explicit baseline on {score('structural')} sets and stays within 0.03 ROC-AUC of the best strong baseline on {score('predictive')}.",
         "recommended_limitation_text": f"It is faster than greedy search on {score('runtime')} sets.",
     }
-    write_json(payload, str(root / "paper_positioning.json"))
-    (root / "paper_positioning.md").write_text(positioning_markdown(payload))
+    write_json(payload, files.join(folder, "paper_positioning.json"))
+    files.write_text(spark, files.join(folder, "paper_positioning.md"), positioning_markdown(payload))
     return payload
 
 
@@ -74,9 +72,8 @@ def positioning_markdown(p: dict) -> str:
 
 
 def results(spark: SparkSession, folder: str = "artifacts/benchmarks") -> dict:
-    root = Path(folder)
-    decision, full = read_json(root / "evidence_summary.json")["decision"], read_json(root / "paper_minimum_full.json")
-    probe = next((root / f for f in ("fast_mode_design_probe.json", "known_graph_fast_probe.json") if (root / f).exists()), root / "known_graph_fast_probe.json")
+    decision, full = read_json(files.join(folder, "evidence_summary.json"))["decision"], read_json(files.join(folder, "paper_minimum_full.json"))
+    probe = next((x for f in ("fast_mode_design_probe.json", "known_graph_fast_probe.json") if files.exists(spark, x := files.join(folder, f))), files.join(folder, "known_graph_fast_probe.json"))
     fast = fast_mode_summary(spark, read_json(probe), ["known_graph_fast"])
     by_fast = {r["dataset_name"]: r for r in fast["candidates"]["known_graph_fast"]["dataset_rows"]}
     index = lambda t: {(r["dataset_name"], r["model_name"]): r for r in full["tables"][t]}
@@ -102,9 +99,9 @@ def results(spark: SparkSession, folder: str = "artifacts/benchmarks") -> dict:
     narrative = [f"Over {len(structural)} known-graph sets the method has the lower SHD on {wins} and is within 0.5 on {near}." + (f" Its largest margin is on {humanize(top['dataset_name'])}: {top['method_shd']:.2f} against {top['best_explicit_shd']:.2f}." if top else "")]
     narrative.append(f"It is competitive on {competitive} of {len(predictive)} real sets" + "".join(f"; {humanize(r['dataset_name'])}: ROC-AUC {r['method_roc_auc']:.4f}, log loss {r['method_log_loss']:.4f}" for r in predictive) + ".")
     limits = [f"It is faster than greedy search on {faster} of {len(runtime)} sets.", f"Promoted fast profiles: {', '.join(fast['promotion_winners']) or 'none'}."]
-    payload = {"artifact_dir": folder, "source_artifacts": {"evidence_summary": str(root / "evidence_summary.json"), "paper_minimum_full": str(root / "paper_minimum_full.json"), "fast_probe": str(probe)}, "headline_metrics": {"structural_win_count": wins, "structural_dataset_count": len(structural), "structural_near_tie_count": near, "predictive_competitive_count": competitive, "predictive_dataset_count": len(predictive), "runtime_win_count_vs_greedy": faster, "runtime_dataset_count": len(runtime), "known_graph_fast_promotion_winners": fast["promotion_winners"]}, "structural_table": structural, "predictive_table": predictive, "runtime_table": runtime, "results_narrative": narrative, "limitations_narrative": limits}
-    write_json(payload, str(root / "paper_results.json"))
-    (root / "paper_results.md").write_text(results_markdown(payload))
+    payload = {"artifact_dir": folder, "source_artifacts": {"evidence_summary": files.join(folder, "evidence_summary.json"), "paper_minimum_full": files.join(folder, "paper_minimum_full.json"), "fast_probe": str(probe)}, "headline_metrics": {"structural_win_count": wins, "structural_dataset_count": len(structural), "structural_near_tie_count": near, "predictive_competitive_count": competitive, "predictive_dataset_count": len(predictive), "runtime_win_count_vs_greedy": faster, "runtime_dataset_count": len(runtime), "known_graph_fast_promotion_winners": fast["promotion_winners"]}, "structural_table": structural, "predictive_table": predictive, "runtime_table": runtime, "results_narrative": narrative, "limitations_narrative": limits}
+    write_json(payload, files.join(folder, "paper_results.json"))
+    files.write_text(spark, files.join(folder, "paper_results.md"), results_markdown(payload))
     return payload
 
 

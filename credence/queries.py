@@ -109,7 +109,7 @@ def _grid(families) -> str:
 def _counts(n: int) -> list:
     from itertools import combinations
 
-    return [(c[-1], c[:-1]) for c in combinations(COLUMNS, n)][: 12 if n == 3 else None]
+    return [(c[-1], c[:-1]) for c in combinations(COLUMNS, n)]
 
 
 def _counts_query(n: int):

@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import Dag
+from . import files
 from .generators import EXPERT_TARGETS, mixed_dataset
 
 #: Texts that CSV files use for missing values.
@@ -55,25 +55,37 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return clean.select(*out)
 
 
-HASH_BUCKETS = 1024
+BUCKET_ROWS = 100_000
+CHUNK = 1_000_000
 
 
 def holdout(df: DataFrame, seed: int, test: float, valid: float, by: str | None = None) -> DataFrame:
     """df with ``split``: exact shares, test first, then validation of the rest; within each class of ``by``, if named.
 
-    Rows are ranked by a hash of their content: by hash bucket first, with the buckets' running totals, then within a
-    bucket, so the ranks are exact over the whole table though no task sorts more than a bucket."""
+    Rows are ranked by a hash of their content. Equal rows are one row with a number until the ranks are known, so a row
+    that makes up much of the table is counted before it is shuffled. Distinct rows are ranked by hash bucket first, with
+    the buckets' running totals, then within a bucket of about ``BUCKET_ROWS``; a number above ``CHUNK`` is cut into chunks
+    before it is spread out into rows again."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
     class_ = F.coalesce(F.col(f"`{by}`").cast("string"), F.lit("\0")) if by else F.lit("")
-    keyed = df.withColumn("_c", class_).withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit(seed))).withColumn("_b", F.pmod("_h", F.lit(HASH_BUCKETS)))
-    sizes = keyed.groupBy("_c", "_b").agg(F.count(F.lit(1)).alias("_k"))
+    equal = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_k"))
+    buckets = max(1, equal.count() // BUCKET_ROWS)
+    keyed = equal.withColumn("_c", class_).withColumn("_h", F.xxhash64(*columns, F.lit(seed))).withColumn("_b", F.pmod("_h", F.lit(buckets)))
     w = Window.partitionBy("_c")
-    before = F.coalesce(F.sum("_k").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("_c", "_b", before.alias("_before"), F.sum("_k").over(w).alias("_n"))
-    ranked = keyed.join(sizes, ["_c", "_b"]).withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy("_c", "_b").orderBy("_h")))
+    sizes = keyed.groupBy("_c", "_b").agg(F.sum("_k").alias("_s"))
+    sizes = sizes.select("_c", "_b", F.coalesce(F.sum("_s").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_s").over(w).alias("_n"))
+    inner = Window.partitionBy("_c", "_b").orderBy("_h", *[c.cast("string") for c in columns]).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = keyed.withColumn("_in", F.coalesce(F.sum("_k").over(inner), F.lit(0))).join(sizes, ["_c", "_b"]).withColumn("_r", F.col("_before") + F.col("_in"))
     n_test = F.ceil(F.round(F.col("_n") * F.lit(test), 6))
     n_valid = F.ceil(F.round((F.col("_n") - n_test) * F.lit(valid), 6))
-    split = F.when(F.col("_r") <= n_test, "test").when(F.col("_r") <= n_test + n_valid, "valid").otherwise("train")
-    return ranked.select(*[F.col(f"`{c}`") for c in df.columns], split.alias("split"))
+    # of the places _r + 1 to _r + _k, those up to n_test are test, and so on
+    share = lambda lo, hi: F.greatest(F.least(F.col("_r") + F.col("_k"), hi) - F.greatest(F.col("_r"), lo), F.lit(0))
+    parts = [("test", share(F.lit(0), n_test)), ("valid", share(n_test, n_test + n_valid)), ("train", share(n_test + n_valid, F.col("_n")))]
+    part = F.explode(F.filter(F.array(*[F.struct(F.lit(name).alias("split"), n.cast("long").alias("n")) for name, n in parts]), lambda x: x["n"] > 0))
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_p.n") - 1) / CHUNK)))
+    chunks = ranked.withColumn("_p", part).withColumn("_q", chunk)
+    many = F.least(F.lit(CHUNK).cast("long"), F.col("_p.n") - F.col("_q") * CHUNK)
+    return chunks.withColumn("_one", F.explode(F.sequence(F.lit(1).cast("long"), many))).select(*columns, F.col("_p.split").alias("split"))
 
 
 class Adapter:
@@ -82,7 +94,7 @@ class Adapter:
     def __init__(self, name: str, repeats: int = 1, test: float = 0.2, valid: float = 0.2):
         self.name, self.repeats, self.test, self.valid = name, repeats, test, valid
 
-    def available(self) -> bool:
+    def available(self, spark: SparkSession | None = None) -> bool:
         return True
 
     def load(self, spark: SparkSession, seed: int = 7) -> Dataset:
@@ -113,11 +125,11 @@ class CsvAdapter(Adapter):
         super().__init__(name, repeats)
         self.path, self.target = path, target
 
-    def available(self):
-        return Path(self.path).exists()
+    def available(self, spark=None):
+        return files.exists(spark or SparkSession.active(), self.path)
 
     def load(self, spark, seed=7):
-        if not self.available():
+        if not self.available(spark):
             raise MissingDataset(self.path)
         return Dataset(self.name, read_csv(spark, self.path), self.target)
 
@@ -128,18 +140,21 @@ class GraphFolderAdapter(Adapter):
 
     def __init__(self, root: str, name: str, repeats: int = 2):
         super().__init__(name, repeats)
-        self.root = Path(root)
+        self.root = root
 
-    def available(self):
-        return (self.root / "frame.csv").exists() and (self.root / "edges.csv").exists()
+    def at(self, name: str) -> str:
+        return files.join(self.root, name)
+
+    def available(self, spark=None):
+        spark = spark or SparkSession.active()
+        return files.exists(spark, self.at("frame.csv")) and files.exists(spark, self.at("edges.csv"))
 
     def load(self, spark, seed=7):
-        if not self.available():
+        if not self.available(spark):
             raise MissingDataset(str(self.root))
-        frame = read_csv(spark, str(self.root / "frame.csv"))
-        edges = [(r["source"], r["target"]) for r in spark.read.csv(str(self.root / "edges.csv"), header=True).collect()]
-        meta = self.root / "metadata.json"
-        notes = json.loads(meta.read_text()) if meta.exists() else {}
+        frame = read_csv(spark, self.at("frame.csv"))
+        edges = [(r["source"], r["target"]) for r in spark.read.csv(self.at("edges.csv"), header=True).collect()]
+        notes = json.loads(files.read_text(spark, self.at("metadata.json"))) if files.exists(spark, self.at("metadata.json")) else {}
         target = notes.get("target_column") or ("label" if "label" in frame.columns else frame.columns[-1])
         return Dataset(self.name, frame, target, "known_graph", Dag([*frame.columns, *(n for e in edges for n in e)], edges), notes)
 
@@ -164,27 +179,27 @@ class ParquetAdapter(Adapter):
         super().__init__(name, repeats)
         self.path, self.target = path, target
 
-    def available(self):
-        return Path(self.path).exists()
+    def available(self, spark=None):
+        return files.exists(spark or SparkSession.active(), self.path)
 
     def load(self, spark, seed=7):
-        if not self.available():
+        if not self.available(spark):
             raise MissingDataset(self.path)
         df = spark.read.parquet(self.path)
         return Dataset(self.name, df.withColumn(self.target, F.col(self.target).cast("string")), self.target)
 
 
 def registry(base: str = ".") -> dict[str, Adapter]:
-    b = Path(base)
+    #: Names, sizes and repeats of the nine datasets.
     out: dict[str, Adapter] = {
         "synthetic_tiny": SyntheticAdapter("synthetic_tiny", 180, 5, repeats=1),
         "synthetic_small": SyntheticAdapter("synthetic_small", 300, 6),
         "synthetic_medium": SyntheticAdapter("synthetic_medium", 500, 8),
     }
     for name in ("breast_cancer", "iris", "wine"):
-        out[f"sklearn_{name}"] = ParquetAdapter(str(b / "datasets" / "toy" / f"{name}.parquet"), "target", f"sklearn_{name}")
+        out[f"sklearn_{name}"] = ParquetAdapter(files.join(base, "datasets", "toy", f"{name}.parquet"), "target", f"sklearn_{name}")
     for name in EXPERT_TARGETS:
-        out[name] = GraphFolderAdapter(str(b / "datasets" / "expert_bn" / name), name)
+        out[name] = GraphFolderAdapter(files.join(base, "datasets", "expert_bn", name), name)
     return out
 
 
@@ -197,6 +212,7 @@ class Suite:
     ablations: tuple[str, ...]
 
 
+#: Names of the models and contents of the suites.
 BASELINES = ("neural_screened_bn", "greedy_hc_bn", "naive_bayes", "tan", "kdb", "aode", "xgboost", "lightgbm", "catboost", "tabpfn")
 
 

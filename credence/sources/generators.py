@@ -7,13 +7,13 @@ they are needed; the graph itself is drawn on the driver.
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import Dag
+from . import files
 
 #: Target column and seed of the three expert networks, each sampled with 2,500 rows.
 EXPERT_TARGETS = {"alarm": ("PRESS", 1701), "child": ("LowerBodyO2", 1703), "insurance": ("CarValue", 1705)}
@@ -64,8 +64,8 @@ def forward_sample(spark: SparkSession, graph: Dag, tables: dict[str, np.ndarray
     return df.select(*[F.col(f"`{n}`") for n in graph.nodes])
 
 
-def read_edges(path: str) -> list[tuple[str, str]]:
-    lines = Path(path).read_text().split()
+def read_edges(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    lines = files.read_text(spark, path).split()
     return [tuple(x.split(",")[:2]) for x in lines[1:]]
 
 
@@ -75,21 +75,21 @@ def materialize_expert_networks(spark: SparkSession, root: str, names: list[str]
     out = {}
     for name in names or list(EXPERT_TARGETS):
         target, seed = EXPERT_TARGETS[name]
-        folder = Path(root) / name
-        if not overwrite and (folder / "frame.csv").exists():
+        at = lambda file, folder=files.join(root, name): files.join(folder, file)
+        if not overwrite and files.exists(spark, at("frame.csv")):
             out[name] = {"status": "exists"}
             continue
-        source = Path(edges_from or root) / name / "edges.csv"
-        if not source.exists():
+        source = files.join(edges_from or root, name, "edges.csv")
+        if not files.exists(spark, source):
             out[name] = {"status": "skipped", "reason": f"no edges at {source}"}
             continue
-        edges = read_edges(str(source))
+        edges = read_edges(spark, source)
         graph = Dag([n for e in edges for n in e], edges)
         cards = dict.fromkeys(graph.nodes, card)
         frame = forward_sample(spark, graph, random_tables(graph, cards, seed), cards, EXPERT_ROWS, seed)
-        folder.mkdir(parents=True, exist_ok=True)
-        frame.select(*[F.concat(F.lit("s"), F.col(f"`{c}`").cast("string")).alias(c) for c in frame.columns]).toPandas().to_csv(folder / "frame.csv", index=False)
-        (folder / "edges.csv").write_text("source,target\n" + "".join(f"{a},{b}\n" for a, b in edges))
-        (folder / "metadata.json").write_text(json.dumps({"target_column": target, "source": "forward sample, random tables", "notes": [f"seed {seed}", f"{EXPERT_ROWS} rows"]}, indent=2))
+        named = frame.select(*[F.concat(F.lit("s"), F.col(f"`{c}`").cast("string")).alias(c) for c in frame.columns])
+        files.write_text(spark, at("frame.csv"), named.toPandas().to_csv(index=False))  # EXPERT_ROWS rows
+        files.write_text(spark, at("edges.csv"), "source,target\n" + "".join(f"{a},{b}\n" for a, b in edges))
+        files.write_text(spark, at("metadata.json"), json.dumps({"target_column": target, "source": "forward sample, random tables", "notes": [f"seed {seed}", f"{EXPERT_ROWS} rows"]}, indent=2))
         out[name] = {"status": "written", "rows": EXPERT_ROWS, "edges": len(edges), "target": target}
     return out

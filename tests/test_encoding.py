@@ -77,3 +77,10 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "c string, x double, t string")
     m = TableEncoder("t").fit(df)
     assert m.profile("x").thresholds == [] and m.transform(df).count() == 0
+
+
+def test_features_are_one_hot_where_codes_have_the_same_names(spark):
+    df = spark.createDataFrame([("a", "p", 1.0), ("b", "q", 3.0), ("a", None, None)], "y string, c string, x double")
+    rows = [(r["y"], r["c"], list(r["features"])) for r in TableEncoder("y").fit(df).encoded(df).collect()]
+    assert [(y, c, f[:4]) for y, c, f in rows] == [(0, 1, [1, 0, 0, 1]), (1, 2, [0, 1, 0, 0]), (0, 0, [1, 0, 1, 0])]
+    assert rows[0][2][5] == -rows[1][2][5] != 0 and rows[2][2][5] == 0

@@ -1,14 +1,28 @@
-"""The neural screener's sample keeps the frequencies of rows."""
+"""The neural screener deals all rows into its blocks, equal ones in turn."""
+
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from credence.config import ScreenerConfig
 from credence.operators import neural
+from credence.plans.encoding import TableEncoder
 
 
-def test_sample_keeps_frequencies_of_equal_rows(spark):
+def test_blocks_hold_their_share_of_equal_rows(spark):
     kind = F.when(F.col("id") % 4 < 2, 0).otherwise(F.col("id") % 4).cast("int")
-    rows = spark.range(4000).select(kind.alias("kind"), F.array(kind.cast("float")).alias("features"))
-    got = {r["kind"]: r["count"] for r in neural.sample_rows(rows, 0.1, 3).groupBy("kind").count().collect()}
-    assert got == {0: 200, 2: 100, 3: 100}
-    one = spark.range(4000).select(F.col("id").cast("int").alias("kind"), F.array(F.col("id").cast("float")).alias("features"))
-    assert 330 < neural.sample_rows(one, 0.1, 3).count() < 470
+    rows = spark.range(4003).select(kind.alias("kind"), F.array(kind.cast("float")).alias("features"))
+    got = neural.in_blocks(rows, 7, 3).groupBy("kind", "_block").agg(F.sum("_n").alias("n")).collect()
+    for k, total in ((0, 2002), (2, 1001), (3, 1000)):
+        own = [r["n"] for r in got if r["kind"] == k]
+        assert sum(own) == total and len(own) == 7 and max(own) - min(own) <= 1
+
+
+def test_scores_of_blocks_agree_on_what_matters(spark):
+    df = spark.range(1200).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("y"), F.when(F.col("id") % 3 == 0, "p").otherwise("q").alias("copy"), F.when(F.col("id") % 7 < 3, "s").otherwise("t").alias("other"))
+    encoder = TableEncoder("y").fit(df)
+    for most in (10_000, 500):
+        config = replace(ScreenerConfig(epochs=40, learning_rate=0.01, bootstraps=2, use_bundles=False), max_rows=most)
+        rows = neural.neural_edges(encoder, df, config)[0].groupBy("target", "source").agg(F.avg("score").alias("s")).collect()
+        score = {(r["target"], r["source"]): r["s"] for r in rows}
+        assert len(score) == 6 and score["y", "copy"] > 10 * score["y", "other"] >= 0
