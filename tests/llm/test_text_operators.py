@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from credence.llm import bpe, jaccard, langid, packing, pii, quality, secrets, token_store
@@ -233,6 +234,13 @@ def pii_texts():
     return ["".join(r.choice(bits) for _ in range(r.randint(1, 12))) for _ in range(1500)]
 
 
+ENGLISH = """the of and water house running over yellow where there night morning people because another through little world
+ country still should answer found study learn plant cover food between state keep never start city earth light thought head
+ under story left don while along might close something seem next hard open example begin life always those both paper together
+ group often until children feet car mile walk white sea began grow took river four carry once book hear stop without second
+ later miss idea enough eat face watch far really almost let above girl sometimes mountain cut young talk soon list song being""".split()
+
+
 def test_pii_rules_equal_the_patterns(spark):
     texts = [None, "", *pii_texts(), "9" * 30000, "a." * 9000 + "@b." + "c." * 9000 + "d", "1 " * 20000, "+1" + "-" * 30000, "call (030) 123 4567 IBAN DE89 3704 0044 0532 0130 00 joe [at] mail [dot] com"]
     found = pii.find_personal_data(docs_frame(spark, texts), ["doc_id"]).select("doc_id", pii.joined(pii.F.col("base")).alias("b"), pii.joined(pii.F.col("spans")).alias("s"))
@@ -257,6 +265,59 @@ def test_boosting_separates():
         assert (sum(pii.tree_value(t, row) for t in trees) > 0) == (pos > 0)
 
 
+def valid_iban(r, land="DE", n=18):
+    rest = "".join(r.choice("0123456789") for _ in range(n))
+    for check in range(2, 99):
+        whole = f"{land}{check:02d}{rest}"
+        if int("".join(str(int(c, 36)) for c in whole[4:] + whole[:4])) % 97 == 1:
+            return whole
+
+
+def test_planted_personal_data_is_selected_and_other_numbers_are_not(spark):
+    r = random.Random(21)
+    prose = lambda n: " ".join(r.choice(ENGLISH) for _ in range(n))
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    personal = {
+        "mail": lambda: ("", f"{r.choice(ENGLISH)}.{r.choice(ENGLISH)} [at] {r.choice(ENGLISH)} [dot] {r.choice(['com', 'org', 'de', 'net'])}"),
+        "tel": lambda: (r.choice(["call me: ", "my phone is ", "Tel. "]), r.choice([f"(0{d(2)}) {d(3)} {d(4)}", f"0{d(3)} {d(3)} {d(4)}", f"{r.randint(201, 989)}-{d(3)}-{d(4)}"])),
+        "ssn": lambda: (r.choice(["her SSN is ", "Social security number: "]), f"{d(3)}-{d(2)}-{d(4)}"),
+        "iban": lambda: (r.choice(["", "IBAN "]), valid_iban(r)),
+        "ip6": lambda: ("", ":".join("%x" % r.getrandbits(16) for _ in range(8))),
+    }
+    other = {
+        "mail": lambda: ("", f"{r.choice(ENGLISH)} [at] {r.choice(ENGLISH)} [dot] {r.choice(['together', 'mountain'])}"),
+        "tel": lambda: (r.choice(["order ", "serial no. ", "item "]), f"{r.randint(201, 989)}-{d(3)}-{d(4)}"),
+        "ssn": lambda: (r.choice(["part ", "invoice no. "]), f"{d(3)}-{d(2)}-{d(4)}"),
+        "iban": lambda: ("", "XY99" + d(16)),
+        "ip6": lambda: (r.choice(["at ", ""]), ":".join("%02d" % r.randrange(60) for _ in range(6))),
+    }
+    texts, want = [], []
+    for made, yes in ((personal, True), (other, False)):
+        for kind in made:
+            for _ in range(60):
+                lead, x = made[kind]()
+                text = prose(12) + " " + lead
+                want.append((f"{kind}:{len(text)}:{len(text) + len(x)}", kind, yes))
+                texts.append(text + x + " " + prose(9))
+    spans = {x["doc_id"]: x["s"] for x in pii.find_personal_data(docs_frame(spark, texts), ["doc_id"]).select("doc_id", pii.joined(F.col("spans")).alias("s")).collect()}
+    for kind in personal:
+        found = [w in spans[i].split(",") for i, (w, k, yes) in enumerate(want) if k == kind and yes]
+        wrong = [any(x.startswith(kind) for x in spans[i].split(",")) for i, (_, k, yes) in enumerate(want) if k == kind and not yes]
+        assert np.mean(found) >= 0.9 and np.mean(wrong) <= 0.1, (kind, np.mean(found), np.mean(wrong))
+
+
+def test_spans_within_a_rules_span_are_left_out(spark):
+    out = pii.find_personal_data(docs_frame(spark, ["call +49 030 123 4567 or call 030 123 4567", "a" * 10 + "@b.co"]), ["doc_id"]).orderBy("doc_id").select(pii.joined(F.col("spans")).alias("s")).collect()
+    assert [x["s"] for x in out] == ["phone:5:21,tel:30:42", "email:0:15"]
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    text = "mail a@b.co and 1.2.3.4 or call 030 123 4567; " * 20_000
+    df = docs_frame(spark, [text, text]).withColumn("base", F.lit(1)).withColumn("x", F.lit("clash"))
+    out = pii.find_personal_data(df, ["doc_id", "x", "base"]).select("doc_id", F.size("spans").alias("n"), F.element_at("spans", -1).alias("last")).collect()
+    assert [(x["n"], x["last"]["b"]) for x in out] == [(60_000, len(text) - 2)] * 2
+
+
 SECRET_RULES = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 6), ("access", re.compile("AKIA[A-Z0-9]+"), 20), ("hex", re.compile("[0-9a-f]+"), 24)]
 
 
