@@ -234,13 +234,6 @@ def pii_texts():
     return ["".join(r.choice(bits) for _ in range(r.randint(1, 12))) for _ in range(1500)]
 
 
-ENGLISH = """the of and water house running over yellow where there night morning people because another through little world
- country still should answer found study learn plant cover food between state keep never start city earth light thought head
- under story left don while along might close something seem next hard open example begin life always those both paper together
- group often until children feet car mile walk white sea began grow took river four carry once book hear stop without second
- later miss idea enough eat face watch far really almost let above girl sometimes mountain cut young talk soon list song being""".split()
-
-
 def test_pii_rules_equal_the_patterns(spark):
     texts = [None, "", *pii_texts(), "9" * 30000, "a." * 9000 + "@b." + "c." * 9000 + "d", "1 " * 20000, "+1" + "-" * 30000, "call (030) 123 4567 IBAN DE89 3704 0044 0532 0130 00 joe [at] mail [dot] com"]
     found = pii.find_personal_data(docs_frame(spark, texts), ["doc_id"]).select("doc_id", pii.joined(pii.F.col("base")).alias("b"), pii.joined(pii.F.col("spans")).alias("s"))
@@ -347,14 +340,107 @@ def test_secret_rules_and_random_tokens(spark):
     assert secrets.find_secrets(docs_frame(spark, ["a"]).limit(0), ["doc_id"]).count() == 0
 
 
+def plain_battery(token):
+    """The three p-values, step by step."""
+    name, body = secrets.infer_encoding(token)
+    alphabet = secrets.ALPHABETS[name]
+    k, n, v = len(alphabet), len(body), [alphabet.index(c) for c in body]
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    chi = sum((v.count(x) - n / k) ** 2 for x in range(k)) / (n / k)
+    uniform = tail(((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1))))
+    up = sum(2 * x >= k for x in v)
+    if up in (0, n):
+        runs = 2.0 ** (1 - n)
+    else:
+        mean = 2 * up * (n - up) / n + 1
+        var = (mean - 1) * (mean - 2) / (n - 1)
+        number = 1 + sum((2 * x >= k) != (2 * y >= k) for x, y in zip(v, v[1:]))
+        share = (k // 2) / k
+        runs = min(2 * tail(abs(number - mean) / math.sqrt(var)) if var > 0 else 1, 2 * tail(abs(up - n * share) / math.sqrt(n * share * (1 - share))))
+    m = sum(v) / n
+    total = sum((x - m) ** 2 for x in v)
+    serial = 2 * tail(abs(sum((x - m) * (y - m) for x, y in zip(v, v[1:])) / total + 1 / n) * math.sqrt(n)) if total else 0
+    return [min(1, p) for p in (uniform, runs, serial)]
+
+
 def test_battery():
-    assert secrets.infer_encoding("DEADBEEF00")[0] == "hex" and secrets.infer_encoding("a-b_")[0] == "base64"
+    names = {"DEADBEEF00": "hex", "a-b_": "base64", "12345": "decimal", "abcxyz": "letter", "ABCXYZ": "letter", "ABC2Z": "base32", "abc2z": "base36", "aBcXyZ": "letters", "aB1": "base62", "aGVsbG8=": "base62"}
+    assert {t: secrets.infer_encoding(t)[0] for t in names} == names
     r = random.Random(1)
-    levels = [secrets.level_of("".join(r.choice("0123456789abcdef") for _ in range(40))) for _ in range(200)]
-    assert np.mean(np.array(levels) <= 8) > 0.95
+    for name, alphabet in secrets.ALPHABETS.items():
+        keys = ["".join(r.choice(alphabet) for _ in range(r.randint(16, 70))) for _ in range(150)]
+        assert np.mean(np.array([secrets.level_of(x) for x in keys]) <= 8) > 0.95, name
+        for x in [*keys[:40], "a" * 20, "ab" * 20, "abcdefghijklmnopqrstuvwxyz" * 2, "=" * 20, "-" * 17, "0" * 30 + "1"]:
+            e, body = secrets.infer_encoding(x)
+            if not body:
+                continue
+            v = np.array([secrets.ALPHABETS[e].index(c) for c in body])
+            assert secrets.battery(v[None, :], len(secrets.ALPHABETS[e]))[0] == pytest.approx(plain_battery(x), abs=2e-4)
     assert secrets.level_of("0123456789abcdef" * 3) > 8 and secrets.level_of("aaaaaaaaaaaaaaaaaaaaaa1") > 8
 
 
+ENGLISH = """the of and water house running over yellow where there night morning people because another through little world
+ country still should answer found study learn plant cover food between state keep never start city earth light thought head
+ under story left don while along might close something seem next hard open example begin life always those both paper together
+ group often until children feet car mile walk white sea began grow took river four carry once book hear stop without second
+ later miss idea enough eat face watch far really almost let above girl sometimes mountain cut young talk soon list song being""".split()
+
+
+def test_controls_are_counted_piece_by_piece():
+    r = random.Random(2)
+    texts = [" ".join(r.choice(ENGLISH) for _ in range(r.randint(0, 300))) + " A1 b2-C3 ü" * r.randint(0, 9) for _ in range(12)] + ["", "x"]
+    want = np.zeros((len(secrets.ENCODINGS) * len(secrets.LENGTH_FROM), secrets.LEVELS), int)
+    for t in texts:
+        for e, (name, alphabet) in enumerate(secrets.ALPHABETS.items()):
+            body = [c for c in (t if name in secrets.TWO_CASES else t.lower()) if c in alphabet]
+            at, turn = 0, len(t) % 7
+            while at + secrets.LENGTH_FROM[turn] <= len(body):
+                n = secrets.LENGTH_FROM[turn]
+                v = np.array([alphabet.index(c) for c in body[at : at + n]])
+                want[e * 7 + turn, secrets.levels_of(v[None, :], len(alphabet))[0]] += 1
+                at, turn = at + n, (turn + 1) % 7
+    assert (secrets.control_counts(texts) == want).all() and want.sum() > 100
+
+
+def test_planted_keys_of_every_encoding_and_the_share_of_false_ones(spark):
+    r = random.Random(9)
+    prose = lambda n: " ".join(r.choice(ENGLISH) for _ in range(n))
+    long_word = lambda: "".join(r.choice(ENGLISH) for _ in range(r.randint(4, 8)))
+    texts, planted = [], {}
+    for name, alphabet in secrets.ALPHABETS.items():
+        if name == "decimal":  # no prose of digits here to tell them from
+            continue
+        for n in (16, 24, 32, 40, 64):
+            for _ in range(20):
+                key = "".join(r.choice(alphabet) for _ in range(n))
+                key = key.upper() if name in ("base32", "hex") else key  # 24 lower-case hex digits are a rule's
+                before = prose(40) + " "
+                planted[len(texts)] = (len(before), len(before) + n, name, n)
+                texts.append(before + key + " " + prose(30))
+    texts += [prose(40) + " " + long_word() + " " + prose(40) + " " + "/".join(r.choice(ENGLISH) for _ in range(6)) for _ in range(1500)]
+    report = {}
+    found = {x["doc_id"]: [(s["a"], s["b"]) for s in x["found_spans"] if s["k"] == 3] for x in secrets.find_secrets(docs_frame(spark, texts), ["doc_id"], report).collect()}
+    true = sum(i in planted and planted[i][:2] == s for i, spans in found.items() for s in spans)
+    every = sum(len(spans) for spans in found.values())
+    assert true >= 350 and every - true <= 0.05 * every, (true, every)
+    caught = {(name, n): sum(planted[i][:2] in found[i] for i in planted if planted[i][2:] == (name, n)) for name in secrets.ALPHABETS for n in (16, 24, 32, 40, 64)}
+    for name in ("hex", "base32", "base36", "letters", "base62", "base64"):
+        assert [caught[name, n] >= least for n, least in ((24, 10), (32, 14), (40, 14))] == [True] * 3, (name, sorted(caught.items()))
+    assert all(caught[name, 16] >= 14 for name in ("hex", "letters", "base62", "base64")), sorted(caught.items())
+    assert caught["letter", 64] >= 14, sorted(caught.items())  # only letters of one case: told from long words by their length
+
+
+def test_secrets_in_awkward_texts(spark):
+    r = random.Random(3)
+    huge = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(300_000))
+    many = "password=abcdefgh " * 20_000
+    df = docs_frame(spark, [huge, many, many, "=" * 5000, None]).withColumn("found", F.lit(1)).withColumn("base_spans", F.lit("x"))
+    out = {x["doc_id"]: x for x in secrets.find_secrets(df.select("doc_id", "text"), ["doc_id"]).collect()}
+    assert out[1]["n_assign"] == 20_000 and out[1]["found_spans"] == out[2]["found_spans"] and len(out) == 5
+    red = {x["doc_id"]: x for x in secrets.redact(df).collect()}
+    assert red[1]["text"] == "[SECRET] " * 20_000 and red[1]["found"] == 1 and red[4]["text"] is None
+
+
 # --- near duplicates ---------------------------------------------------------------------------------------------------------
 
 
