@@ -1,21 +1,26 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Each of ``TABLES`` hash tables cuts ``HASHES`` Gaussian projections into cells of one width. For a query, a bucket's
-estimated success is the probability that a point at neighbour distance falls into it: the product, over projections, of
-the normal mass of the bucket's cell around the query's projection. Buckets, the query's own and perturbed ones alike, are
-visited in that order down to a level; candidates of all tables are merged and reranked by exact distance.
+Each of ``TABLES`` hash tables cuts ``HASHES`` Gaussian projections into cells of one width; a row's bucket in a table is its
+tuple of cells. For a query, a bucket's estimated success is the probability that a point at neighbour distance falls into
+it: the product, over projections, of the normal mass of the bucket's cell around the query's projection. Buckets, the
+query's own and perturbed ones alike, are visited in that order down to a level; distances are computed for the rows of
+visited buckets only, and the candidates of all tables are merged and ranked by exact distance.
 
-Width and level are fitted on at most about ``SAMPLE_ROWS`` rows: the level is the one at which ``TARGET`` of the sample's
-true neighbours lie in a visited bucket. Every row is indexed. Where fewer than ``k`` candidates are found, probing goes
-on. On data without structure the level falls until most buckets are visited, which costs time, not recall.
+The first cells of a bucket (as many as cut the table into groups of about ``GROUP_ROWS`` rows) are the key by which rows
+are dealt: every row is sent once a table, every query to the keys that can hold a visited bucket, found by walking the
+perturbations in order of success. Groups of more than ``INDEX_BLOCK`` rows are cut into blocks by hash, and more than
+``QUERY_BLOCK`` queries of one group too. A task returns at most ``k + 1`` rows a query and group.
 
-Index and queries are cut into blocks by hash; a task holds one block of each with its own tables, so a bucket that holds
-a third of all rows is spread over all index blocks. A task returns at most ``k`` rows a query.
+Width and level are fitted on at most about ``SAMPLE_ROWS`` rows: the level is the one at which ``TARGET`` of the sample's
+true neighbours lie in a visited bucket (in the whole table neighbours are nearer, hence likelier). Every row is indexed.
+Queries for which fewer than ``k`` candidates were found, and dimensions other than the commonest, are searched exactly,
+block by block. ``report`` receives the share of rows visited. Without structure in the data many buckets are as likely as
+each other, and the share is large: about a tenth of isotropic vectors of 64 dimensions.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows with null
-vec_id; candidates have the query's dimension (dimensions other than the commonest are searched without tables); a row
-with the query's vec_id is its own; rows that repeat a vec_id are separate candidates, of which the smaller ids come
-first at equal distance; empty tables give no rows; other columns are ignored.
+vec_id; candidates have the query's dimension; the query's own row is one row of its vec_id at distance 0; rows that repeat a
+vec_id are separate candidates and separate queries, each with a ranking of its own; equal distances go to smaller ids;
+empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,17 +29,22 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import short_batches, staged
 from .vecs import sample, usable
 
 K = 10
-TABLES, HASHES = 6, 4
-SAMPLE_ROWS, SAMPLE_QUERIES = 4_096, 192
-TARGET = 0.998
+TABLES, HASHES = 4, 32
+SAMPLE_ROWS, SAMPLE_QUERIES = 4_096, 256
+TARGET = 0.95
+GROUP_ROWS = 4_096
 INDEX_BLOCK, QUERY_BLOCK = 8_192, 2_048
+QUERIES = 128  # of a task that are compared at a time
 _STEPS = 2048  # resolution of the normal distribution's table, over +-8
+_FLOOR = math.log(1e-12)
 
 
 def _normal_table() -> np.ndarray:
@@ -50,119 +60,230 @@ def normal_cdf(z: np.ndarray) -> np.ndarray:
 
 
 class Hashing:
-    """Projections, cell width, neighbour distance and visiting level."""
+    """Projections, cell width, neighbour distance, visiting level and length of the key."""
 
     def __init__(self, dim: int, radius: float, width: float, seed: int = 1):
         rng = np.random.default_rng(seed)
-        self.dim, self.radius, self.width, self.level = dim, radius, width, -math.inf
+        self.dim, self.radius, self.width, self.level, self.key = dim, radius, width, -math.inf, 0
         self.a = rng.normal(size=(dim, TABLES * HASHES))
         self.b = rng.uniform(0, width, TABLES * HASHES)
 
     def project(self, x: np.ndarray) -> np.ndarray:
-        return (x @ self.a + self.b) / self.width
+        """Places of the rows, in cells, by table: rows x TABLES x HASHES."""
+        return ((x @ self.a + self.b) / self.width).reshape(len(x), TABLES, HASHES)
 
     def success(self, at: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        """Log probability of each cell (columns) around each projection (rows)."""
+        """Log probability that a neighbour of a point at ``at`` falls into ``cells`` (arrays that broadcast)."""
         scale = self.width / self.radius
-        lo = (cells[None, :] - at[:, None]) * scale
+        lo = (cells - at) * scale
         return np.log(np.maximum(normal_cdf(lo + scale) - normal_cdf(lo), 1e-12))
 
-    def bucket_success(self, queries: np.ndarray, buckets: np.ndarray, table: int) -> np.ndarray:
-        """queries: projections; buckets: cell numbers of one table -> log probability, queries by buckets."""
-        out = np.zeros((len(queries), len(buckets)))
-        for h in range(HASHES):
-            cells, inverse = np.unique(buckets[:, h], return_inverse=True)
-            out += self.success(queries[:, table * HASHES + h], cells)[:, inverse]
-        return out
+    def probes(self, at: np.ndarray) -> np.ndarray:
+        """Keys (tuples of cells) that can hold a visited bucket of one table, given a query's places in it.
+
+        A key is kept while its own cells and the likeliest cells behind it reach the level."""
+        own = np.floor(at)
+        best = self.success(at, own)
+        behind = np.append(np.cumsum(best[::-1])[::-1], 0.0)  # the most that cells from h on can add
+        keys, held = np.zeros((1, 0), np.int64), np.zeros(1)
+        reach = max(1, math.ceil(8 * self.radius / self.width))
+        for h in range(self.key):
+            cells = own[h] + np.arange(-reach, reach + 1)
+            lp = self.success(at[h], cells)
+            total = held[:, None] + lp[None, :]
+            i, j = np.nonzero((total + behind[h + 1] >= self.level) & (lp[None, :] > _FLOOR + 1e-9))
+            keys, held = np.concatenate([keys[i], cells[j].astype(np.int64)[:, None]], 1), total[i, j]
+        return keys[np.argsort(-held, kind="stable")]
 
 
-def fit(x: np.ndarray, k: int = K, target: float = TARGET) -> Hashing | None:
-    """Fit width and level on a sample."""
+def key_hash(cells: np.ndarray, table) -> np.ndarray:
+    """One number for each row of cells, of one table."""
+    h = np.full(len(cells), 0x9E3779B97F4A7C15, np.uint64) * (np.asarray(table).astype(np.uint64) + np.uint64(1))
+    for c in cells.T:
+        h = (h ^ c.astype(np.int64).view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
+
+
+def fit(x: np.ndarray, rows: int, k: int = K, target: float = TARGET) -> Hashing | None:
+    """Fit width, level and key length on a sample of a table of so many rows."""
     if len(x) < 2:
         return None
+    x = x[np.random.default_rng(3).permutation(len(x))]
     queries = x[: min(SAMPLE_QUERIES, len(x))]
     d = np.sqrt(np.maximum(0, (queries**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * queries @ x.T))
     d[np.arange(len(queries)), np.arange(len(queries))] = np.inf
     k = min(k, len(x) - 1)
     near = np.argpartition(d, k - 1, axis=1)[:, :k]
-    radius = max(float(np.median(np.take_along_axis(d, near, 1))), 1e-9)
+    apart = np.take_along_axis(d, near, 1)
+    apart = apart[apart > 1e-6 * np.sqrt((x**2).sum(1).mean())]  # not copies
+    if not len(apart):
+        apart = d[np.isfinite(d) & (d > 0)]
+    radius = float(np.median(apart)) if len(apart) else 1.0
     model = Hashing(x.shape[1], radius, width=radius)
-    pq, px = model.project(queries), np.floor(model.project(x))
+    places, cells = model.project(queries), np.floor(model.project(x))
     best = np.full(near.shape, -math.inf)
     for t in range(TABLES):
-        lp = np.zeros(near.shape)
-        for h in range(HASHES):
-            c = t * HASHES + h
-            scale = model.width / model.radius
-            lo = (px[near, c] - pq[:, c][:, None]) * scale
-            lp += np.log(np.maximum(normal_cdf(lo + scale) - normal_cdf(lo), 1e-12))
-        best = np.maximum(best, lp)
-    model.level = float(np.quantile(best, 1 - target)) - 1e-9
+        best = np.maximum(best, model.success(places[:, t][:, None, :], cells[near, t]).sum(-1))
+    model.level = float(np.quantile(best, 1 - target)) - 1e-3
+    spread = []
+    for h in range(HASHES):
+        _, n = np.unique(cells[:, 0, h], return_counts=True)
+        p = n / n.sum()
+        spread.append(float(-(p * np.log(p)).sum()))
+    each = max(float(np.mean(spread)), 0.1)
+    model.key = min(HASHES, max(0, round(math.log(max(rows / GROUP_ROWS, 1)) / each)))
     return model
 
 
-def search_block(model: Hashing | None, q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int = K):
-    """Nearest of the block's visited rows for each query: arrays query_id, vec_id, score."""
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    tables = []
+def exact_nearest(q: np.ndarray, x: np.ndarray, x_id: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of the rows ``at`` to one query: rows and distances, ties to smaller ids."""
+    d = np.sqrt(((x[at] - q) ** 2).sum(1))
+    if len(at) > k:
+        some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+        at, d = at[some], d[some]
+    order = np.lexsort((x_id[at], d))[:k]
+    return at[order], d[order]
+
+
+def search_block(model: Hashing | None, table: int, q: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int):
+    """For each query (row number, rows found, distances, rows visited) among the rows of a block; all rows without model."""
     if model is not None:
-        cells = np.floor(model.project(x)).astype(np.int64)
-        for t in range(TABLES):
-            buckets, inverse = np.unique(cells[:, t * HASHES : (t + 1) * HASHES], axis=0, return_inverse=True)
-            tables.append((buckets, inverse.reshape(-1), np.bincount(inverse.reshape(-1))))
-    norms = (x**2).sum(1)
-    for a in range(0, len(q), 256):
-        b = min(a + 256, len(q))
-        visited = np.ones((b - a, len(x)), bool)
+        places, cells = model.project(q)[:, table], np.floor(model.project(x)[:, table])
+        kinds = [np.unique(cells[:, h], return_inverse=True) for h in range(HASHES)]  # cells of the block, and each row's
+        first = np.cumsum([0, *(len(c) for c, _ in kinds)])
+        onehot = None
+        if first[-1] <= 512:
+            onehot = np.zeros((len(x), first[-1]), np.float32)
+            np.put_along_axis(onehot, np.stack([i for _, i in kinds], 1) + first[:-1], 1, 1)
+    for a in range(0, len(q), QUERIES):
+        b = min(a + QUERIES, len(q))
         if model is not None:
-            visited[:] = False
-            projected = model.project(q[a:b])
-            for t, (buckets, inverse, size) in enumerate(tables):
-                lp = model.bucket_success(projected, buckets, t)
-                probe = lp >= model.level
-                few = np.flatnonzero(probe @ size < k + 1)
-                if len(few):  # go on down the order until enough rows are met
-                    order = np.argsort(-lp[few], axis=1, kind="stable")
-                    need = (np.cumsum(size[order], axis=1) < k + 1).sum(1) + 1
-                    for r, i in enumerate(few):
-                        probe[i, order[r, : need[r]]] = True
-                visited |= probe[:, inverse]
-        d = (q[a:b] ** 2).sum(1)[:, None] + norms[None] - 2 * q[a:b] @ x.T
-        d[~visited | (q_id[a:b, None] == x_id[None])] = np.inf
-        for i in range(b - a):
-            row = d[i]
-            kth = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-            slack = 1e-9 * (1 + float(norms.max()))
-            at = np.flatnonzero((row <= kth + slack) & np.isfinite(row))
-            exact = np.sqrt(((x[at] - q[a + i]) ** 2).sum(1))
-            order = np.lexsort((x_id[at], exact))[:k]
-            found.append((np.full(len(order), q_id[a + i]), x_id[at][order], exact[order]))
-    return [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+            lp = [model.success(places[a:b, h, None], c[None, :]).astype(np.float32) for h, (c, _) in enumerate(kinds)]
+            if onehot is not None:
+                score = np.concatenate(lp, 1) @ onehot.T
+            else:
+                score = np.zeros((b - a, len(x)), np.float32)
+                for own, (_, i) in zip(lp, kinds):
+                    score += own[:, i]
+        for i in range(a, b):
+            at = np.flatnonzero(score[i - a] >= model.level) if model is not None else np.arange(len(x))
+            rows, d = exact_nearest(q[i], x, x_id, at, k)
+            yield i, rows, d, len(at)
+
+
+FOUND = "qn long, rn long, vec_id long, score double"
+
+
+def _matrix(x) -> np.ndarray:
+    return np.stack(x.to_list()).astype(np.float64)
+
+
+def _search(model, k: int):
+    """Cogrouped queries and rows of a group -> FOUND; rn -1 counts the rows visited (as vec_id)."""
+
+    def run(key, q: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = {"qn": [], "rn": [], "vec_id": [], "score": []}
+        if len(q) and len(rows):
+            x, rn, ids, qn = _matrix(rows["x"]), rows["rn"].to_numpy(), rows["vec_id"].to_numpy(), q["qn"].to_numpy()
+            own = model.value if model is not None else None
+            for i, at, d, visited in search_block(own, int(key[0]), _matrix(q["x"]), x, ids, k):
+                out["qn"].append(np.full(len(at) + 1, qn[i]))
+                out["rn"].append(np.append(rn[at], -1))
+                out["vec_id"].append(np.append(ids[at], visited))
+                out["score"].append(np.append(d, np.nan))
+        return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0) for c, v in out.items()}).astype({"qn": "int64", "rn": "int64", "vec_id": "int64", "score": "float64"})
+
+    return run
+
+
+def _by_table(rows: DataFrame, model, probe: bool) -> DataFrame:
+    """Rows with the group (``t``, ``g``) each is dealt to in every table, or with all groups a query asks."""
+    number = "qn" if probe else "rn"
+    held = [number] if probe else [number, "vec_id", "x"]  # a query's vector follows where a group is there
+
+    def run(batches):
+        m = model.value
+        for b in batches:
+            x = np.stack(b.column("x").to_numpy(zero_copy_only=False)).astype(np.float64) if b.num_rows else np.zeros((0, m.dim))
+            places = m.project(x)
+            for lo in range(0, len(x), 256):
+                part = places[lo : lo + 256]
+                source, t, g = [], [], []
+                for table in range(TABLES):
+                    if probe:
+                        keys = [m.probes(p[table]) for p in part]
+                        n = [len(y) for y in keys]
+                        source.append(np.repeat(np.arange(len(part)), n))
+                        g.append(key_hash(np.concatenate(keys), table))
+                    else:
+                        source.append(np.arange(len(part)))
+                        g.append(key_hash(np.floor(part[:, table, : m.key]).astype(np.int64), table))
+                    t.append(np.full(len(g[-1]), table, np.int32))
+                source = np.concatenate(source)
+                t, g = np.concatenate(t), np.concatenate(g)
+                for a in range(0, len(source), 4096):
+                    some = b.take(pa.array(lo + source[a : a + 4096]))
+                    yield pa.RecordBatch.from_arrays([*(some.column(c) for c in held), pa.array(t[a : a + 4096]), pa.array(g[a : a + 4096])], [*held, "t", "g"])
+
+    kind = {"qn": "long", "rn": "long", "vec_id": "long", "x": rows.schema["x"].dataType.simpleString()}
+    return rows.select(number, "vec_id", "x").mapInArrow(run, ", ".join(f"{c} {kind[c]}" for c in held) + ", t int, g long")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, report: dict | None = None) -> DataFrame:
     """vectors, queries: vec_id, embedding -> query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
-    index, asked = usable(vectors), usable(queries)
-    _, dim, x = sample(index, 11, SAMPLE_ROWS)
-    model = spark.sparkContext.broadcast(fit(x, k))
-    n_index, n_query = max(1, -(-index.count() // INDEX_BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    block = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
-    left = asked.select("vec_id", "x", "dim", block(n_query, 2).alias("qb")).withColumn("ib", every(n_index))
-    right = index.select("vec_id", "x", "dim", block(n_index, 3).alias("ib")).withColumn("qb", every(n_query))
+    short_batches(spark, 4096)
+    index = staged(usable(vectors).select(F.monotonically_increasing_id().alias("rn"), "*"), "index")
+    asked = staged(usable(queries).select(F.monotonically_increasing_id().alias("qn"), "*"), "queries")
+    n, dim, x = sample(index, "rn", 11, SAMPLE_ROWS)
+    fitted = fit(x, n, k)
+    keys = ("t", "g", "ib", "qb")
+    found = None
+    if fitted is not None:
+        model = spark.sparkContext.broadcast(fitted)
+        rows, probes = _by_table(index.where(F.col("dim") == dim), model, False), _by_table(asked.where(F.col("dim") == dim), model, True)
+        count = lambda df, name, block: df.groupBy("t", "g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+        asks = staged(probes, "probes")
+        many = staged(count(rows, "n_ib", INDEX_BLOCK).join(count(asks, "n_qb", QUERY_BLOCK), ["t", "g"]), "groups")
+        block = lambda number, parts: F.pmod(F.xxhash64(number, "t"), F.col(parts)).cast("int")
+        every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+        right = rows.join(many, ["t", "g"]).withColumn("ib", block("rn", "n_ib")).withColumn("qb", every("n_qb")).drop("n_ib", "n_qb")
+        left = asks.join(many, ["t", "g"]).join(asked.select("qn", "x"), "qn").withColumn("qb", block("qn", "n_qb")).withColumn("ib", every("n_ib")).drop("n_ib", "n_qb")
+        found = staged(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_search(model, k + 1), FOUND), "found")
+        if report is not None:
+            visited = found.where("rn < 0").agg(F.sum("vec_id")).first()[0] or 0
+            report["visits_share"] = visited / max(1, n * asked.where(F.col("dim") == dim).count())  # a row counts once a table
+        found = found.where("rn >= 0")
+    few = asked.select("qn")
+    if found is not None:
+        few = few.join(found.groupBy("qn").agg(F.countDistinct("rn").alias("n")).where(F.col("n") > k).select("qn"), "qn", "left_anti")
+    rest = staged(few.join(asked, "qn"), "rest")
+    if report is not None:
+        report["searched_exactly"] = rest.count()
+    if not rest.isEmpty():
+        exact = _exactly(index, rest, k + 1)
+        found = exact if found is None else found.unionByName(exact)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    once = found.groupBy("qn", "rn").agg(F.first("vec_id").alias("vec_id"), F.first("score").alias("score"))
+    named = once.join(asked.select("qn", F.col("vec_id").alias("query_id")), "qn")
+    own = F.min(F.when((F.col("vec_id") == F.col("query_id")) & (F.col("score") == 0), F.col("rn"))).over(Window.partitionBy("qn"))
+    others = named.withColumn("_own", own).where(F.col("_own").isNull() | (F.col("rn") != F.col("_own")))
+    rank = F.row_number().over(Window.partitionBy("qn").orderBy("score", "vec_id", "rn"))
+    return others.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    def search(key, q: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(rows):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        own = model.value if int(key[0]) == dim else None
-        got = search_block(own, np.stack(q["x"].to_list()), q["vec_id"].to_numpy(), np.stack(rows["x"].to_list()), rows["vec_id"].to_numpy(), k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), got)))
 
+def _exactly(index: DataFrame, rest: DataFrame, k: int) -> DataFrame:
+    """The k nearest of all rows of each query's dimension, in blocks. ``rest`` is few."""
+    n_index = max(1, -(-index.count() // INDEX_BLOCK))
+    n_query = max(1, -(-rest.count() // QUERY_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda number, n: F.pmod(F.xxhash64(number), F.lit(n)).cast("int")
+    left = rest.withColumn("qb", block("qn", n_query)).withColumn("ib", every(n_index))
+    right = index.join(rest.select("dim").distinct(), "dim").withColumn("ib", block("rn", n_index)).withColumn("qb", every(n_query))
     keys = ("dim", "ib", "qb")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_search(None, k), FOUND).where("rn >= 0")
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,7 +61,14 @@ def cells_of(u: np.ndarray, c: np.ndarray, half: float) -> tuple[np.ndarray, np.
     return home, near
 
 
-SHOWN = "cell int, home int, guests array<int>, rep long, n_copies long, x array<double>, dim int"
+def units(v: np.ndarray) -> np.ndarray:
+    """Rows of length 1, in double precision."""
+    v = v.astype(np.float64)
+    v = v / np.abs(v).max(1)[:, None]
+    return v / np.linalg.norm(v, axis=1)[:, None]
+
+
+SHOWN = "cell int, home int, guests array<int>, rep long, n_copies long, x array<%s>, dim int"
 LINKS = "doc long, links long, root long"
 
 
@@ -69,7 +76,7 @@ def compare(key, pdf: pd.DataFrame, cosine: float = COSINE) -> pd.DataFrame:
     """Links of a cell's own block i with block j (key: dim, cell, i, j), which is own or of guests."""
     cell, i, j = int(key[1]), int(key[2]), int(key[3])
     block = pdf["block"].to_numpy()
-    u = np.stack(pdf["x"].to_list())
+    u = units(np.stack(pdf["x"].to_list()))
     rep, home, guests = pdf["rep"].to_numpy(np.int64), pdf["home"].to_numpy(), pdf["guests"].to_list()
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
     a, b = np.nonzero(u[left] @ u[right].T >= cosine)
@@ -104,7 +111,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     rows = usable(vectors)
     distinct = rows.select("vec_id", "x", "dim", *key).groupBy("key1", "key2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("x").alias("x"), F.first("dim").alias("dim"))
     distinct = staged(distinct, "vectors")
-    n, dim, x = sample(distinct.withColumnRenamed("rep", "vec_id"), 7, SAMPLE_ROWS)
+    n, dim, x = sample(distinct, "key1", 7, SAMPLE_ROWS)
     centroids = {}
     if len(x):
         centroids[dim] = spherical_kmeans(x / np.linalg.norm(x, axis=1)[:, None], min(MOST_CELLS, max(1, n // ROWS_PER_CELL), max(1, len(x) // 8)))
@@ -117,8 +124,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
                 at = np.flatnonzero(dims == d)
                 part = b.take(pa.array(at))
                 v = part.column("x").flatten().to_numpy().reshape(len(at), d)
-                v = v / np.abs(v).max(1)[:, None]
-                u = v / np.linalg.norm(v, axis=1)[:, None]
+                u = units(v)
                 c = held.value.get(int(d))
                 if c is None:
                     home, near = np.zeros(len(at), int), np.zeros((len(at), 1), bool)
@@ -133,9 +139,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
                 rep, copies = part.column("rep").to_numpy(), part.column("n_copies").to_numpy()
                 for a in range(0, len(source), 4096):
                     s = source[a : a + 4096]
-                    yield pa.RecordBatch.from_pydict({"cell": pa.array(cell[a : a + 4096], pa.int32()), "home": pa.array(home[s], pa.int32()), "guests": pa.array(guests[a : a + 4096], pa.list_(pa.int32())), "rep": pa.array(rep[s]), "n_copies": pa.array(copies[s]), "x": pa.array(list(u[s]), pa.list_(pa.float64())), "dim": pa.array(np.full(len(s), d), pa.int32())})
+                    yield pa.RecordBatch.from_pydict({"cell": pa.array(cell[a : a + 4096], pa.int32()), "home": pa.array(home[s], pa.int32()), "guests": pa.array(guests[a : a + 4096], pa.list_(pa.int32())), "rep": pa.array(rep[s]), "n_copies": pa.array(copies[s]), "x": pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1) * d, pa.int32()), pa.array(v[s].reshape(-1))), "dim": pa.array(np.full(len(s), d), pa.int32())})
 
-    shown = staged(distinct.select("rep", "n_copies", "x", "dim").mapInArrow(show, SHOWN), "cells")
+    number = distinct.schema["x"].dataType.elementType.simpleString()
+    shown = staged(distinct.select("rep", "n_copies", "x", "dim").mapInArrow(show, SHOWN % number), "cells")
     own = F.col("home") == F.col("cell")
     loads = shown.groupBy("dim", "cell").agg(F.ceil(F.count_if(own) / block).cast("int").alias("n_own"), F.ceil(F.count_if(~own) / (4 * block)).cast("int").alias("n_guest"))
     # at most MOST_CELLS cells of each dimension: small enough to broadcast while dimensions are few; the planner decides
@@ -148,7 +155,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     links = found.groupBy("doc").agg(F.sum("links").alias("links")).withColumnRenamed("doc", "rep")
     component = connected_components(found.select(F.col("doc").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("rep"), "component")
     classes = distinct.select("key1", "key2", "rep", "n_copies").join(links, "rep", "left").join(component, "rep", "left")
-    plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{number}>").alias("embedding"))
     fine = F.col("vec_id").isNotNull() & takes_part()
     keyed = plain.select("vec_id", F.when(fine, F.xxhash64("embedding")).alias("key1"), F.when(fine, F.xxhash64("embedding", F.lit(1))).alias("key2"))
     out = keyed.join(classes, ["key1", "key2"], "left")

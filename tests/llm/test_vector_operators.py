@@ -55,12 +55,54 @@ def test_ties_go_to_smaller_ids(spark):
     assert [r["vec_id"] for r in ann.nearest(df, df.where("vec_id = 0")).orderBy("rank").collect()] == list(range(2, 12))
 
 
-def test_buckets_in_order_of_success():
+def test_probes_come_in_order_of_success_and_leave_out_no_key():
     m = ann.Hashing(8, radius=1.0, width=1.0)
-    at = np.array([[0.5] * (ann.TABLES * ann.HASHES)])
-    cells = np.array([[0] * ann.HASHES, [1] + [0] * (ann.HASHES - 1), [2] * ann.HASHES])
-    lp = m.bucket_success(at, cells, 0)[0]
-    assert lp[0] > lp[1] > lp[2]
+    rng = np.random.default_rng(4)
+    at = rng.uniform(0, 5, ann.HASHES)
+    m.key, m.level = 2, sum(m.success(at, np.floor(at))) - 3.0
+    keys = m.probes(at)
+    lp = np.array([m.success(at[:2], k).sum() for k in keys])
+    assert (np.diff(lp) <= 1e-9).all() and keys[0].tolist() == np.floor(at[:2]).astype(int).tolist()
+    behind = m.success(at[2:], np.floor(at[2:])).sum()
+    want = {(i, j) for i in range(-9, 15) for j in range(-9, 15) if m.success(at[:2], np.array([i, j])).sum() + behind >= m.level}
+    assert {tuple(k) for k in keys.tolist()} == want
+
+
+def test_clustered_vectors_are_found_among_few(spark):
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(60, 24))
+    x = (centers[rng.integers(0, 60, 9000)] + 0.15 * rng.normal(size=(9000, 24))).astype(np.float32).astype(float)
+    df, report = frame(spark, list(enumerate(x))), {}
+    rows = ann.nearest(df, df.where("vec_id % 50 = 0"), report=report).toPandas()
+    hit = 0
+    for q, own in rows.groupby("query_id"):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(set(np.argsort(d, kind="stable")[:10]) & set(own["vec_id"]))
+    assert hit >= 0.9 * 10 * 180 and report["visits_share"] < 0.1, (hit, report)
+
+
+def test_repeated_ids_are_queries_and_candidates_of_their_own(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(30, 4))
+    rows = [(100 if i < 2 else i, v) for i, v in enumerate(x)] + [(7, x[7]), (100, x[0])]  # 100: two vectors, one of them twice
+    df = frame(spark, rows)
+    got = ann.nearest(df, df.where("vec_id = 100")).toPandas()
+    assert got.groupby("rank").size().tolist() == [3] * 10
+    x = np.float32([v for _, v in rows]).astype(float)
+    want = []
+    for i in (0, 1, 31):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        order = sorted((d[j], rows[j][0], j) for j in range(len(rows)) if j != i)[:10]
+        want += [(r + 1, v, s) for r, (s, v, _) in enumerate(order)]
+    assert sorted(zip(got["rank"].tolist(), got["vec_id"].tolist(), got["score"].tolist())) == sorted(want)
+
+
+def test_no_row_is_lost_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "INDEX_BLOCK", 50)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(ann, "GROUP_ROWS", 40)
+    test_nearest_recall_order_and_scores(spark)
 
 
 def brute(x, cosine=0.95):
