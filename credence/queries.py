@@ -209,13 +209,6 @@ def q_digitize_codes(spark, sf):
     return e.groupBy("event_type", "code").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high"))
 
 
-@query()
-def q_entropy_bins_full(spark, sf):
-    df = table(spark, sf, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
-    m = TableEncoder("l_returnflag").fit(df)
-    return spark.createDataFrame([(p.name, float(t)) for p in m.profiles for t in p.thresholds], "name string, threshold double")
-
-
 # --- counts and information ------------------------------------------------------------------------------------------------
 
 
@@ -783,23 +776,6 @@ def q_hill_climb_edges(spark, sf):
     return spark.createDataFrame(r.graph.edges(), "source string, target string")
 
 
-@query()
-def q_pruned_edges(spark, sf):
-    parts = holdout(li(spark, sf).withColumn("_id", F.monotonically_increasing_id()), 7, 0.0, 0.2)
-    store = CountStore(parts.where("split = 'train'").select(*COLUMNS), cards=CARDS)
-    s = screening.screen(None, None, store, ScreenerConfig(strategy="mi_filter"))
-    config = SearchConfig(max_iters=8, prune_min_edges_real=2)
-    r = HillClimb(store, TARGET, config, s.pools, screening.search_support(s), "real").fit(parts.where("split = 'valid'").select(*COLUMNS).persist())
-    return spark.createDataFrame([(p, c, "kept") for p, c in r.graph.edges()] + [tuple(x.split()[1].split("->")) + ("pruned",) for x in r.pruned], "source string, target string, status string")
-
-
-@query()
-def q_greedy_edges(spark, sf):
-    store = li_store(spark, sf)
-    r = HillClimb(store, TARGET, SearchConfig(warm_start="empty"), screening.full_pools(COLUMNS)).fit()
-    return spark.createDataFrame(r.graph.edges(), "source string, target string")
-
-
 @query()
 def q_mlp_edge_scores(spark, sf):
     from .operators.neural import neural_edges

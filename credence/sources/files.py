@@ -54,7 +54,8 @@ def scratch(spark: SparkSession, label: str) -> str:
     """A fresh folder in the place that driver and executors share; a temporary one only where the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="credence-")
     return f"{named.rstrip('/')}/credence/{label}-{uuid.uuid4().hex}"

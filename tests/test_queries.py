@@ -5,10 +5,13 @@ import os
 import duckdb
 import pytest
 
-from credence.queries import oracle_sql, queries
+from credence import checks
+from credence import queries as engine
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+queries = lambda: engine.queries() | checks.queries()
+oracle_sql = lambda: engine.oracle_sql() | checks.oracle_sql()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
