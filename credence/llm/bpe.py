@@ -1,10 +1,11 @@
 """Byte-pair encoding and decoding by dynamic programming over prefixes.
 
 For every prefix of a segment there is exactly one token that can end its encoding. An automaton over the vocabulary's
-byte strings (suffix links: every match that ends at a position is listed, longest first) proposes the tokens ending
-there; a proposal is right if it may follow the last token of the prefix before it, which a test of the pair decides:
-undoing the merges along the boundary must never meet a pair that would have merged earlier. The last tokens are stored
-and following them back gives the ids. No merge is ever simulated on the text.
+byte strings proposes the tokens that end there, the longest first. It is an Aho-Corasick automaton, that is the vocabulary's
+trie with suffix links: it lists the same matches as a suffix automaton of the vocabulary would, without the factors that are
+no tokens, and takes its place here. A proposal is right if it may follow the last token of the prefix before it, which a
+test of the pair decides: undoing the merges along the boundary must never meet a pair that would have merged earlier. The
+last tokens are stored and following them back gives the ids. No merge is ever simulated on the text.
 
 Edge cases: null text counts as empty (no ids, empty decoded text); texts that spell the special token get its id; very
 long segments cost time in proportion to their length; other columns are ignored; repeated rows give repeated results.
@@ -62,7 +63,8 @@ class PrefixBPE:
                 self.halves[whole], self.made[whole] = pair, r
         self.automaton = ahocorasick.Automaton()
         for k, v in self.id_of.items():
-            self.automaton.add_word(k.decode("latin-1"), (len(k), v))
+            if v not in self.halves or self.reachable(v):  # others never occur: their own merges lead elsewhere
+                self.automaton.add_word(k.decode("latin-1"), (len(k), v))
         self.automaton.make_automaton()
         self.memo: dict[int, bool] = {}
         self.cache = WordIds(lambda words: list(map(self.encode_segment, words)), limit=600_000)
@@ -103,9 +105,6 @@ class PrefixBPE:
 
     def encode_segment(self, text: str) -> list[int]:
         data = text.encode()
-        whole = self.id_of.get(data)
-        if whole is not None and (whole not in self.halves or self._reachable(whole)):
-            return [whole]
         n = len(data)
         last, size = [-1] * n, [0] * n
         compatible = self.compatible
@@ -121,7 +120,7 @@ class PrefixBPE:
             at -= size[at]
         return out[::-1]
 
-    def _reachable(self, token: int) -> bool:
+    def reachable(self, token: int) -> bool:
         """Whether the merges do arrive at this token from its bytes: its halves must be compatible but for this merge."""
         a, b = self.halves[token]
         r = self.made[token]
