@@ -2,7 +2,8 @@
 
 Intermediate tables are written as Parquet under the shared folder that the cluster names in ``spark.checkpoint.dir``
 and read back, which cuts lineage in a form that survives the loss of an executor. Where that setting is absent (local
-tests) a temporary folder is registered once as the checkpoint folder.
+tests) a temporary folder is registered once as the checkpoint folder; on a cluster its absence is an error. The tables stay
+there, since the returned frames read them: an expiry rule on the folder clears them away.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         sc = spark.sparkContext
         named = sc.getCheckpointDir()
         if not named:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="credence-"))
             named = sc.getCheckpointDir()
     return named.rstrip("/")

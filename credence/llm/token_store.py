@@ -36,7 +36,9 @@ SKIPPABLE, SEEKABLE, CHECKED = 0x184D2A5E, 0x8F92EAB1, 0x80
 #: Bytes of ids in a frame, before compression, after which it is closed; a longer document has a frame to itself.
 FRAME_BYTES = 1 << 20
 #: Text bytes (Parquet file bytes, about half of the text) that a shard is meant to hold.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20  # of text, about
+MOST_READERS = 10_000  # tasks that read shards
+MOST_BROADCAST = 1_000_000  # shards whose starts are broadcast
 END_ID = 1
 
 MANIFEST = "path string, shard int, n_docs long, n_tokens long"
@@ -139,8 +141,8 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
     spark = docs.sparkSession
     short_batches(spark)
     if shards is None:
-        size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        shards = min(100_000, max(1, int(size) // SHARD_BYTES))
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(1, -(-size // SHARD_BYTES))
 
     def write(batches):
         from pyspark import TaskContext
@@ -205,7 +207,7 @@ def read_store(manifest: DataFrame, wanted: set[int] | None = None, with_ids: bo
                 yield pa.RecordBatch.from_pydict(cols)
 
     paths = manifest.select("path", "shard")
-    return paths.repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism), "path").mapInArrow(read, schema)
+    return paths.repartition(max(1, min(paths.count(), MOST_READERS))).mapInArrow(read, schema)  # in turn, a shard or some a task
 
 
 def shard_starts(manifest: DataFrame) -> DataFrame:
@@ -222,9 +224,12 @@ def shard_starts(manifest: DataFrame) -> DataFrame:
 def op9_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """Write all documents to a store and report each document from the files.
 
-    The starts of shards (at most 100,000 small rows, see ``write_store``) are broadcast; the documents never are."""
+    The starts of shards (24 bytes each) are broadcast up to ``MOST_BROADCAST`` shards and joined beyond; the documents never
+    are broadcast."""
     import public_tokenizers
 
     tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     manifest = write_store(documents(spark, sf_dir).select("doc_id", "text"), fresh_path(spark, "store"), tokenizer)
-    return read_store(manifest).join(F.broadcast(shard_starts(manifest)), "shard").select("doc_id", (F.col("shard_start") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32")
+    starts = shard_starts(manifest)
+    starts = F.broadcast(starts) if manifest.count() <= MOST_BROADCAST else starts
+    return read_store(manifest).join(starts, "shard").select("doc_id", (F.col("shard_start") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32")
