@@ -177,18 +177,18 @@ def fold(key: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % parts
 
 
-def hash_sample(df: DataFrame, key: str, total: int, rows: int, seed: int) -> DataFrame:
-    """Rows with the smallest hash of their key, ``rows`` of ``total`` in expectation; all, if there are no more."""
+def hash_sample(df: DataFrame, keys: list[str], total: int, rows: int, seed: int) -> DataFrame:
+    """Rows with the smallest hash of their keys, ``rows`` of ``total`` in expectation; all, if there are no more."""
     if total <= rows:
         return df
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * rows / total))
+    return df.where(F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * rows / total))
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     """labelled: doc_id, text, lang without nulls in text and lang."""
     short_batches(labelled.sparkSession)
     total = labelled.select("doc_id").count()
-    sample = hash_sample(labelled, "doc_id", total, rows, 8)
+    sample = hash_sample(labelled, ["doc_id", "text"], total, rows, 8)
 
     def count(batches):
         grams: dict[str, np.ndarray] = {}

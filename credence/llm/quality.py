@@ -1,24 +1,28 @@
-"""Quality classifier by positive-unlabelled learning.
+"""Text quality by positive-unlabelled learning.
 
-Trusted positives are documents labelled 1, the unlabelled set is a sample of all documents outside the held-out fold. A
-small network minimises the non-negative unbiased risk
+Trusted positives are documents labelled 1; the unlabelled set is every document outside the held-out fold. A small network
+minimises the non-negative unbiased risk
 
     prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1))
 
-where the class prior is estimated from the scores of a plain positives-against-unlabelled classifier: the smallest ratio
-of the two sets' upper tails. Labelled rows outside the held-out fold then calibrate the output (two parameters), so that
-0.7 means what it says. Inputs are ~60 statistics of the text itself: character classes, signs, repetition of words, word
-triples and lines, line shape.
+where the class prior is estimated from the scores of a plain positives-against-unlabelled model: the smallest ratio of the
+two sets' upper tails. Labelled rows outside the held-out fold then calibrate the output (two parameters), so that 0.7 means
+what it says. Inputs are ~60 statistics of the text itself: character classes, signs, repetition of words, word triples and
+lines, line shape.
 
-At most about ``POSITIVES`` labelled rows and ``UNLABELLED`` other rows are used to fit (those with the smallest hashes, in
-expectation); every document is scored.
+The statistics of all documents are computed once and kept in the shared folder. Training goes over all unlabelled ones in
+rounds: every task starts from the same network, descends on batches of its own rows and of the positives, and the
+networks are averaged by rows. About ``POSITIVES`` labelled rows (never more than twice as many) are used, those with the
+smallest hashes; they are the only ones of which the driver sees statistics. Every document is scored.
 
-Edge cases: null and empty texts get the score of empty features; several labels of one document are averaged (ties: 1);
-without positives every score is 0.5; very long texts are scanned whole; other columns are ignored.
+Edge cases: null and empty texts get the score of empty features; several labels of one document are averaged (ties: 1), and
+of several texts under one labelled doc_id one counts; without positives every score is 0.5; very long texts are scanned
+whole; equal texts get equal scores; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import copy
 import functools
 
 import numpy as np
@@ -26,13 +30,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import documents, runs_of, short_batches
-from .langid import fold, hash_sample, lower_table
+from .common import documents, runs_of, short_batches, staged
+from .langid import fold, lower_table
 from .textvec import BREAK, LETTER, NUMBER, PUNCT, SPACE, Scan, mix
 
 POSITIVES = 12_000
-UNLABELLED = 12_000
+PLAIN_ROUNDS, ROUNDS = 4, 10
+STEPS, BATCH = 40, 512  # of a task in a round: at least so many steps, at most so many rows in one
 THRESHOLD = 0.7
 RUN_CHARS = 3_000_000
 SIGNS = "!?.,;:|#*&%$@/\\_-=+<>{}[]()'\"~^`"
@@ -135,13 +141,18 @@ N_FEATURES = _features([""]).shape[1]
 class Network:
     """One hidden layer; scores are logits."""
 
-    def __init__(self, x: np.ndarray, hidden: int, seed: int):
+    def __init__(self, mean: np.ndarray, std: np.ndarray, hidden: int, seed: int):
         rng = np.random.default_rng(seed)
-        self.mean, self.std = x.mean(0), np.maximum(x.std(0), 1e-3)
-        d = x.shape[1]
+        self.mean, self.std = mean, std
+        d = len(mean)
         self.p = [rng.normal(0, 1 / np.sqrt(d), (d, hidden)).astype(np.float32), np.zeros(hidden, np.float32), rng.normal(0, 1 / np.sqrt(hidden), hidden).astype(np.float32), np.zeros(1, np.float32)]
         self.slope, self.shift = 1.0, 0.0
 
+    def copy(self, p: list[np.ndarray] | None = None) -> Network:
+        out = copy.copy(self)
+        out.p = [x.copy() for x in (p or self.p)]
+        return out
+
     def norm(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.std, -6, 6).astype(np.float32)
 
@@ -180,32 +191,78 @@ def risk_gradient(fp: np.ndarray, fu: np.ndarray, prior: float | None) -> tuple[
     return prior * dp, -du, float(prior * (1 - sp).mean())  # below zero: climb back instead of fitting it further
 
 
-def fit_network(xp: np.ndarray, xu: np.ndarray, prior: float | None, hidden: int = 24, epochs: int = 30, batch: int = 1024, seed: int = 6) -> Network:
-    net = Network(np.concatenate([xp, xu]), hidden, seed)
+def descend(net: Network, xp: np.ndarray, xu: np.ndarray, prior: float | None, rate: float, seed: int) -> None:
+    """One round of a task: steps over all rows of ``xu``, at least ``STEPS`` of them, each with a batch of positives."""
     zp, zu = net.norm(xp), net.norm(xu)
     rng = np.random.default_rng(seed)
-    m, v, t = [np.zeros_like(x) for x in net.p], [np.zeros_like(x) for x in net.p], 0
-    for _ in range(epochs):
-        ou, op = rng.permutation(len(zu)), rng.permutation(len(zp))
-        steps = max(1, -(-len(ou) // batch))
-        for k in range(steps):
-            a, b = zp[op[k::steps]] if len(op) >= steps else zp[op], zu[ou[k::steps]]
-            dp, du, _ = risk_gradient(net.logits(a), net.logits(b), prior)
-            g = [x + y + 1e-4 * w for x, y, w in zip(net.gradients(a, dp.astype(np.float32)), net.gradients(b, du.astype(np.float32)), net.p)]
-            t += 1
-            for i, x in enumerate(g):
-                m[i] = 0.9 * m[i] + 0.1 * x
-                v[i] = 0.999 * v[i] + 0.001 * x * x
-                net.p[i] = net.p[i] - 0.01 * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+    m, v = [np.zeros_like(x) for x in net.p], [np.zeros_like(x) for x in net.p]
+    each = max(1, -(-len(zu) // BATCH))
+    order, op, t = [], rng.permutation(len(zp)), 0
+    while t < max(STEPS, each):
+        if not order:
+            ou = rng.permutation(len(zu))
+            order = [ou[k::each] for k in range(each)]
+        take = np.arange(t * BATCH, (t + 1) * BATCH) % len(op) if len(op) > BATCH else np.arange(len(op))
+        a, b = zp[op[take]], zu[order.pop()]
+        dp, du, _ = risk_gradient(net.logits(a), net.logits(b), prior)
+        g = [x + y + 1e-4 * w for x, y, w in zip(net.gradients(a, dp.astype(np.float32)), net.gradients(b, du.astype(np.float32)), net.p)]
+        t += 1
+        for i, x in enumerate(g):
+            m[i] = 0.9 * m[i] + 0.1 * x
+            v[i] = 0.999 * v[i] + 0.001 * x * x
+            net.p[i] = net.p[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1)
+
+
+def _summed(rows: DataFrame, work, width: int) -> np.ndarray:
+    """Sum over tasks of the vector that ``work`` makes of a task's statistics (null if it has none), in steps."""
+
+    def run(batches):
+        x = [_matrix(b.column("x")) for b in batches if b.num_rows]
+        if x:
+            yield pa.RecordBatch.from_pydict({"s": pa.array([np.asarray(work(np.concatenate(x)), np.float64)], pa.list_(pa.float64()))})
+
+    cells = rows.select("x").mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "s")).groupBy("i").agg(F.sum("s").alias("s"))
+    out = np.zeros(width)
+    for r in cells.collect():  # width rows
+        out[r["i"]] = r["s"]
+    return out
+
+
+def average(net: Network, unlabelled: DataFrame, xp: np.ndarray, prior: float | None, rounds: int, seed: int) -> Network:
+    """Rounds over all unlabelled rows: from the same start everywhere, then the mean of the tasks' networks by rows."""
+    spark = unlabelled.sparkSession
+    sizes = [x.size for x in net.p]
+    for number in range(rounds):
+        held = spark.sparkContext.broadcast((net, xp))
+        rate = 0.01 * (1 - number / rounds) + 0.001
+
+        def work(xu, held=held, rate=rate, number=number):
+            own, positives = held.value
+            own = own.copy()
+            descend(own, positives, xu, prior, rate, seed + number)
+            return np.append(np.concatenate([x.reshape(-1) for x in own.p]) * len(xu), len(xu))
+
+        total = _summed(unlabelled, work, sum(sizes) + 1)
+        flat = np.round(total[:-1] / max(total[-1], 1), 9).astype(np.float32)  # sums come in any order
+        parts = np.split(flat, np.cumsum(sizes)[:-1])
+        net = net.copy([p.reshape(x.shape) for p, x in zip(parts, net.p)])
     return net
 
 
-def estimate_prior(sp: np.ndarray, su: np.ndarray) -> float:
-    """Share of positives among unlabelled rows: the least ratio of upper tails, with a confidence term."""
-    cuts = np.unique(np.quantile(sp, np.linspace(0.02, 0.8, 60)))
-    qp = np.array([(sp >= c).mean() for c in cuts])
-    qu = np.array([(su >= c).mean() for c in cuts])
-    slack = 1.0 / np.sqrt(len(sp)) + 1.0 / np.sqrt(len(su))
+def prior_cuts(sp: np.ndarray) -> np.ndarray:
+    return np.unique(np.quantile(sp, np.linspace(0.02, 0.8, 60)))
+
+
+def estimate_prior(sp: np.ndarray, above: np.ndarray, rows: float) -> float:
+    """Share of positives among unlabelled rows: the least ratio of upper tails, with a confidence term. above: number of the
+    unlabelled ``rows`` at or above each of ``prior_cuts``."""
+    qp = np.array([(sp >= c).mean() for c in prior_cuts(sp)])
+    qu = above / max(rows, 1)
+    slack = 1.0 / np.sqrt(len(sp)) + 1.0 / np.sqrt(max(rows, 1))
     k = int(np.argmin((qu + slack) / np.maximum(qp, 1e-9)))
     return float(np.clip(qu[k] / max(qp[k], 1e-9), 0.05, 0.95))
 
@@ -227,62 +284,85 @@ def calibrate(net: Network, x: np.ndarray, y: np.ndarray) -> None:
         net.slope, net.shift = w[0] / f_std, w[1]
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Network | None:
-    """docs: doc_id, text; labels: doc_id, quality. Rows of the held-out fold take no part."""
+def featured(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` columns of docs, with their statistics ``x``."""
     short_batches(docs.sparkSession)
-    learn = fold(F.col("doc_id"), 4) != 2
-    marked = labels.where(learn & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality")
-    some = hash_sample(marked, "doc_id", marked.count(), positives, 61).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    rows = docs.where(learn).select("doc_id", "text")
-    total = rows.select("doc_id").count()
-    at = F.pmod(F.xxhash64("doc_id", F.lit(62)), F.lit(1 << 30))
-    in_sample = F.coalesce(at < int((1 << 30) * min(1.0, unlabelled / max(total, 1))), F.lit(False)) if total > unlabelled else F.lit(True)
-    # the sampled labels have a bounded number of rows, so they may be broadcast
-    joined = rows.withColumn("unlabelled", in_sample).join(F.broadcast(some), "doc_id", "left").where(F.col("unlabelled") | F.col("quality").isNotNull())
 
     def run(batches):
         for b in batches:
             x = features([t or "" for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("unlabelled"), pa.array(b.column("quality")).cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["unlabelled", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([r.tobytes() for r in x], pa.binary())], [*keep, "x"])
+
+    picked = docs.select(*dict.fromkeys([*keep, "text"]))
+    return picked.mapInArrow(run, T.StructType([picked.schema[c] for c in keep]).add("x", T.BinaryType()))
+
 
-    got = joined.select("doc_id", "unlabelled", "quality", "text").mapInArrow(run, "unlabelled boolean, quality int, x binary").toPandas()
-    if not (got["quality"] == 1).any():
+def fit(rows: DataFrame, labels: DataFrame, positives: int = POSITIVES) -> Network | None:
+    """rows: doc_id, x of all documents (read in every round: staged); labels: doc_id, quality. Rows of the held-out fold take
+    no part."""
+    learn = fold(F.col("doc_id"), 4) != 2
+    marked = labels.where(learn & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
+    total = marked.count()
+    some = marked
+    if total > positives:
+        some = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(61)), F.lit(1 << 30)) < int((1 << 30) * positives / total)).limit(2 * positives)
+    # the labels have a bounded number of rows, so they may be broadcast, and so have the texts under them
+    known = rows.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("m")).select("m.x", "m.quality").toPandas()
+    if not (known["quality"] == 1).any():
         return None
-    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), -1)
+    x = np.frombuffer(b"".join(known["x"]), np.float32).reshape(len(known), -1)
     order = np.lexsort(x.T[::-1])  # rows arrive in any order
-    x, y, u = x[order], got["quality"].to_numpy(float)[order], got["unlabelled"].to_numpy(bool)[order]
-    xp, xu = x[y == 1], x[u]
-    if not len(xu):
-        xu = x
-    plain = fit_network(xp, xu, None, hidden=12, epochs=12)
-    prior = estimate_prior(plain.score(xp), plain.score(xu))
-    net = fit_network(xp, xu, prior)
-    known = ~np.isnan(y)
-    calibrate(net, x[known], y[known])
+    x, y = x[order], known["quality"].to_numpy()[order]
+    xp = x[y == 1]
+    unlabelled = rows.where(learn)
+    sums = _summed(unlabelled, lambda u: np.concatenate([[len(u)], u.sum(0, dtype=np.float64), (u.astype(np.float64) ** 2).sum(0)]), 1 + 2 * N_FEATURES)
+    if not sums[0]:
+        return None
+    mean = sums[1 : 1 + N_FEATURES] / sums[0]
+    std = np.sqrt(np.maximum(sums[1 + N_FEATURES :] / sums[0] - mean * mean, 0))
+    scale = np.round(mean, 6).astype(np.float32), np.maximum(np.round(std, 6), 1e-3).astype(np.float32)
+    plain = average(Network(*scale, 12, 6), unlabelled, xp, None, PLAIN_ROUNDS, 6)
+    sp = plain.score(xp)
+    cuts, held = prior_cuts(sp), rows.sparkSession.sparkContext.broadcast(plain)
+    above = _summed(unlabelled, lambda u: (held.value.score(u)[:, None] >= cuts[None, :]).sum(0), len(cuts))
+    prior = estimate_prior(sp, above, sums[0])
+    net = average(Network(*scale, 24, 7), unlabelled, xp, prior, ROUNDS, 70)
     net.prior = prior
+    calibrate(net, x, y.astype(float))
     return net
 
 
-def score(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
-    """``keep`` columns of docs, with score."""
-    from pyspark.sql.types import DoubleType, StructType
-
-    spark = docs.sparkSession
-    short_batches(spark)
-    held = spark.sparkContext.broadcast(net)
+def scored(rows: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
+    """``keep`` columns of rows, which hold ``x``, with score."""
+    held = rows.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            p = held.value.score(features(texts)) if held.value is not None else np.full(len(texts), 0.5)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(p, pa.float64())], [*keep, "score"])
+            if b.num_rows:
+                p = held.value.score(_matrix(b.column("x"))) if held.value is not None else np.full(b.num_rows, 0.5)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(p, pa.float64())], [*keep, "score"])
 
-    picked = docs.select(*dict.fromkeys([*keep, "text"]))
-    return picked.mapInArrow(run, StructType([picked.schema[c] for c in keep]).add("score", DoubleType()))
+    return rows.select(*keep, "x").mapInArrow(run, T.StructType([rows.schema[c] for c in keep]).add("score", T.DoubleType()))
+
+
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES) -> Network | None:
+    """docs: doc_id, text; labels: doc_id, quality."""
+    return fit(staged(featured(docs, ["doc_id"]), "quality"), labels, positives)
+
+
+def score(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
+    """``keep`` columns of docs, with score."""
+    return scored(featured(docs, keep), net, keep)
+
+
+def train_and_score(docs: DataFrame, labels: DataFrame, keep: list[str]) -> tuple[Network | None, DataFrame]:
+    """The network and ``keep`` columns with score, from statistics that are computed once."""
+    rows = staged(featured(docs, keep), "quality")
+    net = fit(rows, labels)
+    return net, scored(rows, net, keep)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every whole text."""
-    docs = documents(spark, sf_dir)
-    net = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, net, ["doc_id"]).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    _, out = train_and_score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), ["doc_id"])
+    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
