@@ -39,10 +39,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plain = _plain(docs)
-    net = quality.train(plain.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    net, scored = quality.train_and_score(plain, spark.read.parquet(f"{sf_dir}/labels.parquet"), plain.columns)
     if net is None:  # nothing to learn from: no decision
         return docs
-    return quality.score(plain, net, plain.columns).where(F.col("score") >= quality.THRESHOLD).drop("score").toDF(*docs.columns)
+    return scored.where(F.col("score") >= quality.THRESHOLD).drop("score").toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
