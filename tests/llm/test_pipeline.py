@@ -51,6 +51,13 @@ def test_near_duplicate_stage_keeps_one_of_a_class(spark, docs):
     assert ids(out) == sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in rows if r["doc_id"] is None or r["doc_id"] == r["class_id"]) == ids(out.distinct())
 
 
+def test_different_texts_of_one_id_stay(spark, docs):
+    words = " ".join("word%d" % i for i in range(30))
+    rows = [(1, words, "en", "s", 1), (2, words + " more", "en", "s", 1), (2, "another text under the same number, which stays", "en", "s", 1), (2, "another text under the same number, which stays", "en", "t", 1), (3, "a", "en", None, None), (None, None, None, None, None)]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, docs.schema), SF)
+    assert sorted(map(str, out.collect())) == sorted(str(r) for r in spark.createDataFrame([rows[0], rows[2], rows[4], rows[5]], docs.schema).collect())
+
+
 def test_secret_stage(spark, docs):
     out = corpus_pipeline.secret_scan(spark, docs, SF)
     assert out.columns == COLUMNS and ids(out) == ids(docs)
