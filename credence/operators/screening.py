@@ -114,9 +114,10 @@ def search_support(s: Screening) -> dict[tuple[str, str], float]:
     return out
 
 
-def screen(encoder, table: DataFrame, store: CountStore, config) -> Screening:
-    """Run the strategy that the configuration names."""
+def screen(encoder, table: DataFrame, store: CountStore, config, log=lambda message: None) -> Screening:
+    """Run the strategy that the configuration names; ``log`` is told of each step."""
     columns = store.columns
+    log(f"screener: {config.strategy} over {len(columns)} columns")
     if config.strategy == "mi_filter":
         return assemble(mi_edges(store).persist(), None, columns, config)
     from .neural import neural_edges
@@ -126,7 +127,11 @@ def screen(encoder, table: DataFrame, store: CountStore, config) -> Screening:
         allowed = {c: [] for c in columns}
         for r in sorted(prefilter(mi_matrix(store.collapsed, columns), columns, config.mi_prefilter_size).collect(), key=lambda r: r["rank"]):
             allowed[r["target"]].append(r["source"])
+        log(f"screener: {sum(map(len, allowed.values()))} sources left by mutual information")
+    log(f"screener: {max(config.bootstraps, 1)} rounds of {config.epochs} epochs")
     edge_rounds, bundle_rounds = neural_edges(encoder, table, config, allowed)
     edges = over_rounds(edge_rounds, ["target", "source"]).persist()
     bundles = top_bundles(bundle_rounds, columns, config.min_bundle_stability, config.interaction_top_pairs) if config.use_bundles and config.interaction_top_pairs > 0 else None
-    return assemble(edges, bundles, columns, config)
+    out = assemble(edges, bundles, columns, config)
+    log(f"screener: {sum(map(len, out.pools.values()))} candidate parents")
+    return out

@@ -53,7 +53,7 @@ class BayesNetClassifier(Estimator):
             lenient = TableEncoderModel(c.target, encoder.profiles, encoder.types, "uniform")
             valid = lenient.transform(self.validation).persist()
         t0 = time.perf_counter()
-        screening = screen(encoder, df, store, c.screener) if c.use_screener else None
+        screening = screen(encoder, df, store, c.screener, self.log) if c.use_screener else None
         t1 = time.perf_counter()
         pools = screening.pools if screening else full_pools(store.columns)
         support = search_support(screening) if screening else {}

@@ -7,6 +7,7 @@ they are needed; the graph itself is drawn on the driver.
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,14 +65,41 @@ def forward_sample(spark: SparkSession, graph: Dag, tables: dict[str, np.ndarray
     return df.select(*[F.col(f"`{n}`") for n in graph.nodes])
 
 
+def read_bif(text: str) -> tuple[Dag, dict[str, int], dict[str, np.ndarray], dict[str, list[str]]]:
+    """A network in the Bayesian interchange format: graph, cardinalities, tables (parents in name order) and state names."""
+    states: dict[str, list[str]] = {}
+    for m in re.finditer(r"variable\s+(\S+)\s*\{[^{}]*\{([^{}]*)\}", text):
+        states[m[1]] = [x.strip() for x in m[2].split(",")]
+    edges, given = [], {}
+    for m in re.finditer(r"probability\s*\(\s*([^)|]+?)\s*(?:\|\s*([^)]*?))?\s*\)\s*\{([^{}]*)\}", text):
+        node, parents = m[1].strip(), [x.strip() for x in (m[2] or "").split(",") if x.strip()]
+        given[node] = parents, m[3]
+        edges += [(p, node) for p in parents]
+    graph, cards = Dag(states, edges), {n: len(v) for n, v in states.items()}
+    tables = {}
+    for node, (parents, body) in given.items():
+        shape = [cards[p] for p in parents]
+        table = np.zeros([*shape, cards[node]])
+        plain = re.search(r"table\s+([^;]*);", body)
+        if plain:
+            table[...] = np.array([float(x) for x in plain[1].split(",")]).reshape([cards[node], *shape] if parents else [cards[node]]).transpose([*range(1, len(parents) + 1), 0])
+        for row in re.finditer(r"\(([^)]*)\)\s*([^;]*);", body):
+            at = tuple(states[p].index(x.strip()) for p, x in zip(parents, row[1].split(",")))
+            table[at] = [float(x) for x in row[2].split(",")]
+        order = [parents.index(p) for p in graph.parents(node)]
+        tables[node] = table.transpose([*order, len(parents)]).reshape(-1, cards[node])
+        tables[node] = tables[node] / tables[node].sum(1, keepdims=True)
+    return graph, cards, tables, states
+
+
 def read_edges(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     lines = files.read_text(spark, path).split()
     return [tuple(x.split(",")[:2]) for x in lines[1:]]
 
 
 def materialize_expert_networks(spark: SparkSession, root: str, names: list[str] | None = None, overwrite: bool = True, edges_from: str | None = None, card: int = 3) -> dict:
-    """Write frame.csv, edges.csv and metadata.json for each expert network whose edges are known (in ``edges_from``, or in
-    the folder itself). The published tables are not at hand: tables are drawn at random on the true edges."""
+    """Write frame.csv, edges.csv and metadata.json for each expert network that is known (in ``edges_from``, or in the folder
+    itself): from ``network.bif`` with its tables and states, or from ``edges.csv`` with tables drawn at random."""
     out = {}
     for name in names or list(EXPERT_TARGETS):
         target, seed = EXPERT_TARGETS[name]
@@ -79,17 +107,22 @@ def materialize_expert_networks(spark: SparkSession, root: str, names: list[str]
         if not overwrite and files.exists(spark, at("frame.csv")):
             out[name] = {"status": "exists"}
             continue
-        source = files.join(edges_from or root, name, "edges.csv")
-        if not files.exists(spark, source):
+        source, bif = (files.join(edges_from or root, name, x) for x in ("edges.csv", "network.bif"))
+        if files.exists(spark, bif):
+            graph, cards, tables, states = read_bif(files.read_text(spark, bif))
+            edges, note = graph.edges(), "forward sample, published tables"
+        elif files.exists(spark, source):
+            edges, note = read_edges(spark, source), "forward sample, random tables"
+            graph = Dag([n for e in edges for n in e], edges)
+            cards = dict.fromkeys(graph.nodes, card)
+            tables, states = random_tables(graph, cards, seed), {n: [f"s{k}" for k in range(card)] for n in graph.nodes}
+        else:
             out[name] = {"status": "skipped", "reason": f"no edges at {source}"}
             continue
-        edges = read_edges(spark, source)
-        graph = Dag([n for e in edges for n in e], edges)
-        cards = dict.fromkeys(graph.nodes, card)
-        frame = forward_sample(spark, graph, random_tables(graph, cards, seed), cards, EXPERT_ROWS, seed)
-        named = frame.select(*[F.concat(F.lit("s"), F.col(f"`{c}`").cast("string")).alias(c) for c in frame.columns])
+        frame = forward_sample(spark, graph, tables, cards, EXPERT_ROWS, seed)
+        named = frame.select(*[F.element_at(F.lit(states[c]), F.col(f"`{c}`").cast("int") + 1).alias(c) for c in frame.columns])
         files.write_text(spark, at("frame.csv"), named.toPandas().to_csv(index=False))  # EXPERT_ROWS rows
         files.write_text(spark, at("edges.csv"), "source,target\n" + "".join(f"{a},{b}\n" for a, b in edges))
-        files.write_text(spark, at("metadata.json"), json.dumps({"target_column": target, "source": "forward sample, random tables", "notes": [f"seed {seed}", f"{EXPERT_ROWS} rows"]}, indent=2))
+        files.write_text(spark, at("metadata.json"), json.dumps({"target_column": target, "source": note, "notes": [f"seed {seed}", f"{EXPERT_ROWS} rows"]}, indent=2))
         out[name] = {"status": "written", "rows": EXPERT_ROWS, "edges": len(edges), "target": target}
     return out
