@@ -44,7 +44,7 @@ def read_text(spark: SparkSession | None, path: str | Path) -> str:
 
 def write_text(spark: SparkSession | None, path: str | Path, text: str) -> None:
     if remote(path):
-        (spark or SparkSession.active()).createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "").text(str(path))
+        (spark or SparkSession.active()).createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(str(path))  # which ends with a line break
     else:
         Path(path).parent.mkdir(parents=True, exist_ok=True)
         Path(path).write_text(text)
