@@ -49,7 +49,7 @@ SKETCH = 64  # one-byte min-hashes
 CUT = 35
 SPLIT_ROWS = 8_192
 CHILDREN = 4
-BLOCK_ROWS = 2_048
+BLOCK_ROWS = 1_024
 BLOCK_SHINGLES = 1_000_000
 PLAIN_BLOCKS = 3
 BAND = 1.26  # ratio of sizes of a band: above DENOMINATOR / NUMERATOR, with room for rounding
@@ -225,19 +225,25 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 class Lists:
     """The buckets of each row, to tell whether two rows have met in an earlier one."""
 
-    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, alone: bool = True):
+        """``alone``: the lists are only compared with each other, so buckets of a single row can be left out."""
         row = np.repeat(np.arange(len(sizes)), sizes)
-        codes, names = pd.factorize(flat)
-        common = np.bincount(codes, minlength=len(names))[codes] > 1
-        self.width = max(1, len(names))
-        self.row, self.id, self.code = row[common], flat[common], codes[common].astype(np.int64)
-        self.first = np.searchsorted(self.row, np.arange(len(sizes) + 1))
-        self.has = np.sort(self.row * self.width + self.code)
-
-    def met_before(self, a: np.ndarray, b: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """Whether rows a and b share a bucket below ``bucket`` (one value for each pair)."""
+        if alone:
+            codes, names = pd.factorize(flat)
+            common = np.bincount(codes, minlength=len(names))[codes] > 1
+            row, flat = row[common], flat[common]
+        self.names, code = np.unique(flat, return_inverse=True)
+        self.width = max(1, len(self.names))
+        self.row, self.id, self.code = row, flat, code.astype(np.int64)
+        self.first = np.searchsorted(row, np.arange(len(sizes) + 1))
+        self.has = np.sort(row * self.width + self.code)
+
+    def met_before(self, a: np.ndarray, b: np.ndarray, bucket: np.ndarray, other: Lists | None = None) -> np.ndarray:
+        """Whether the list of row a and that of row b (in ``other``, if given) share a bucket below ``bucket`` (one value for
+        each pair)."""
+        other = other or self
         out = np.zeros(len(a), bool)
-        if not len(self.has):
+        if not len(other.has):
             return out
         for lo in range(0, len(a), PAIRS):
             x, y, limit = a[lo : lo + PAIRS], b[lo : lo + PAIRS], bucket[lo : lo + PAIRS]
@@ -246,9 +252,15 @@ class Lists:
             at = np.repeat(self.first[x] - np.cumsum(size) + size, size) + np.arange(len(pair))
             fine = self.id[at] < limit[pair]
             pair, at = pair[fine], at[fine]
-            key = y[pair] * self.width + self.code[at]
-            where = np.minimum(np.searchsorted(self.has, key), len(self.has) - 1)
-            out[lo + pair[self.has[where] == key]] = True
+            if other is self:
+                code = self.code[at]
+            else:
+                place = np.minimum(np.searchsorted(other.names, self.id[at]), len(other.names) - 1)
+                code = np.where(other.names[place] == self.id[at], place, -1)
+                pair, at, code = pair[code >= 0], at[code >= 0], code[code >= 0]
+            key = y[pair] * other.width + code
+            where = np.minimum(np.searchsorted(other.has, key), len(other.has) - 1)
+            out[lo + pair[other.has[where] == key]] = True
         return out
 
 

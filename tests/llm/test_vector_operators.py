@@ -120,23 +120,38 @@ def test_vector_duplicates_equal_brute_force(spark):
     x = data(seed=3)
     df = frame(spark, [*enumerate(x), *AWKWARD])
     n, label = brute(x)
-    for block in (2048, 40):
-        got = {r["vec_id"]: r for r in vector_dedup.near_duplicates(df, block=block).collect()}
+    for block, split_rows in ((2048, 16_000), (40, 16_000), (40, 100)):
+        got = {r["vec_id"]: r for r in vector_dedup.near_duplicates(df, block=block, split_rows=split_rows).collect()}
         assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(900)] == list(zip(n.tolist(), label.tolist()))
     for i in (5000, 5001, 5002, 5003, 5004, 5005, 5006):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
     assert got[None]["component_id"] is None and len(got) == 908
 
 
+def test_cells_are_cut_again_and_lose_no_pair(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 32))
+    x[3000:5000] = x[:2000] + 0.1 * rng.normal(size=(2000, 32)) * rng.uniform(0, 2.5, (2000, 1))  # pairs around the threshold
+    x[5000:5600] = x[5] + 0.02 * rng.normal(size=(600, 32))  # a crowd
+    x = x.astype(np.float32).astype(float)
+    df = frame(spark, list(enumerate(x)))
+    n, label = brute(x)
+    for exact in (False, True):
+        report = {}
+        got = vector_dedup.near_duplicates(df, exact=exact, split_rows=700, per_cell=300, report=report).toPandas().set_index("vec_id").loc[range(6000)]
+        assert got["n_links"].tolist() == n.tolist() and got["component_id"].tolist() == label.tolist()
+        assert report["cells"] > 10 and report["split"] >= 1 and report["margin"] <= report["radius"] / 2 + 1e-6
+
+
 def test_many_cells_lose_no_pair():
     rng = np.random.default_rng(5)
     u = rng.normal(size=(400, 6))
     u[200:] = u[:200] + 0.12 * rng.normal(size=(200, 6))
     u /= np.linalg.norm(u, axis=1)[:, None]
     c = vector_dedup.spherical_kmeans(u, 20)
-    home, near = vector_dedup.cells_of(u, c, np.sqrt(0.1) / 2 + 1e-9)
-    for a, b in zip(*np.nonzero(np.triu(u @ u.T >= 0.95, 1))):
-        assert home[a] == home[b] or near[a, home[b]] or near[b, home[a]]
+    assert vector_dedup.lost_links(u, u, c, np.sqrt(0.1) / 2 + 1e-9, 0.95)[1] == 0
+    total, lost = vector_dedup.lost_links(u, u, c, 0.0, 0.95)
+    assert total > 400 and lost > 0  # without guests some would be
 
 
 def test_empty_and_repeated_rows(spark):
