@@ -161,6 +161,32 @@ def q_markdown_lines(spark, sf):
     return spark.createDataFrame([(i + 1, x) for i, x in enumerate(text.split("\n"))], "line long, text string")
 
 
+_LEADER = f"WITH {base._R}, ok AS (SELECT * FROM rec WHERE status = 'ok' AND ablation_label = 'default')"
+
+
+@query(f"{_LEADER} SELECT dataset_name, model_name, round(avg(auc), 6) AS avg_roc_auc, count(*) AS num_runs FROM ok GROUP BY 1, 2")
+def q_predictive_leaderboard(spark, sf):
+    t = decisions.suite_tables(base.records(spark))["predictive_leaderboard"]
+    return t.select("dataset_name", "model_name", F.round("avg_roc_auc", 6).alias("avg_roc_auc"), "num_runs")
+
+
+@query(f"{_LEADER} SELECT dataset_name, model_name, round(avg(shd), 6) AS avg_shd, count(*) AS num_runs FROM ok WHERE shd IS NOT NULL GROUP BY 1, 2")
+def q_structural_leaderboard(spark, sf):
+    t = decisions.suite_tables(base.records(spark))["structural_leaderboard"]
+    return t.select("dataset_name", "model_name", F.round("avg_shd", 6).alias("avg_shd"), "num_runs")
+
+
+@query(f"{_LEADER} SELECT dataset_name, model_name, round(avg(sec), 6) AS avg_total_seconds, count(*) AS num_runs FROM ok GROUP BY 1, 2")
+def q_search_complexity(spark, sf):
+    t = decisions.suite_tables(base.records(spark))["search_complexity"]
+    return t.select("dataset_name", "model_name", F.round("avg_total_seconds", 6).alias("avg_total_seconds"), "num_runs")
+
+
+@query(f"WITH {base._R} SELECT dataset_name, model_name, split_id, status FROM rec WHERE status <> 'ok'")
+def q_skipped_items(spark, sf):
+    return decisions.suite_tables(base.records(spark))["skipped_items"].select("dataset_name", "model_name", "split_id", "status")
+
+
 # --- encoding --------------------------------------------------------------------------------------------------------------
 
 

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import EPS, flat_index, lgamma, log_sum_exp, stable_log
+from ..functions.columns import EPS, flat_index, lgamma, log_sum_exp
 from .counts import CountStore, Family
 from .graph import Dag
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Names of models, sets and stages that records and rules go by, and the keys of the payloads below.
 METHOD = "neural_screened_bn"
 GREEDY = "greedy_hc_bn"
 EXPLICIT = [GREEDY, "naive_bayes", "tan", "kdb", "aode"]

@@ -329,7 +329,10 @@ def align_dummies(train: DataFrame, test: DataFrame, target: str) -> tuple[DataF
     seen: dict[str, list] = {c: [] for c in texts}
     if texts:
         pair = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in texts]))
-        for r in both.select(pair.alias("x")).select("x.c", "x.v").distinct().collect():
+        found = both.select(pair.alias("x")).select("x.c", "x.v").distinct().limit(MAX_CATEGORIES + 1).collect()
+        if len(found) > MAX_CATEGORIES:
+            raise ValueError(f"more than {MAX_CATEGORIES} distinct texts: a column of them each would be no table")
+        for r in found:
             seen[r["c"]].append(r["v"])
     cols, raw = [], []
     for c in names:
