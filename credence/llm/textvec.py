@@ -35,7 +35,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, for positions below n."""
     if "p" not in _powers or len(_powers["p"]) < n:
-        m = max(n, 1 << 20)
+        m = max(n, 1 << 18)
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
         for key, base in (("p", _BASE), ("i", inverse)):
             x = np.full(m, base, np.uint64)

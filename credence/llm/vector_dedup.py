@@ -103,9 +103,12 @@ def likely_margin(x: np.ndarray, c: np.ndarray, radius: float) -> float:
         return radius / 2
     u = units(x)
     some = u[: min(len(u), 1024)]
-    s = some @ u.T
-    s[s > 1 - 1e-9] = -2  # itself and its copies
-    v = u[s.argmax(1)] - some
+    nearest = []
+    for a in range(0, len(some), 64):
+        s = some[a : a + 64] @ u.T
+        s[s > 1 - 1e-9] = -2  # itself and its copies
+        nearest.append(s.argmax(1))
+    v = u[np.concatenate(nearest)] - some
     v /= np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
     two = np.argsort(-(some @ c.T), axis=1)[:, :2]
     normal = c[two[:, 1]] - c[two[:, 0]]

@@ -15,7 +15,7 @@ from .common import runs_of
 from .textvec import MARK, UNKNOWN, Scan, WordIds, split_words
 
 #: Characters scanned at a time.
-RUN_CHARS = 4_000_000
+RUN_CHARS = 1_500_000
 _PLAIN_BELOW = 0x2E80
 
 
