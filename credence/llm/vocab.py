@@ -36,7 +36,7 @@ class WordTokenizer:
     def __init__(self, path: str):
         self.library = library(path)
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        self.cache = WordIds(self._words)
+        self.cache = WordIds(self._words, limit=600_000)
 
     def _words(self, words: list[str]) -> list[list[int]]:
         out: list[list[int]] = []
