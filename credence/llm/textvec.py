@@ -175,10 +175,9 @@ class WordIds:
             self.off = np.concatenate([self.off, len(self.flat) + np.cumsum(cnt) - cnt])
             self.cnt = np.concatenate([self.cnt, cnt])
             self.flat = np.concatenate([self.flat, flat])
-            keys = np.concatenate([self.keys, distinct[fresh]])
-            slots = np.concatenate([self.slot, slot[fresh]])
-            order = np.argsort(keys)
-            self.keys, self.slot = keys[order], slots[order]
+            order = fresh[np.argsort(distinct[fresh])]
+            at = np.searchsorted(self.keys, distinct[order])
+            self.keys, self.slot = np.insert(self.keys, at, distinct[order]), np.insert(self.slot, at, slot[order])
         return slot[codes]
 
     def ids(self, s: Scan, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
