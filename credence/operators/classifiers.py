@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import replace
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions.columns import EPS, flat_index
+from ..functions.columns import EPS
 from .counts import CountStore
+from .gather import class_terms, helper_columns
 from .graph import Dag, maximum_spanning_tree, orient_from
 from .information import collected, mi_matrix
 from .network import softmax
@@ -52,26 +52,32 @@ class Aode:
     def __init__(self, store: CountStore, target: str, laplace: float = 1.0, textbook: bool = False):
         self.target, self.cards, self.textbook = target, store.cards, textbook
         self.features = [c for c in store.columns if c != target]
-        store.ensure([(p, (target,)) for p in self.features] + [(c, (target, p)) for p in self.features for c in self.features if c != p])
+        self.laplace = laplace
+        child = {(p, c): (c, (target, p)) for p in self.features for c in self.features if c != p}
+        store.ensure([*((p, (target,)) for p in self.features), *child.values()])
         self.joint, self.child = {}, {}
         for p in self.features:
-            n = store.get(p, (target,))  # class by value
-            self.joint[p] = np.log((n + laplace) / (n.sum() + laplace * n.size) + EPS)
-            for c in self.features:
-                if c != p:
-                    m = store.get(c, (target, p))
-                    self.child[p, c] = np.log((m + laplace) / (m.sum(1, keepdims=True) + laplace * m.shape[1]) + EPS)
+            if store.dense((p, (target,))):
+                n = store.get(p, (target,))  # class by value
+                self.joint[p] = np.log((n + laplace) / (n.sum() + laplace * n.size) + EPS)
+            else:
+                self.joint[p] = replace(store.cells((p, (target,))), total=store.rows)
+        for key, family in child.items():
+            if not store.dense(family):
+                self.child[key] = store.cells(family)
+                continue
+            m = store.get(*family)
+            self.child[key] = np.log((m + laplace) / (m.sum(1, keepdims=True) + laplace * m.shape[1]) + EPS)
 
-    def components(self, prefix: str = "") -> list[list[Column]]:
-        """Log scores by class, a list for each super-parent."""
-        classes = self.cards[self.target]
-        col = lambda c: F.col(f"`{prefix}{c}`")
-        cell = lambda t, at, cards: F.element_at(F.lit(t.reshape(-1).tolist()), flat_index(at, cards) + 1)
+    def groups(self) -> list[list]:
+        """Factors of each super-parent's component."""
         out = []
         for p in self.features:
-            others = [c for c in self.features if c != p]
-            out.append([reduce(lambda a, b: a + b, [cell(self.joint[p], [F.lit(y), col(p)], [classes, self.cards[p]]), *(cell(self.child[p, c], [F.lit(y), col(p), col(c)], [classes, self.cards[p], self.cards[c]]) for c in others)]) for y in range(classes)])
+            own = [((p, (self.target,)), self.joint[p])]
+            out.append(own + [((c, (self.target, p)), self.child[p, c]) for c in self.features if c != p])
         return out
 
     def posterior(self, codes: DataFrame, prefix: str = "") -> DataFrame:
-        return softmax(codes, self.components(prefix), self.textbook)
+        rows, scores = class_terms(codes, self.groups(), self.cards, self.target, self.laplace, prefix)
+        helpers = [c for c in helper_columns(rows) if c not in codes.columns]
+        return softmax(rows, scores, self.textbook).drop(*helpers)

@@ -1,7 +1,8 @@
 """Discrete Bayesian networks: fitting from family counts and class posteriors as one projection.
 
 A table of probabilities becomes a literal array indexed by the flat parent index, so scoring needs no join and fuses with
-the scan. Above ``LITERAL_CELLS`` cells a table is broadcast and joined on that index instead.
+the scan. Tables above ``LITERAL_CELLS`` cells are read by batch or joined (see ``gather``); families that are too large for an
+array are kept as the cells that were observed.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import EPS, arg_max, flat_index
-from .counts import CountStore, Family
+from ..functions.columns import EPS, arg_max
+from .counts import Cells, CountStore, Family
+from .gather import class_terms, helper_columns, literal_term
 from .graph import Dag
 from .scores import smoothed
 
@@ -39,20 +41,24 @@ def softmax(df: DataFrame, components: list[list[Column]], textbook: bool = Fals
 
 
 class BayesNet:
-    def __init__(self, target: str, graph: Dag, cards: dict[str, int], tables: dict[Family, np.ndarray], laplace: float = 1.0):
+    def __init__(self, target: str, graph: Dag, cards: dict[str, int], tables: dict[Family, np.ndarray | Cells], laplace: float = 1.0):
         self.target, self.graph, self.cards, self.tables, self.laplace = target, graph, cards, tables, laplace
 
     @classmethod
     def fit(cls, store: CountStore, graph: Dag, target: str, laplace: float = 1.0) -> BayesNet:
         families = graph.families()
         store.ensure(families)
-        return cls(target, graph, store.cards, {f: smoothed(store.get(*f), laplace) for f in families}, laplace)
+        return cls(target, graph, store.cards, {f: cls._table(store, f, laplace) for f in families}, laplace)
+
+    @staticmethod
+    def _table(store: CountStore, family: Family, laplace: float) -> np.ndarray | Cells:
+        return smoothed(store.get(*family), laplace) if store.dense(family) else store.cells(family)
 
     def with_graph(self, store: CountStore, graph: Dag) -> BayesNet:
         """The network of another graph: tables of unchanged families are kept."""
         new = [f for f in graph.families() if f not in self.tables]
         store.ensure(new)
-        tables = {f: self.tables[f] if f in self.tables else smoothed(store.get(*f), self.laplace) for f in graph.families()}
+        tables = {f: self.tables[f] if f in self.tables else self._table(store, f, self.laplace) for f in graph.families()}
         return BayesNet(self.target, graph, self.cards, tables, self.laplace)
 
     def relevant(self) -> list[Family]:
@@ -60,34 +66,35 @@ class BayesNet:
         return [f for f in self.graph.families() if f[0] == self.target or self.target in f[1]]
 
     def node_probability(self, values: dict[str, int], node: str) -> float:
-        parents = self.graph.parents(node)
+        parents, table = self.graph.parents(node), self.tables[node, self.graph.parents(node)]
+        if isinstance(table, Cells):
+            there = reduce(lambda a, b: a & b, [F.col(f"`{c}`") == values[c] for c in parents])
+            row = table.table.where(there).agg(F.sum("n").alias("all"), F.sum(F.when(F.col(f"`{node}`") == values[node], F.col("n"))).alias("own")).first()
+            return ((row["own"] or 0) + self.laplace) / ((row["all"] or 0) + self.laplace * self.cards[node])
         at = 0
         for p in parents:
             at = at * self.cards[p] + values[p]
-        return float(self.tables[node, parents][at, values[node]])
-
-    def _term(self, family: Family, k: int, column) -> Column:
-        node, parents = family
-        t = np.log(self.tables[family] + EPS)
-        at = [F.lit(k) if p == self.target else column(p) for p in parents]
-        value = F.lit(k) if node == self.target else column(node)
-        index = flat_index([*at, value], [*(self.cards[p] for p in parents), self.cards[node]])
-        inside = reduce(lambda a, b: a & b, [c.between(0, self.cards[n] - 1) for n, c in [*zip(parents, at), (node, value)]])
-        # codes that training did not see, and null codes, are taken as equally likely values
-        return F.when(inside, F.element_at(F.lit(t.reshape(-1).tolist()), index.cast("int") + 1)).otherwise(F.lit(float(np.log(1 / self.cards[node] + EPS))))
+        return float(table[at, values[node]])
+
+    def factors(self) -> list[tuple[Family, np.ndarray | Cells]]:
+        """The relevant families with the logarithms of their tables."""
+        return [(f, self.tables[f] if isinstance(self.tables[f], Cells) else np.log(self.tables[f] + EPS)) for f in self.relevant()]
+
+    @property
+    def is_small(self) -> bool:
+        """Whether all tables that the class depends on are arrays."""
+        return not any(isinstance(self.tables[f], Cells) for f in self.relevant())
 
     def class_scores(self, prefix: str = "") -> list[Column]:
-        """A log score for each class."""
+        """A log score for each class, as literals."""
         column = lambda c: F.col(f"`{prefix}{c}`")
-        families = self.relevant()
-        return [reduce(lambda a, b: a + b, [self._term(f, k, column) for f in families]) for k in range(self.cards[self.target])]
+        return [reduce(lambda a, b: a + b, [literal_term(f, t, k, self.cards, self.target, column) for f, t in self.factors()]) for k in range(self.cards[self.target])]
 
     def posterior(self, codes: DataFrame, prefix: str = "") -> DataFrame:
         """All columns, ``probabilities`` and ``prediction``."""
-        large = [f for f in self.relevant() if self.tables[f].size > LITERAL_CELLS]
-        if large:
-            return self._posterior_joined(codes, prefix, large)
-        return softmax(codes, [self.class_scores(prefix)])
+        rows, scores = class_terms(codes, [self.factors()], self.cards, self.target, self.laplace, prefix, LITERAL_CELLS)
+        helpers = [c for c in helper_columns(rows) if c not in codes.columns]
+        return softmax(rows, scores).drop(*helpers)
 
     def posterior_local(self, codes: dict[str, np.ndarray]) -> np.ndarray:
         """Class probabilities of rows on the driver; codes below 0 or beyond the cardinality count as unknown."""
@@ -104,22 +111,3 @@ class BayesNet:
                 out[:, k] += np.where(inside, table.reshape(-1)[np.where(inside, at, 0)], np.log(1 / self.cards[node] + EPS))
         out = np.exp(out - out.max(1, keepdims=True))
         return out / out.sum(1, keepdims=True)
-
-    def _posterior_joined(self, codes: DataFrame, prefix: str, large: list[Family]) -> DataFrame:
-        spark = codes.sparkSession
-        column = lambda c: F.col(f"`{prefix}{c}`")
-        classes, out, extra = self.cards[self.target], codes, []
-        for n, f in enumerate(large):
-            node, parents = f
-            t = np.log(self.tables[f] + EPS)
-            others = [x for x in (*parents, node) if x != self.target]
-            full = t.reshape([self.cards[x] for x in (*parents, node)])
-            moved = np.moveaxis(full, (*parents, node).index(self.target), -1).reshape(-1, classes)
-            rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(moved)], f"_k{n} long, _s{n} array<double>")
-            out = out.withColumn(f"_k{n}", flat_index([column(x) for x in others], [self.cards[x] for x in others]).cast("long"))
-            # the driver has built the table; it is broadcast up to 2 million numbers
-            out = out.join(F.broadcast(rows) if moved.size <= 2_000_000 else rows, f"_k{n}", "left")
-            extra.append(F.coalesce(F.col(f"_s{n}"), F.lit([float(np.log(1 / self.cards[node] + EPS))] * classes)))
-        small = [f for f in self.relevant() if f not in large]
-        scores = [reduce(lambda a, b: a + b, [*(self._term(f, k, column) for f in small), *(F.element_at(x, k + 1) for x in extra)]) for k in range(classes)]
-        return softmax(out, [scores]).drop(*[f"_k{n}" for n in range(len(large))], *[f"_s{n}" for n in range(len(large))])

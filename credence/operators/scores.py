@@ -1,6 +1,7 @@
 """Family and graph scores: BIC, BDeu, smoothed tables, Markov-blanket likelihood, prior, hub penalty.
 
-The DataFrame forms take counts of many families at once (f, q, v, n); the driver forms take one dense array.
+The DataFrame forms take counts of many families at once (f, q, v, n); the driver forms take one dense array, or the observed
+cells of a family that is too large to be one.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import EPS, flat_index, lgamma, log_sum_exp
-from .counts import CountStore, Family
+from ..functions.columns import EPS, lgamma, log_sum_exp
+from .counts import CountStore, Family, family_scores
+from .gather import class_terms
 from .graph import Dag
 
 
@@ -35,6 +37,17 @@ def bdeu(counts: np.ndarray, ess: float) -> float:
     return float((math.lgamma(a_row) - lg(a_row + seen.sum(1))).sum() + (lg(a + seen) - math.lgamma(a)).sum())
 
 
+def cells_score(n: np.ndarray, row_of: np.ndarray, shape: tuple[int, int], kind: str, ess: float) -> float:
+    """``bic`` or ``bdeu`` from observed cells and the configuration of each."""
+    q, r = shape
+    row = np.bincount(row_of, n)
+    if kind != "bdeu":
+        return float((n * np.log(n / row[row_of])).sum()) - 0.5 * q * (r - 1) * math.log(max(n.sum(), 1.0))
+    lg = np.vectorize(math.lgamma, otypes=[float])
+    a_row, a = ess / q, ess / (q * r)
+    return float((lg(a + n) - math.lgamma(a)).sum() + (math.lgamma(a_row) - lg(a_row + row[row > 0])).sum()) if len(n) else 0.0
+
+
 def smoothed(counts: np.ndarray, laplace: float) -> np.ndarray:
     return (counts + laplace) / (counts.sum(1, keepdims=True) + laplace * counts.shape[1])
 
@@ -78,10 +91,25 @@ class GraphScorer:
     def family(self, node: str, parents: tuple[str, ...]) -> float:
         f = (node, parents)
         if f not in self.local:
-            c = self.store.get(node, parents)
-            self.local[f] = bdeu(c, self.config.equivalent_sample_size) if self.config.score == "bdeu" else bic(c)
+            self.score_families([f])
         return self.local[f]
 
+    def score_families(self, families: list[Family]) -> None:
+        """Scores of those not known yet. Arrays are scored on the driver, as many at a time as the store holds; large families
+        from their cells, where these are."""
+        c = self.config
+        new = [f for f in dict.fromkeys(families) if f not in self.local]
+        large = [f for f in new if not self.store.dense(f)]
+        if large and self.store.local is None:
+            self.local |= dict(zip(large, family_scores(self.store.collapsed, large, self.store.cards, c.score, c.equivalent_sample_size)))
+        elif large:
+            self.local |= {f: cells_score(*self.store.local_cells(f), self.store.shape(f), c.score, c.equivalent_sample_size) for f in large}
+        for part in self.store.parts([f for f in new if f not in self.local]):
+            self.store.ensure(part)
+            for f in part:
+                n = self.store.get(*f)
+                self.local[f] = bdeu(n, c.equivalent_sample_size) if c.score == "bdeu" else bic(n)
+
     def edge_support(self, parent: str, child: str) -> float:
         return self.support.get((child, parent), 0.0)
 
@@ -95,39 +123,43 @@ class GraphScorer:
         """Sum over rows of ln p(target | its Markov blanket)."""
         if key in self.blankets:
             return self.blankets[key]
-        families = self.blanket_families(key)
-        self.store.ensure(families)
-        tables = [np.log(smoothed(self.store.get(*f), self.config.laplace) + EPS) for f in families]
-        classes = self.store.cards[self.target]
-        if self.store.local is not None:
-            s = np.zeros((len(self.store.weight), classes))
-            for k in range(classes):
-                s[:, k] = tables[0][self.store.index(key[0]), k]
-                for (child, parents), t in zip(key[1], tables[1:]):
-                    s[:, k] += t[self.store.index(parents, {self.target: k}), self.store.local[child]]
-            top = s.max(1, keepdims=True)
-            total = top[:, 0] + np.log(np.exp(s - top).sum(1))
-            value = float((self.store.weight * (s[np.arange(len(s)), self.store.local[self.target]] - total)).sum())
-        else:
-            value = float(self.store.collapsed.agg(self._blanket_sum(key)).first()[0])
+        value = self._blanket_local(key) if self.store.local is not None else self._blanket_far([key])[0]
         self.blankets[key] = value
         return value
 
-    def _blanket_sum(self, key: tuple):
-        tables = [np.log(smoothed(self.store.get(*f), self.config.laplace) + EPS) for f in self.blanket_families(key)]
-        scores = F.array(*[self._class_score(key, tables, k) for k in range(self.store.cards[self.target])])
-        own = F.element_at(scores, F.col(f"`{self.target}`") + 1)
-        return F.sum(F.col("w") * (own - log_sum_exp(scores)))
-
-    def _class_score(self, key: tuple, tables: list[np.ndarray], k: int):
-        out = None
-        for (node, parents), t in zip(self.blanket_families(key), tables):
-            at = [F.lit(k) if p == self.target else F.col(f"`{p}`") for p in parents]
-            value = F.lit(k) if node == self.target else F.col(f"`{node}`")
-            index = flat_index([*at, value], [*(self.store.cards[p] for p in parents), self.store.cards[node]])
-            term = F.element_at(F.lit(t.reshape(-1).tolist()), index + 1)
-            out = term if out is None else out + term
-        return out
+    def _blanket_local(self, key: tuple) -> float:
+        store, classes = self.store, self.store.cards[self.target]
+        held = [{self.target: k} for k in range(classes)]
+        s = np.zeros((len(store.weight), classes))
+        for node, parents in self.blanket_families(key):
+            if store.dense((node, parents)):
+                t = np.log(smoothed(store.get(node, parents), self.config.laplace) + EPS)
+                for k in range(classes):
+                    s[:, k] += t[store.index(parents, held[k]), k if node == self.target else store.local[node]]
+            else:
+                n, row = store.looked_up((*parents, node), held), store.looked_up(parents, held)
+                s += np.log((n + self.config.laplace) / (row + self.config.laplace * store.cards[node]) + EPS).T
+        top = s.max(1, keepdims=True)
+        total = top[:, 0] + np.log(np.exp(s - top).sum(1))
+        return float((store.weight * (s[np.arange(len(s)), store.local[self.target]] - total)).sum())
+
+    def _blanket_far(self, keys: list[tuple]) -> list[float]:
+        """Sums of several blankets, in one job."""
+        classes = self.store.cards[self.target]
+        groups = [[(f, self._log_table(f)) for f in self.blanket_families(key)] for key in keys]
+        rows, terms = class_terms(self.store.collapsed, groups, self.store.cards, self.target, self.config.laplace)
+        sums = []
+        for i, t in enumerate(terms):
+            scores = F.array(*t)
+            own = F.element_at(scores, F.col(f"`{self.target}`") + 1)
+            sums.append(F.sum(F.col("w") * (own - log_sum_exp(scores))).alias(str(i)))
+        assert all(len(t) == classes for t in terms)
+        return [float(x) for x in rows.agg(*sums).first()]
+
+    def _log_table(self, f: Family):
+        if not self.store.dense(f):
+            return self.store.cells(f)
+        return np.log(smoothed(self.store.get(*f), self.config.laplace) + EPS)
 
     def prior(self, g: Dag) -> float:
         e = g.edges()
@@ -145,15 +177,14 @@ class GraphScorer:
 
     def prepare(self, graphs: list[Dag]) -> None:
         """Count what the graphs need in one job, and sum up all their blankets in another (or a few, if they are many)."""
-        self.store.ensure([f for g in graphs for f in g.families() if f not in self.local])
+        self.score_families([f for g in graphs for f in g.families()])
         if self.store.local is not None or not self.config.discriminative_weight:
             return
         new = [k for k in dict.fromkeys(map(self.blanket_key, graphs)) if k not in self.blankets]
         self.store.ensure([f for k in new for f in self.blanket_families(k)])
         for a in range(0, len(new), BLANKETS):
             part = new[a : a + BLANKETS]
-            row = self.store.collapsed.agg(*[self._blanket_sum(k).alias(str(i)) for i, k in enumerate(part)]).first()
-            self.blankets |= {k: float(row[i]) for i, k in enumerate(part)}
+            self.blankets |= dict(zip(part, self._blanket_far(part)))
 
     def score(self, g: Dag) -> dict[str, float]:
         unit = max(self.store.rows, 1.0) if self.config.normalize_by_samples else 1.0

@@ -106,7 +106,7 @@ class HillClimb:
     # --- validation ---
 
     def validate(self, g: Dag, net: BayesNet, rows: DataFrame, score: dict, iteration: int, reason: str) -> dict:
-        if self.checked is not None:
+        if self.checked is not None and net.is_small:
             codes, w = self.checked
             known = codes[self.target] >= 0
             m = predictive_local(codes[self.target][known], net.posterior_local(codes)[known], w[known])
