@@ -1,194 +1,445 @@
 """Neural screening: a shared network with one head for each column, trained once for each bootstrap round.
 
 Every head sees all columns but its own. The influence of a source on a target is how much the target's loss grows, in
-proportion, when the source's inputs are blanked; a pair's synergy is what blanking both adds to blanking either. Rounds
-are tasks of a grouped map; their results are tables that the screening step aggregates in SQL.
+proportion, when the source's inputs are blanked; a pair's synergy is what blanking both adds to blanking either.
 
-The rounds train on at most ``max_rows`` rows of the table, since each round holds its rows in one task. Beyond that, equal
-rows are counted and each count is drawn down in proportion, so that frequencies are kept.
+A round is one network trained on all rows of the table, whatever their number. Equal rows are counted first. What is random
+about a row hangs on a hash of its values alone, never on where it lies: its bootstrap weight (a Poisson draw for training and
+an independent one for checking, as drawing rows with replacement gives), the batches of an epoch that its copies are dealt to
+in turn, and which hidden units are dropped for it. A step adds up the gradients of its batch, divides by the weight and moves
+the parameters. An epoch has ``STEPS`` steps, or one for every ``batch`` rows if that is fewer.
+
+So it makes no difference to the model, but for rounding, who adds up: tables of at most ``max_rows`` distinct rows are trained
+in one task a round; larger ones stay where they are, every step is a job that returns one sum of gradients for each round,
+added up in two levels, and influences are sums of losses over all check rows in the same way.
 """
 
 from __future__ import annotations
 
-from dataclasses import replace
+import math
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+STEPS = 64  # of an epoch, at most: beyond it batches grow with the table
+PIECE = 2_048  # rows whose activations a task holds together
+ROUNDS = "boot int, target string, s1 string, s2 string, score double"
+
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)  # fixed value
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Scrambled 64-bit integers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def keyed(h: np.ndarray, *keys: int) -> np.ndarray:
+    """The hashes under some keys."""
+    for k in keys:
+        h = mixed(h + np.uint64(int(_GOLDEN) * (k + 1) % 2**64))
+    return h
+
+
+def uniform(h: np.ndarray) -> np.ndarray:
+    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+
+
+def poisson(u: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Poisson quantiles; of large means by the normal approximation with a correction for skewness."""
+    out = np.zeros(len(u), np.int64)
+    small = mean <= 30
+    m, left = mean[small], u[small]
+    p = np.exp(-m)
+    below, k, got = p.copy(), 0, np.zeros(len(m), np.int64)
+    while (over := left > below).any() and k < 200:
+        k += 1
+        p = p * m / k
+        below = below + p
+        got[over] = k
+    out[small] = got
+    if not small.all():
+        grid = np.linspace(-8, 8, 4001)
+        cdf = np.array([0.5 * math.erfc(-z / math.sqrt(2)) for z in grid])
+        z, m = np.interp(u[~small], cdf, grid), mean[~small]
+        out[~small] = np.maximum(0, np.floor(m + np.sqrt(m) * z + (z * z - 1) / 6 + 0.5)).astype(np.int64)
+    return out
+
 
 class MultiHead:
-    """Linear-ReLU-dropout layers, then a linear head for each column: squared error for numbers, cross entropy else."""
+    """Linear-ReLU-dropout layers, then a linear head for each column: squared error for numbers, cross entropy else.
+
+    All heads are run together: the first layer's sum over all inputs is made once, and each head takes its own column's
+    share away from it. Dropped units are the same for all heads."""
 
     def __init__(self, blocks: list[slice], sizes: list[int], hidden: int, layers: int, dropout: float, seed: int):
         rng = np.random.default_rng(seed)
-        self.blocks, self.sizes, self.dropout, self.rng = blocks, sizes, dropout, rng
+        self.blocks, self.sizes, self.dropout, self.seed = blocks, sizes, dropout, seed
         d = blocks[-1].stop
         self.p: dict[str, np.ndarray] = {}
         for k in range(layers):
             n_in = d if k == 0 else hidden
             self.p[f"w{k}"] = rng.uniform(-1, 1, (n_in, hidden)) / np.sqrt(n_in)
             self.p[f"b{k}"] = rng.uniform(-1, 1, hidden) / np.sqrt(n_in)
-        self.layers = layers
+        self.layers, self.hidden = layers, hidden
         for j, s in enumerate(sizes):
             out = max(s, 1)
             self.p[f"v{j}"] = rng.uniform(-1, 1, (hidden, out)) / np.sqrt(hidden)
             self.p[f"c{j}"] = rng.uniform(-1, 1, out) / np.sqrt(hidden)
+        self.m = {k: np.zeros_like(v) for k, v in self.p.items()}
+        self.v = {k: np.zeros_like(v) for k, v in self.p.items()}
+        self.t = 0
 
-    def keep_mask(self, j: int) -> np.ndarray:
-        m = np.ones(self.blocks[-1].stop)
-        m[self.blocks[j]] = 0
-        return m
+    def share(self, x: np.ndarray, j: int) -> np.ndarray:
+        """What column j adds to the first layer."""
+        return x[:, self.blocks[j]] @ self.p["w0"][self.blocks[j]]
 
-    def forward(self, x: np.ndarray, train: bool = False):
-        trace, h = [x], x
+    def gates(self, h: np.ndarray | None, epoch: int) -> list:
+        """By layer the factor of each row's hidden units: 0 where dropped."""
+        if h is None or not self.dropout:
+            return [None] * self.layers
+        out = []
         for k in range(self.layers):
-            z = h @ self.p[f"w{k}"] + self.p[f"b{k}"]
-            gate = (z > 0).astype(float)
-            if train and self.dropout:
-                gate *= (self.rng.random(z.shape) >= self.dropout) / (1 - self.dropout)
-            h = z * gate
-            trace += [gate, h]
-        return h, trace
-
-    def loss(self, x: np.ndarray, y: np.ndarray, j: int) -> float:
-        """Mean loss of head j on already masked inputs."""
-        h, _ = self.forward(x)
-        return self.head(h, y, j)[0]
+            own = keyed(h, self.seed, epoch, k)
+            bits = mixed(own[:, None] + _GOLDEN * np.arange(1, self.hidden + 1, dtype=np.uint64))
+            out.append((bits >= np.uint64(int(self.dropout * 2**64))) / (1 - self.dropout))
+        return out
+
+    def upper(self, z: np.ndarray, gates: list):
+        """Activations of first-layer sums (..., rows, hidden) through all layers: the last ones, and the trace."""
+        trace = []
+        for k in range(self.layers):
+            if k:
+                z = z @ self.p[f"w{k}"] + self.p[f"b{k}"]
+            gate = (z > 0).astype(z.dtype)
+            if gates[k] is not None:
+                gate = gate * gates[k]
+            z = z * gate
+            trace.append((gate, z))
+        return z, trace
 
     def head(self, h: np.ndarray, y: np.ndarray, j: int):
+        """Loss of each row, and its derivative by the head's outputs."""
         out = h @ self.p[f"v{j}"] + self.p[f"c{j}"]
         if self.sizes[j] == 0:
-            e = out[:, 0] - y
-            return float((e * e).mean()), (2 * e / len(y))[:, None]
-        out = out - out.max(1, keepdims=True)
+            e = out[..., 0] - y
+            return e * e, (2 * e)[..., None]
+        out = out - out.max(-1, keepdims=True)
         p = np.exp(out)
-        p /= p.sum(1, keepdims=True)
-        at = y.astype(int)
-        value = float(-np.log(np.maximum(p[np.arange(len(y)), at], 1e-12)).mean())
-        p[np.arange(len(y)), at] -= 1
-        return value, p / len(y)
+        p /= p.sum(-1, keepdims=True)
+        one = np.eye(self.sizes[j])[y.astype(int)]
+        return -np.log(np.maximum((p * one).sum(-1), 1e-12)), p - one
 
-    def gradients(self, x: np.ndarray, ys: list[np.ndarray], train: bool = True) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over the heads and its gradient."""
+    def gradient_sums(self, x: np.ndarray, ys: list[np.ndarray], w: np.ndarray, h: np.ndarray | None = None, epoch: int = 0) -> tuple[float, dict[str, np.ndarray]]:
+        """Sums over rows, by weight, of the mean loss over the heads, and of its gradient."""
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
-        total, n = 0.0, len(ys)
-        for j, y in enumerate(ys):
-            h, trace = self.forward(x * self.keep_mask(j), train)
-            value, d = self.head(h, y, j)
-            total += value / n
-            d = d / n
-            g[f"v{j}"] += h.T @ d
-            g[f"c{j}"] += d.sum(0)
-            back = d @ self.p[f"v{j}"].T
-            for k in range(self.layers - 1, -1, -1):
-                back = back * trace[2 * k + 1]
-                g[f"w{k}"] += trace[2 * k].T @ back
-                g[f"b{k}"] += back.sum(0)
-                back = back @ self.p[f"w{k}"].T
+        total, heads = 0.0, len(ys)
+        for a in range(0, len(x), PIECE):
+            xs, ws, gates = x[a : a + PIECE], w[a : a + PIECE] / heads, self.gates(h[a : a + PIECE] if h is not None else None, epoch)
+            whole = xs @ self.p["w0"] + self.p["b0"]
+            z = np.stack([whole - self.share(xs, j) for j in range(heads)])
+            top, trace = self.upper(z, gates)
+            back = np.empty_like(top)
+            for j, y in enumerate(ys):
+                loss, d = self.head(top[j], y[a : a + PIECE], j)
+                total += float((ws * loss).sum())
+                d = d * ws[:, None]
+                g[f"v{j}"] += top[j].T @ d
+                g[f"c{j}"] += d.sum(0)
+                back[j] = d @ self.p[f"v{j}"].T
+            for k in range(self.layers - 1, 0, -1):
+                back *= trace[k][0]
+                flat = back.reshape(-1, self.hidden)
+                g[f"w{k}"] += trace[k - 1][1].reshape(-1, self.hidden).T @ flat
+                g[f"b{k}"] += flat.sum(0)
+                back = (flat @ self.p[f"w{k}"].T).reshape(back.shape)
+            back *= trace[0][0]
+            every = back.sum(0)
+            g["w0"] += xs.T @ every
+            g["b0"] += every.sum(0)
+            for j, b in enumerate(self.blocks):
+                g["w0"][b] -= xs[:, b].T @ back[j]
         return total, g
 
+    def gradients(self, x: np.ndarray, ys: list[np.ndarray], train: bool = True) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss over rows and heads, and its gradient, without dropout."""
+        total, g = self.gradient_sums(x, ys, np.ones(len(x)))
+        return total / len(x), {k: v / len(x) for k, v in g.items()}
+
+    def step(self, g: dict[str, np.ndarray], weight: float, rate: float) -> None:
+        """Move the parameters by the sums of a batch of that weight."""
+        if weight <= 0:
+            return
+        self.t += 1
+        for k in self.p:
+            d = g[k] / weight
+            self.m[k] = 0.9 * self.m[k] + 0.1 * d
+            self.v[k] = 0.999 * self.v[k] + 0.001 * d * d
+            self.p[k] = self.p[k] - rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
+
     def fit(self, x: np.ndarray, ys: list[np.ndarray], epochs: int, batch: int, rate: float) -> None:
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        t = 0
-        for _ in range(epochs):
-            order = self.rng.permutation(len(x))
-            for a in range(0, len(x), batch):
-                rows = order[a : a + batch]
-                _, g = self.gradients(x[rows], [y[rows] for y in ys])
-                t += 1
-                for k in self.p:
-                    m[k] = 0.9 * m[k] + 0.1 * g[k]
-                    v2[k] = 0.999 * v2[k] + 0.001 * g[k] ** 2
-                    self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v2[k] / (1 - 0.999**t)) + 1e-8)
+        """Train on rows of weight 1 that are in memory, dealt by their place."""
+        h = keyed(np.arange(len(x), dtype=np.uint64), self.seed)
+        local = LocalRows(x, ys, h, np.ones(len(x), np.int64))
+        train([self], local.gradients(np.ones(len(x), np.int64)), steps_of(len(x), batch), epochs, rate)
 
-    def masked_losses(self, x: np.ndarray, y: np.ndarray, j: int, variants: list[tuple[int, ...]], chunk: int) -> list[float]:
-        """Loss of head j with the blocks of each variant blanked, ``chunk`` variants at a time."""
-        out = []
-        for a in range(0, len(variants), chunk):
-            part = variants[a : a + chunk]
-            masks = np.stack([self.keep_mask(j)] * len(part))
-            for r, v in enumerate(part):
-                for s in v:
-                    masks[r, self.blocks[s]] = 0
-            h, _ = self.forward((x[None] * masks[:, None]).reshape(-1, x.shape[1]))
-            out += [self.head(h[r * len(x) : (r + 1) * len(x)], y, j)[0] for r in range(len(part))]
+    def loss_sums(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, j: int, variants: list[tuple[int, ...]], chunk: int) -> np.ndarray:
+        """Sums of head j's loss, by weight, with the columns of each variant blanked, ``chunk`` variants at a time."""
+        out = np.zeros(len(variants))
+        for a in range(0, len(x), PIECE):
+            xs, ys, ws = x[a : a + PIECE], y[a : a + PIECE], w[a : a + PIECE]
+            base = xs @ self.p["w0"] + self.p["b0"] - self.share(xs, j)
+            gone = {s: self.share(xs, s) for v in variants for s in v if s != j}
+            for c in range(0, len(variants), chunk):
+                part = variants[c : c + chunk]
+                z = np.stack([base - sum((gone[s] for s in dict.fromkeys(v) if s != j), np.zeros(1)) for v in part])
+                top, _ = self.upper(z, [None] * self.layers)
+                out[c : c + chunk] += (self.head(top, ys, j)[0] * ws).sum(1)
         return out
 
+    def masked_losses(self, x: np.ndarray, y: np.ndarray, j: int, variants: list[tuple[int, ...]], chunk: int) -> list[float]:
+        """Mean losses of head j with the columns of each variant blanked."""
+        return (self.loss_sums(x, y, np.ones(len(x)), j, variants, chunk) / len(x)).tolist()
+
 
 def influence(masked: float, base: float) -> float:
     return max(0.0, (masked - base) / max(abs(base), 1e-6))
 
 
-def run_round(x: np.ndarray, ys: list[np.ndarray], blocks: list[slice], sizes: list[int], names: list[str], config, number: int, allowed: dict[str, list[str]] | None) -> pd.DataFrame:
-    rng = np.random.default_rng([config.seed, number])
-    n = len(x)
-    draws = rng.choice(n, n, replace=True)
-    held = max(1, int(n * config.validation_fraction))
-    check, train = np.unique(draws[:held]), draws[held:]
-    if not len(train):
-        train = draws
-    net = MultiHead(blocks, sizes, config.hidden, config.layers, config.dropout, config.seed + number)
-    net.fit(x[train], [y[train] for y in ys], config.epochs, config.batch, config.learning_rate)
-    rows = []
-    xc = x[check]
-    for j, target in enumerate(names):
-        y = ys[j][check]
-        sources = [s for s in range(len(names)) if s != j and (allowed is None or names[s] in allowed.get(target, ()))]
-        losses = net.masked_losses(xc, y, j, [(), *((s,) for s in sources)], config.mask_chunk)
-        base = losses[0]
-        single = {s: influence(v, base) for s, v in zip(sources, losses[1:])}
-        rows += [(number, target, names[s], None, single.get(s, 0.0)) for s in range(len(names)) if s != j]
-        if config.use_bundles and config.interaction_top_pairs > 0:
-            best = sorted(sources, key=lambda s: -single[s])[: config.pairwise_top_m]
-            pairs = [tuple(sorted(p)) for p in combinations(best, 2)]
-            for (a, b), v in zip(pairs, net.masked_losses(xc, y, j, pairs, config.mask_chunk)):
-                rows.append((number, target, names[a], names[b], max(0.0, influence(v, base) - single[a] - single[b])))
-    return pd.DataFrame(rows, columns=["boot", "target", "s1", "s2", "score"])
-
-
-def in_blocks(rows: DataFrame, blocks: int, seed: int) -> DataFrame:
-    """rows with ``_block``: equal rows are counted first and then dealt out in turn, so that each block holds its share of
-    them, and with ``_n``, how many of them it holds."""
-    columns = [F.col(f"`{c}`") for c in rows.columns]
-    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_all"))
-    turn = F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(blocks))
-    own = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(k.cast("int").alias("b"), F.floor((F.col("_all") + F.pmod(k - turn, F.lit(blocks))) / blocks).alias("n")))
-    return counted.select(*columns, F.explode(F.filter(own, lambda x: x["n"] > 0)).alias("_x")).select(*columns, F.col("_x.b").alias("_block"), F.col("_x.n").alias("_n"))
+def steps_of(rows: float, batch: int) -> int:
+    return int(min(STEPS, max(1, -(-rows // batch))))
 
 
-def neural_edges(encoder, table: DataFrame, config, allowed: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(target, source, score) and (target, s1, s2, score), a row for each round.
+def train(nets: list[MultiHead], gradients, steps: int, epochs: int, rate: float) -> None:
+    """``gradients(nets, epoch, step, steps)`` gives (weight, sums) for each network."""
+    for epoch in range(epochs):
+        for s in range(steps):
+            for net, (weight, g) in zip(nets, gradients(nets, epoch, s, steps)):
+                net.step(g, weight, rate)
+
+
+def dealt(h: np.ndarray, copies: np.ndarray, seed: int, epoch: int, step: int, steps: int) -> np.ndarray:
+    """How many of a row's copies are in the batch: they are dealt to an epoch's batches in turn, from a random one on."""
+    turn = (keyed(h, seed, 1_000 + epoch) % np.uint64(steps)).astype(np.int64)
+    return (copies + (steps - 1 - (step - turn) % steps)) // steps
+
+
+class LocalRows:
+    """Rows in memory: features, codes, hashes and how often each occurs."""
+
+    def __init__(self, x: np.ndarray, ys: list[np.ndarray], h: np.ndarray, n: np.ndarray):
+        self.x, self.ys, self.h, self.n = x, ys, h, n
+
+    def sums(self, net: MultiHead, copies: np.ndarray, epoch: int, step: int, steps: int):
+        w = dealt(self.h, copies, net.seed, epoch, step, steps)
+        at = np.flatnonzero(w)
+        return float(w.sum()), net.gradient_sums(self.x[at], [y[at] for y in self.ys], w[at].astype(float), self.h[at], epoch)[1]
+
+    def gradients(self, copies: np.ndarray):
+        return lambda nets, epoch, step, steps: [self.sums(net, copies, epoch, step, steps) for net in nets]
+
+    def losses(self, net: MultiHead, copies: np.ndarray, plan: dict[int, list[tuple[int, ...]]], chunk: int) -> dict[int, np.ndarray]:
+        at = np.flatnonzero(copies)
+        return {j: net.loss_sums(self.x[at], self.ys[j][at], copies[at].astype(float), j, variants, chunk) for j, variants in plan.items()}
+
+
+def copies_of(h: np.ndarray, n: np.ndarray, seed: int, fraction: float) -> tuple[np.ndarray, np.ndarray]:
+    """Training and check copies of rows that occur n times: independent Poisson draws, since a bootstrap draw goes to either."""
+    return poisson(uniform(keyed(h, seed, 1)), n * (1 - fraction)), np.minimum(n, poisson(uniform(keyed(h, seed, 2)), n * fraction))
+
+
+class Screener:
+    """What is common to all ways of adding up."""
 
-    A round trains on all rows. Beyond ``max_rows`` they are dealt into blocks, a task each, and the scores are the mean
-    over blocks, weighted by their rows (a pair that a block did not look at counts as 0 there)."""
+    def __init__(self, names: list[str], blocks: list[slice], sizes: list[int], config, allowed: dict[str, list[str]] | None):
+        self.names, self.blocks, self.sizes, self.config, self.allowed = names, blocks, sizes, config, allowed
+
+    def network(self, number: int) -> MultiHead:
+        c = self.config
+        return MultiHead(self.blocks, self.sizes, c.hidden, c.layers, c.dropout, c.seed + number)
+
+    def sources(self, j: int) -> list[int]:
+        names = self.names
+        return [s for s in range(len(names)) if s != j and (self.allowed is None or names[s] in self.allowed.get(names[j], ()))]
+
+    def singles(self) -> dict[int, list[tuple[int, ...]]]:
+        return {j: [(), *((s,) for s in self.sources(j))] for j in range(len(self.names))}
+
+    def pairs(self, single: dict[int, dict[int, float]]) -> dict[int, list[tuple[int, ...]]]:
+        c = self.config
+        if not (c.use_bundles and c.interaction_top_pairs > 0):
+            return {}
+        best = {j: sorted(own, key=lambda s: -own[s])[: c.pairwise_top_m] for j, own in single.items()}
+        return {j: v for j, b in best.items() if (v := [tuple(sorted(p)) for p in combinations(b, 2)])}
+
+    def rows(self, number: int, base: dict[int, float], single: dict[int, dict[int, float]], pair_losses: dict[int, dict[tuple, float]]) -> list[tuple]:
+        names, out = self.names, []
+        for j, target in enumerate(names):
+            own = single[j]
+            out += [(number, target, names[s], None, own.get(s, 0.0)) for s in range(len(names)) if s != j]
+            out += [(number, target, names[a], names[b], max(0.0, influence(v, base[j]) - own[a] - own[b])) for (a, b), v in pair_losses.get(j, {}).items()]
+        return out
+
+    def scored(self, number: int, losses) -> list[tuple]:
+        """Rows of a round; ``losses(plan)`` gives mean losses by head and variant."""
+        plan = self.singles()
+        got = losses(plan)
+        base = {j: float(v[0]) for j, v in got.items()}
+        single = {j: {s: influence(float(x), base[j]) for (s,), x in zip(plan[j][1:], v[1:])} for j, v in got.items()}
+        pairs = self.pairs(single)
+        both = losses(pairs) if pairs else {}
+        return self.rows(number, base, single, {j: dict(zip(pairs[j], map(float, v))) for j, v in both.items()})
+
+    def matrix(self, features, codes: dict[str, np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        x = np.asarray(features, float).reshape(-1, self.blocks[-1].stop)
+        return x, [x[:, b.start] if s == 0 else codes[n] for n, b, s in zip(self.names, self.blocks, self.sizes)]
+
+    def seed(self, number: int) -> int:
+        return self.config.seed + number
+
+    def run_local(self, number: int, local: LocalRows, total: int) -> list[tuple]:
+        """A round on rows in memory, ``total`` with their copies."""
+        c, net = self.config, self.network(number)
+        learn, check = copies_of(local.h, local.n, self.seed(number), c.validation_fraction)
+        train([net], local.gradients(learn), steps_of(total * (1 - c.validation_fraction), c.batch), c.epochs, c.learning_rate)
+        if not check.any():
+            check = local.n
+        weight = float(check.sum())
+        return self.scored(number, lambda plan: {j: v / weight for j, v in local.losses(net, check, plan, c.mask_chunk).items()})
+
+
+def _batch(screener: Screener, b) -> LocalRows:
+    codes = {n: b.column(f"_c{i}").to_numpy(zero_copy_only=False) for i, n in enumerate(screener.names)}
+    x, ys = screener.matrix(b.column("features").flatten().to_numpy(zero_copy_only=False), codes)
+    return LocalRows(x, ys, b.column("_h").to_numpy(zero_copy_only=False).view(np.uint64), b.column("_n").to_numpy(zero_copy_only=False))
+
+
+def summed(rows: DataFrame, part, lengths: int, tasks: int) -> list[np.ndarray]:
+    """``part(batch)`` gives a vector for each of ``lengths`` rounds; their sums over all batches, added up in tasks first, then
+    by about the square root of these, then here."""
+
+    def add(batches):
+        held: list[np.ndarray | None] = [None] * lengths
+        for vectors in batches:
+            held = [v if a is None else a + v for a, v in zip(held, vectors)]
+        if held[0] is not None:
+            yield pa.RecordBatch.from_pydict({"boot": pa.array(range(lengths), pa.int32()), "data": [v.tobytes() for v in held]})
+
+    def first(batches):
+        yield from add(part(b) for b in batches if b.num_rows)
+
+    def then(batches):
+        by: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, data in zip(b.column("boot").to_pylist(), b.column("data").to_pylist()):
+                v = np.frombuffer(data)
+                by[k] = by[k] + v if k in by else v
+        for k, v in by.items():
+            yield pa.RecordBatch.from_pydict({"boot": pa.array([k], pa.int32()), "data": [v.tobytes()]})
+
+    schema = "boot int, data binary"
+    some = rows.mapInArrow(first, schema)
+    if tasks > 16:
+        some = some.repartition(math.isqrt(tasks)).mapInArrow(then, schema)
+    out: list[np.ndarray | None] = [None] * lengths
+    for r in some.collect():  # a vector for each round and task of the last level
+        v = np.frombuffer(bytes(r["data"]))
+        out[r["boot"]] = v if out[r["boot"]] is None else out[r["boot"]] + v
+    return out
+
+
+class FarRows:
+    """Rows that stay in Spark: every sum is a job that all rounds share."""
+
+    def __init__(self, screener: Screener, rows: DataFrame, rounds: int):
+        self.screener, self.rows, self.rounds = screener, rows, rounds
+        self.sc = rows.sparkSession.sparkContext
+        self.tasks = rows.select(F.spark_partition_id().alias("p")).distinct().count()
+
+    def gradients(self, nets: list[MultiHead], epoch: int, step: int, steps: int):
+        held, screener = self.sc.broadcast(nets), self.screener
+
+        def part(b):
+            local = _batch(screener, b)
+            for net in held.value:
+                learn, _ = copies_of(local.h, local.n, net.seed, screener.config.validation_fraction)
+                weight, g = local.sums(net, learn, epoch, step, steps)
+                yield np.concatenate([[weight], *(g[k].reshape(-1) for k in net.p)])
+
+        got = summed(self.rows, lambda b: list(part(b)), self.rounds, self.tasks)
+        held.unpersist()
+        for net, v in zip(nets, got):
+            cuts = np.cumsum([1, *(a.size for a in net.p.values())])
+            yield float(v[0]), {k: v[i:j].reshape(a.shape) for (k, a), i, j in zip(net.p.items(), cuts, cuts[1:])}
+
+    def losses(self, nets: list[MultiHead], plans: list[dict[int, list[tuple[int, ...]]]], everything: bool = False) -> tuple[list[float], list[dict[int, np.ndarray]]]:
+        """Weights of the check rows (of all, if so told), and sums of losses, by round."""
+        held, screener = self.sc.broadcast((nets, plans)), self.screener
+
+        def part(b):
+            local = _batch(screener, b)
+            for net, plan in zip(*held.value):
+                check = local.n if everything else copies_of(local.h, local.n, net.seed, screener.config.validation_fraction)[1]
+                yield np.concatenate([[float(check.sum())], *local.losses(net, check, plan, screener.config.mask_chunk).values()])
+
+        got = summed(self.rows, lambda b: list(part(b)), self.rounds, self.tasks)
+        held.unpersist()
+        out = []
+        for plan, v in zip(plans, got):
+            cuts = np.cumsum([1, *(len(x) for x in plan.values())])
+            out.append({j: v[i:k] for j, i, k in zip(plan, cuts, cuts[1:])})
+        return [float(v[0]) for v in got], out
+
+    def run(self, total: int) -> list[tuple]:
+        screener, c = self.screener, self.screener.config
+        nets = [screener.network(k) for k in range(self.rounds)]
+        train(nets, self.gradients, steps_of(total * (1 - c.validation_fraction), c.batch), c.epochs, c.learning_rate)
+        plan = screener.singles()
+        weights, first = self.losses(nets, [plan] * self.rounds)
+        if not all(weights):
+            weights, first = self.losses(nets, [plan] * self.rounds, True)
+        mean = [{j: v / w for j, v in own.items()} for own, w in zip(first, weights)]
+        base = [{j: float(v[0]) for j, v in own.items()} for own in mean]
+        single = [{j: {s: influence(float(x), b[j]) for (s,), x in zip(plan[j][1:], v[1:])} for j, v in own.items()} for own, b in zip(mean, base)]
+        pairs = [screener.pairs(own) for own in single]
+        both = self.losses(nets, pairs)[1] if any(pairs) else [{}] * self.rounds
+        out = []
+        for k in range(self.rounds):
+            out += screener.rows(k, base[k], single[k], {j: dict(zip(pairs[k][j], map(float, v / weights[k]))) for j, v in both[k].items()})
+        return out
+
+
+def neural_edges(encoder, table: DataFrame, config, allowed: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(target, source, score) and (target, s1, s2, score), a row for each round."""
     profiles = encoder.profiles
     names = [p.name for p in profiles]
-    blocks_of, at = [], 0
+    blocks, at = [], 0
     for p in profiles:
         width = len(p.categories) if p.kind == "categorical" else 1
-        blocks_of.append(slice(at, at + width))
+        blocks.append(slice(at, at + width))
         at += width
     sizes = [len(p.categories) if p.kind == "categorical" else 0 for p in profiles]
-    rows = encoder.encoded(table)
-    total = rows.count()
-    blocks = max(1, -(-total // config.max_rows))
-    dealt = in_blocks(rows, blocks, config.seed)
-    rounds = dealt.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(max(config.bootstraps, 1) - 1))))
-
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["features"].to_list()).astype(float)
-        pdf = pdf.iloc[np.lexsort((*x.T[::-1], *(pdf[n] for n in names)))]  # rows come in any order
-        pdf = pdf.loc[pdf.index.repeat(pdf["_n"])]
-        x = np.stack(pdf["features"].to_list()).astype(float)
-        ys = [x[:, b.start] if s == 0 else pdf[n].to_numpy() for n, b, s in zip(names, blocks_of, sizes)]
-        got = run_round(x, ys, blocks_of, sizes, names, replace(config, seed=config.seed + 1_000_003 * int(key[1])), int(key[0]), allowed)
-        return got.assign(weight=len(pdf) / total)
-
-    schema = "boot int, target string, s1 string, s2 string, score double, weight double"
-    found = rounds.groupBy("boot", "_block").applyInPandas(one, schema)
-    out = found.groupBy("boot", "target", "s1", "s2").agg(F.sum(F.col("score") * F.col("weight")).alias("score")).persist()
+    screener, rounds = Screener(names, blocks, sizes, config, allowed), max(config.bootstraps, 1)
+    keys = [F.col(f"`{n}`").alias(f"_c{i}") for i, n in enumerate(names)]
+    plain = encoder.encoded(table).select(*keys, "features")
+    rows = plain.groupBy(*plain.columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_h", F.xxhash64(*plain.columns)).persist()
+    size = rows.agg(F.count(F.lit(1)).alias("distinct"), F.coalesce(F.sum("_n"), F.lit(0)).alias("all")).first()
+    if size["distinct"] <= config.max_rows:
+        few = rows.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+
+        def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_h", kind="stable")  # rows come in any order
+            x, ys = screener.matrix(np.stack(pdf["features"].to_list()), {n: pdf[f"_c{i}"].to_numpy() for i, n in enumerate(names)})
+            local = LocalRows(x, ys, pdf["_h"].to_numpy().view(np.uint64), pdf["_n"].to_numpy())
+            return pd.DataFrame(screener.run_local(int(key[0]), local, size["all"]), columns=["boot", "target", "s1", "s2", "score"])
+
+        out = few.groupBy("boot").applyInPandas(one, ROUNDS).persist()
+    else:
+        out = table.sparkSession.createDataFrame(FarRows(screener, rows, rounds).run(size["all"]), ROUNDS)
+        rows.unpersist()
     return out.where(F.col("s2").isNull()).select("target", F.col("s1").alias("source"), "score"), out.where(F.col("s2").isNotNull()).select("target", "s1", "s2", "score")
