@@ -8,7 +8,7 @@ spans. The language with most letters is the document's, and its share of the le
 Training counts n-grams over labelled rows; beyond ``TRAIN_ROWS`` labelled rows it takes those with the smallest hash, in
 that expected number. The model has 2 * 2**BITS counters a language, whatever the corpus.
 
-Edge cases: null, empty and letterless texts are ``und`` with score 0; equal totals go to the language first in order;
+Edge cases: null, empty and letterless texts (combining marks are no letters) are ``und`` with score 0; equal totals go to the language first in order;
 without any labelled row every text is ``und``; very long texts are scored in blocks; other columns pass untouched.
 """
 
@@ -100,6 +100,8 @@ class Model:
             if not len(first):
                 yield from ((np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)) for _ in range(j - i))
                 continue
+            before = np.concatenate([[0], np.cumsum(s.cls == LETTER)])
+            lettered = before[s.last] > before[s.first]
             size = np.diff(np.append(first, len(at)))
             score = np.empty((len(first), len(self.langs)), np.float32)
             step = 1 << 16  # words at a time
@@ -111,7 +113,7 @@ class Model:
             score[~self.allowed[script]] -= 1e4
             path = viterbi(score, of, self.penalty)
             for k in range(j - i):
-                a, b = of[k], of[k + 1]
+                a, b = of[k], of[k + 1] if lettered[k] else of[k]
                 yield at[first[a:b]] - s.first[k], size[a:b], path[a:b]
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:

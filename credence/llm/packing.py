@@ -204,7 +204,7 @@ def _islands(items: DataFrame, shards: int, capacity: int, seed: int) -> DataFra
     return state.groupBy("shard").agg(F.min_by("genes", F.struct(bins, "island", "genes")).alias("genes"))
 
 
-ASSIGNED = PIECES + ", shard int, bin int, offset long, fill long"
+ASSIGNED = PIECES + ", row long, shard int, bin int, offset long, fill long"
 
 
 def _assign(items: DataFrame, best: DataFrame) -> DataFrame:
@@ -229,14 +229,16 @@ def _assign(items: DataFrame, best: DataFrame) -> DataFrame:
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, seed: int = 7) -> DataFrame:
-    """items: the columns of PIECES; result: those, sequence_id and offset. ``items`` is read several times: stage it."""
+    """items: the columns of PIECES; result: those, sequence_id and offset. ``items`` is read several times: stage it.
+
+    Shards are dealt by a number of each row, so copies of one row spread over all of them."""
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
     full = items.where(F.col("length") >= capacity).select(*cols, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = items.where(F.col("length") < capacity).select(*cols)
+    rest = staged(items.where(F.col("length") < capacity).select(*cols, F.monotonically_increasing_id().alias("row")), "pieces")
     n, level, out = rest.count(), 0, full
     while n:
         shards = -(-n // shard_pieces)
-        rest = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(shards)).cast("int"))
+        rest = rest.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(shards)).cast("int"))
         placed = staged(_assign(rest, _islands(rest, shards, capacity, seed + level)), f"packed{level}")
         sequence = -(F.lit(1 + level).cast("long") * (1 << 56) + F.col("shard").cast("long") * (1 << 28) + F.col("bin"))
         good = F.col("fill") >= int(capacity * GOOD)
@@ -245,7 +247,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_P
             n = placed.where(~good).count()
         last = 2 * n > before or not n  # nothing is left to pack better, or it does not get less
         out = out.unionByName((placed if last else placed.where(good)).select(*cols, sequence.alias("sequence_id"), "offset"))
-        rest, level, n = placed.where(~good).select(*cols), level + 1, 0 if last else n
+        rest, level, n = placed.where(~good).select(*cols, "row"), level + 1, 0 if last else n
     return out
 
 

@@ -166,8 +166,9 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
             sink.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "shard": pa.array([part], pa.int32()), "n_docs": [len(writer.docs)], "n_tokens": [int(sum(writer.counts))]})
 
-    tie = F.xxhash64("text")
-    dealt = docs.select("doc_id", "text", tie.alias("_tie")).repartitionByRange(shards, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
+    # the row's number only parts rows that are equal, so that many copies of one spread over shards
+    keys = ["doc_id", "_tie", "_row"]
+    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie"), F.monotonically_increasing_id().alias("_row")).repartitionByRange(shards, *keys).sortWithinPartitions(*keys)
     return staged(dealt.select("doc_id", "text").mapInArrow(write, MANIFEST), "manifest")
 
 

@@ -106,7 +106,7 @@ def test_op6(spark, texts):
     assert set(rows) == set(texts)
     for i, r in rows.items():
         assert r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7)
-    known = [(rows[i]["score"], q) for i, q in labels.items() if i in rows and q is not None]
+    known = [(rows[i]["score"], q) for i, q in labels.items() if i in rows and rows[i]["held_out"] and q is not None]
     good, bad = [s for s, q in known if q == 1], [s for s, q in known if q == 0]
     assert np.mean([g > b for g in good for b in bad]) > 0.9
 
@@ -114,9 +114,15 @@ def test_op6(spark, texts):
 def test_op7(spark, vectors):
     ids, x = vectors
     u = x / np.linalg.norm(x, axis=1)[:, None]
-    links = (u @ u.T >= 0.95).sum(1) - 1
+    linked = u @ u.T >= 0.95
+    links, smallest = linked.sum(1) - 1, ids.copy()
+    while True:  # the smallest id reachable
+        further = np.where(linked, smallest[None, :], ids.max() + 1).min(1)
+        if (further == smallest).all():
+            break
+        smallest = further
     rows = {r["vec_id"]: r for r in RUN["op7_vector_dedup"](spark, SF).collect()}
-    assert [rows[i]["n_links"] for i in ids] == links.tolist()
+    assert [(rows[i]["n_links"], rows[i]["component_id"], rows[i]["kept"]) for i in ids] == list(zip(links.tolist(), smallest.tolist(), (smallest == ids).tolist()))
 
 
 def test_op8(spark, texts):
@@ -137,9 +143,32 @@ def test_op6_on_awkward_tables(spark):
     assert quality.train_and_score(docs.limit(0).select("doc_id", "text"), labels, ["doc_id"])[1].count() == 0
 
 
+def _tiny(spark):
+    from credence.llm import langid
+
+    return langid.train(spark.createDataFrame([(i, "the water of night", "en") for i in range(5)] + [(9, "maison de l\u2019eau", "fr")], "doc_id long, text string, lang string"))
+
+
+def test_copies_of_one_row_spread_over_shards(spark):
+    from credence.llm import packing, token_store
+    from credence.llm.common import fresh_path
+
+    same = spark.range(40_000, numPartitions=4).selectExpr("CAST(NULL AS LONG) AS doc_id", "0 AS piece", "0L AS start", "100L AS length", "7L AS ids_crc32")
+    packed = packing.pack(same.select("doc_id", "piece", "start", "length", "ids_crc32"), shard_pieces=2_000)
+    fills = packed.groupBy("sequence_id").agg({"length": "sum", "offset": "count"}).toPandas()
+    assert packed.count() == 40_000 and fills["sum(length)"].max() <= 4096 and len(fills) <= -(-40_000 // 40) + 20
+    import public_tokenizers
+
+    docs = spark.range(20_000, numPartitions=4).selectExpr("5L AS doc_id", "'the same text' AS text")
+    manifest = token_store.write_store(docs, fresh_path(spark, "store"), public_tokenizers.path("word_bpe_49k.json"), shards=8)
+    assert manifest.count() == 8 and manifest.agg({"n_docs": "max"}).first()[0] < 5_000
+    assert token_store.read_store(manifest).count() == 20_000
+
+
 def test_op8_on_awkward_tables(spark):
     from credence.llm import langid
 
+    assert {r["lang_pred"] for r in langid.predict(spark.createDataFrame([(1, "\u0301\u0302"), (2, "\u0301 \u0302 12"), (3, ""), (4, "!?")], "doc_id long, text string"), _tiny(spark), ["doc_id"]).collect()} == {"und"}
     long = "the water and the house " * 200_000
     docs = spark.createDataFrame([(i, "the water and the house of night", "en") for i in range(30)] + [(5, "le de et eau maison", "fr")] * 30 + [(100, long, None), (100, long, None), (101, None, None)], "doc_id long, text string, lang string")
     rows = langid.predict(docs, langid.train_outside_fold(docs), ["doc_id"]).collect()
