@@ -1,21 +1,23 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Each of ``TABLES`` hash tables cuts ``HASHES`` Gaussian projections into cells of one width; a row's bucket in a table is its
-tuple of cells. For a query, a bucket's estimated success is the probability that a point at neighbour distance falls into
-it: the product, over projections, of the normal mass of the bucket's cell around the query's projection. Buckets, the
-query's own and perturbed ones alike, are visited in that order down to a level; distances are computed for the rows of
-visited buckets only, and the candidates of all tables are merged and ranked by exact distance.
-
-The first cells of a bucket (as many as cut the table into groups of about ``GROUP_ROWS`` rows) are the key by which rows
-are dealt: every row is sent once a table, every query to the keys that can hold a visited bucket, found by walking the
-perturbations in order of success. Groups of more than ``INDEX_BLOCK`` rows are cut into blocks by hash, and more than
-``QUERY_BLOCK`` queries of one group too. A task returns at most ``k + 1`` rows a query and group.
-
-Width and level are fitted on at most about ``SAMPLE_ROWS`` rows: the level is the one at which ``TARGET`` of the sample's
-true neighbours lie in a visited bucket (in the whole table neighbours are nearer, hence likelier). Every row is indexed.
-Queries for which fewer than ``k`` candidates were found, and dimensions other than the commonest, are searched exactly,
-block by block. ``report`` receives the share of rows visited. Without structure in the data many buckets are as likely as
-each other, and the share is large: about a tenth of isotropic vectors of 64 dimensions.
+Each of several hash tables cuts a few Gaussian projections into cells of one width; a row's bucket in a table is its tuple of
+cells. A query visits buckets in the order of their estimated success: its own bucket first, then perturbed ones, where each
+projection may step into the cell below or above. A step costs the squared distance to the cell's border, so the cheapest sets
+of steps are the likeliest ones; they come from a heap that starts with the cheapest step and goes on by replacing the last
+step of a set with the next one, or adding that. A query looks up its first ``probes`` buckets in every table.
+
+Buckets are keys of a table: rows are dealt by bucket, queries by the buckets they visit, and only rows of visited buckets are
+compared. Buckets are dealt to groups of about ``GROUP_ROWS`` rows, a task's unit of work, which returns at most ``k + 1`` rows a
+query; the candidates of all groups are merged and ranked by exact distance. Buckets of more than ``INDEX_BLOCK`` rows are cut
+into blocks by hash, and more than ``QUERY_BLOCK`` queries of one bucket too.
+
+Cell width, hashes and probes are fitted on at most about ``SAMPLE_ROWS`` rows: of the settings in ``WIDTHS`` and ``SIZES`` that
+find ``TARGET`` of the sample's true neighbours within ``MOST_PROBES`` buckets a table, the one that compares fewest rows, a bucket
+visited counted as ``VISIT`` rows. Every row is indexed. Queries that found fewer than ``k`` rows, and dimensions other than the
+commonest, are searched exactly, block by block. ``report`` receives the share of rows compared, summed over tables.
+
+On vectors with structure a query compares less than a hundredth of the table. Neighbours of isotropic vectors of 64 dimensions
+are hardly nearer than other rows: no few projections tell them apart, and a query compares about as many rows as there are.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows with null
 vec_id; candidates have the query's dimension; the query's own row is one row of its vec_id at distance 0; rows that repeat a
@@ -25,6 +27,7 @@ empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -37,76 +40,98 @@ from .common import short_batches, staged
 from .vecs import sample, usable
 
 K = 10
-TABLES, HASHES = 4, 32
-SAMPLE_ROWS, SAMPLE_QUERIES = 4_096, 256
-TARGET = 0.95
-GROUP_ROWS = 4_096
-INDEX_BLOCK, QUERY_BLOCK = 8_192, 2_048
-QUERIES = 128  # of a task that are compared at a time
-_STEPS = 2048  # resolution of the normal distribution's table, over +-8
-_FLOOR = math.log(1e-12)
-
-
-def _normal_table() -> np.ndarray:
-    z = np.linspace(-8, 8, 16 * _STEPS + 1)
-    return np.array([0.5 * math.erfc(-x / math.sqrt(2)) for x in z])
-
-
-_CDF = _normal_table()
-
-
-def normal_cdf(z: np.ndarray) -> np.ndarray:
-    return _CDF[np.clip(np.rint((z + 8) * _STEPS), 0, len(_CDF) - 1).astype(np.int64)]
+TABLES = 8
+SAMPLE_ROWS, SAMPLE_QUERIES = 4_096, 64
+TARGET = 0.97
+WIDTHS = (1.4, 2.5, 4.0)  # of cells, in distances between neighbours
+SIZES = (4, 6, 8, 10, 12, 16)  # hashes of a table
+MOST_PROBES, VISIT = 1_024, 4
+GROUP_ROWS = 8_192
+INDEX_BLOCK, QUERY_BLOCK = 4_096, 2_048
+
+
+def perturbations(hashes: int, most: int) -> list[tuple[int, ...]]:
+    """Sets of ranks of steps, of 2 * hashes steps in order of cost, by the expected sum of their costs; none first. A rank and its
+    mirror are the two steps of one projection, so a set holds one of them only."""
+    n = 2 * hashes
+    # expected squared distances to the nearer and farther borders of uniform places, in cells
+    cost = [j * (j + 1) / (4 * (hashes + 1) * (hashes + 2)) for j in range(1, hashes + 1)]
+    cost += [1 - (n + 1 - j) / (hashes + 1) + (n + 1 - j) * (n + 2 - j) / (4 * (hashes + 1) * (hashes + 2)) for j in range(hashes + 1, n + 1)]
+    out: list[tuple[int, ...]] = [()]
+    heap = [(cost[0], (0,))] if n else []
+    while heap and len(out) < most:
+        total, own = heapq.heappop(heap)
+        if len({min(r, n - 1 - r) for r in own}) == len(own):
+            out.append(own)
+        last = own[-1] + 1
+        if last < n:
+            heapq.heappush(heap, (total - cost[last - 1] + cost[last], (*own[:-1], last)))
+            heapq.heappush(heap, (total + cost[last], (*own, last)))
+    return out
 
 
 class Hashing:
-    """Projections, cell width, neighbour distance, visiting level and length of the key."""
+    """Projections, cell width and the order of probes."""
 
-    def __init__(self, dim: int, radius: float, width: float, seed: int = 1):
+    def __init__(self, dim: int, width: float, hashes: int, seed: int = 1):
         rng = np.random.default_rng(seed)
-        self.dim, self.radius, self.width, self.level, self.key = dim, radius, width, -math.inf, 0
-        self.a = rng.normal(size=(dim, TABLES * HASHES))
-        self.b = rng.uniform(0, width, TABLES * HASHES)
+        self.dim, self.width, self.hashes = dim, width, hashes
+        self.a = rng.normal(size=(dim, TABLES * hashes))
+        self.b = rng.uniform(0, width, TABLES * hashes)
+        self.key = rng.integers(1 << 62, size=(TABLES, hashes), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        self.with_probes(1)
+
+    def with_probes(self, probes: int) -> Hashing:
+        chosen = perturbations(self.hashes, probes)
+        self.probes = len(chosen)
+        self.sets = np.zeros((2 * self.hashes, self.probes), np.uint64)
+        for i, ranks in enumerate(chosen):
+            self.sets[list(ranks), i] = 1
+        return self
 
     def project(self, x: np.ndarray) -> np.ndarray:
-        """Places of the rows, in cells, by table: rows x TABLES x HASHES."""
-        return ((x @ self.a + self.b) / self.width).reshape(len(x), TABLES, HASHES)
+        """Places of the rows, in cells, by table: rows x TABLES x hashes."""
+        return ((x @ self.a + self.b) / self.width).reshape(len(x), TABLES, self.hashes)
 
-    def success(self, at: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        """Log probability that a neighbour of a point at ``at`` falls into ``cells`` (arrays that broadcast)."""
-        scale = self.width / self.radius
-        lo = (cells - at) * scale
-        return np.log(np.maximum(normal_cdf(lo + scale) - normal_cdf(lo), 1e-12))
+    def _sums(self, cells: np.ndarray) -> np.ndarray:
+        return (cells.astype(np.int64).view(np.uint64) * self.key).sum(2)
 
-    def probes(self, at: np.ndarray) -> np.ndarray:
-        """Keys (tuples of cells) that can hold a visited bucket of one table, given a query's places in it.
+    def buckets(self, x: np.ndarray) -> np.ndarray:
+        """A number for each row's bucket: rows x TABLES. Different buckets that share one are compared together."""
+        return self._sums(np.floor(self.project(x))).view(np.int64)
 
-        A key is kept while its own cells and the likeliest cells behind it reach the level."""
+    def visits(self, x: np.ndarray) -> np.ndarray:
+        """Numbers of the buckets that each query visits, in order: rows x TABLES x probes."""
+        at = self.project(x)
         own = np.floor(at)
-        best = self.success(at, own)
-        behind = np.append(np.cumsum(best[::-1])[::-1], 0.0)  # the most that cells from h on can add
-        keys, held = np.zeros((1, 0), np.int64), np.zeros(1)
-        reach = max(1, math.ceil(8 * self.radius / self.width))
-        for h in range(self.key):
-            cells = own[h] + np.arange(-reach, reach + 1)
-            lp = self.success(at[h], cells)
-            total = held[:, None] + lp[None, :]
-            i, j = np.nonzero((total + behind[h + 1] >= self.level) & (lp[None, :] > _FLOOR + 1e-9))
-            keys, held = np.concatenate([keys[i], cells[j].astype(np.int64)[:, None]], 1), total[i, j]
-        return keys[np.argsort(-held, kind="stable")]
-
-
-def key_hash(cells: np.ndarray, table) -> np.ndarray:
-    """One number for each row of cells, of one table."""
-    h = np.full(len(cells), 0x9E3779B97F4A7C15, np.uint64) * (np.asarray(table).astype(np.uint64) + np.uint64(1))
-    for c in cells.T:
-        h = (h ^ c.astype(np.int64).view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-    return h.view(np.int64)
+        steps = np.concatenate([at - own, 1 - (at - own)], 2)  # to the border below, then above
+        order = np.argsort(steps, 2, kind="stable")
+        change = np.concatenate([np.zeros_like(self.key) - self.key, self.key], 1)  # of the number, by step
+        change = np.take_along_axis(np.broadcast_to(change, order.shape), order, 2)
+        return (self._sums(own)[:, :, None] + change @ self.sets).view(np.int64)
+
+
+def _measured(model: Hashing, x: np.ndarray, queries: np.ndarray, near: np.ndarray, target: float) -> tuple[float, int, float]:
+    """(share of neighbours found, probes that find the target, share of rows compared with these, over all tables)."""
+    own, keys = model.buckets(x), model.visits(queries)
+    first = np.full((TABLES, *near.shape), keys.shape[2])
+    for t in range(TABLES):
+        for i in range(len(queries)):
+            same = keys[i, t][None, :] == own[near[i], t][:, None]
+            first[t, i] = np.where(same.any(1), same.argmax(1), keys.shape[2])
+    needed = np.sort(first.min(0).reshape(-1))
+    probes = int(needed[min(len(needed) - 1, math.ceil(target * len(needed)) - 1)]) + 1
+    found = float((needed < keys.shape[2]).mean())
+    probes, held = min(probes, keys.shape[2]), 0
+    for t in range(TABLES):
+        number, n = np.unique(own[:, t], return_counts=True)
+        at = np.minimum(np.searchsorted(number, keys[:, t, :probes]), len(number) - 1)
+        held += int(np.where(number[at] == keys[:, t, :probes], n[at], 0).sum())
+    return found, probes, held / len(queries) / len(x)
 
 
 def fit(x: np.ndarray, rows: int, k: int = K, target: float = TARGET) -> Hashing | None:
-    """Fit width, level and key length on a sample of a table of so many rows."""
+    """Fit width, hashes and probes on a sample of a table of so many rows."""
     if len(x) < 2:
         return None
     x = x[np.random.default_rng(3).permutation(len(x))]
@@ -120,114 +145,91 @@ def fit(x: np.ndarray, rows: int, k: int = K, target: float = TARGET) -> Hashing
     if not len(apart):
         apart = d[np.isfinite(d) & (d > 0)]
     radius = float(np.median(apart)) if len(apart) else 1.0
-    model = Hashing(x.shape[1], radius, width=radius)
-    places, cells = model.project(queries), np.floor(model.project(x))
-    best = np.full(near.shape, -math.inf)
-    for t in range(TABLES):
-        best = np.maximum(best, model.success(places[:, t][:, None, :], cells[near, t]).sum(-1))
-    model.level = float(np.quantile(best, 1 - target)) - 1e-3
-    spread = []
-    for h in range(HASHES):
-        _, n = np.unique(cells[:, 0, h], return_counts=True)
-        p = n / n.sum()
-        spread.append(float(-(p * np.log(p)).sum()))
-    each = max(float(np.mean(spread)), 0.1)
-    model.key = min(HASHES, max(0, round(math.log(max(rows / GROUP_ROWS, 1)) / each)))
-    return model
-
-
-def exact_nearest(q: np.ndarray, x: np.ndarray, x_id: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of the rows ``at`` to one query: rows and distances, ties to smaller ids."""
-    d = np.sqrt(((x[at] - q) ** 2).sum(1))
-    if len(at) > k:
-        some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-        at, d = at[some], d[some]
-    order = np.lexsort((x_id[at], d))[:k]
-    return at[order], d[order]
-
-
-def search_block(model: Hashing | None, table: int, q: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int):
-    """For each query (row number, rows found, distances, rows visited) among the rows of a block; all rows without model."""
-    if model is not None:
-        places, cells = model.project(q)[:, table], np.floor(model.project(x)[:, table])
-        kinds = [np.unique(cells[:, h], return_inverse=True) for h in range(HASHES)]  # cells of the block, and each row's
-        first = np.cumsum([0, *(len(c) for c, _ in kinds)])
-        onehot = None
-        if first[-1] <= 512:
-            onehot = np.zeros((len(x), first[-1]), np.float32)
-            np.put_along_axis(onehot, np.stack([i for _, i in kinds], 1) + first[:-1], 1, 1)
-    for a in range(0, len(q), QUERIES):
-        b = min(a + QUERIES, len(q))
-        if model is not None:
-            lp = [model.success(places[a:b, h, None], c[None, :]).astype(np.float32) for h, (c, _) in enumerate(kinds)]
-            if onehot is not None:
-                score = np.concatenate(lp, 1) @ onehot.T
-            else:
-                score = np.zeros((b - a, len(x)), np.float32)
-                for own, (_, i) in zip(lp, kinds):
-                    score += own[:, i]
-        for i in range(a, b):
-            at = np.flatnonzero(score[i - a] >= model.level) if model is not None else np.arange(len(x))
-            rows, d = exact_nearest(q[i], x, x_id, at, k)
-            yield i, rows, d, len(at)
+    best = None
+    for factor in WIDTHS:
+        for hashes in SIZES:
+            model = Hashing(x.shape[1], factor * radius, hashes).with_probes(MOST_PROBES)
+            found, probes, share = _measured(model, x, queries, near, target)
+            work = share * rows + VISIT * TABLES * probes
+            rank = (found < target, work if found >= target else -found)
+            if best is None or rank < best[0]:
+                best = (rank, model, probes)
+    return best[1].with_probes(best[2])
 
 
 FOUND = "qn long, rn long, vec_id long, score double"
 
 
-def _matrix(x) -> np.ndarray:
-    return np.stack(x.to_list()).astype(np.float64)
-
-
-def _search(model, k: int):
-    """Cogrouped queries and rows of a group -> FOUND; rn -1 counts the rows visited (as vec_id)."""
-
-    def run(key, q: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = {"qn": [], "rn": [], "vec_id": [], "score": []}
-        if len(q) and len(rows):
-            x, rn, ids, qn = _matrix(rows["x"]), rows["rn"].to_numpy(), rows["vec_id"].to_numpy(), q["qn"].to_numpy()
-            own = model.value if model is not None else None
-            for i, at, d, visited in search_block(own, int(key[0]), _matrix(q["x"]), x, ids, k):
-                out["qn"].append(np.full(len(at) + 1, qn[i]))
-                out["rn"].append(np.append(rn[at], -1))
-                out["vec_id"].append(np.append(ids[at], visited))
-                out["score"].append(np.append(d, np.nan))
-        return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0) for c, v in out.items()}).astype({"qn": "int64", "rn": "int64", "vec_id": "int64", "score": "float64"})
+def _matrix(column) -> np.ndarray:
+    return np.stack(column.to_list()).astype(np.float64)
+
+
+def _best(qn: np.ndarray, rn: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k nearest rows, a row once, ties to smaller ids."""
+    order = np.lexsort((rn, ids, d, qn))
+    once = np.unique(np.stack([qn[order], rn[order]], 1), axis=0, return_index=True)[1]
+    order = order[np.sort(once)]
+    first = np.r_[True, qn[order][1:] != qn[order][:-1]]
+    place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    return order[place < k]
+
+
+def _compare(k: int):
+    """Cogrouped queries and rows of a group, which meet where ``key`` is the same -> FOUND; rn -1 counts the rows compared."""
+
+    def run(q: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"qn": np.zeros(0, np.int64), "rn": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        if not len(q) or not len(rows):
+            return empty
+        q, rows = q.sort_values("key", kind="stable"), rows.sort_values("key", kind="stable")
+        x, rn, ids, qx, qn = _matrix(rows["x"]), rows["rn"].to_numpy(), rows["vec_id"].to_numpy(), _matrix(q["x"]), q["qn"].to_numpy()
+        kx, kq = rows["key"].to_numpy(), q["key"].to_numpy()
+        out, held, compared = [], 0, 0
+
+        def cut():
+            all_ = [np.concatenate(v) for v in zip(*out)]
+            at = _best(*all_, k)
+            return [tuple(v[at] for v in all_)]
+
+        for key in np.intersect1d(kx, kq):
+            a, b = np.searchsorted(kx, key), np.searchsorted(kx, key, "right")
+            c, e = np.searchsorted(kq, key), np.searchsorted(kq, key, "right")
+            compared += (b - a) * (e - c)
+            for lo in range(c, e, 64):
+                hi = min(lo + 64, e)
+                d = np.stack([np.sqrt(((x[a:b] - v) ** 2).sum(1)) for v in qx[lo:hi]])
+                if b - a > k:
+                    i, j = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])
+                else:
+                    i, j = (v.reshape(-1) for v in np.indices(d.shape))
+                out.append((qn[lo + i], rn[a + j], ids[a + j], d[i, j]))
+                held += len(i)
+                if held > 1_000_000:
+                    out = cut()
+                    held = len(out[0][0])
+        if not out:
+            return empty
+        qn_, rn_, ids_, d_ = cut()[0]
+        return pd.DataFrame({"qn": np.append(qn_, -1), "rn": np.append(rn_, -1), "vec_id": np.append(ids_, compared), "score": np.append(d_, np.nan)})
 
     return run
 
 
-def _by_table(rows: DataFrame, model, probe: bool) -> DataFrame:
-    """Rows with the group (``t``, ``g``) each is dealt to in every table, or with all groups a query asks."""
-    number = "qn" if probe else "rn"
-    held = [number] if probe else [number, "vec_id", "x"]  # a query's vector follows where a group is there
+def _keys(rows: DataFrame, model, number: str, visits: bool) -> DataFrame:
+    """(number, t, g): the buckets each row lies in, or each query visits."""
 
     def run(batches):
         m = model.value
         for b in batches:
             x = np.stack(b.column("x").to_numpy(zero_copy_only=False)).astype(np.float64) if b.num_rows else np.zeros((0, m.dim))
-            places = m.project(x)
+            n = b.column(number).to_numpy(zero_copy_only=False)
             for lo in range(0, len(x), 256):
-                part = places[lo : lo + 256]
-                source, t, g = [], [], []
-                for table in range(TABLES):
-                    if probe:
-                        keys = [m.probes(p[table]) for p in part]
-                        n = [len(y) for y in keys]
-                        source.append(np.repeat(np.arange(len(part)), n))
-                        g.append(key_hash(np.concatenate(keys), table))
-                    else:
-                        source.append(np.arange(len(part)))
-                        g.append(key_hash(np.floor(part[:, table, : m.key]).astype(np.int64), table))
-                    t.append(np.full(len(g[-1]), table, np.int32))
-                source = np.concatenate(source)
-                t, g = np.concatenate(t), np.concatenate(g)
-                for a in range(0, len(source), 4096):
-                    some = b.take(pa.array(lo + source[a : a + 4096]))
-                    yield pa.RecordBatch.from_arrays([*(some.column(c) for c in held), pa.array(t[a : a + 4096]), pa.array(g[a : a + 4096])], [*held, "t", "g"])
-
-    kind = {"qn": "long", "rn": "long", "vec_id": "long", "x": rows.schema["x"].dataType.simpleString()}
-    return rows.select(number, "vec_id", "x").mapInArrow(run, ", ".join(f"{c} {kind[c]}" for c in held) + ", t int, g long")
+                g = m.visits(x[lo : lo + 256]) if visits else m.buckets(x[lo : lo + 256])[:, :, None]
+                each = g.shape[1] * g.shape[2]
+                t = np.broadcast_to(np.arange(g.shape[1], dtype=np.int32)[None, :, None], g.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(n[lo : lo + 256], each)), pa.array(t.reshape(-1)), pa.array(g.reshape(-1))], [number, "t", "g"])
+
+    return rows.select(number, "x").mapInArrow(run, f"{number} long, t int, g long")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, report: dict | None = None) -> DataFrame:
@@ -238,22 +240,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, report: dict | N
     asked = staged(usable(queries).select(F.monotonically_increasing_id().alias("qn"), "*"), "queries")
     n, dim, x = sample(index, "rn", 11, SAMPLE_ROWS)
     fitted = fit(x, n, k)
-    keys = ("t", "g", "ib", "qb")
     found = None
     if fitted is not None:
         model = spark.sparkContext.broadcast(fitted)
-        rows, probes = _by_table(index.where(F.col("dim") == dim), model, False), _by_table(asked.where(F.col("dim") == dim), model, True)
-        count = lambda df, name, block: df.groupBy("t", "g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
-        asks = staged(probes, "probes")
-        many = staged(count(rows, "n_ib", INDEX_BLOCK).join(count(asks, "n_qb", QUERY_BLOCK), ["t", "g"]), "groups")
+        rows, asks = index.where(F.col("dim") == dim), asked.where(F.col("dim") == dim)
+        visits = staged(_keys(asks, model, "qn", True), "visits")
+        visited = visits.groupBy("t", "g").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("n_qb"))
+        held = staged(_keys(rows, model, "rn", False).join(visited, ["t", "g"]), "buckets")  # rows of visited buckets, as numbers
+        sizes = held.groupBy("t", "g").agg(F.ceil(F.count(F.lit(1)) / INDEX_BLOCK).cast("int").alias("n_ib"))
+        groups = max(1, -(-held.count() // GROUP_ROWS))
         block = lambda number, parts: F.pmod(F.xxhash64(number, "t"), F.col(parts)).cast("int")
         every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-        right = rows.join(many, ["t", "g"]).withColumn("ib", block("rn", "n_ib")).withColumn("qb", every("n_qb")).drop("n_ib", "n_qb")
-        left = asks.join(many, ["t", "g"]).join(asked.select("qn", "x"), "qn").withColumn("qb", block("qn", "n_qb")).withColumn("ib", every("n_ib")).drop("n_ib", "n_qb")
-        found = staged(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_search(model, k + 1), FOUND), "found")
+        grouped = lambda df: df.select("*", F.xxhash64("t", "g", "ib", "qb").alias("key")).select("*", F.pmod("key", F.lit(groups)).cast("int").alias("group"))
+        right = grouped(held.join(sizes, ["t", "g"]).withColumn("ib", block("rn", "n_ib")).withColumn("qb", every("n_qb"))).select("key", "group", "rn").join(rows.select("rn", "vec_id", "x"), "rn")
+        left = grouped(visits.join(sizes, ["t", "g"]).join(visited, ["t", "g"]).withColumn("qb", block("qn", "n_qb")).withColumn("ib", every("n_ib"))).select("key", "group", "qn").join(asks.select("qn", "x"), "qn")
+        found = staged(left.groupBy("group").cogroup(right.groupBy("group")).applyInPandas(_compare(k + 1), FOUND), "found")
         if report is not None:
-            visited = found.where("rn < 0").agg(F.sum("vec_id")).first()[0] or 0
-            report["visits_share"] = visited / max(1, n * asked.where(F.col("dim") == dim).count())  # a row counts once a table
+            compared = found.where("rn < 0").agg(F.sum("vec_id")).first()[0] or 0
+            report["compared_share"] = compared / max(1, n * asks.count())  # a row counts once a table
+            report["probes"], report["hashes"], report["buckets_visited"] = fitted.probes, fitted.hashes, visits.count()
         found = found.where("rn >= 0")
     few = asked.select("qn")
     if found is not None:
@@ -280,10 +285,11 @@ def _exactly(index: DataFrame, rest: DataFrame, k: int) -> DataFrame:
     n_query = max(1, -(-rest.count() // QUERY_BLOCK))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = lambda number, n: F.pmod(F.xxhash64(number), F.lit(n)).cast("int")
-    left = rest.withColumn("qb", block("qn", n_query)).withColumn("ib", every(n_index))
-    right = index.join(rest.select("dim").distinct(), "dim").withColumn("ib", block("rn", n_index)).withColumn("qb", every(n_query))
+    keyed = lambda df: df.withColumn("key", F.xxhash64("dim", "ib", "qb"))
+    left = keyed(rest.withColumn("qb", block("qn", n_query)).withColumn("ib", every(n_index)))
+    right = keyed(index.join(rest.select("dim").distinct(), "dim").withColumn("ib", block("rn", n_index)).withColumn("qb", every(n_query)))
     keys = ("dim", "ib", "qb")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_search(None, k), FOUND).where("rn >= 0")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_compare(k), FOUND).where("rn >= 0")
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
