@@ -45,7 +45,7 @@ SAMPLE_ROWS, SAMPLE_QUERIES = 4_096, 64
 TARGET = 0.97
 WIDTHS = (1.4, 2.5, 4.0)  # of cells, in distances between neighbours
 SIZES = (4, 6, 8, 10, 12, 16)  # hashes of a table
-MOST_PROBES, VISIT = 1_024, 4
+MOST_PROBES, VISIT = 1_024, 32  # a bucket visited is a row in two shuffles, a row compared a step of an array
 GROUP_ROWS = 8_192
 INDEX_BLOCK, QUERY_BLOCK = 4_096, 2_048
 
@@ -232,14 +232,14 @@ def _keys(rows: DataFrame, model, number: str, visits: bool) -> DataFrame:
     return rows.select(number, "x").mapInArrow(run, f"{number} long, t int, g long")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, report: dict | None = None) -> DataFrame:
-    """vectors, queries: vec_id, embedding -> query_id, rank, vec_id, score."""
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, report: dict | None = None, target: float = TARGET) -> DataFrame:
+    """vectors, queries: vec_id, embedding -> query_id, rank, vec_id, score. ``target``: share of the sample's neighbours to find."""
     spark = vectors.sparkSession
     short_batches(spark, 4096)
     index = staged(usable(vectors).select(F.monotonically_increasing_id().alias("rn"), "*"), "index")
     asked = staged(usable(queries).select(F.monotonically_increasing_id().alias("qn"), "*"), "queries")
     n, dim, x = sample(index, "rn", 11, SAMPLE_ROWS)
-    fitted = fit(x, n, k)
+    fitted = fit(x, n, k, target)
     found = None
     if fitted is not None:
         model = spark.sparkContext.broadcast(fitted)

@@ -105,7 +105,7 @@ def test_repeated_ids_are_queries_and_candidates_of_their_own(spark):
     x = rng.normal(size=(30, 4))
     rows = [(100 if i < 2 else i, v) for i, v in enumerate(x)] + [(7, x[7]), (100, x[0])]  # 100: two vectors, one of them twice
     df = frame(spark, rows)
-    got = ann.nearest(df, df.where("vec_id = 100")).toPandas()
+    got = ann.nearest(df, df.where("vec_id = 100"), target=1.0).toPandas()
     assert got.groupby("rank").size().tolist() == [3] * 10
     x = np.float32([v for _, v in rows]).astype(float)
     want = []
