@@ -103,21 +103,22 @@ def brier(rows: DataFrame, classes: int, y: str = "y", p: str = "probabilities",
 BANDS = 4096  # bands of scores between 0 and 1
 
 
-def auc_by_class(rows: DataFrame, classes: int, y: str = "y", p: str = "probabilities", w: str | None = None) -> DataFrame:
-    """k, auc (null if a side is missing): class k against the rest, by mid-ranks of distinct scores.
+def auc_by_class(rows: DataFrame, classes: int, y: str = "y", p: str = "probabilities", w: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """k, auc (null if a side is missing): class k against the rest, by mid-ranks of distinct scores; for each group of ``by``.
 
     Equal scores are grouped first. The rows below a score are those of the bands of scores below its own, of which a class
     has ``BANDS`` at most, and those below it in its band, so no task sorts more than a band."""
-    pairs = rows.select(F.posexplode(F.slice(F.col(p), 1, classes)).alias("k", "s"), F.col(y).alias("y"), _weight(w).alias("w"))
-    g = pairs.groupBy("k", "s").agg(F.sum("w").alias("n"), F.sum(F.when(F.col("y") == F.col("k"), F.col("w")).otherwise(0)).alias("pos"))
+    key = (*by, "k")
+    pairs = rows.select(*by, F.posexplode(F.slice(F.col(p), 1, classes)).alias("k", "s"), F.col(y).alias("y"), _weight(w).alias("w"))
+    g = pairs.groupBy(*key, "s").agg(F.sum("w").alias("n"), F.sum(F.when(F.col("y") == F.col("k"), F.col("w")).otherwise(0)).alias("pos"))
     g = g.withColumn("band", F.floor(F.col("s") * BANDS))
     earlier = lambda *keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    bands = g.groupBy("k", "band").agg(F.sum("n").alias("in_band"))
-    bands = bands.select("k", "band", F.coalesce(F.sum("in_band").over(earlier("k", by="band")), F.lit(0)).alias("before"))
-    below = F.col("before") + F.coalesce(F.sum("n").over(earlier("k", "band", by="s")), F.lit(0))
-    r = g.join(bands, ["k", "band"]).withColumn("rank", below + (F.col("n") + 1) / 2)
-    a = r.groupBy("k").agg(F.sum(F.col("rank") * F.col("pos")).alias("ranks"), F.sum("pos").alias("np"), F.sum(F.col("n") - F.col("pos")).alias("nn"))
-    return a.select("k", F.when((F.col("np") > 0) & (F.col("nn") > 0), (F.col("ranks") - F.col("np") * (F.col("np") + 1) / 2) / (F.col("np") * F.col("nn"))).alias("auc"))
+    bands = g.groupBy(*key, "band").agg(F.sum("n").alias("in_band"))
+    bands = bands.select(*key, "band", F.coalesce(F.sum("in_band").over(earlier(*key, by="band")), F.lit(0)).alias("before"))
+    below = F.col("before") + F.coalesce(F.sum("n").over(earlier(*key, "band", by="s")), F.lit(0))
+    r = g.join(bands, [*key, "band"]).withColumn("rank", below + (F.col("n") + 1) / 2)
+    a = r.groupBy(*key).agg(F.sum(F.col("rank") * F.col("pos")).alias("ranks"), F.sum("pos").alias("np"), F.sum(F.col("n") - F.col("pos")).alias("nn"))
+    return a.select(*key, F.when((F.col("np") > 0) & (F.col("nn") > 0), (F.col("ranks") - F.col("np") * (F.col("np") + 1) / 2) / (F.col("np") * F.col("nn"))).alias("auc"))
 
 
 def auc(rows: DataFrame, classes: int, y: str = "y", p: str = "probabilities", w: str | None = None) -> DataFrame:
@@ -128,6 +129,15 @@ def auc(rows: DataFrame, classes: int, y: str = "y", p: str = "probabilities", w
     return by.agg(F.when((F.count("auc") == F.lit(1 if classes == 2 else classes)), F.avg("auc")).otherwise(0.5).alias("roc_auc"))
 
 
+def auc_by_group(rows: DataFrame, classes: int, by: str, y: str = "y", p: str = "probabilities", w: str | None = None) -> dict:
+    """``auc`` of each group of rows, in one job."""
+    each = auc_by_class(rows, classes, y, p, w, (by,))
+    if classes == 2:
+        each = each.where(F.col("k") == 1)
+    got = each.groupBy(by).agg(F.when(F.count("auc") == F.lit(1 if classes == 2 else classes), F.avg("auc")).otherwise(0.5).alias("auc"))
+    return {r[by]: float(r["auc"]) for r in got.collect()}  # one row a group
+
+
 def predictive(rows: DataFrame, classes: int, y: str = "y", p: str = "probabilities", w: str | None = None) -> dict[str, float]:
     """log_loss, roc_auc, brier and ece of rows (which may stand for ``w`` equal ones each); they are scored once."""
     rows = rows.select(F.col(y).cast("int").alias("y"), F.col(p).alias("probabilities"), _weight(w).alias("w")).persist()

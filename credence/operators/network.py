@@ -98,16 +98,20 @@ class BayesNet:
 
     def posterior_local(self, codes: dict[str, np.ndarray]) -> np.ndarray:
         """Class probabilities of rows on the driver; codes below 0 or beyond the cardinality count as unknown."""
-        n = len(next(iter(codes.values())))
-        out = np.zeros((n, self.cards[self.target]))
-        for node, parents in self.relevant():
-            table = np.log(self.tables[node, parents] + EPS)
-            for k in range(out.shape[1]):
-                at, inside = np.zeros(n, np.int64), np.ones(n, bool)
-                for c in (*parents, node):
-                    v = np.full(n, k) if c == self.target else codes[c]
-                    inside &= (v >= 0) & (v < self.cards[c])
-                    at = at * self.cards[c] + v
-                out[:, k] += np.where(inside, table.reshape(-1)[np.where(inside, at, 0)], np.log(1 / self.cards[node] + EPS))
+        out = sum((self.term_local(f, codes) for f in self.relevant()), np.zeros((len(next(iter(codes.values()))), self.cards[self.target])))
         out = np.exp(out - out.max(1, keepdims=True))
         return out / out.sum(1, keepdims=True)
+
+    def term_local(self, family: Family, codes: dict[str, np.ndarray]) -> np.ndarray:
+        """What a family adds to the log score of each row and class."""
+        node, parents = family
+        n = len(next(iter(codes.values())))
+        table, out = np.log(self.tables[family] + EPS), np.zeros((n, self.cards[self.target]))
+        for k in range(out.shape[1]):
+            at, inside = np.zeros(n, np.int64), np.ones(n, bool)
+            for c in (*parents, node):
+                v = np.full(n, k) if c == self.target else codes[c]
+                inside &= (v >= 0) & (v < self.cards[c])
+                at = at * self.cards[c] + v
+            out[:, k] = np.where(inside, table.reshape(-1)[np.where(inside, at, 0)], np.log(1 / self.cards[node] + EPS))
+        return out

@@ -12,11 +12,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.columns import log_sum_exp
 from .counts import CountStore, collapse
+from .gather import class_terms
 from .graph import Dag
-from .metrics import predictive, predictive_local
-from .network import BayesNet
+from .metrics import CLIP, auc_by_group, clipped, predictive, predictive_local
+from .network import LITERAL_CELLS, BayesNet
 from .scores import GraphScorer
 
 TIE = 1e-12
@@ -206,6 +209,67 @@ class HillClimb:
     def strict_edge(self, p: str, c: str) -> bool:
         return self.target in (p, c) and self.scorer.edge_support(p, c) >= self.config.prune_target_support_protect
 
+    def without_each(self, g: Dag, net: BayesNet, rows: DataFrame, edges: list[tuple[str, str]]):
+        """The networks of g without each edge, their log losses, and a function that gives their areas under the curve.
+
+        An edge changes one family's term in the scores, so all losses are sums over one pass of the rows; the areas of all
+        edges that may need one are another pass. Neither depends on the number of edges."""
+        graphs = {e: g.minus(*e) for e in edges}
+        self.scorer.prepare(list(graphs.values()))
+        self.store.ensure([(c, graphs[p, c].parents(c)) for p, c in edges])
+        nets = {e: net.with_graph(self.store, x) for e, x in graphs.items()}
+        old = {(p, c): (c, g.parents(c)) for p, c in edges}
+        new = {(p, c): (c, graphs[p, c].parents(c)) for p, c in edges}
+        relevant = lambda f: f[0] == self.target or self.target in f[1]
+        if self.checked is not None and net.is_small and all(n.is_small for n in nets.values()):
+            codes, w = self.checked
+            known = codes[self.target] >= 0
+            y, w = codes[self.target][known], w[known]
+            base = sum(net.term_local(f, codes) for f in net.relevant())[known]
+            losses = {}
+            for e in edges:
+                s = base
+                if relevant(old[e]):
+                    s = s - net.term_local(old[e], codes)[known]
+                if relevant(new[e]):
+                    s = s + nets[e].term_local(new[e], codes)[known]
+                top = s.max(1, keepdims=True)
+                own = np.exp(s[np.arange(len(y)), y] - top[:, 0]) / np.exp(s - top).sum(1)
+                losses[e] = float((w * -np.log(np.clip(own, CLIP, 1 - CLIP))).sum() / w.sum()) if len(y) else math.nan
+            return nets, losses, lambda some: {e: predictive_local(y, nets[e].posterior_local(codes)[known], w)["roc_auc"] for e in some}
+        cards, classes = self.store.cards, self.store.cards[self.target]
+        single = {}
+        for e in edges:
+            for f, own in ((old[e], net), (new[e], nets[e])):
+                if relevant(f):
+                    single[f] = dict(own.factors())[f]
+        known = rows.where(F.col(f"`{self.target}`").isNotNull())
+        scored, terms = class_terms(known, [net.factors(), *([(f, t)] for f, t in single.items())], cards, self.target, self.config.laplace, literal=LITERAL_CELLS)
+        term = dict(zip(single, terms[1:]))
+        scores = {}
+        for e in edges:
+            s = terms[0]
+            if relevant(old[e]):
+                s = [a - b for a, b in zip(s, term[old[e]])]
+            if relevant(new[e]):
+                s = [a + b for a, b in zip(s, term[new[e]])]
+            scores[e] = F.array(*s)
+        target = F.col(f"`{self.target}`")
+        loss = lambda s: F.sum(F.col("w") * -F.log(clipped(F.exp(F.element_at(s, target + 1) - log_sum_exp(s))))) / F.sum("w")
+        sums = scored.agg(*[loss(scores[e]).alias(str(i)) for i, e in enumerate(edges)]).first()
+
+        def areas(some: list[tuple[str, str]]) -> dict:
+            # whole sums, term by term as in a posterior: scores that tie there tie here
+            own, whole = class_terms(known, [nets[e].factors() for e in some], cards, self.target, self.config.laplace, literal=LITERAL_CELLS)
+            own = own.select(target.alias("y"), "w", *[F.array(*t).alias(f"_s{i}") for i, t in enumerate(whole)])
+            each = F.explode(F.array(*[F.struct(F.lit(i).alias("v"), F.col(f"_s{i}").alias("s")) for i in range(len(some))]))
+            up = own.select("y", "w", each.alias("x")).select("y", "w", F.col("x.v").alias("v"), F.transform("x.s", lambda a: F.exp(a - F.array_max("x.s"))).alias("up"))
+            shares = up.select("y", "w", "v", F.transform("up", lambda a: a / F.aggregate("up", F.lit(0.0), lambda u, v: u + v)).alias("probabilities"))
+            got = auc_by_group(shares, classes, "v", w="w")
+            return {e: got.get(i, 0.5) for i, e in enumerate(some)}
+
+        return nets, {e: float(sums[i]) if sums[i] is not None else math.nan for i, e in enumerate(edges)}, areas
+
     def prune(self, g: Dag, validation: DataFrame, iteration: int):
         limits, net = self.prune_limits(len(g)), self.fit_net(g)
         current = self.validate(g, net, validation, self.scorer.score(g), iteration, "selected")
@@ -214,12 +278,21 @@ class HillClimb:
         for number in range(1, limits["passes"] + 1):
             in_pass = 0
             while not full():
-                for p, c in self.prune_order(g):
+                order = self.prune_order(g)
+                nets, losses, areas = self.without_each(g, net, validation, order) if order else ({}, {}, None)
+                area: dict = {}
+                for p, c in order:
                     x = g.minus(p, c)
-                    new_net = net.with_graph(self.store, x)
-                    check = self.validate(x, new_net, validation, self.scorer.score(x), iteration, f"prune_{limits['profile']}_pass_{number}")
+                    check = {"iteration": iteration, "reason": f"prune_{limits['profile']}_pass_{number}", "log_loss": losses[p, c], "roc_auc": None, "edges": len(x), "objective": self.scorer.score(x)["total"]}
+                    lower = check["log_loss"] < current["log_loss"] - TIE
+                    if not lower and (self.strict_edge(p, c) or check["log_loss"] > current["log_loss"] + limits["log_loss_tol"]):
+                        continue
+                    if (p, c) not in area:  # of all that are left and close enough, at once
+                        near = [e for e in order[order.index((p, c)) :] if losses[e] <= current["log_loss"] + limits["log_loss_tol"]]
+                        area = areas(near)
+                    check["roc_auc"] = area[p, c]
                     if self.accepts(check, current, limits, self.strict_edge(p, c)):
-                        g, net, current = x, new_net, check
+                        g, net, current = x, nets[p, c], check
                         removed.append(f"delete {p}->{c}")
                         checks.append(check)
                         in_pass += 1
