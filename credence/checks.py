@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import queries as base
 from .config import PipelineConfig, ScreenerConfig, SearchConfig, ablations
 from .operators import metrics, screening
-from .operators.counts import CountStore
+from .operators.counts import CountStore, collapse, family_scores
 from .operators.graph import Dag
 from .operators.network import BayesNet
 from .operators.scores import GraphScorer
@@ -743,6 +743,83 @@ def q_suite_contents(spark, sf):
     return spark.createDataFrame([(s.name, len(s.datasets), len(s.baselines), len(s.seeds), len(s.ablations)) for s in suites().values()], "suite string, datasets int, models int, seeds int, ablations int")
 
 
+# --- families beyond arrays, and pruning in one pass -----------------------------------------------------------------------------
+
+#: (node, parents) over orders and their customers; the larger ones have from thousands to thousands of millions of possible cells.
+_ORDER_FAMILIES = [("prio", ("seg",)), ("prio", ("cust", "seg")), ("prio", ("cust", "price", "seg")), ("price", ("cust", "nation", "prio", "seg"))]
+_ORDER_COLUMNS = ["prio", "seg", "nation", "cust", "price"]
+_ORDER_SQL = (
+    "w AS (SELECT CAST(substr(o_orderpriority, 1, 1) AS INT) - 1 AS prio, ascii(substr(c_mktsegment, 1, 1)) - 65 AS seg, CAST(c_nationkey AS INT) AS nation, CAST(o_custkey AS INT) AS cust, CAST(floor(o_totalprice / 10) AS INT) AS price "
+    "FROM orders JOIN customer ON o_custkey = c_custkey), "
+    "k AS (SELECT " + ", ".join(f"CAST(max({c}) + 1 AS DOUBLE) AS {c}" for c in _ORDER_COLUMNS) + ", CAST(count(*) AS DOUBLE) AS rows_ FROM w)"
+)
+
+
+def _family_sql(i: int, node: str, parents: tuple[str, ...]) -> str:
+    own = ", ".join(parents)
+    q = " * ".join(f"k.{p}" for p in parents)
+    return (
+        f"SELECT {i} AS family, round(r.like_ - 0.5 * {q} * (k.{node} - 1) * ln(k.rows_), 2) AS bic, round(r.bdeu, 3) AS bdeu FROM k, "
+        f"(SELECT sum(own - row_ * ln(row_)) AS like_, sum(cells + lgamma(10.0 / ({q})) - lgamma(10.0 / ({q}) + row_)) AS bdeu FROM k, "
+        f"(SELECT {own}, CAST(sum(n) AS DOUBLE) AS row_, sum(n * ln(n)) AS own, sum(lgamma(10.0 / ({q} * k.{node}) + n) - lgamma(10.0 / ({q} * k.{node}))) AS cells FROM k, "
+        f"(SELECT {own}, {node} AS v, count(*) AS n FROM w GROUP BY ALL) GROUP BY {', '.join(f'{p}' for p in range(1, len(parents) + 1))})) r"
+    ).replace(f"(SELECT {own}, CAST(sum(n)", f"(SELECT {', '.join(f'g.{p}' for p in parents)}, CAST(sum(n)").replace("GROUP BY ALL) GROUP BY", "GROUP BY ALL) g GROUP BY")
+
+
+@query(f"WITH {_ORDER_SQL} " + " UNION ALL ".join(_family_sql(i, n, p) for i, (n, p) in enumerate(_ORDER_FAMILIES)))
+def q_large_family_scores(spark, sf):
+    """Families of up to some 10^12 possible cells, scored from the cells that occur, with nothing laid out."""
+    rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    codes = rows.select(
+        (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("prio"),
+        (F.ascii(F.substring("c_mktsegment", 1, 1)) - 65).alias("seg"),
+        F.col("c_nationkey").cast("int").alias("nation"),
+        F.col("o_custkey").cast("int").alias("cust"),
+        F.floor(F.col("o_totalprice") / 10).cast("int").alias("price"),
+    )
+    store = CountStore(codes, 0)
+    bic, bdeu = (family_scores(store.collapsed, _ORDER_FAMILIES, store.cards, kind) for kind in ("bic", "bdeu"))
+    return spark.createDataFrame([(i, round(a, 2), round(b, 3)) for i, (a, b) in enumerate(zip(bic, bdeu))], "family int, bic double, bdeu double")
+
+
+_PRUNE_COLUMNS = ["x1", "x2", "x3", "x4"]
+
+
+def _without_sql(dropped: str) -> str:
+    kept = [c for c in _PRUNE_COLUMNS if c != dropped]
+    return f"SELECT * FROM (WITH {_NB_VIEW}, {_nb_sql('tr', 'te', kept, 'y')}, {_NB_AUC} SELECT '{dropped}' AS target, (SELECT round(-sum(w * ln(p)) / sum(w), 6) FROM post WHERE y = k) AS log_loss, (SELECT round(avg(auc), 5) FROM aa) AS roc_auc)"
+
+
+@query(" UNION ALL ".join(_without_sql(c) for c in _PRUNE_COLUMNS))
+def q_losses_without_each_edge(spark, sf):
+    """Held-out log loss and area of a graph without each of its edges, in one pass each."""
+    codes = table(spark, sf, "lineitem").select(
+        (F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)).alias("y"),
+        F.when(F.col("l_linestatus") == "F", 0).otherwise(1).alias("x1"),
+        (F.col("l_linenumber") - 1).cast("int").alias("x2"),
+        F.round(F.col("l_discount") * 100).cast("int").alias("x3"),
+        F.round(F.col("l_tax") * 100).cast("int").alias("x4"),
+        (F.col("l_orderkey") % 5 == 0).alias("held"),
+    )
+    store = CountStore(codes.where("NOT held").drop("held"), 0)
+    g = Dag(store.columns, [("y", c) for c in _PRUNE_COLUMNS])
+    climb = HillClimb(store, "y", SearchConfig(), screening.full_pools(store.columns))
+    _, losses, areas = climb.without_each(g, climb.fit_net(g), collapse(codes.where("held").drop("held")), g.edges())
+    area = areas(g.edges())
+    return spark.createDataFrame([(c, round(losses[p, c], 6), round(area[p, c], 5)) for p, c in g.edges()], "target string, log_loss double, roc_auc double")
+
+
+#: Queries of both modules that read no table: what they state is a property of the code. They are tests (``tests/test_queries.py``
+#: runs them against their SQL) and are not registered for the driver.
+TABLE_FREE = frozenset(
+    "bundle_topk graph_prior hub_penalty reachability acyclic_check markov_blanket legal_additions legal_reversals shd edge_prf leaderboard ablation_summary evidence_decision "
+    "promotion_gate synthetic_dag_sample forward_sample synthetic_properties forward_sample_frequencies dataset_registry json_round_trip markdown_lines predictive_leaderboard "
+    "structural_leaderboard search_complexity skipped_items low_thresholds sanitized_names full_pools neural_properties start_graphs checkpoint_choice start_choice prune_acceptance "
+    "prune_budget strict_edges greedy_first_moves ablation_settings fast_ablation evidence_stages evidence_overview fast_mode_rows availability devices temporary_environment "
+    "run_metadata_keys runner_registry commands suite_contents".split()
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 
