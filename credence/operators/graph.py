@@ -9,42 +9,82 @@ from pyspark.sql import functions as F
 
 
 class Dag:
-    """Nodes and parent -> child edges, both in the order in which they came."""
+    """Nodes and parent -> child edges, both in the order in which they came. A graph is not changed once it is made.
+
+    Parents and children are looked up, and ``closed`` keeps what each node reaches as a set of bits, which an added edge
+    extends; a graph that differs by an edge shares all else."""
 
     def __init__(self, nodes: Iterable[str], edges: Iterable[tuple[str, str]] = ()):
         self.nodes = list(dict.fromkeys(nodes))
         self._edges = dict.fromkeys(edges)
+        self._place = {n: i for i, n in enumerate(self.nodes)}
+        self._children: dict[str, tuple[str, ...]] = {}
+        self._parents: dict[str, tuple[str, ...]] = {}
+        self._below: list[int] | None = None  # by node, the nodes that it reaches
+        for p, c in self._edges:
+            self._children[p] = (*self._children.get(p, ()), c)
+            self._parents[c] = (*self._parents.get(c, ()), p)
+        self._parents = {c: tuple(sorted(p)) for c, p in self._parents.items()}
+
+    def _like(self, edges: dict, parent: str, child: str) -> Dag:
+        """A graph of other edges, between these two nodes only."""
+        g = object.__new__(Dag)
+        g.nodes, g._place, g._edges, g._below = self.nodes, self._place, edges, None
+        g._children, g._parents = dict(self._children), dict(self._parents)
+        there = (parent, child) in edges
+        g._children[parent] = (*(c for c in self.children(parent) if c != child), *([child] if there else []))
+        g._parents[child] = tuple(sorted([*(p for p in self.parents(child) if p != parent), *([parent] if there else [])]))
+        return g
 
     def edges(self) -> list[tuple[str, str]]:
         """In node order of the parent, then as added."""
-        place = {n: i for i, n in enumerate(self.nodes)}
-        return sorted(self._edges, key=lambda e: place[e[0]])
+        return [(p, c) for p in self.nodes for c in self._children.get(p, ())]
 
     def has(self, parent: str, child: str) -> bool:
         return (parent, child) in self._edges
 
     def parents(self, child: str) -> tuple[str, ...]:
-        return tuple(sorted(p for p, c in self._edges if c == child))
+        return self._parents.get(child, ())
 
     def children(self, parent: str) -> list[str]:
-        return [c for p, c in self._edges if p == parent]
+        return list(self._children.get(parent, ()))
 
     def in_degree(self, node: str) -> int:
-        return sum(c == node for _, c in self._edges)
+        return len(self._parents.get(node, ()))
 
     def out_degree(self, node: str) -> int:
-        return sum(p == node for p, _ in self._edges)
+        return len(self._children.get(node, ()))
 
     def __len__(self) -> int:
         return len(self._edges)
 
     def plus(self, parent: str, child: str) -> Dag:
-        return Dag(self.nodes, [*self._edges, (parent, child)])
+        if (parent, child) in self._edges:
+            return self
+        g = self._like({**self._edges, (parent, child): None}, parent, child)
+        if self._below is not None:
+            own, at, more = 1 << self._place[parent], self._place[parent], self._below[self._place[child]] | 1 << self._place[child]
+            g._below = [b | more if i == at or b & own else b for i, b in enumerate(self._below)]
+        return g
 
     def minus(self, parent: str, child: str) -> Dag:
-        return Dag(self.nodes, [e for e in self._edges if e != (parent, child)])
+        return self._like({e: None for e in self._edges if e != (parent, child)}, parent, child)
+
+    def closed(self) -> Dag:
+        """This graph, with what each node reaches at hand (if it has no cycle)."""
+        if self._below is None and len(order := self.order()) == len(self.nodes):
+            below = [0] * len(self.nodes)
+            for n in reversed(order):
+                for c in self._children.get(n, ()):
+                    below[self._place[n]] |= below[self._place[c]] | 1 << self._place[c]
+            self._below = below
+        return self
 
     def reaches(self, start: str, goal: str) -> bool:
+        if start == goal:
+            return True
+        if self._below is not None:
+            return bool(self._below[self._place[start]] >> self._place[goal] & 1)
         seen, todo = set(), [start]
         while todo:
             n = todo.pop()

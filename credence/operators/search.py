@@ -78,7 +78,7 @@ class HillClimb:
 
     def proposals(self, g: Dag) -> list[tuple[str, Dag]]:
         """Additions by support, then deletions in edge order, then reversals by support."""
-        limit = self.config.max_parents
+        limit, g = self.config.max_parents, g.closed()
         adds = [(self.rank(c, p), p, c) for c in g.nodes if g.in_degree(c) < limit for p in self.additions(g, c)]
         out = [(f"add {p}->{c}", g.plus(p, c)) for _, p, c in sorted(adds, key=lambda x: -x[0]) if not g.reaches(c, p)]
         out += [(f"delete {p}->{c}", g.minus(p, c)) for p, c in g.edges()]
