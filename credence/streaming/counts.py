@@ -1,7 +1,7 @@
 """Family counts kept up to date from a stream: counts add up, so a network can be refreshed without its past rows.
 
 Each micro-batch is collapsed and counted, and its counts are written under its batch number; a batch that is run again
-replaces its own files, so every row counts once. Reading sums over batches; ``compact`` folds them into one.
+replaces its own files, so every row counts once. Reading sums over batches.
 """
 
 from __future__ import annotations
