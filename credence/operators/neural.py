@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STEPS = 64  # of an epoch, at most: beyond it batches grow with the table
-PIECE = 2_048  # rows whose activations a task holds together
+PIECE = 512  # rows whose activations a task holds together
 ROUNDS = "boot int, target string, s1 string, s2 string, score double"
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)  # fixed value
@@ -74,8 +74,8 @@ def poisson(u: np.ndarray, mean: np.ndarray) -> np.ndarray:
 class MultiHead:
     """Linear-ReLU-dropout layers, then a linear head for each column: squared error for numbers, cross entropy else.
 
-    All heads are run together: the first layer's sum over all inputs is made once, and each head takes its own column's
-    share away from it. Dropped units are the same for all heads."""
+    The first layer's sum over all inputs is made once, and each head takes its own column's share away from it. Dropped units
+    are the same for all heads."""
 
     def __init__(self, blocks: list[slice], sizes: list[int], hidden: int, layers: int, dropout: float, seed: int):
         rng = np.random.default_rng(seed)
@@ -142,28 +142,25 @@ class MultiHead:
         for a in range(0, len(x), PIECE):
             xs, ws, gates = x[a : a + PIECE], w[a : a + PIECE] / heads, self.gates(h[a : a + PIECE] if h is not None else None, epoch)
             whole = xs @ self.p["w0"] + self.p["b0"]
-            z = np.stack([whole - self.share(xs, j) for j in range(heads)])
-            top, trace = self.upper(z, gates)
-            back = np.empty_like(top)
-            for j, y in enumerate(ys):
-                loss, d = self.head(top[j], y[a : a + PIECE], j)
+            every = np.zeros_like(whole)  # the gradient by first-layer sums, of all heads
+            for j, y in enumerate(ys):  # one by one: a head's arrays stay in the processor's cache
+                top, trace = self.upper(whole - self.share(xs, j), gates)
+                loss, d = self.head(top, y[a : a + PIECE], j)
                 total += float((ws * loss).sum())
                 d = d * ws[:, None]
-                g[f"v{j}"] += top[j].T @ d
+                g[f"v{j}"] += top.T @ d
                 g[f"c{j}"] += d.sum(0)
-                back[j] = d @ self.p[f"v{j}"].T
-            for k in range(self.layers - 1, 0, -1):
-                back *= trace[k][0]
-                flat = back.reshape(-1, self.hidden)
-                g[f"w{k}"] += trace[k - 1][1].reshape(-1, self.hidden).T @ flat
-                g[f"b{k}"] += flat.sum(0)
-                back = (flat @ self.p[f"w{k}"].T).reshape(back.shape)
-            back *= trace[0][0]
-            every = back.sum(0)
+                back = d @ self.p[f"v{j}"].T
+                for k in range(self.layers - 1, 0, -1):
+                    back *= trace[k][0]
+                    g[f"w{k}"] += trace[k - 1][1].T @ back
+                    g[f"b{k}"] += back.sum(0)
+                    back = back @ self.p[f"w{k}"].T
+                back *= trace[0][0]
+                every += back
+                g["w0"][self.blocks[j]] -= xs[:, self.blocks[j]].T @ back
             g["w0"] += xs.T @ every
             g["b0"] += every.sum(0)
-            for j, b in enumerate(self.blocks):
-                g["w0"][b] -= xs[:, b].T @ back[j]
         return total, g
 
     def gradients(self, x: np.ndarray, ys: list[np.ndarray], train: bool = True) -> tuple[float, dict[str, np.ndarray]]:
