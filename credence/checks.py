@@ -7,6 +7,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import asdict
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +16,13 @@ from . import queries as base
 from .config import PipelineConfig, ScreenerConfig, SearchConfig, ablations
 from .operators import metrics, screening
 from .operators.counts import CountStore, collapse, family_scores
+from .operators.dictionary import dictionaries
 from .operators.graph import Dag
 from .operators.network import BayesNet
 from .operators.scores import GraphScorer
 from .operators.search import HillClimb, better
 from .plans import decisions, experiments, report
-from .plans.encoding import TableEncoder, entropy_bins, sanitize_names
+from .plans.encoding import TableEncoder, entropy_bins, entropy_bins_in_cells, sanitize_names, sparse_dummies
 from .plans.pipeline import BayesNetClassifier
 from .sources import files
 from .sources.datasets import CsvAdapter, Dataset, GraphFolderAdapter, InMemoryAdapter, ParquetAdapter, Split, SyntheticAdapter, holdout, registry, suites
@@ -228,6 +230,41 @@ _bins_query("supervised_bins_value", "value", "event_type", "events", 4)
 _bins_query("supervised_bins_chars", "n_chars", "lang", "documents")
 
 
+@query("SELECT column_, v, CAST(row_number() OVER (PARTITION BY column_ ORDER BY v) - 1 AS BIGINT) AS code FROM (SELECT DISTINCT 'order' AS column_, CAST(l_orderkey AS VARCHAR) AS v FROM lineitem UNION SELECT 'part', CAST(l_partkey AS VARCHAR) FROM lineitem UNION SELECT 'text', text FROM documents WHERE text IS NOT NULL)")
+def q_dictionary_codes(spark, sf):
+    """Dense codes of columns of many texts, whole documents among them, by range and without a literal."""
+    li = table(spark, sf, "lineitem").select(F.explode(F.array(F.struct(F.lit(0).alias("i"), F.col("l_orderkey").cast("string").alias("v")), F.struct(F.lit(1).alias("i"), F.col("l_partkey").cast("string").alias("v")))).alias("x")).select("x.*")
+    found = dictionaries(li.unionByName(table(spark, sf, "documents").select(F.lit(2).alias("i"), F.col("text").alias("v"))))
+    parts = [found[i].frame(spark).select(F.lit(name).alias("column_"), "v", "code") for i, name in enumerate(("order", "part", "text")) if i in found]
+    return reduce(DataFrame.union, parts)
+
+
+@query(
+    "WITH both_ AS (SELECT *, o_orderstatus <> 'P' AS train FROM orders), c AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS v FROM orders)), "
+    "p AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k FROM (SELECT DISTINCT o_orderpriority AS v FROM orders)), size_ AS (SELECT count(*) AS n FROM c), "
+    "f AS (SELECT train, k AS place, 1.0 AS x FROM both_ JOIN c ON v = CAST(o_custkey AS VARCHAR) UNION ALL SELECT train, n + 1, CAST(o_totalprice AS DOUBLE) FROM both_ CROSS JOIN size_ UNION ALL SELECT train, n + 2 + k, 1.0 FROM both_ JOIN p ON v = o_orderpriority CROSS JOIN size_), "
+    "names AS (SELECT k AS place, 'customer_' || v AS name FROM c UNION ALL SELECT n + 1, 'price' FROM size_ UNION ALL SELECT n + 2 + k, 'priority_' || v FROM p CROSS JOIN size_) "
+    "SELECT CASE WHEN train THEN 'train' ELSE 'test' END AS part, CAST(place AS BIGINT) AS place, name, round(sum(x), 2) AS total FROM f JOIN names USING (place) GROUP BY 1, 2, 3"
+)
+def q_sparse_dummy_totals(spark, sf):
+    """One feature a customer and priority beside a number, over two tables whose texts differ; sums of every feature."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("customer"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"))
+    train, test, names = sparse_dummies(o.where("status <> 'P'"), o.where("status = 'P'"), "status")
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    entry = both.select("part", F.explode(F.arrays_zip("places", "numbers")).alias("e")).groupBy("part", F.col("e.places").alias("place")).agg(F.round(F.sum("e.numbers"), 2).alias("total"))
+    return entry.join(names, "place").select("part", "place", "name", "total")
+
+
+@query(" UNION ALL ".join(f"SELECT '{x}' AS name, round(t, 6) AS threshold FROM (WITH {bins_sql(x, 'l_returnflag', 'lineitem')} SELECT t FROM cuts4)" for x in ("l_extendedprice", "l_partkey", "l_orderkey")))
+def q_bins_in_cells(spark, sf):
+    """Supervised bins of three columns at once, on histograms that stay in Spark whatever their size."""
+    names = ("l_extendedprice", "l_partkey", "l_orderkey")
+    item = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("x")) for i, c in enumerate(names)]))
+    hist = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("y"), item.alias("v")).groupBy("v.i", "v.x", "y").agg(F.count(F.lit(1)).alias("n"))
+    cuts = entropy_bins_in_cells(hist, 5, 20, sum(table(spark, sf, "lineitem").agg(*[F.approx_count_distinct(c) for c in names]).first()))
+    return spark.createDataFrame([(names[i], float(t)) for i, own in cuts.items() for t in own], "name string, threshold double").select("name", F.round("threshold", 6).alias("threshold"))
+
+
 @query(f"WITH {bins_sql('o_totalprice', 'o_orderpriority', 'orders')} SELECT o_orderpriority AS priority, CAST((SELECT count(*) FROM cuts4 WHERE t <= o.o_totalprice) AS INT) AS code, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INT) AS target, count(*) AS n FROM orders o GROUP BY 1, 2")
 def q_fit_transform(spark, sf):
     """Fit on a table, freeze, transform it."""

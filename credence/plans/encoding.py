@@ -2,9 +2,11 @@
 
 Fitting takes some aggregations over the table whatever its width: medians, then moments and distinct categories, then the
 histogram of values by class. The bins are grown on the driver from that histogram. Where a column has more than about
-``MAX_VALUES`` distinct values its histogram stays in Spark, in cells between ``CELLS`` quantiles: every split is looked for
-on all values of all cells, and only the best one of each cell comes back. Thresholds are the same either way. Transforming
-is a projection.
+``MAX_VALUES`` distinct values its histogram stays in Spark, dealt by range to cells whose number grows with the values: class
+counts up to every value are running sums in a cell, a round of splits is an aggregate over all values, and the best split of
+each leaf comes back. Thresholds are the same either way. Texts of which all columns together have at most ``MAX_CATEGORIES``
+are literals; columns beyond that have their texts in a dictionary table (``operators/dictionary.py``), with the same codes.
+Transforming is a projection, after a join for each dictionary.
 """
 
 from __future__ import annotations
@@ -15,14 +17,19 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml.base import Estimator, Model
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import as_category, digitize
+from ..operators.dictionary import Dictionary, dictionaries
+from ..sources import files
 
 MAX_VALUES = 10_000
-CELLS = 200
+#: Distinct values that a cell of a histogram is meant to hold, and the most cells there are; a window in a cell spills beyond.
+CELL_VALUES = 100_000
+MOST_CELLS = 20_000
+#: Texts of all columns together that may be literals of the plan.
 MAX_CATEGORIES = 100_000
 
 
@@ -35,9 +42,12 @@ class ColumnProfile:
     mean: float = 0.0
     std: float = 1.0
     thresholds: list[float] = field(default_factory=list)
+    dictionary: Dictionary | None = None  # of a column with too many texts for ``categories``
 
     @property
     def size(self) -> int:
+        if self.dictionary is not None:
+            return self.dictionary.size
         return len(self.categories) if self.kind == "categorical" else len(self.thresholds) + 1
 
 
@@ -103,59 +113,74 @@ def least_leaf(n: int, n_bins: int, min_samples: int) -> int:
     return max(2, min(min_samples, max(2, n // max(n_bins, 2))))
 
 
-def entropy_bins_in_cells(hist: DataFrame, n_bins: int, min_samples: int) -> dict[int, list[float]]:
-    """``entropy_bins`` of each column i, on a histogram (i, cell, x, y, n) that stays in Spark."""
-    cells = hist.groupBy("i", "cell", "y").agg(F.sum("n").alias("n"), F.min("x").alias("x")).toPandas()
-    classes = {y: k for k, y in enumerate(sorted(cells["y"].unique()))}
-    before, first, total, least, new = {}, {}, {}, {}, {}
-    for i, own in cells.groupby("i"):
-        counts = own.pivot_table(index="cell", columns="y", values="n", aggfunc="sum", fill_value=0).reindex(columns=list(classes), fill_value=0).sort_index()
-        sums = np.cumsum(counts.to_numpy(float), 0)
-        before[i] = dict(zip(counts.index, sums - counts.to_numpy(float)))
-        first[i] = own.groupby("cell")["x"].min().sort_index()
-        total[i], least[i] = sums[-1].sum(), least_leaf(int(sums[-1].sum()), n_bins, min_samples)
-        new[i] = [(-math.inf, math.inf, np.zeros(len(classes)), sums[-1])]  # from, to (inclusive), classes before, classes inside
-
-    def search(leaves):
-        def one(key, pdf):
-            i, cell = key
-            x, at = np.unique(pdf["x"].to_numpy(float), return_inverse=True)
-            counts = np.zeros((len(x), len(classes)))
-            np.add.at(counts, (at, pdf["y"].map(classes).to_numpy()), pdf["n"].to_numpy(float))
-            out = []
-            for k, (lo, hi, base, whole) in enumerate(leaves.get(i, [])):
-                inside = np.flatnonzero(((x > lo) | np.isneginf(lo)) & (x <= hi))
-                if not len(inside):
-                    continue
-                left = np.maximum(before[i][cell] - base, 0) + np.cumsum(counts[inside], 0)
-                gain = split_gain(left, whole, total[i], least[i])
-                b = int(gain.argmax())
-                if gain[b] > 1e-12:
-                    after = inside[b] + 1
-                    out.append((i, k, cell, gain[b], x[inside[b]], x[after] if after < len(x) else None, left[b].tolist()))
-            return pd.DataFrame(out, columns=["i", "leaf", "cell", "gain", "x", "next", "left"])
-
-        rows = hist.groupBy("i", "cell").applyInPandas(one, "i int, leaf int, cell int, gain double, x double, next double, left array<double>").collect()
-        best = {}
-        for r in sorted(rows, key=lambda r: (-r["gain"], r["x"])):
-            best.setdefault((r["i"], r["leaf"]), r)
-        return best
+def running_counts(hist: DataFrame, classes: list[str], values: int) -> DataFrame:
+    """i, x, follow, left: each value of each column, the next one, and the rows of each class up to it, from a histogram
+    (i, x, y, n) of about so many ``values``. Cells are ranges of (i, x); the driver sees their sums only."""
+    spark, k = hist.sparkSession, range(len(classes))
+    by_class = F.map_from_entries(F.collect_list(F.struct("y", "n")))
+    one = hist.groupBy("i", "x").agg(by_class.alias("m")).select("i", "x", *[F.coalesce(F.try_element_at("m", F.lit(c)), F.lit(0)).alias(f"n{j}") for j, c in enumerate(classes)])
+    at = files.scratch(spark, "cells")
+    cells = min(MOST_CELLS, max(1, -(-values // CELL_VALUES)))
+    one.repartitionByRange(cells, "i", "x").withColumn("cell", F.spark_partition_id()).write.parquet(at)
+    dealt = spark.read.parquet(at)
+    sums = dealt.groupBy("i", "cell").agg(F.min("x").alias("first"), *[F.sum(f"n{j}").alias(f"n{j}") for j in k]).toPandas().sort_values(["i", "cell"])
+    own = sums[[f"n{j}" for j in k]]
+    before = own.groupby(sums["i"]).cumsum() - own
+    rows = [(int(i), int(c), [float(v) for v in b], None if pd.isna(f) else float(f)) for i, c, b, f in zip(sums["i"], sums["cell"], before.to_numpy(), sums.groupby("i")["first"].shift(-1))]
+    starts = spark.createDataFrame(rows, "i int, cell int, before array<double>, beyond double")
+    w = Window.partitionBy("i", "cell").orderBy("x")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = dealt.select("i", "cell", "x", F.lead("x").over(w).alias("follow"), *[F.sum(f"n{j}").over(upto).alias(f"n{j}") for j in k])
+    left = F.array(*[F.col("before")[j] + F.col(f"n{j}") for j in k])
+    return inside.join(starts, ["i", "cell"]).select("i", "x", F.coalesce("follow", "beyond").alias("follow"), left.alias("left"))
+
+
+def _bits(counts: Column) -> Column:
+    """n times the entropy of an array of class counts that sum up to n."""
+    total = F.aggregate(counts, F.lit(0.0), lambda a, v: a + v)
+    part = lambda v: F.when(v > 0, v * F.log2(v)).otherwise(0.0)
+    return part(total) - F.aggregate(counts, F.lit(0.0), lambda a, v: a + part(v))
+
+
+def entropy_bins_in_cells(hist: DataFrame, n_bins: int, min_samples: int, values: int = MAX_VALUES) -> dict[int, list[float]]:
+    """``entropy_bins`` of each column i, on a histogram (i, x, y, n) that stays in Spark. Gains are compared to twelve places;
+    ties go to the smaller value."""
+    spark = hist.sparkSession
+    classes = sorted(r["y"] for r in hist.select("y").distinct().collect())
+    counts = running_counts(hist, classes, values).persist()
+    totals = counts.where(F.col("follow").isNull()).select("i", "left").collect()  # the last value of each column
+    whole = {r["i"]: np.array(r["left"]) for r in totals}
+    least = {i: least_leaf(int(v.sum()), n_bins, min_samples) for i, v in whole.items()}
+    new = {i: [(-math.inf, math.inf, np.zeros(len(classes)), v)] for i, v in whole.items()}  # from, to (inclusive), classes before, classes inside
+
+    def search() -> dict[tuple[int, int], dict]:
+        rows = [(i, k, float(lo), float(hi), base.tolist(), inside.tolist(), float(whole[i].sum()), least[i]) for i, leaves in new.items() for k, (lo, hi, base, inside) in enumerate(leaves)]
+        leaves = spark.createDataFrame(rows, "i int, k int, lo double, hi double, base array<double>, inside array<double>, total double, least long")  # two a column at most
+        minus = lambda a, b: F.zip_with(a, b, lambda u, v: u - v)
+        size = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+        both = counts.join(F.broadcast(leaves), "i").where("(x > lo OR lo = double('-infinity')) AND x <= hi").withColumn("l", minus(F.col("left"), F.col("base")))
+        both = both.withColumn("r", minus(F.col("inside"), F.col("l"))).where((size(F.col("l")) >= F.col("least")) & (size(F.col("r")) >= F.col("least")))
+        gain = F.round((_bits(F.col("inside")) - _bits(F.col("l")) - _bits(F.col("r"))) / F.col("total"), 12)
+        gains = both.select("i", "k", "x", "follow", "left", gain.alias("gain")).where("gain > 1e-12")
+        best = gains.groupBy("i", "k").agg(F.max("gain").alias("gain"))
+        found = gains.join(F.broadcast(best), ["i", "k", "gain"])  # a row for each leaf
+        return {(r["i"], r["k"]): r["s"].asDict() for r in found.groupBy("i", "k").agg(F.min_by(F.struct("gain", "x", "follow", "left"), "x").alias("s")).collect()}
 
     done, cuts = {i: [] for i in new}, {i: [] for i in new}
     while any(new.values()):
-        best = search(new)
+        best = search()
         for i, leaves in new.items():
             done[i] += [(best[i, k], leaf) for k, leaf in enumerate(leaves) if (i, k) in best]
             new[i] = []
             if not done[i] or len(cuts[i]) + 1 >= n_bins:
                 continue
-            r, (lo, hi, base, whole) = pick = max(done[i], key=lambda s: (s[0]["gain"], -s[1][0]))
+            r, (lo, hi, base, inside) = pick = max(done[i], key=lambda s: (s[0]["gain"], -s[1][0]))
             done[i] = [s for s in done[i] if s is not pick]
-            left = np.array(r["left"])
-            follow = r["next"] if r["next"] is not None else float(first[i][first[i].index > r["cell"]].iloc[0])
-            cuts[i].append((r["x"] + follow) / 2)
+            left = np.array(r["left"]) - base
+            cuts[i].append((r["x"] + r["follow"]) / 2)
             if len(cuts[i]) + 1 < n_bins:
-                new[i] = [(lo, r["x"], base, left), (r["x"], hi, base + left, whole - left)]
+                new[i] = [(lo, r["x"], base, left), (r["x"], hi, base + left, inside - left)]
+    counts.unpersist()
     return {i: [c for k, c in enumerate(sorted(v)) if k == 0 or c - sorted(v)[k - 1] > 1e-9] for i, v in cuts.items()}
 
 
@@ -222,16 +247,29 @@ class TableEncoder(Estimator):
                 p.std = 1.0 if p.std < 1e-8 else p.std
         if texts:
             pair = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), as_category(F.col(f"`{p.name}`"), types[p.name]).alias("v")) for i, p in enumerate(texts)]))
-            for r in df.select(pair.alias("x")).select("x.i", "x.v").distinct().limit(MAX_CATEGORIES + 1).collect():
+            pairs = df.select(pair.alias("x")).select("x.i", "x.v").distinct()
+            found = pairs.limit(MAX_CATEGORIES + 1).collect()
+            if len(found) > MAX_CATEGORIES:  # the columns of most texts get dictionaries, until the others may be literals
+                found = self._dictionaries(pairs, texts)
+            for r in found:
                 texts[r["i"]].categories.append(r["v"])
-            if sum(len(p.categories) for p in texts) > MAX_CATEGORIES:
-                raise ValueError(f"more than {MAX_CATEGORIES} distinct texts: a column is not categorical")
             for p in texts:
                 p.categories.sort()
         if numbers:
             self._bins(df, numbers, filled, types)
         return TableEncoderModel(self.target, profiles, types, self.unseen)
 
+    def _dictionaries(self, pairs: DataFrame, texts: list[ColumnProfile]) -> list:
+        at = files.scratch(pairs.sparkSession, "texts")
+        pairs.write.parquet(at)
+        pairs = pairs.sparkSession.read.parquet(at)
+        sizes = sorted((r["count"], r["i"]) for r in pairs.groupBy("i").count().collect())
+        upto = np.cumsum([n for n, _ in sizes])
+        large = [i for (_, i), n in zip(sizes, upto) if n > MAX_CATEGORIES]
+        for i, d in dictionaries(pairs.where(F.col("i").isin(large))).items():
+            texts[i].dictionary = d
+        return pairs.where(~F.col("i").isin(large)).collect()
+
     def _bins(self, df: DataFrame, numbers: list[ColumnProfile], filled: dict[str, Column], types: dict[str, str]) -> None:
         label = as_category(F.col(f"`{self.target}`"), types[self.target])
         wide = df.agg(*[F.approx_count_distinct(filled[p.name]).alias(str(i)) for i, p in enumerate(numbers)]).first()
@@ -239,14 +277,9 @@ class TableEncoder(Estimator):
         item = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), filled[p.name].alias("x")) for i, p in enumerate(numbers)]))
         counts = df.select(label.alias("y"), item.alias("v")).groupBy("v.i", "v.x", "y").agg(F.count(F.lit(1)).alias("n"))
         if over:
-            grid = df.agg(*[F.percentile_approx(filled[numbers[i].name], [k / CELLS for k in range(1, CELLS)], MAX_VALUES).alias(str(i)) for i in over]).first()
-            cell = F.lit(0)
-            for i in over:
-                cell = F.when(F.col("i") == i, digitize(F.col("x"), sorted(set(grid[str(i)])))).otherwise(cell)
-            hist = counts.where(F.col("i").isin(over)).withColumn("cell", cell).persist()
-            for i, cuts in entropy_bins_in_cells(hist, self.n_bins, self.min_samples).items():
+            hist = counts.where(F.col("i").isin(over))
+            for i, cuts in entropy_bins_in_cells(hist, self.n_bins, self.min_samples, sum(wide[i] for i in over)).items():
                 numbers[i].thresholds = cuts
-            hist.unpersist()
         few = counts.where(~F.col("i").isin(over)).toPandas()
         for i, p in enumerate(numbers):
             if i in over:
@@ -280,39 +313,86 @@ class TableEncoderModel(Model):
             x = c.try_cast("double")
             return digitize(F.coalesce(F.when(~F.isnan(x), x), F.lit(p.mean)), p.thresholds).cast("int")
         text = as_category(c, self.types[p.name])
-        at = F.array_position(F.lit(p.categories), text)
-        if p.name == self.target:
-            missing = F.when(c.isNull() & ~F.array_contains(F.lit(p.categories), "nan"), 0)
+        if p.dictionary is not None:
+            code, has_missing = F.col(self._joined(p)).cast("int"), F.lit(p.dictionary.missing is not None)
         else:
-            missing = F.lit(None)
-        known = F.when(at > 0, (at - 1).cast("int")).otherwise(missing)
+            at = F.array_position(F.lit(p.categories), text)
+            code, has_missing = F.when(at > 0, (at - 1).cast("int")), F.array_contains(F.lit(p.categories), "nan")
+        known = F.coalesce(code, F.when(c.isNull() & ~has_missing, 0)) if p.name == self.target else code
         if self.unseen == "uniform":
             return known
         return F.when(known.isNull(), F.raise_error(F.concat(F.lit(f"unseen category in {p.name}: "), text)).cast("int")).otherwise(known)
 
+    def _joined(self, p: ColumnProfile) -> str:
+        return f"_code_of_{self.columns.index(p.name)}"
+
+    def _with_dictionaries(self, df: DataFrame) -> DataFrame:
+        """df, and a column of codes for each dictionary whose column is there."""
+        there = set(df.columns)
+        for p in self.profiles:
+            if p.dictionary is not None and p.name in there:
+                name = self._joined(p)
+                keyed = df.withColumn(f"{name}_text", as_category(F.col(f"`{p.name}`"), self.types[p.name]))
+                df = p.dictionary.encode(keyed, f"{name}_text", name).drop(f"{name}_text")
+        return df
+
     def _transform(self, df: DataFrame) -> DataFrame:
         there = set(df.columns)
-        return df.select(*[self.code(p, there).alias(p.name) for p in self.profiles])
+        return self._with_dictionaries(df).select(*[self.code(p, there).alias(p.name) for p in self.profiles])
 
     def with_codes(self, df: DataFrame, prefix: str = "code_") -> DataFrame:
         """All columns of df, and the codes next to them."""
         there = set(df.columns)
-        return df.select("*", *[self.code(p, there).alias(prefix + p.name) for p in self.profiles])
+        codes = [self.code(p, there).alias(prefix + p.name) for p in self.profiles]
+        if all(p.dictionary is None for p in self.profiles):
+            return df.select("*", *codes)
+        return self._with_dictionaries(df).select(*[F.col(f"`{c}`") for c in df.columns], *codes)
+
+    def _standard(self, p: ColumnProfile) -> Column:
+        x = F.col(f"`{p.name}`").try_cast("double")
+        return ((F.coalesce(F.when(~F.isnan(x), x), F.lit(p.mean)) - p.mean) / p.std).cast("float")
+
+    def _with_codes_and(self, df: DataFrame, **more: Column) -> DataFrame:
+        there = set(df.columns)
+        # under other names first: inside a lambda, a column's name would mean an alias of the same projection
+        both = self._with_dictionaries(df).select(*[c.alias(f"_{n}") for n, c in more.items()], *[self.code(p, there).alias(f"_c{i}") for i, p in enumerate(self.profiles)])
+        return both.select(*[F.col(f"_c{i}").alias(p.name) for i, p in enumerate(self.profiles)], *[F.col(f"_{n}").alias(n) for n in more])
 
     def encoded(self, df: DataFrame) -> DataFrame:
-        """The codes and ``features``: one-hot categories and standardised numbers as ARRAY<FLOAT>."""
+        """The codes and ``features``: one-hot categories and standardised numbers as ARRAY<FLOAT>. That is as wide as all
+        texts together: with dictionaries, ``encoded_sparse`` gives the same numbers without the zeros."""
         there = set(df.columns)
+        wide = [p.name for p in self.profiles if p.dictionary is not None]
+        if wide:
+            raise ValueError(f"too many texts for dense features: {', '.join(wide)}; see encoded_sparse, or screen by mi_filter")
         parts = []
         for p in self.profiles:
             if p.kind == "continuous":
-                x = F.col(f"`{p.name}`").try_cast("double")
-                parts.append(F.array(((F.coalesce(F.when(~F.isnan(x), x), F.lit(p.mean)) - p.mean) / p.std).cast("float")))
+                parts.append(F.array(self._standard(p)))
             else:
                 text = as_category(F.col(f"`{p.name}`"), self.types[p.name]) if p.name in there else F.lit(None)
                 parts.append(_one_hot(p.categories, text))
-        # under other names first: inside a lambda, a column's name would mean an alias of the same projection
-        both = df.select(F.concat(*parts).alias("_features"), *[self.code(p, there).alias(f"_c{i}") for i, p in enumerate(self.profiles)])
-        return both.select(*[F.col(f"_c{i}").alias(p.name) for i, p in enumerate(self.profiles)], F.col("_features").alias("features"))
+        return self._with_codes_and(df, features=F.concat(*parts))
+
+    def encoded_sparse(self, df: DataFrame) -> DataFrame:
+        """The codes, and the features that may not be zero as ``places`` ARRAY<LONG> and ``numbers`` ARRAY<FLOAT>: one entry for a
+        number, one for a known category, at any number of categories."""
+        there = set(df.columns)
+        places, numbers, start = [], [], 0
+        for p in self.profiles:
+            if p.kind == "continuous":
+                places.append(F.lit(start).cast("long"))
+                numbers.append(self._standard(p))
+            elif p.name in there:
+                if p.dictionary is not None:
+                    code = F.col(self._joined(p))
+                else:
+                    at = F.array_position(F.lit(p.categories), as_category(F.col(f"`{p.name}`"), self.types[p.name]))
+                    code = F.when(at > 0, at - 1)
+                places.append((code + start).cast("long"))
+                numbers.append(F.when(code.isNotNull(), 1.0).cast("float"))
+            start += 1 if p.kind == "continuous" else p.size
+        return self._with_codes_and(df, places=F.array_compact(F.array(*places)), numbers=F.array_compact(F.array(*numbers)))
 
 
 def _one_hot(categories: list[str], text: Column) -> Column:
@@ -331,7 +411,7 @@ def align_dummies(train: DataFrame, test: DataFrame, target: str) -> tuple[DataF
         pair = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in texts]))
         found = both.select(pair.alias("x")).select("x.c", "x.v").distinct().limit(MAX_CATEGORIES + 1).collect()
         if len(found) > MAX_CATEGORIES:
-            raise ValueError(f"more than {MAX_CATEGORIES} distinct texts: a column of them each would be no table")
+            raise ValueError(f"more than {MAX_CATEGORIES} distinct texts: a column of them each would be no table; see sparse_dummies")
         for r in found:
             seen[r["c"]].append(r["v"])
     cols, raw = [], []
@@ -352,6 +432,48 @@ def align_dummies(train: DataFrame, test: DataFrame, target: str) -> tuple[DataF
     return train.select(*pick, code), test.select(*pick, code), labels
 
 
+def sparse_dummies(train: DataFrame, test: DataFrame, target: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``align_dummies`` at any number of texts: both tables as label_code, ``places`` and ``numbers`` of the features that are not
+    zero, in the same order of features, and the features' (place, name), names as they are."""
+    names = [c for c in train.columns if c != target]
+    types = dict(train.dtypes)
+    texts = [*(c for c in names if types[c] in ("string", "boolean")), target]
+    both = train.select(*texts).unionByName(test.select(*texts))
+    pair = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(texts)]))
+    found = dictionaries(both.select(pair.alias("x")).select("x.i", "x.v"))
+    start, at = {}, 0
+    for c in names:
+        start[c] = at
+        at += 1 + (found[texts.index(c)].size if c in texts and texts.index(c) in found else 0)
+
+    def coded(df: DataFrame) -> DataFrame:
+        out = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+        col = {c: f"_{i}" for i, c in enumerate(df.columns)}
+        for i, c in enumerate(texts):
+            out = out.withColumn(f"t{i}", F.col(col[c]).cast("string"))
+            out = found[i].encode(out, f"t{i}", f"k{i}") if i in found else out.withColumn(f"k{i}", F.lit(None).cast("long"))
+        places, numbers = [], []
+        for c in names:
+            if c in texts:
+                i = texts.index(c)
+                places.append(F.coalesce(F.col(f"k{i}"), F.lit(found[i].size if i in found else 0)) + F.lit(start[c]))  # the last one is that of nulls
+                numbers.append(F.lit(1.0))
+            else:
+                x = F.coalesce(F.col(col[c]).cast("double"), F.lit(0.0))
+                places.append(F.when(x != 0, start[c]).cast("long"))
+                numbers.append(F.when(x != 0, x))
+        pick = lambda parts, kind: F.array_compact(F.array(*parts)).cast(kind)
+        return out.select(pick(places, "array<bigint>").alias("places"), pick(numbers, "array<double>").alias("numbers"), F.col(f"k{len(texts) - 1}").cast("int").alias("label_code"))
+
+    spark = train.sparkSession
+    single = [(start[c] + (found[texts.index(c)].size if c in texts and texts.index(c) in found else 0), f"{c}_nan" if c in texts else c) for c in names]
+    legend = spark.createDataFrame(single, "place long, name string")
+    for c in names:
+        if c in texts and texts.index(c) in found:
+            legend = legend.union(found[texts.index(c)].frame(spark).select((F.col("code") + start[c]).alias("place"), F.concat(F.lit(f"{c}_"), "v").alias("name")))
+    return coded(train), coded(test), legend
+
+
 def sanitize_names(names: list[str]) -> list[str]:
     """Names without [ ] <; an empty one becomes feature_i, a repeated one gets a running number."""
     out, used = [], {}

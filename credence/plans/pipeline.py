@@ -77,9 +77,14 @@ class BayesNetModel(Model):
         """All columns of df, ``probabilities`` (in the order of ``classes``) and ``predicted``; the target may be missing."""
         coded = self.encoder.with_codes(df, "_c_")
         out = self.net.posterior(coded, "_c_")
-        label = F.element_at(F.lit(self.classes), F.col("prediction") + 1)
+        words = self.encoder.profile(self.encoder.target).dictionary
+        if words is None:
+            label = F.element_at(F.lit(self.classes), F.col("prediction") + 1)
+        else:
+            out, label = words.decode(out, "prediction", "_predicted"), F.col("_predicted")
         return out.select(*[F.col(f"`{c}`") for c in df.columns], "probabilities", label.alias("predicted"))
 
     def evaluate(self, df: DataFrame) -> dict[str, float]:
         scored = self.net.posterior(TableEncoderModel(self.encoder.target, self.encoder.profiles, self.encoder.types, "uniform").transform(df))
-        return predictive(scored.where(F.col(f"`{self.encoder.target}`").isNotNull()), len(self.classes), self.encoder.target)
+        target = self.encoder.profile(self.encoder.target)
+        return predictive(scored.where(F.col(f"`{target.name}`").isNotNull()), target.size, target.name)
