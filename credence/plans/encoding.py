@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,7 @@ from ..sources import files
 
 MAX_VALUES = 10_000
 #: Distinct values that a cell of a histogram is meant to hold, and the most cells there are; a window in a cell spills beyond.
-CELL_VALUES = 100_000
+CELL_VALUES = 20_000
 MOST_CELLS = 20_000
 #: Texts of all columns together that may be literals of the plan.
 MAX_CATEGORIES = 100_000
@@ -114,7 +116,7 @@ def least_leaf(n: int, n_bins: int, min_samples: int) -> int:
 
 
 def running_counts(hist: DataFrame, classes: list[str], values: int) -> DataFrame:
-    """i, x, follow, left: each value of each column, the next one, and the rows of each class up to it, from a histogram
+    """i, x, follow, l0, l1, …: each value of each column, the next one, and the rows of each class up to it, from a histogram
     (i, x, y, n) of about so many ``values``. Cells are ranges of (i, x); the driver sees their sums only."""
     spark, k = hist.sparkSession, range(len(classes))
     by_class = F.map_from_entries(F.collect_list(F.struct("y", "n")))
@@ -131,15 +133,13 @@ def running_counts(hist: DataFrame, classes: list[str], values: int) -> DataFram
     w = Window.partitionBy("i", "cell").orderBy("x")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = dealt.select("i", "cell", "x", F.lead("x").over(w).alias("follow"), *[F.sum(f"n{j}").over(upto).alias(f"n{j}") for j in k])
-    left = F.array(*[F.col("before")[j] + F.col(f"n{j}") for j in k])
-    return inside.join(starts, ["i", "cell"]).select("i", "x", F.coalesce("follow", "beyond").alias("follow"), left.alias("left"))
+    return inside.join(starts, ["i", "cell"]).select("i", "x", F.coalesce("follow", "beyond").alias("follow"), *[(F.col("before")[j] + F.col(f"n{j}")).alias(f"l{j}") for j in k])
 
 
-def _bits(counts: Column) -> Column:
-    """n times the entropy of an array of class counts that sum up to n."""
-    total = F.aggregate(counts, F.lit(0.0), lambda a, v: a + v)
+def _bits(counts: list[Column], total: Column) -> Column:
+    """total times the entropy of class counts that sum up to it."""
     part = lambda v: F.when(v > 0, v * F.log2(v)).otherwise(0.0)
-    return part(total) - F.aggregate(counts, F.lit(0.0), lambda a, v: a + part(v))
+    return part(total) - reduce(add, map(part, counts))
 
 
 def entropy_bins_in_cells(hist: DataFrame, n_bins: int, min_samples: int, values: int = MAX_VALUES) -> dict[int, list[float]]:
@@ -148,23 +148,22 @@ def entropy_bins_in_cells(hist: DataFrame, n_bins: int, min_samples: int, values
     spark = hist.sparkSession
     classes = sorted(r["y"] for r in hist.select("y").distinct().collect())
     counts = running_counts(hist, classes, values).persist()
-    totals = counts.where(F.col("follow").isNull()).select("i", "left").collect()  # the last value of each column
-    whole = {r["i"]: np.array(r["left"]) for r in totals}
+    k, upto = range(len(classes)), F.array(*[f"l{j}" for j in range(len(classes))]).alias("left")
+    whole = {r["i"]: np.array(r["left"]) for r in counts.where(F.col("follow").isNull()).select("i", upto).collect()}  # at the last value of each column
     least = {i: least_leaf(int(v.sum()), n_bins, min_samples) for i, v in whole.items()}
     new = {i: [(-math.inf, math.inf, np.zeros(len(classes)), v)] for i, v in whole.items()}  # from, to (inclusive), classes before, classes inside
 
     def search() -> dict[tuple[int, int], dict]:
-        rows = [(i, k, float(lo), float(hi), base.tolist(), inside.tolist(), float(whole[i].sum()), least[i]) for i, leaves in new.items() for k, (lo, hi, base, inside) in enumerate(leaves)]
-        leaves = spark.createDataFrame(rows, "i int, k int, lo double, hi double, base array<double>, inside array<double>, total double, least long")  # two a column at most
-        minus = lambda a, b: F.zip_with(a, b, lambda u, v: u - v)
-        size = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
-        both = counts.join(F.broadcast(leaves), "i").where("(x > lo OR lo = double('-infinity')) AND x <= hi").withColumn("l", minus(F.col("left"), F.col("base")))
-        both = both.withColumn("r", minus(F.col("inside"), F.col("l"))).where((size(F.col("l")) >= F.col("least")) & (size(F.col("r")) >= F.col("least")))
-        gain = F.round((_bits(F.col("inside")) - _bits(F.col("l")) - _bits(F.col("r"))) / F.col("total"), 12)
-        gains = both.select("i", "k", "x", "follow", "left", gain.alias("gain")).where("gain > 1e-12")
-        best = gains.groupBy("i", "k").agg(F.max("gain").alias("gain"))
-        found = gains.join(F.broadcast(best), ["i", "k", "gain"])  # a row for each leaf
-        return {(r["i"], r["k"]): r["s"].asDict() for r in found.groupBy("i", "k").agg(F.min_by(F.struct("gain", "x", "follow", "left"), "x").alias("s")).collect()}
+        rows = [(i, m, float(lo), float(hi), least[i], float(whole[i].sum()), float(inside.sum() * _entropy(inside)), *base.tolist(), *inside.tolist()) for i, leaves in new.items() for m, (lo, hi, base, inside) in enumerate(leaves)]
+        names = ["i int", "m int", "lo double", "hi double", "least long", "total double", "bits double", *[f"b{j} double" for j in k], *[f"w{j} double" for j in k]]
+        both = counts.join(F.broadcast(spark.createDataFrame(rows, ", ".join(names))), "i").where("x > lo AND x <= hi")  # two leaves a column at most
+        own = both.select("i", "m", "x", "least", "total", "bits", *[(F.col(f"l{j}") - F.col(f"b{j}")).alias(f"u{j}") for j in k], *[(F.col(f"w{j}") - F.col(f"l{j}") + F.col(f"b{j}")).alias(f"v{j}") for j in k])
+        own = own.withColumn("nu", reduce(add, [F.col(f"u{j}") for j in k])).withColumn("nv", reduce(add, [F.col(f"v{j}") for j in k])).where("nu >= least AND nv >= least")
+        gain = (F.col("bits") - _bits([F.col(f"u{j}") for j in k], F.col("nu")) - _bits([F.col(f"v{j}") for j in k], F.col("nv"))) / F.col("total")
+        gains = own.select("i", "m", "x", F.floor(gain * 1e12 + 0.5).alias("gain")).where("gain > 1")  # whole numbers of 1e-12
+        best = gains.groupBy("i", "m").agg(F.max("gain").alias("gain"))
+        first = gains.join(F.broadcast(best), ["i", "m", "gain"]).groupBy("i", "m", "gain").agg(F.min("x").alias("x"))  # a row for each leaf
+        return {(r["i"], r["m"]): r.asDict() for r in counts.join(F.broadcast(first), ["i", "x"]).select("i", "m", "gain", "x", "follow", upto).collect()}
 
     done, cuts = {i: [] for i in new}, {i: [] for i in new}
     while any(new.values()):
