@@ -22,10 +22,11 @@ def parser() -> argparse.ArgumentParser:
     opt = lambda *names, **kw: (names, kw)
     device, quiet = opt("--screener-device", default="auto"), opt("--no-progress", action="store_true")
     many = lambda name, **kw: opt(name, nargs="*", **kw)
+    again = (opt("--resume", metavar="FOLDER"), opt("--parallel", type=int, default=1))
     command("smoke", opt("--samples", type=int, default=400), opt("--features", type=int, default=6), device, opt("--progress", action="store_true"))
     command("train", opt("csv_path"), opt("--target", required=True), device, opt("--progress", action="store_true"))
-    command("run-suite", opt("suite_name"), opt("--output"), opt("--base-dir", default="."), many("--datasets"), many("--baselines"), many("--seeds", type=int), many("--ablations"), device, opt("--tabpfn-device", default="auto"), quiet)
-    command("run-evidence", opt("--artifact-dir", default="artifacts/benchmarks"), opt("--base-dir", default="."), many("--stages"), device, opt("--tabpfn-device", default="auto"), quiet)
+    command("run-suite", opt("suite_name"), opt("--output"), opt("--base-dir", default="."), many("--datasets"), many("--baselines"), many("--seeds", type=int), many("--ablations"), device, opt("--tabpfn-device", default="auto"), quiet, *again)
+    command("run-evidence", opt("--artifact-dir", default="artifacts/benchmarks"), opt("--base-dir", default="."), many("--stages"), device, opt("--tabpfn-device", default="auto"), quiet, *again)
     command("summarize-paper", opt("--artifact-dir", default="artifacts/benchmarks"))
     command("materialize-expert-bn", opt("--root", default="datasets/expert_bn"), many("--datasets"), opt("--no-overwrite", action="store_true"))
     command("baselines")
@@ -62,9 +63,9 @@ def main(argv: list[str] | None = None, spark=None) -> dict:
         r = model.report
         out = {"predictive": r.predictive, "structural": r.structural, "runtimes": r.runtimes, "edges": r.edges, "candidate_pools": r.pools, "operations": r.search.operations}
     elif a.command == "run-suite":
-        out = ex.run_suite(spark, a.suite_name, config, base=a.base_dir, datasets=a.datasets, baselines=a.baselines, seeds=a.seeds, labels=a.ablations, output=a.output, log=log)
+        out = ex.run_suite(spark, a.suite_name, config, base=a.base_dir, datasets=a.datasets, baselines=a.baselines, seeds=a.seeds, labels=a.ablations, output=a.output, log=log, resume=a.resume, parallel=a.parallel)
     elif a.command == "run-evidence":
-        out = ex.run_evidence(spark, config, folder=a.artifact_dir, base=a.base_dir, names=a.stages, log=log)
+        out = ex.run_evidence(spark, config, folder=a.artifact_dir, base=a.base_dir, names=a.stages, log=log, resume=a.resume, parallel=a.parallel)
     elif a.command == "summarize-paper":
         from .plans.report import positioning, results
 

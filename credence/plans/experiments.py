@@ -8,12 +8,17 @@ import os
 import subprocess
 import sys
 import time
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field, replace
+from functools import partial
 from pathlib import Path
+from queue import Queue
 
 import pandas as pd
 from py4j.protocol import Py4JError
+from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +35,7 @@ from ..sources.datasets import BASELINES, MissingDataset, Split, registry, suite
 from .decisions import METHOD, RECORD, evidence_decision, suite_tables
 from .encoding import TableEncoder, TableEncoderModel, align_dummies
 from .pipeline import BayesNetClassifier, structure_metrics
+from .record_log import RecordLog
 
 
 @dataclass
@@ -289,29 +295,75 @@ def runners() -> dict[str, Runner]:
 # --- suites ----------------------------------------------------------------------------------------------------------------
 
 
-def run_suite(spark: SparkSession, name: str, config: PipelineConfig, *, base: str = ".", datasets=None, baselines=None, seeds=None, labels=None, output: str | None = None, adapters=None, models=None, log=lambda message: None) -> dict:
+def _attempt(runner: Runner, split: Split, config: PipelineConfig, ablation: Ablation, log) -> RunRecord:
+    try:
+        return runner.run(split, config, ablation)
+    except (ArithmeticError, LookupError, ValueError, RuntimeError, PySparkException, Py4JError) as e:  # of the run; mistakes of the program end the suite
+        log(f"{split.dataset.name} {split.id} {runner.name} {ablation.label} failed: {type(e).__name__}")
+        return replace(runner.skipped(split, ablation.label, f"{type(e).__name__}: {str(e)[:300]}"), status="failed")
+
+
+def in_pools(spark: SparkSession, jobs: list[Callable[[], RunRecord]], parallel: int) -> list[RunRecord]:
+    """What the jobs return, in their order; at most ``parallel`` run at a time, each in a scheduler pool of its own, which a
+    session with ``spark.scheduler.mode`` FAIR gives equal shares. The first error ends the rest that has not begun."""
+    if parallel <= 1:
+        return [job() for job in jobs]
+    free: Queue[int] = Queue()
+    for k in range(parallel):
+        free.put(k)
+
+    def pooled(job: Callable[[], RunRecord]) -> RunRecord:
+        k, context = free.get(), spark.sparkContext
+        try:
+            context.setLocalProperty("spark.scheduler.pool", f"credence-{k}")
+            return job()
+        finally:
+            context.setLocalProperty("spark.scheduler.pool", None)
+            free.put(k)
+
+    with ThreadPoolExecutor(parallel) as threads:
+        running = [threads.submit(inheritable_thread_target(spark)(pooled), job) for job in jobs]
+        try:
+            return [r.result() for r in running]
+        finally:
+            for r in running:
+                r.cancel()
+
+
+def run_suite(spark: SparkSession, name: str, config: PipelineConfig, *, base: str = ".", datasets=None, baselines=None, seeds=None, labels=None, output: str | None = None, adapters=None, models=None, log=lambda message: None, resume: str | None = None, parallel: int = 1) -> dict:
     """Every dataset, seed, split and model; ablations for the method only. A dataset that is not there, and a run that
-    fails, leave a skipped record."""
+    fails, leave a skipped record. With ``resume``, a folder, finished runs are kept there and not repeated by a later call with
+    the same settings, while failed ones are; ``parallel`` runs go on at a time."""
     suite = suites()[name]
     adapters, models, known = adapters or registry(base), models or runners(), ablations()
-    records: list[RunRecord] = []
+    kept = RecordLog(spark, resume) if resume else None
+    jobs: list[Callable[[], RunRecord]] = []
+
+    def run(split: Split, m: str, label: str) -> RunRecord:
+        key = {"dataset": split.dataset.name, "split": split.id, "seed": split.seed, "model": m, "label": label, "config": asdict(config)}
+        got = kept.find(key) if kept else None
+        if got is not None:
+            log(f"{split.dataset.name} {split.id} {m} {label}: kept")
+            return as_records({"records": [got]})[0]
+        log(f"{split.dataset.name} {split.id} {m} {label}")
+        record = _attempt(models[m], split, config, known[label], log)
+        if kept:
+            kept.add(key, record.to_dict())
+        return record
+
     for dataset in datasets or suite.datasets:
         for seed in seeds or suite.seeds:
             try:
                 splits = list(adapters[dataset].splits(spark, seed))
             except MissingDataset as e:
                 regime = "known_graph" if dataset in ("alarm", "child", "insurance") else "real"
-                records += [RunRecord(m, dataset, regime, f"{dataset}-{seed}", seed, "default", models[m].family, "skipped", [f"missing: {e}"]) for m in baselines or suite.baselines]
+                missing = [RunRecord(m, dataset, regime, f"{dataset}-{seed}", seed, "default", models[m].family, "skipped", [f"missing: {e}"]) for m in baselines or suite.baselines]
+                jobs += [partial(lambda r: r, r) for r in missing]
                 continue
             for split in splits:
                 for m in baselines or suite.baselines:
-                    for label in (labels or suite.ablations) if m == METHOD else ("default",):
-                        log(f"{dataset} {split.id} {m} {label}")
-                        try:
-                            records.append(models[m].run(split, config, known[label]))
-                        except (ArithmeticError, LookupError, ValueError, RuntimeError, PySparkException, Py4JError) as e:  # of the run; mistakes of the program end the suite
-                            records.append(replace(models[m].skipped(split, label, f"{type(e).__name__}: {str(e)[:300]}"), status="failed"))
-                            log(f"{dataset} {split.id} {m} {label} failed: {type(e).__name__}")
+                    jobs += [partial(run, split, m, label) for label in ((labels or suite.ablations) if m == METHOD else ("default",))]
+    records = in_pools(spark, jobs, parallel)
     tables = suite_tables(records_frame(spark, records))
     payload = {
         "suite_name": name,
@@ -394,12 +446,12 @@ def summarize_evidence(spark: SparkSession, payloads: dict[str, dict], names=Non
     return {"artifact_dir": folder, "requested_stages": names, "completed_stages": [n for n in names if n in payloads], "stage_overview": overview, "stage_tables": {n: p["tables"] for n, p in payloads.items()}, "run_metadata": run_metadata(), "decision": evidence_decision(frames)}
 
 
-def run_evidence(spark: SparkSession, config: PipelineConfig, *, folder: str = "artifacts/benchmarks", base: str = ".", names=None, log=lambda message: None, adapters=None) -> dict:
+def run_evidence(spark: SparkSession, config: PipelineConfig, *, folder: str = "artifacts/benchmarks", base: str = ".", names=None, log=lambda message: None, adapters=None, resume: str | None = None, parallel: int = 1) -> dict:
     payloads: dict[str, dict] = {}
     names = list(names or DEFAULT_STAGES)
     for n in names:
         s = stages()[n]
-        payloads[n] = run_suite(spark, s.suite, config, base=base, datasets=s.datasets, baselines=s.baselines, seeds=s.seeds, labels=s.labels, output=files.join(folder, s.filename), log=log, adapters=adapters)
+        payloads[n] = run_suite(spark, s.suite, config, base=base, datasets=s.datasets, baselines=s.baselines, seeds=s.seeds, labels=s.labels, output=files.join(folder, s.filename), log=log, adapters=adapters, resume=resume, parallel=parallel)
         summary = summarize_evidence(spark, payloads, names, folder)
         write_json(summary, files.join(folder, "evidence_summary.json"))
     return summary
