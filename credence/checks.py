@@ -260,8 +260,8 @@ def q_bins_in_cells(spark, sf):
     """Supervised bins of three columns at once, on histograms that stay in Spark whatever their size."""
     names = ("l_extendedprice", "l_partkey", "l_orderkey")
     item = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("x")) for i, c in enumerate(names)]))
-    hist = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("y"), item.alias("v")).groupBy("v.i", "v.x", "y").agg(F.count(F.lit(1)).alias("n"))
-    cuts = entropy_bins_in_cells(hist, 5, 20, sum(table(spark, sf, "lineitem").agg(*[F.approx_count_distinct(c) for c in names]).first()))
+    rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("y"), item.alias("v")).select("v.i", "v.x", "y", F.lit(1).cast("long").alias("n"))
+    cuts = entropy_bins_in_cells(rows, 5, 20, sum(table(spark, sf, "lineitem").agg(*[F.approx_count_distinct(c) for c in names]).first()))
     return spark.createDataFrame([(names[i], float(t)) for i, own in cuts.items() for t in own], "name string, threshold double").select("name", F.round("threshold", 6).alias("threshold"))
 
 

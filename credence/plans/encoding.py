@@ -116,11 +116,11 @@ def least_leaf(n: int, n_bins: int, min_samples: int) -> int:
 
 
 def running_counts(hist: DataFrame, classes: list[str], values: int) -> DataFrame:
-    """i, x, follow, l0, l1, …: each value of each column, the next one, and the rows of each class up to it, from a histogram
-    (i, x, y, n) of about so many ``values``. Cells are ranges of (i, x); the driver sees their sums only."""
+    """i, cell, x, follow, l0, l1, …: each value of each column, the next one, and the rows of each class up to it, from rows
+    (i, x, y, n) of about so many ``values``. Cells are ranges of (i, x), numbered in order; the driver sees their sums only.
+    Rows are added up by value on both sides of one shuffle, however often a value occurs."""
     spark, k = hist.sparkSession, range(len(classes))
-    by_class = F.map_from_entries(F.collect_list(F.struct("y", "n")))
-    one = hist.groupBy("i", "x").agg(by_class.alias("m")).select("i", "x", *[F.coalesce(F.try_element_at("m", F.lit(c)), F.lit(0)).alias(f"n{j}") for j, c in enumerate(classes)])
+    one = hist.groupBy("i", "x").agg(*[F.sum(F.when(F.col("y") == c, F.col("n")).otherwise(0)).alias(f"n{j}") for j, c in enumerate(classes)])
     at = files.scratch(spark, "cells")
     cells = min(MOST_CELLS, max(1, -(-values // CELL_VALUES)))
     one.repartitionByRange(cells, "i", "x").withColumn("cell", F.spark_partition_id()).write.parquet(at)
@@ -133,7 +133,7 @@ def running_counts(hist: DataFrame, classes: list[str], values: int) -> DataFram
     w = Window.partitionBy("i", "cell").orderBy("x")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = dealt.select("i", "cell", "x", F.lead("x").over(w).alias("follow"), *[F.sum(f"n{j}").over(upto).alias(f"n{j}") for j in k])
-    return inside.join(starts, ["i", "cell"]).select("i", "x", F.coalesce("follow", "beyond").alias("follow"), *[(F.col("before")[j] + F.col(f"n{j}")).alias(f"l{j}") for j in k])
+    return inside.join(F.broadcast(starts), ["i", "cell"]).select("i", "cell", "x", F.coalesce("follow", "beyond").alias("follow"), *[(F.col("before")[j] + F.col(f"n{j}")).alias(f"l{j}") for j in k])
 
 
 def _bits(counts: list[Column], total: Column) -> Column:
@@ -143,8 +143,11 @@ def _bits(counts: list[Column], total: Column) -> Column:
 
 
 def entropy_bins_in_cells(hist: DataFrame, n_bins: int, min_samples: int, values: int = MAX_VALUES) -> dict[int, list[float]]:
-    """``entropy_bins`` of each column i, on a histogram (i, x, y, n) that stays in Spark. Gains are compared to twelve places;
-    ties go to the smaller value."""
+    """``entropy_bins`` of each column i, on rows (i, x, y, n) that stay in Spark; a value may come in many rows. Gains are
+    compared to twelve places; ties go to the smaller value.
+
+    A round is one aggregate over all values, the best gain of each leaf in each cell, and a look at the rows of the first cell
+    that holds a leaf's best."""
     spark = hist.sparkSession
     classes = sorted(r["y"] for r in hist.select("y").distinct().collect())
     counts = running_counts(hist, classes, values).persist()
@@ -153,17 +156,25 @@ def entropy_bins_in_cells(hist: DataFrame, n_bins: int, min_samples: int, values
     least = {i: least_leaf(int(v.sum()), n_bins, min_samples) for i, v in whole.items()}
     new = {i: [(-math.inf, math.inf, np.zeros(len(classes)), v)] for i, v in whole.items()}  # from, to (inclusive), classes before, classes inside
 
-    def search() -> dict[tuple[int, int], dict]:
-        rows = [(i, m, float(lo), float(hi), least[i], float(whole[i].sum()), float(inside.sum() * _entropy(inside)), *base.tolist(), *inside.tolist()) for i, leaves in new.items() for m, (lo, hi, base, inside) in enumerate(leaves)]
+    def gains(rows: DataFrame) -> DataFrame:
+        leaves = [(i, m, float(lo), float(hi), least[i], float(whole[i].sum()), float(inside.sum() * _entropy(inside)), *base.tolist(), *inside.tolist()) for i, leaves in new.items() for m, (lo, hi, base, inside) in enumerate(leaves)]
         names = ["i int", "m int", "lo double", "hi double", "least long", "total double", "bits double", *[f"b{j} double" for j in k], *[f"w{j} double" for j in k]]
-        both = counts.join(F.broadcast(spark.createDataFrame(rows, ", ".join(names))), "i").where("x > lo AND x <= hi")  # two leaves a column at most
-        own = both.select("i", "m", "x", "least", "total", "bits", *[(F.col(f"l{j}") - F.col(f"b{j}")).alias(f"u{j}") for j in k], *[(F.col(f"w{j}") - F.col(f"l{j}") + F.col(f"b{j}")).alias(f"v{j}") for j in k])
-        own = own.withColumn("nu", reduce(add, [F.col(f"u{j}") for j in k])).withColumn("nv", reduce(add, [F.col(f"v{j}") for j in k])).where("nu >= least AND nv >= least")
+        both = rows.join(F.broadcast(spark.createDataFrame(leaves, ", ".join(names))), "i").where("x > lo AND x <= hi")  # two leaves a column at most
+        own = both.select("*", *[(F.col(f"l{j}") - F.col(f"b{j}")).alias(f"u{j}") for j in k], *[(F.col(f"w{j}") - F.col(f"l{j}") + F.col(f"b{j}")).alias(f"v{j}") for j in k])
+        own = own.withColumns({"nu": reduce(add, [F.col(f"u{j}") for j in k]), "nv": reduce(add, [F.col(f"v{j}") for j in k])})
         gain = (F.col("bits") - _bits([F.col(f"u{j}") for j in k], F.col("nu")) - _bits([F.col(f"v{j}") for j in k], F.col("nv"))) / F.col("total")
-        gains = own.select("i", "m", "x", F.floor(gain * 1e12 + 0.5).alias("gain")).where("gain > 1")  # whole numbers of 1e-12
-        best = gains.groupBy("i", "m").agg(F.max("gain").alias("gain"))
-        first = gains.join(F.broadcast(best), ["i", "m", "gain"]).groupBy("i", "m", "gain").agg(F.min("x").alias("x"))  # a row for each leaf
-        return {(r["i"], r["m"]): r.asDict() for r in counts.join(F.broadcast(first), ["i", "x"]).select("i", "m", "gain", "x", "follow", upto).collect()}
+        return own.where("nu >= least AND nv >= least").withColumn("gain", F.floor(gain * 1e12 + 0.5))  # whole numbers of 1e-12
+
+    def search() -> dict[tuple[int, int], dict]:
+        top: dict[tuple[int, int], tuple[int, int]] = {}
+        for r in gains(counts).groupBy("i", "m", "cell").agg(F.max("gain").alias("gain")).collect():  # two rows a cell at most
+            top[r["i"], r["m"]] = max(top.get((r["i"], r["m"]), (1, 0)), (r["gain"], -r["cell"]))
+        at = {key: -cell for key, (gain, cell) in top.items() if gain > 1}
+        if not at:
+            return {}
+        few = gains(counts.where(F.col("cell").isin(sorted(set(at.values()))))).join(F.broadcast(spark.createDataFrame([(*key, c) for key, c in at.items()], "i int, m int, cell int")), ["i", "m", "cell"])
+        best = few.groupBy("i", "m").agg(F.max(F.struct("gain", (-F.col("x")).alias("minus"), "x", "follow", upto)).alias("best"))
+        return {(r["i"], r["m"]): r["best"].asDict() for r in best.collect()}
 
     done, cuts = {i: [] for i in new}, {i: [] for i in new}
     while any(new.values()):
@@ -273,13 +284,16 @@ class TableEncoder(Estimator):
         label = as_category(F.col(f"`{self.target}`"), types[self.target])
         wide = df.agg(*[F.approx_count_distinct(filled[p.name]).alias(str(i)) for i, p in enumerate(numbers)]).first()
         over = [i for i in range(len(numbers)) if wide[i] > MAX_VALUES]
-        item = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), filled[p.name].alias("x")) for i, p in enumerate(numbers)]))
-        counts = df.select(label.alias("y"), item.alias("v")).groupBy("v.i", "v.x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+        def rows(which: list[int]) -> DataFrame:
+            item = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), filled[numbers[i].name].alias("x")) for i in which]))
+            return df.select(label.alias("y"), item.alias("v")).select("v.i", "v.x", "y", F.lit(1).cast("long").alias("n"))
+
         if over:
-            hist = counts.where(F.col("i").isin(over))
-            for i, cuts in entropy_bins_in_cells(hist, self.n_bins, self.min_samples, sum(wide[i] for i in over)).items():
+            for i, cuts in entropy_bins_in_cells(rows(over), self.n_bins, self.min_samples, sum(wide[i] for i in over)).items():
                 numbers[i].thresholds = cuts
-        few = counts.where(~F.col("i").isin(over)).toPandas()
+        under = [i for i in range(len(numbers)) if i not in over]
+        few = rows(under).groupBy("i", "x", "y").agg(F.sum("n").alias("n")).toPandas() if under else None
         for i, p in enumerate(numbers):
             if i in over:
                 continue

@@ -111,3 +111,22 @@ def test_wide_columns_need_no_python(spark, monkeypatch):
     hist = spark.range(500).selectExpr("0 as i", "cast(id as double) as x", "if(id % 7 < 3, 'a', 'b') as y", "1L as n")
     plan = encoding.running_counts(hist, ["a", "b"], 500)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_values_of_cells_may_come_in_many_rows(spark, monkeypatch):
+    """Rows are added up by value in the operator, so callers need no shuffle of their own before it."""
+    monkeypatch.setattr(encoding, "CELL_VALUES", 30)
+    raw = spark.range(4000).selectExpr("0 as i", "cast(id * 37 % 200 as double) as x", "if(id * 37 % 200 < 61 or id % 11 = 0, 'a', 'b') as y", "1L as n")
+    once = raw.groupBy("i", "x", "y").agg(F.sum("n").alias("n"))
+    got = encoding.entropy_bins_in_cells(raw, 4, 20, 200)
+    assert got == encoding.entropy_bins_in_cells(once, 4, 20, 200) and 60.5 in got[0]
+
+
+def test_a_round_of_bins_has_one_pass_over_all_values(spark, monkeypatch):
+    seen = []
+    kind = type(spark.range(1))
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: (seen.append(df._jdf.queryExecution().optimizedPlan().toString().count("InMemoryRelation")), collect(df))[1])
+    hist = spark.range(3000).selectExpr("0 as i", "cast(id % 500 as double) as x", "if(id % 7 < 3, 'a', 'b') as y", "1L as n")
+    encoding.entropy_bins_in_cells(hist, 2, 20, 500)
+    assert max(seen) == 1
