@@ -41,11 +41,17 @@ class MissingDataset(FileNotFoundError):
     pass
 
 
+#: How every text begins that a cast takes for a number, and what a whole number looks like.
+NUMBER = r"^[\x00-\x20\x7f]*[-+]?(\.?[0-9]|(?i:inf|nan))"
+WHOLE = r"^[\x00-\x20\x7f]*[-+]?[0-9]+[\x00-\x20\x7f]*$"
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header, inferred types, usual missing texts as null."""
+    """Header, inferred types, usual missing texts as null. A text that cannot be a number is not cast to one: a failed cast costs
+    an exception."""
     raw = spark.read.csv(path, header=True, inferSchema=False)
     clean = raw.select(*[F.when(~F.col(f"`{c}`").isin(NULL_TEXTS), F.col(f"`{c}`")).alias(c) for c in raw.columns])
-    tests = [x for i, c in enumerate(clean.columns) for x in (F.count(f"`{c}`").alias(f"n{i}"), F.count(F.col(f"`{c}`").try_cast("bigint")).alias(f"i{i}"), F.count(F.col(f"`{c}`").try_cast("double")).alias(f"d{i}"), F.count(F.when(F.lower(f"`{c}`").isin("true", "false"), 1)).alias(f"b{i}"))]
+    tests = [x for i, c in enumerate(clean.columns) for x in (F.count(f"`{c}`").alias(f"n{i}"), F.count(F.when(F.col(f"`{c}`").rlike(WHOLE), F.col(f"`{c}`").try_cast("bigint"))).alias(f"i{i}"), F.count(F.when(F.col(f"`{c}`").rlike(NUMBER), F.col(f"`{c}`").try_cast("double"))).alias(f"d{i}"), F.count(F.when(F.lower(f"`{c}`").isin("true", "false"), 1)).alias(f"b{i}"))]
     row = clean.agg(*tests).first() if tests else None
     out = []
     for i, c in enumerate(clean.columns):
