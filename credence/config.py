@@ -31,7 +31,7 @@ class ScreenerConfig:
     use_bundles: bool = True
     strategy: str = "neural"  # or mi_filter, hybrid_mi_neural
     mi_prefilter_size: int = 5
-    max_rows: int = 200_000  # distinct rows up to which a round of the neural screener is one task; the model is the same beyond
+    max_rows: int = 200_000  # distinct rows up to which a round of the neural screener is one task, unless copies make its steps large; the model is the same beyond
 
 
 @dataclass(frozen=True)

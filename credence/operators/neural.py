@@ -9,24 +9,31 @@ an independent one for checking, as drawing rows with replacement gives), the ba
 in turn, and which hidden units are dropped for it. A step adds up the gradients of its batch, divides by the weight and moves
 the parameters. An epoch has ``STEPS`` steps, or one for every ``batch`` rows if that is fewer.
 
-So it makes no difference to the model, but for rounding, who adds up: tables of at most ``max_rows`` distinct rows are trained
-in one task a round; larger ones stay where they are, every step is a job that returns one sum of gradients for each round,
-added up in two levels, and influences are sums of losses over all check rows in the same way.
+So it makes no difference to the model, but for rounding, who adds up. Tables of at most ``max_rows`` distinct rows are trained in
+one task a round, unless their copies make steps too large for it. Others are packed into blocks that Spark keeps, every step is
+a job over these that returns one sum of gradients for each round, added up in two levels, and influences are sums of losses over
+all check rows in the same way. What is random in an epoch is drawn once for all its steps.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
+from copy import copy
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STEPS = 64  # of an epoch, at most: beyond it batches grow with the table
 PIECE = 512  # rows whose activations a task holds together
+STEP_ROWS = 30_000  # distinct rows of a step from which on a job a step is faster than one task a round
+BLOCK_ROWS = 8_192  # packed together
+KEPT_BYTES = 64_000_000  # of a network's dropped units that are remembered for an epoch, at most
 ROUNDS = "boot int, target string, s1 string, s2 string, score double"
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)  # fixed value
@@ -95,21 +102,35 @@ class MultiHead:
         self.v = {k: np.zeros_like(v) for k, v in self.p.items()}
         self.t = 0
 
+    def light(self) -> MultiHead:
+        """As it is, without what only steps need."""
+        out = copy(self)
+        out.m = out.v = None
+        return out
+
     def share(self, x: np.ndarray, j: int) -> np.ndarray:
         """What column j adds to the first layer."""
         return x[:, self.blocks[j]] @ self.p["w0"][self.blocks[j]]
 
-    def gates(self, h: np.ndarray | None, epoch: int) -> list:
-        """By layer the factor of each row's hidden units: 0 where dropped."""
+    def kept(self, h: np.ndarray | None, epoch: int) -> list:
+        """By layer which hidden units of each row are not dropped; None: all."""
         if h is None or not self.dropout:
             return [None] * self.layers
-        out = []
-        for k in range(self.layers):
-            own = keyed(h, self.seed, epoch, k)
-            bits = mixed(own[:, None] + _GOLDEN * np.arange(1, self.hidden + 1, dtype=np.uint64))
-            out.append((bits >= np.uint64(int(self.dropout * 2**64))) / (1 - self.dropout))
+        out = [np.empty((len(h), self.hidden), bool) for _ in range(self.layers)]
+        unit, least = _GOLDEN * np.arange(1, self.hidden + 1, dtype=np.uint64), np.uint64(int(self.dropout * 2**64))
+        for a in range(0, len(h), PIECE):
+            for k in range(self.layers):
+                own = keyed(h[a : a + PIECE], self.seed, epoch, k)
+                out[k][a : a + PIECE] = mixed(own[:, None] + unit) >= least
         return out
 
+    def gates(self, h: np.ndarray | None, epoch: int) -> list:
+        """By layer the factor of each row's hidden units: 0 where dropped."""
+        return self.factors(self.kept(h, epoch))
+
+    def factors(self, kept: list) -> list:
+        return [None if k is None else k / (1 - self.dropout) for k in kept]
+
     def upper(self, z: np.ndarray, gates: list):
         """Activations of first-layer sums (..., rows, hidden) through all layers: the last ones, and the trace."""
         trace = []
@@ -135,12 +156,13 @@ class MultiHead:
         one = np.eye(self.sizes[j])[y.astype(int)]
         return -np.log(np.maximum((p * one).sum(-1), 1e-12)), p - one
 
-    def gradient_sums(self, x: np.ndarray, ys: list[np.ndarray], w: np.ndarray, h: np.ndarray | None = None, epoch: int = 0) -> tuple[float, dict[str, np.ndarray]]:
-        """Sums over rows, by weight, of the mean loss over the heads, and of its gradient."""
+    def gradient_sums(self, x: np.ndarray, ys: list[np.ndarray], w: np.ndarray, h: np.ndarray | None = None, epoch: int = 0, kept: list | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Sums over rows, by weight, of the mean loss over the heads, and of its gradient. ``kept``: the rows' units, if known."""
+        kept = self.kept(h, epoch) if kept is None else kept
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
         total, heads = 0.0, len(ys)
         for a in range(0, len(x), PIECE):
-            xs, ws, gates = x[a : a + PIECE], w[a : a + PIECE] / heads, self.gates(h[a : a + PIECE] if h is not None else None, epoch)
+            xs, ws, gates = x[a : a + PIECE], w[a : a + PIECE] / heads, self.factors([k if k is None else k[a : a + PIECE] for k in kept])
             whole = xs @ self.p["w0"] + self.p["b0"]
             every = np.zeros_like(whole)  # the gradient by first-layer sums, of all heads
             for j, y in enumerate(ys):  # one by one: a head's arrays stay in the processor's cache
@@ -188,15 +210,16 @@ class MultiHead:
     def loss_sums(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, j: int, variants: list[tuple[int, ...]], chunk: int) -> np.ndarray:
         """Sums of head j's loss, by weight, with the columns of each variant blanked, ``chunk`` variants at a time."""
         out = np.zeros(len(variants))
-        for a in range(0, len(x), PIECE):
-            xs, ys, ws = x[a : a + PIECE], y[a : a + PIECE], w[a : a + PIECE]
+        piece = max(1, PIECE // max(1, min(chunk, len(variants))))  # all variants of a piece together are as large as one
+        for a in range(0, len(x), piece):
+            xs, ws, own = x[a : a + piece], w[a : a + piece], y[a : a + piece]
             base = xs @ self.p["w0"] + self.p["b0"] - self.share(xs, j)
             gone = {s: self.share(xs, s) for v in variants for s in v if s != j}
             for c in range(0, len(variants), chunk):
                 part = variants[c : c + chunk]
                 z = np.stack([base - sum((gone[s] for s in dict.fromkeys(v) if s != j), np.zeros(1)) for v in part])
                 top, _ = self.upper(z, [None] * self.layers)
-                out[c : c + chunk] += (self.head(top, ys, j)[0] * ws).sum(1)
+                out[c : c + chunk] += (self.head(top, own, j)[0] * ws).sum(1)
         return out
 
     def masked_losses(self, x: np.ndarray, y: np.ndarray, j: int, variants: list[tuple[int, ...]], chunk: int) -> list[float]:
@@ -220,22 +243,36 @@ def train(nets: list[MultiHead], gradients, steps: int, epochs: int, rate: float
                 net.step(g, weight, rate)
 
 
-def dealt(h: np.ndarray, copies: np.ndarray, seed: int, epoch: int, step: int, steps: int) -> np.ndarray:
+def turns(h: np.ndarray, seed: int, epoch: int, steps: int) -> np.ndarray:
+    """The batch of an epoch that a row's copies are dealt from."""
+    return (keyed(h, seed, 1_000 + epoch) % np.uint64(steps)).astype(np.int64)
+
+
+def dealt(h: np.ndarray, copies: np.ndarray, seed: int, epoch: int, step: int, steps: int, turn: np.ndarray | None = None) -> np.ndarray:
     """How many of a row's copies are in the batch: they are dealt to an epoch's batches in turn, from a random one on."""
-    turn = (keyed(h, seed, 1_000 + epoch) % np.uint64(steps)).astype(np.int64)
+    turn = turns(h, seed, epoch, steps) if turn is None else turn
     return (copies + (steps - 1 - (step - turn) % steps)) // steps
 
 
 class LocalRows:
-    """Rows in memory: features, codes, hashes and how often each occurs."""
+    """Rows in memory: features, codes, hashes and how often each occurs. What is random about them is drawn once an epoch."""
 
     def __init__(self, x: np.ndarray, ys: list[np.ndarray], h: np.ndarray, n: np.ndarray):
-        self.x, self.ys, self.h, self.n = x, ys, h, n
+        self.x, self.ys, self.h, self.n, self.drawn = x, ys, h, n, {}
+
+    def draw(self, net: MultiHead, epoch: int, steps: int) -> tuple:
+        """Turns and kept units of all rows; None: too large to hold."""
+        small = len(self.h) * net.hidden * net.layers <= KEPT_BYTES
+        return epoch, steps, turns(self.h, net.seed, epoch, steps), net.kept(self.h, epoch) if small else None
 
     def sums(self, net: MultiHead, copies: np.ndarray, epoch: int, step: int, steps: int):
-        w = dealt(self.h, copies, net.seed, epoch, step, steps)
+        if (now := self.drawn.get(net.seed)) is None or now[:2] != (epoch, steps):
+            now = self.drawn[net.seed] = self.draw(net, epoch, steps)
+        _, _, turn, kept = now
+        w = dealt(self.h, copies, net.seed, epoch, step, steps, turn)
         at = np.flatnonzero(w)
-        return float(w.sum()), net.gradient_sums(self.x[at], [y[at] for y in self.ys], w[at].astype(float), self.h[at], epoch)[1]
+        own = None if kept is None else [k if k is None else k[at] for k in kept]
+        return float(w.sum()), net.gradient_sums(self.x[at], [y[at] for y in self.ys], w[at].astype(float), self.h[at], epoch, own)[1]
 
     def gradients(self, copies: np.ndarray):
         return lambda nets, epoch, step, steps: [self.sums(net, copies, epoch, step, steps) for net in nets]
@@ -310,83 +347,105 @@ class Screener:
         return self.scored(number, lambda plan: {j: v / weight for j, v in local.losses(net, check, plan, c.mask_chunk).items()})
 
 
-def _batch(screener: Screener, b) -> LocalRows:
-    codes = {n: b.column(f"_c{i}").to_numpy(zero_copy_only=False) for i, n in enumerate(screener.names)}
-    x, ys = screener.matrix(b.column("features").flatten().to_numpy(zero_copy_only=False), codes)
-    return LocalRows(x, ys, b.column("_h").to_numpy(zero_copy_only=False).view(np.uint64), b.column("_n").to_numpy(zero_copy_only=False))
+class Block:
+    """Rows packed for Spark to keep: features and codes as they came, hashes, how often each occurs, and by round the copies to learn
+    and to check."""
+
+    def __init__(self, features: np.ndarray, codes: dict[str, np.ndarray], h: np.ndarray, n: np.ndarray, copies: list):
+        self.features, self.codes, self.h, self.n, self.copies = features, codes, h, n, copies
+
+    def rows(self, screener: Screener) -> LocalRows:
+        return LocalRows(*screener.matrix(self.features, self.codes), self.h, self.n)
 
+    def drawn(self, nets: list[MultiHead], epoch: int, steps: int) -> EpochBlock:
+        kept = [[k if k is None else np.packbits(k, axis=1) for k in net.kept(self.h, epoch)] for net in nets]
+        return EpochBlock(self.features, self.codes, [learn for learn, _ in self.copies], [turns(self.h, net.seed, epoch, steps).astype(np.int16) for net in nets], kept)
 
-def summed(rows: DataFrame, part, lengths: int, tasks: int) -> list[np.ndarray]:
-    """``part(batch)`` gives a vector for each of ``lengths`` rounds; their sums over all batches, added up in tasks first, then
-    by about the square root of these, then here."""
 
-    def add(batches):
-        held: list[np.ndarray | None] = [None] * lengths
-        for vectors in batches:
-            held = [v if a is None else a + v for a, v in zip(held, vectors)]
-        if held[0] is not None:
-            yield pa.RecordBatch.from_pydict({"boot": pa.array(range(lengths), pa.int32()), "data": [v.tobytes() for v in held]})
+class EpochBlock:
+    """What the steps of an epoch need of a block: by round the copies to learn, the turns and the kept units as bits."""
 
-    def first(batches):
-        yield from add(part(b) for b in batches if b.num_rows)
+    def __init__(self, features: np.ndarray, codes: dict[str, np.ndarray], copies: list, turn: list, kept: list):
+        self.features, self.codes, self.copies, self.turn, self.kept = features, codes, copies, turn, kept
 
-    def then(batches):
-        by: dict[int, np.ndarray] = {}
+    def sums(self, screener: Screener, nets: list[MultiHead], epoch: int, step: int, steps: int):
+        """By round the weight and the gradient, in one vector."""
+        features = self.features.reshape(-1, screener.blocks[-1].stop)
+        for net, learn, turn, kept in zip(nets, self.copies, self.turn, self.kept):
+            w = dealt(None, learn, net.seed, epoch, step, steps, turn)
+            at = np.flatnonzero(w)
+            x, ys = screener.matrix(features[at], {k: v[at] for k, v in self.codes.items()})
+            own = [k if k is None else np.unpackbits(k[at], axis=1, count=net.hidden).view(bool) for k in kept]
+            g = net.gradient_sums(x, ys, w[at].astype(float), None, epoch, own)[1]
+            yield np.concatenate([[float(w.sum())], *(g[k].reshape(-1) for k in net.p)])
+
+
+def packed(screener: Screener, seeds: list[int]):
+    """Batches of rows to blocks."""
+    fraction = screener.config.validation_fraction
+
+    def part(batches):
         for b in batches:
-            for k, data in zip(b.column("boot").to_pylist(), b.column("data").to_pylist()):
-                v = np.frombuffer(data)
-                by[k] = by[k] + v if k in by else v
-        for k, v in by.items():
-            yield pa.RecordBatch.from_pydict({"boot": pa.array([k], pa.int32()), "data": [v.tobytes()]})
-
-    schema = "boot int, data binary"
-    some = rows.mapInArrow(first, schema)
-    if tasks > 16:
-        some = some.repartition(math.isqrt(tasks)).mapInArrow(then, schema)
-    out: list[np.ndarray | None] = [None] * lengths
-    for r in some.collect():  # a vector for each round and task of the last level
-        v = np.frombuffer(bytes(r["data"]))
-        out[r["boot"]] = v if out[r["boot"]] is None else out[r["boot"]] + v
-    return out
+            for a in range(0, b.num_rows, BLOCK_ROWS):
+                own = b.slice(a, BLOCK_ROWS)
+                col = lambda c: own.column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                h, n = col("_h").view(np.uint64), col("_n")
+                block = Block(own.column("features").flatten().to_numpy(zero_copy_only=False), {name: col(f"_c{i}") for i, name in enumerate(screener.names)}, h, n, [copies_of(h, n, s, fraction) for s in seeds])
+                yield pa.RecordBatch.from_pydict({"block": [pickle.dumps(block)]}, pa.schema([("block", pa.binary())]))
+
+    return part
+
+
+def added(vectors) -> list[list[np.ndarray]]:
+    """One list of vectors, the sums of all that came, or none."""
+    out = None
+    for own in vectors:
+        own = list(own)
+        out = own if out is None else [a + v for a, v in zip(out, own)]
+    return [] if out is None else [out]
 
 
 class FarRows:
     """Rows that stay in Spark: every sum is a job that all rounds share."""
 
     def __init__(self, screener: Screener, rows: DataFrame, rounds: int):
-        self.screener, self.rows, self.rounds = screener, rows, rounds
-        self.sc = rows.sparkSession.sparkContext
-        self.tasks = rows.select(F.spark_partition_id().alias("p")).distinct().count()
+        self.screener, self.rounds = screener, rounds
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        if rows.rdd.getNumPartitions() < cores:
+            rows = rows.repartition(cores)
+        found = rows.mapInArrow(packed(screener, [screener.seed(k) for k in range(rounds)]), "block binary")
+        self.blocks = found.rdd.map(lambda r: pickle.loads(bytes(r[0]))).persist(StorageLevel.MEMORY_AND_DISK)
+        self.now, self.epoch = None, None  # the blocks with an epoch's draws
+
+    def summed(self, blocks: RDD, part) -> list[np.ndarray]:
+        """``part(block)`` gives a vector for each round; their sums over all blocks, added up in tasks first, then by about the
+        square root of these, then here."""
+        some, tasks = blocks.mapPartitions(lambda own: added(map(part, own))), blocks.getNumPartitions()
+        if tasks > 16:
+            some = some.coalesce(math.isqrt(tasks), shuffle=True).mapPartitions(added)
+        return added(some.collect())[0]  # a vector for each round and task of the last level
 
     def gradients(self, nets: list[MultiHead], epoch: int, step: int, steps: int):
-        held, screener = self.sc.broadcast(nets), self.screener
-
-        def part(b):
-            local = _batch(screener, b)
-            for net in held.value:
-                learn, _ = copies_of(local.h, local.n, net.seed, screener.config.validation_fraction)
-                weight, g = local.sums(net, learn, epoch, step, steps)
-                yield np.concatenate([[weight], *(g[k].reshape(-1) for k in net.p)])
-
-        got = summed(self.rows, lambda b: list(part(b)), self.rounds, self.tasks)
-        held.unpersist()
-        for net, v in zip(nets, got):
+        screener, light = self.screener, [net.light() for net in nets]
+        if self.epoch != epoch:
+            if self.now is not None:
+                self.now.unpersist()
+            self.now, self.epoch = self.blocks.map(lambda b: b.drawn(light, epoch, steps)).persist(StorageLevel.MEMORY_AND_DISK), epoch
+        for net, v in zip(nets, self.summed(self.now, lambda b: b.sums(screener, light, epoch, step, steps))):
             cuts = np.cumsum([1, *(a.size for a in net.p.values())])
             yield float(v[0]), {k: v[i:j].reshape(a.shape) for (k, a), i, j in zip(net.p.items(), cuts, cuts[1:])}
 
     def losses(self, nets: list[MultiHead], plans: list[dict[int, list[tuple[int, ...]]]], everything: bool = False) -> tuple[list[float], list[dict[int, np.ndarray]]]:
         """Weights of the check rows (of all, if so told), and sums of losses, by round."""
-        held, screener = self.sc.broadcast((nets, plans)), self.screener
+        screener, light = self.screener, [net.light() for net in nets]
 
         def part(b):
-            local = _batch(screener, b)
-            for net, plan in zip(*held.value):
-                check = local.n if everything else copies_of(local.h, local.n, net.seed, screener.config.validation_fraction)[1]
+            local = b.rows(screener)
+            for net, plan, (_, check) in zip(light, plans, b.copies):
+                check = b.n if everything else check
                 yield np.concatenate([[float(check.sum())], *local.losses(net, check, plan, screener.config.mask_chunk).values()])
 
-        got = summed(self.rows, lambda b: list(part(b)), self.rounds, self.tasks)
-        held.unpersist()
-        out = []
+        out, got = [], self.summed(self.blocks, part)
         for plan, v in zip(plans, got):
             cuts = np.cumsum([1, *(len(x) for x in plan.values())])
             out.append({j: v[i:k] for j, i, k in zip(plan, cuts, cuts[1:])})
@@ -396,6 +455,8 @@ class FarRows:
         screener, c = self.screener, self.screener.config
         nets = [screener.network(k) for k in range(self.rounds)]
         train(nets, self.gradients, steps_of(total * (1 - c.validation_fraction), c.batch), c.epochs, c.learning_rate)
+        if self.now is not None:
+            self.now.unpersist()
         plan = screener.singles()
         weights, first = self.losses(nets, [plan] * self.rounds)
         if not all(weights):
@@ -408,9 +469,27 @@ class FarRows:
         out = []
         for k in range(self.rounds):
             out += screener.rows(k, base[k], single[k], {j: dict(zip(pairs[k][j], map(float, v / weights[k]))) for j, v in both[k].items()})
+        self.blocks.unpersist()
         return out
 
 
+def step_rows(distinct: int, total: int, config) -> float:
+    """Distinct rows that a step takes in, in the mean."""
+    learn = total * (1 - config.validation_fraction)
+    return min(distinct, learn / steps_of(learn, config.batch))
+
+
+def kept_by_size(df: DataFrame) -> DataFrame:
+    """df, persisted in as many partitions as its size asks for, not in as many as shuffles have at most."""
+    conf, name = df.sparkSession.conf, "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+    old = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return df.persist()
+    finally:
+        conf.set(name, old)
+
+
 def neural_edges(encoder, table: DataFrame, config, allowed: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
     """(target, source, score) and (target, s1, s2, score), a row for each round."""
     profiles = encoder.profiles
@@ -423,10 +502,16 @@ def neural_edges(encoder, table: DataFrame, config, allowed: dict[str, list[str]
     sizes = [len(p.categories) if p.kind == "categorical" else 0 for p in profiles]
     screener, rounds = Screener(names, blocks, sizes, config, allowed), max(config.bootstraps, 1)
     keys = [F.col(f"`{n}`").alias(f"_c{i}") for i, n in enumerate(names)]
-    plain = encoder.encoded(table).select(*keys, "features")
-    rows = plain.groupBy(*plain.columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_h", F.xxhash64(*plain.columns)).persist()
+    there, types = [F.col(f"`{n}`") for n in names if n in table.columns], dict(table.dtypes)
+    if any(p.kind == "categorical" and types.get(p.name) in ("float", "double") for p in profiles):  # -0.0 and 0.0 are one group, but two texts
+        equal = table.select(*there, F.lit(1).cast("long").alias("_n"))
+    else:
+        equal = table.groupBy(*there).agg(F.count(F.lit(1)).alias("_n"))  # before texts become arrays
+    plain = encoder.encoded(equal, keep=("_n",)).select(*keys, "features", "_n")
+    own = [c for c in plain.columns if c != "_n"]
+    rows = kept_by_size(plain.groupBy(*own).agg(F.sum("_n").alias("_n")).withColumn("_h", F.xxhash64(*own)))
     size = rows.agg(F.count(F.lit(1)).alias("distinct"), F.coalesce(F.sum("_n"), F.lit(0)).alias("all")).first()
-    if size["distinct"] <= config.max_rows:
+    if size["distinct"] <= config.max_rows and step_rows(size["distinct"], size["all"], config) < STEP_ROWS:
         few = rows.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
 
         def one(key, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -13,8 +13,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pandas as pd
@@ -125,6 +123,7 @@ def running_counts(hist: DataFrame, classes: list[str], values: int) -> DataFram
     cells = min(MOST_CELLS, max(1, -(-values // CELL_VALUES)))
     one.repartitionByRange(cells, "i", "x").withColumn("cell", F.spark_partition_id()).write.parquet(at)
     dealt = spark.read.parquet(at)
+    tasks = min(2 * cells, int(spark.conf.get("spark.sql.shuffle.partitions")))  # not a task for every few hundred values, in each of many rounds
     sums = dealt.groupBy("i", "cell").agg(F.min("x").alias("first"), *[F.sum(f"n{j}").alias(f"n{j}") for j in k]).toPandas().sort_values(["i", "cell"])
     own = sums[[f"n{j}" for j in k]]
     before = own.groupby(sums["i"]).cumsum() - own
@@ -132,16 +131,10 @@ def running_counts(hist: DataFrame, classes: list[str], values: int) -> DataFram
     starts = spark.createDataFrame(rows, "i int, cell int, before array<double>, beyond double")
     w = Window.partitionBy("i", "cell").orderBy("x")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = dealt.select("i", "cell", "x", F.lead("x").over(w).alias("follow"), *[F.sum(f"n{j}").over(upto).alias(f"n{j}") for j in k])
+    inside = dealt.repartition(tasks, "i", "cell").select("i", "cell", "x", F.lead("x").over(w).alias("follow"), *[F.sum(f"n{j}").over(upto).alias(f"n{j}") for j in k])
     return inside.join(F.broadcast(starts), ["i", "cell"]).select("i", "cell", "x", F.coalesce("follow", "beyond").alias("follow"), *[(F.col("before")[j] + F.col(f"n{j}")).alias(f"l{j}") for j in k])
 
 
-def _bits(counts: list[Column], total: Column) -> Column:
-    """total times the entropy of class counts that sum up to it."""
-    part = lambda v: F.when(v > 0, v * F.log2(v)).otherwise(0.0)
-    return part(total) - reduce(add, map(part, counts))
-
-
 def entropy_bins_in_cells(hist: DataFrame, n_bins: int, min_samples: int, values: int = MAX_VALUES) -> dict[int, list[float]]:
     """``entropy_bins`` of each column i, on rows (i, x, y, n) that stay in Spark; a value may come in many rows. Gains are
     compared to twelve places; ties go to the smaller value.
@@ -156,14 +149,24 @@ def entropy_bins_in_cells(hist: DataFrame, n_bins: int, min_samples: int, values
     least = {i: least_leaf(int(v.sum()), n_bins, min_samples) for i, v in whole.items()}
     new = {i: [(-math.inf, math.inf, np.zeros(len(classes)), v)] for i, v in whole.items()}  # from, to (inclusive), classes before, classes inside
 
+    def bits(counts: list[str], total: str) -> str:
+        """total times the entropy of class counts that sum up to it."""
+        part = lambda v: f"CASE WHEN {v} > 0 THEN {v} * log2({v}) ELSE 0D END"
+        return f"({part(total)} - {' - '.join(map(part, counts))})"
+
+    def rows_of(values: list[tuple], names: list[str]) -> DataFrame:
+        """A few rows that are part of the plan, so no job makes them."""
+        lit = lambda v: str(v) if isinstance(v, int) else f"double('{v!r}')"
+        return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in values)} AS t({', '.join(names)})")
+
     def gains(rows: DataFrame) -> DataFrame:
-        leaves = [(i, m, float(lo), float(hi), least[i], float(whole[i].sum()), float(inside.sum() * _entropy(inside)), *base.tolist(), *inside.tolist()) for i, leaves in new.items() for m, (lo, hi, base, inside) in enumerate(leaves)]
-        names = ["i int", "m int", "lo double", "hi double", "least long", "total double", "bits double", *[f"b{j} double" for j in k], *[f"w{j} double" for j in k]]
-        both = rows.join(F.broadcast(spark.createDataFrame(leaves, ", ".join(names))), "i").where("x > lo AND x <= hi")  # two leaves a column at most
-        own = both.select("*", *[(F.col(f"l{j}") - F.col(f"b{j}")).alias(f"u{j}") for j in k], *[(F.col(f"w{j}") - F.col(f"l{j}") + F.col(f"b{j}")).alias(f"v{j}") for j in k])
-        own = own.withColumns({"nu": reduce(add, [F.col(f"u{j}") for j in k]), "nv": reduce(add, [F.col(f"v{j}") for j in k])})
-        gain = (F.col("bits") - _bits([F.col(f"u{j}") for j in k], F.col("nu")) - _bits([F.col(f"v{j}") for j in k], F.col("nv"))) / F.col("total")
-        return own.where("nu >= least AND nv >= least").withColumn("gain", F.floor(gain * 1e12 + 0.5))  # whole numbers of 1e-12
+        leaves = [(i, m, float(lo), float(hi), least[i], float(whole[i].sum()), float(inside.sum() * _entropy(inside)), *map(float, base), *map(float, inside)) for i, leaves in new.items() for m, (lo, hi, base, inside) in enumerate(leaves)]
+        names = ["i", "m", "lo", "hi", "least", "total", "bits", *[f"b{j}" for j in k], *[f"w{j}" for j in k]]
+        both = rows.join(F.broadcast(rows_of(leaves, names)), "i").where("x > lo AND x <= hi")  # two leaves a column at most
+        own = both.selectExpr("*", *[f"l{j} - b{j} AS u{j}" for j in k], *[f"w{j} - l{j} + b{j} AS v{j}" for j in k])
+        own = own.selectExpr("*", " + ".join(f"u{j}" for j in k) + " AS nu", " + ".join(f"v{j}" for j in k) + " AS nv").where("nu >= least AND nv >= least")
+        gain = f"(bits - {bits([f'u{j}' for j in k], 'nu')} - {bits([f'v{j}' for j in k], 'nv')}) / total"
+        return own.selectExpr("i", "m", "cell", "x", "follow", *[f"l{j}" for j in k], f"floor(({gain}) * 1e12D + 0.5D) AS gain")  # whole numbers of 1e-12
 
     def search() -> dict[tuple[int, int], dict]:
         top: dict[tuple[int, int], tuple[int, int]] = {}
@@ -172,9 +175,9 @@ def entropy_bins_in_cells(hist: DataFrame, n_bins: int, min_samples: int, values
         at = {key: -cell for key, (gain, cell) in top.items() if gain > 1}
         if not at:
             return {}
-        few = gains(counts.where(F.col("cell").isin(sorted(set(at.values()))))).join(F.broadcast(spark.createDataFrame([(*key, c) for key, c in at.items()], "i int, m int, cell int")), ["i", "m", "cell"])
-        best = few.groupBy("i", "m").agg(F.max(F.struct("gain", (-F.col("x")).alias("minus"), "x", "follow", upto)).alias("best"))
-        return {(r["i"], r["m"]): r["best"].asDict() for r in best.collect()}
+        few = gains(counts.where(f"cell IN ({', '.join(map(str, sorted(set(at.values()))))})"))
+        best = few.groupBy("i", "m", "cell").agg(F.expr(f"max(struct(gain, -x AS minus, x, follow, array({', '.join(f'l{j}' for j in k)}) AS left)) AS best"))
+        return {(r["i"], r["m"]): r["best"].asDict() for r in best.collect() if at.get((r["i"], r["m"])) == r["cell"]}
 
     done, cuts = {i: [] for i in new}, {i: [] for i in new}
     while any(new.values()):
@@ -371,9 +374,9 @@ class TableEncoderModel(Model):
         both = self._with_dictionaries(df).select(*[c.alias(f"_{n}") for n, c in more.items()], *[self.code(p, there).alias(f"_c{i}") for i, p in enumerate(self.profiles)])
         return both.select(*[F.col(f"_c{i}").alias(p.name) for i, p in enumerate(self.profiles)], *[F.col(f"_{n}").alias(n) for n in more])
 
-    def encoded(self, df: DataFrame) -> DataFrame:
-        """The codes and ``features``: one-hot categories and standardised numbers as ARRAY<FLOAT>. That is as wide as all
-        texts together: with dictionaries, ``encoded_sparse`` gives the same numbers without the zeros."""
+    def encoded(self, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+        """The codes and ``features``: one-hot categories and standardised numbers as ARRAY<FLOAT>; and the columns of df to keep.
+        That is as wide as all texts together: with dictionaries, ``encoded_sparse`` gives the same numbers without the zeros."""
         there = set(df.columns)
         wide = [p.name for p in self.profiles if p.dictionary is not None]
         if wide:
@@ -385,7 +388,7 @@ class TableEncoderModel(Model):
             else:
                 text = as_category(F.col(f"`{p.name}`"), self.types[p.name]) if p.name in there else F.lit(None)
                 parts.append(_one_hot(p.categories, text))
-        return self._with_codes_and(df, features=F.concat(*parts))
+        return self._with_codes_and(df, features=F.concat(*parts), **{c: F.col(f"`{c}`") for c in keep})
 
     def encoded_sparse(self, df: DataFrame) -> DataFrame:
         """The codes, and the features that may not be zero as ``places`` ARRAY<LONG> and ``numbers`` ARRAY<FLOAT>: one entry for a

@@ -780,9 +780,13 @@ def q_hill_climb_edges(spark, sf):
 def q_mlp_edge_scores(spark, sf):
     from .operators.neural import neural_edges
 
-    df = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderpriority", "o_orderstatus", "c_mktsegment", "o_totalprice")
+    orders, cores = table(spark, sf, "orders"), spark.sparkContext.defaultParallelism
+    if orders.rdd.getNumPartitions() < cores:  # a small file is one task or a few, in each of many passes
+        orders = orders.repartition(cores)
+    df = orders.join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderpriority", "o_orderstatus", "c_mktsegment", "o_totalprice").persist()
     config = ScreenerConfig(epochs=3, bootstraps=2)
     edges, _ = neural_edges(TableEncoder("o_orderpriority").fit(df), df, config)
+    df.unpersist()
     return screening.over_rounds(edges, ["target", "source"])
 
 
