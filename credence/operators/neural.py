@@ -222,6 +222,17 @@ class MultiHead:
                 out[c : c + chunk] += (self.head(top, own, j)[0] * ws).sum(1)
         return out
 
+    def keep_mask(self, j: int) -> np.ndarray:
+        """The inputs that head j sees: 1, its own column's: 0."""
+        m = np.ones(self.blocks[-1].stop)
+        m[self.blocks[j]] = 0
+        return m
+
+    def loss(self, x: np.ndarray, y: np.ndarray, j: int) -> float:
+        """Mean loss of head j on already masked inputs."""
+        top, _ = self.upper(x @ self.p["w0"] + self.p["b0"], [None] * self.layers)
+        return float(self.head(top, y, j)[0].mean())
+
     def masked_losses(self, x: np.ndarray, y: np.ndarray, j: int, variants: list[tuple[int, ...]], chunk: int) -> list[float]:
         """Mean losses of head j with the columns of each variant blanked."""
         return (self.loss_sums(x, y, np.ones(len(x)), j, variants, chunk) / len(x)).tolist()
