@@ -152,7 +152,7 @@ def entropy_bins_in_cells(hist: DataFrame, n_bins: int, min_samples: int, values
     def bits(counts: list[str], total: str) -> str:
         """total times the entropy of class counts that sum up to it."""
         part = lambda v: f"CASE WHEN {v} > 0 THEN {v} * log2({v}) ELSE 0D END"
-        return f"({part(total)} - {' - '.join(map(part, counts))})"
+        return f"({part(total)} - ({' + '.join(map(part, counts))}))"
 
     def rows_of(values: list[tuple], names: list[str]) -> DataFrame:
         """A few rows that are part of the plan, so no job makes them."""
